@@ -225,7 +225,7 @@ msg_base AS (
 
 # Theta join on prefix, longest prefix wins; no match -> 0; NULL model -> NULL.
 _PRICES = "prices(prefix, input, output) AS (VALUES " + ", ".join(
-    f"('{p}', {i!r}, {o!r})" for p, i, o in DEFAULT_MODEL_PRICES) + ")"
+    f"('{p}', CAST({i!r} AS DOUBLE), CAST({o!r} AS DOUBLE))" for p, i, o in DEFAULT_MODEL_PRICES) + ")"
 
 _MESSAGES = """
 model_price AS (
@@ -300,6 +300,23 @@ products AS (
             LEFT JOIN embeddings e ON e.vec_id = p_partkey
 )"""
 
+_SESSIONS = """
+sessions AS (
+  SELECT tenant_id, session_id, min(created_at) AS started_at, max(created_at) AS ended_at,
+    count(*) AS message_count,
+    count(CASE WHEN model_used IS NOT NULL OR prompt_tokens IS NOT NULL OR completion_tokens IS NOT NULL THEN 1 END) AS llm_call_count,
+    CAST(coalesce(sum(CASE WHEN model_used IS NOT NULL OR prompt_tokens IS NOT NULL OR completion_tokens IS NOT NULL
+         THEN coalesce(total_tokens, coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0)) END), 0) AS BIGINT) AS total_tokens_used,
+    coalesce(sum(cost), 0.0) AS estimated_cost,
+    CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS input_tokens,
+    CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS output_tokens,
+    avg(CASE WHEN role = 'assistant' THEN latency_ms END) AS avg_latency_ms,
+    max(CASE WHEN role = 'assistant' THEN latency_ms END) AS max_latency_ms,
+    min(CASE WHEN role = 'assistant' THEN latency_ms END) AS min_latency_ms,
+    count(CASE WHEN role = 'assistant' THEN latency_ms END) AS latency_count
+  FROM messages GROUP BY tenant_id, session_id
+)"""
+
 _TENANTS = """
 tenants AS (
   SELECT 'tenant-' || CAST(n_nationkey AS VARCHAR) AS tenant_id, n_name AS name,
@@ -317,6 +334,7 @@ SQL = {
     "variants": (_VARIANTS, []),
     "images": (_IMAGES, []),
     "products": (_PRODUCTS, ["variants"]),
+    "sessions": (_SESSIONS, ["messages"]),
     "tenants": (_TENANTS, []),
 }
 

@@ -58,8 +58,11 @@ def require_small(df: DataFrame, max_rows: int, what: str) -> None:
         raise ValueError(f"{what} has more than {max_rows} rows; refusing to broadcast it")
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (stable comparisons across engines)."""
-    cols = [F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() == "double"
-            else F.col(f.name) for f in df.schema.fields]
+def round_doubles(df: DataFrame, digits: int = 6, **per_column: int) -> DataFrame:
+    """Round every double column (stable comparisons across engines).
+
+    ``per_column`` overrides the digits for named columns (e.g. cost=10).
+    """
+    cols = [F.round(F.col(f.name), per_column.get(f.name, digits)).alias(f.name)
+            if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields]
     return df.select(*cols)

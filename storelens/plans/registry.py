@@ -72,3 +72,399 @@ def q_top_products(spark, sf):
     out = D.top_products(A.product_events(_t(spark, sf, "events")), _products(spark, sf, False),
                          AS_OF, event_type=None, limit=10, days=DAYS)
     return round_doubles(out)
+
+
+def _window(col: str, days: int = DAYS, inclusive: bool = False) -> str:
+    op = ">=" if inclusive else ">"
+    return f"{col} {op} {ASOF} - INTERVAL {days} DAY AND {col} <= {ASOF}"
+
+
+def _sessions(spark, sf):
+    from storelens.operators.sessions import session_rollup
+    return session_rollup(_messages(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Dashboard A1-A9
+# ---------------------------------------------------------------------------
+
+@register("overview", A.with_views("sessions") + f"""
+, s AS (
+  SELECT tenant_id, count(*) AS total_sessions, count(DISTINCT CAST(started_at AS DATE)) AS days_active,
+         coalesce(sum(CASE WHEN CAST(started_at AS DATE) = CAST({ASOF} AS DATE) THEN estimated_cost END), 0.0) AS cost_today
+  FROM sessions GROUP BY tenant_id
+), m AS (
+  SELECT tenant_id,
+         count(CASE WHEN CAST(created_at AS DATE) = CAST({ASOF} AS DATE) THEN 1 END) AS messages_today,
+         count(DISTINCT CASE WHEN created_at > {ASOF} - INTERVAL 1 HOUR AND created_at <= {ASOF} THEN session_id END) AS active_sessions
+  FROM messages GROUP BY tenant_id
+)
+SELECT coalesce(s.tenant_id, m.tenant_id) AS tenant_id,
+       coalesce(total_sessions, 0) AS total_sessions, coalesce(days_active, 0) AS days_active,
+       coalesce(messages_today, 0) AS messages_today, round(coalesce(cost_today, 0.0), 10) AS cost_today,
+       coalesce(active_sessions, 0) AS active_sessions
+FROM s FULL JOIN m ON s.tenant_id = m.tenant_id
+""")
+def q_overview(spark, sf):
+    m = _messages(spark, sf)
+    from storelens.operators.sessions import session_rollup
+    return round_doubles(D.overview(session_rollup(m), m, AS_OF), cost_today=10)
+
+
+@register("sessions_over_time", A.with_views("sessions") + f"""
+, agg AS (
+  SELECT tenant_id, CAST(started_at AS DATE) AS date, count(*) AS session_count,
+         count(DISTINCT session_id) AS unique_sessions,
+         CAST(coalesce(sum(message_count), 0) AS BIGINT) AS total_messages,
+         coalesce(sum(estimated_cost), 0.0) AS daily_cost
+  FROM sessions WHERE {_window('started_at')} GROUP BY ALL
+), spine AS (
+  SELECT t.tenant_id, CAST(g.d AS DATE) AS date
+  FROM (SELECT DISTINCT tenant_id FROM agg) t,
+       (SELECT unnest(generate_series(CAST({ASOF} AS DATE) - INTERVAL {DAYS - 1} DAY,
+                                      CAST(CAST({ASOF} AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS d) g
+)
+SELECT s.tenant_id, s.date, coalesce(a.session_count, 0) AS session_count,
+       coalesce(a.unique_sessions, 0) AS unique_sessions, coalesce(a.total_messages, 0) AS total_messages,
+       round(coalesce(a.daily_cost, 0.0), 10) AS daily_cost
+FROM spine s LEFT JOIN agg a ON a.tenant_id = s.tenant_id AND a.date = s.date
+""")
+def q_sessions_over_time(spark, sf):
+    return round_doubles(D.sessions_over_time(_sessions(spark, sf), AS_OF, DAYS), daily_cost=10)
+
+
+@register("message_volume", A.with_views("messages") + f"""
+SELECT tenant_id, CAST(created_at AS DATE) AS date,
+       count(CASE WHEN role = 'user' THEN 1 END) AS user_messages,
+       count(CASE WHEN role = 'assistant' THEN 1 END) AS assistant_messages,
+       count(*) AS total_messages
+FROM messages WHERE {_window('created_at')} GROUP BY ALL
+""")
+def q_message_volume(spark, sf):
+    return D.message_volume(_messages(spark, sf), AS_OF, DAYS)
+
+
+@register("cost_breakdown", A.with_views("messages") + f"""
+SELECT tenant_id, model_used AS model, count(*) AS call_count,
+       CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS prompt_tokens,
+       CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS completion_tokens,
+       round(coalesce(sum(cost), 0.0), 10) AS cost,
+       grouping(model_used) = 1 AS is_total
+FROM messages WHERE model_used IS NOT NULL AND {_window('created_at')}
+GROUP BY GROUPING SETS ((tenant_id, model_used), (tenant_id))
+""")
+def q_cost_breakdown(spark, sf):
+    return round_doubles(D.cost_breakdown(_messages(spark, sf), AS_OF, DAYS), cost=10)
+
+
+@register("intent_distribution", A.with_views("messages") + f"""
+SELECT tenant_id, intent, count(*) AS count
+FROM messages WHERE role = 'user' AND intent IS NOT NULL AND {_window('created_at')}
+GROUP BY ALL
+""")
+def q_intent_distribution(spark, sf):
+    return D.intent_distribution(_messages(spark, sf), AS_OF, DAYS)
+
+
+@register("hourly_activity", A.with_views("messages") + f"""
+, agg AS (
+  SELECT tenant_id, CAST(hour(created_at) AS BIGINT) AS hour, count(*) AS message_count
+  FROM messages WHERE {_window('created_at')} GROUP BY ALL
+)
+SELECT t.tenant_id, h.hour, coalesce(a.message_count, 0) AS message_count
+FROM (SELECT DISTINCT tenant_id FROM messages) t
+CROSS JOIN (SELECT range AS hour FROM range(24)) h
+LEFT JOIN agg a ON a.tenant_id = t.tenant_id AND a.hour = h.hour
+""")
+def q_hourly_activity(spark, sf):
+    return D.hourly_activity(_messages(spark, sf), AS_OF, DAYS)
+
+
+# ---------------------------------------------------------------------------
+# Latency A11-A14
+# ---------------------------------------------------------------------------
+
+_LAT = A.with_views("messages") + f"""
+, lat AS (SELECT * FROM messages WHERE role = 'assistant' AND latency_ms IS NOT NULL
+          AND {_window('created_at', inclusive=True)})
+"""
+
+
+def _lat(spark, sf):
+    from storelens.operators.latency import assistant_latencies
+    return assistant_latencies(_messages(spark, sf), AS_OF, DAYS)
+
+
+@register("latency_summary", _LAT + """
+SELECT tenant_id, round(coalesce(avg(latency_ms), 0.0), 6) AS avg_latency_ms,
+       min(latency_ms) AS min_latency_ms, max(latency_ms) AS max_latency_ms, count(*) AS message_count
+FROM lat GROUP BY tenant_id
+""")
+def q_latency_summary(spark, sf):
+    from storelens.operators.latency import latency_summary
+    return round_doubles(latency_summary(_lat(spark, sf)))
+
+
+@register("latency_percentiles", _LAT + """
+SELECT tenant_id,
+       round(quantile_cont(latency_ms, 0.50), 6) AS p50, round(quantile_cont(latency_ms, 0.75), 6) AS p75,
+       round(quantile_cont(latency_ms, 0.90), 6) AS p90, round(quantile_cont(latency_ms, 0.95), 6) AS p95,
+       round(quantile_cont(latency_ms, 0.99), 6) AS p99
+FROM lat GROUP BY tenant_id
+""")
+def q_latency_percentiles(spark, sf):
+    from storelens.operators.latency import latency_percentiles
+    return round_doubles(latency_percentiles(_lat(spark, sf)))
+
+
+@register("latency_by_hour", _LAT + """
+SELECT tenant_id, date_trunc('hour', created_at) AS hour, round(avg(latency_ms), 6) AS avg_latency_ms,
+       round(quantile_cont(latency_ms, 0.50), 6) AS p50, round(quantile_cont(latency_ms, 0.90), 6) AS p90,
+       round(quantile_cont(latency_ms, 0.99), 6) AS p99, count(*) AS message_count
+FROM lat GROUP BY ALL
+""")
+def q_latency_by_hour(spark, sf):
+    from storelens.operators.latency import latency_by_hour
+    return round_doubles(latency_by_hour(_lat(spark, sf)))
+
+
+@register("worst_sessions", _LAT + """
+, per AS (
+  SELECT tenant_id, session_id, max(latency_ms) AS max_latency_ms, avg(latency_ms) AS avg_latency_ms,
+         count(*) AS message_count
+  FROM lat GROUP BY ALL
+)
+SELECT tenant_id, session_id, max_latency_ms, round(avg_latency_ms, 6) AS avg_latency_ms, message_count,
+       CAST(rank AS BIGINT) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY max_latency_ms DESC, session_id) AS rank FROM per)
+WHERE rank <= 10
+""")
+def q_worst_sessions(spark, sf):
+    from storelens.operators.latency import worst_sessions
+    return round_doubles(worst_sessions(_lat(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# Sessions and messages
+# ---------------------------------------------------------------------------
+
+@register("session_rollup", A.with_views("sessions") + """
+SELECT tenant_id, session_id, started_at, ended_at, message_count, llm_call_count, total_tokens_used,
+       round(estimated_cost, 10) AS estimated_cost, input_tokens, output_tokens,
+       round(avg_latency_ms, 6) AS avg_latency_ms, max_latency_ms, min_latency_ms, latency_count
+FROM sessions
+""")
+def q_session_rollup(spark, sf):
+    return round_doubles(_sessions(spark, sf), estimated_cost=10)
+
+
+@register("active_session_count", A.with_views("sessions") + f"""
+SELECT tenant_id,
+       count(DISTINCT CASE WHEN ended_at IS NULL OR (ended_at > {ASOF} - INTERVAL 60 MINUTE AND ended_at <= {ASOF})
+                      THEN session_id END) AS active_sessions
+FROM sessions GROUP BY tenant_id
+""")
+def q_active_session_count(spark, sf):
+    from storelens.operators.sessions import active_session_count
+    return active_session_count(_sessions(spark, sf), AS_OF, 60)
+
+
+@register("recent_sessions", A.with_views("sessions") + """
+SELECT tenant_id, session_id, started_at, ended_at,
+       round((epoch_us(ended_at) - epoch_us(started_at)) / 60000000.0, 6) AS duration_minutes,
+       message_count, llm_call_count, total_tokens_used, input_tokens, output_tokens,
+       round(estimated_cost, 10) AS estimated_cost, CAST(rank AS BIGINT) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY started_at DESC, session_id) AS rank FROM sessions)
+WHERE rank <= 10
+""")
+def q_recent_sessions(spark, sf):
+    from storelens.plans.reports import recent_sessions
+    return round_doubles(recent_sessions(_sessions(spark, sf), limit=10), estimated_cost=10)
+
+
+@register("price_usage", A.with_views("messages") + """
+SELECT message_id, tenant_id, model_used, prompt_tokens, completion_tokens, round(cost, 10) AS cost
+FROM messages WHERE role = 'assistant'
+""")
+def q_price_usage(spark, sf):
+    m = _messages(spark, sf).where(F.col("role") == "assistant")
+    return round_doubles(m.select("message_id", "tenant_id", "model_used", "prompt_tokens",
+                                  "completion_tokens", "cost"), cost=10)
+
+
+@register("derive_latency", A.with_views("messages") + """
+, w AS (
+  SELECT *, last_value(CASE WHEN role = 'user' THEN created_at END IGNORE NULLS) OVER (
+      PARTITION BY tenant_id, session_id ORDER BY created_at, message_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_user
+  FROM messages
+)
+SELECT tenant_id, session_id, message_id,
+       coalesce(latency_ms, CASE WHEN last_user IS NOT NULL
+                THEN CAST(trunc((epoch_us(created_at) - epoch_us(last_user)) / 1000) AS BIGINT) END) AS latency_ms
+FROM w WHERE role = 'assistant'
+""")
+def q_derive_latency(spark, sf):
+    from storelens.operators.sessions import derive_latency
+    out = derive_latency(_messages(spark, sf)).where(F.col("role") == "assistant")
+    return out.select("tenant_id", "session_id", "message_id", "latency_ms")
+
+
+@register("backfill_session_tokens", A.with_views("sessions") + """
+SELECT s.tenant_id, s.session_id,
+       CAST(coalesce((SELECT sum(prompt_tokens) FROM messages m WHERE m.tenant_id = s.tenant_id
+                AND m.session_id = s.session_id AND m.role = 'assistant'), 0) AS BIGINT) AS input_tokens,
+       CAST(coalesce((SELECT sum(completion_tokens) FROM messages m WHERE m.tenant_id = s.tenant_id
+                AND m.session_id = s.session_id AND m.role = 'assistant'), 0) AS BIGINT) AS output_tokens
+FROM sessions s
+""")
+def q_backfill_session_tokens(spark, sf):
+    from storelens.operators.sessions import backfill_session_tokens
+    m = _messages(spark, sf)
+    from storelens.operators.sessions import session_rollup
+    out = backfill_session_tokens(session_rollup(m), m)
+    return out.select("tenant_id", "session_id", "input_tokens", "output_tokens")
+
+
+@register("usage_running", A.with_views("messages") + """
+, calls AS (
+  SELECT *, coalesce(total_tokens, coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0)) AS tok
+  FROM messages WHERE model_used IS NOT NULL OR prompt_tokens IS NOT NULL OR completion_tokens IS NOT NULL
+)
+SELECT tenant_id, session_id, message_id, created_at, CAST(tok AS BIGINT) AS call_tokens,
+       round(coalesce(cost, 0.0), 10) AS call_cost,
+       CAST(sum(tok) OVER w AS BIGINT) AS cum_tokens,
+       round(sum(coalesce(cost, 0.0)) OVER w, 10) AS cum_cost,
+       count(*) OVER w AS cum_calls
+FROM calls
+WINDOW w AS (PARTITION BY tenant_id, session_id ORDER BY created_at, message_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+""")
+def q_usage_running(spark, sf):
+    from storelens.operators.sessions import usage_running
+    return round_doubles(usage_running(_messages(spark, sf)), call_cost=10, cum_cost=10)
+
+
+@register("last_n_messages", A.with_views("messages") + """
+, r AS (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, session_id ORDER BY created_at DESC, message_id DESC) AS rn,
+         least(count(*) OVER (PARTITION BY tenant_id, session_id), 10) AS m
+  FROM messages
+)
+SELECT tenant_id, session_id, message_id, role, created_at, CAST(m - rn + 1 AS BIGINT) AS position
+FROM r WHERE rn <= 10
+""")
+def q_last_n_messages(spark, sf):
+    from storelens.operators.sessions import last_n_messages
+    return last_n_messages(_messages(spark, sf), 10).select(
+        "tenant_id", "session_id", "message_id", "role", "created_at", "position")
+
+
+@register("rate_window", f"""
+SELECT event_id, user_id,
+       count(*) OVER (PARTITION BY user_id ORDER BY CAST(ts AS TIMESTAMP)
+                      RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS requests_in_window,
+       count(*) OVER (PARTITION BY user_id ORDER BY CAST(ts AS TIMESTAMP)
+                      RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) > 20 AS over_limit
+FROM events
+""")
+def q_rate_window(spark, sf):
+    from storelens.operators.sessions import rate_window
+    ev = _t(spark, sf, "events").select("event_id", "user_id", "ts")
+    return rate_window(ev, "user_id", "ts").select("event_id", "user_id", "requests_in_window", "over_limit")
+
+
+@register("sessionise", """
+, g AS (
+  SELECT user_id, CAST(ts AS TIMESTAMP) AS ts,
+         CASE WHEN lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
+                OR CAST(ts AS TIMESTAMP) - lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts)
+                   >= INTERVAL 3600 SECOND THEN 1 ELSE 0 END AS new_session
+  FROM events
+), s AS (SELECT *, sum(new_session) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 3600 SECOND AS session_end,
+       count(*) AS event_count, min(ts) AS first_ts, max(ts) AS last_ts
+FROM s GROUP BY user_id, sid
+""".replace(", g AS", "WITH g AS", 1))
+def q_sessionise(spark, sf):
+    from storelens.operators.sessions import sessionise
+    return sessionise(_t(spark, sf, "events").select("user_id", "ts"), "user_id", "ts", 3600)
+
+
+@register("expire_messages", A.with_views("messages") + f"""
+SELECT tenant_id, session_id, message_id, created_at FROM messages
+WHERE coalesce(created_at >= {ASOF} - INTERVAL 15 DAY, true)
+""")
+def q_expire_messages(spark, sf):
+    from storelens.operators.sessions import expire_messages
+    kept, _ = expire_messages(_messages(spark, sf), AS_OF, 15)
+    return kept.select("tenant_id", "session_id", "message_id", "created_at")
+
+
+@register("expired_counts", A.with_views("messages") + f"""
+SELECT tenant_id, count(CASE WHEN NOT coalesce(created_at >= {ASOF} - INTERVAL 15 DAY, true) THEN 1 END) AS deleted
+FROM messages GROUP BY tenant_id
+""")
+def q_expired_counts(spark, sf):
+    from storelens.operators.sessions import expire_messages
+    _, deleted = expire_messages(_messages(spark, sf), AS_OF, 15)
+    return deleted
+
+
+_SPLIT = "TIMESTAMP '2024-01-16 12:00:00'"
+
+
+@register("upsert_sessions", A.with_views("messages") + f"""
+, sessions AS (
+  SELECT tenant_id, session_id, min(created_at) AS started_at, max(created_at) AS ended_at,
+    count(*) AS message_count,
+    count(CASE WHEN model_used IS NOT NULL OR prompt_tokens IS NOT NULL OR completion_tokens IS NOT NULL THEN 1 END) AS llm_call_count,
+    CAST(coalesce(sum(CASE WHEN model_used IS NOT NULL OR prompt_tokens IS NOT NULL OR completion_tokens IS NOT NULL
+         THEN coalesce(total_tokens, coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0)) END), 0) AS BIGINT) AS total_tokens_used,
+    coalesce(sum(cost), 0.0) AS estimated_cost,
+    CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS input_tokens,
+    CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS output_tokens,
+    avg(CASE WHEN role = 'assistant' THEN latency_ms END) AS avg_latency_ms,
+    max(CASE WHEN role = 'assistant' THEN latency_ms END) AS max_latency_ms,
+    min(CASE WHEN role = 'assistant' THEN latency_ms END) AS min_latency_ms,
+    count(CASE WHEN role = 'assistant' THEN latency_ms END) AS latency_count
+  FROM messages GROUP BY tenant_id, session_id
+)
+SELECT tenant_id, session_id, started_at, ended_at, message_count, llm_call_count, total_tokens_used,
+       round(estimated_cost, 10) AS estimated_cost, input_tokens, output_tokens,
+       round(avg_latency_ms, 6) AS avg_latency_ms, max_latency_ms, min_latency_ms, latency_count
+FROM sessions
+""")
+def q_upsert_sessions(spark, sf):
+    """Sessions stored from messages before a cut, then the rest upserted.
+
+    The result must equal the rollup of the whole log (checked by the twin).
+    """
+    from storelens.operators.sessions import session_rollup, upsert_sessions
+    m = _messages(spark, sf)
+    cut = F.lit("2024-01-16 12:00:00").cast("timestamp")
+    existing = session_rollup(m.where(F.col("created_at") < cut))
+    out = upsert_sessions(existing, m.where(~(F.col("created_at") < cut)))
+    return round_doubles(out, estimated_cost=10)
+
+
+@register("running_latency_compat", A.with_views("messages") + """
+, n AS (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, session_id ORDER BY created_at, message_id) - 1 AS nb
+  FROM messages
+), steps AS (
+  SELECT tenant_id, session_id, list(struct_pack(x := latency_ms, n := nb) ORDER BY created_at, message_id) AS st
+  FROM n WHERE role = 'assistant' AND latency_ms IS NOT NULL GROUP BY ALL
+)
+SELECT tenant_id, session_id,
+       list_reduce(list_prepend(NULL::STRUCT(x BIGINT, n BIGINT), st),
+         lambda acc, e: CASE WHEN acc IS NULL THEN e
+                          WHEN e.n = 0 THEN acc
+                          ELSE struct_pack(x := CAST(trunc((acc.x * (e.n - 1) + e.x) / e.n) AS BIGINT), n := e.n) END).x
+         AS avg_latency_ms_compat,
+       list_max([s.x FOR s IN st]) AS max_latency_ms, list_min([s.x FOR s IN st]) AS min_latency_ms
+FROM steps
+""")
+def q_running_latency_compat(spark, sf):
+    from storelens.operators.sessions import running_latency_compat
+    return running_latency_compat(_messages(spark, sf))

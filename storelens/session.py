@@ -43,6 +43,7 @@ def get_spark(master: str | None = None, app: str = "storelens",
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)
     builder = builder.config("spark.sql.execution.arrow.pyspark.enabled", "true")
+    builder = builder.config("spark.ui.showConsoleProgress", "false")
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
