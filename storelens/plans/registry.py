@@ -468,3 +468,242 @@ FROM steps
 def q_running_latency_compat(spark, sf):
     from storelens.operators.sessions import running_latency_compat
     return running_latency_compat(_messages(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Search F3-F9, J2-J4, O3, P1, P2, P7, A22
+# ---------------------------------------------------------------------------
+
+_PROD_COLS = "id, tenant_id, title, vendor, product_type, tags, round(min_price, 6) AS min_price, " \
+             "round(max_price, 6) AS max_price, has_discount"
+
+
+def _prod_out(df):
+    return round_doubles(df.select("id", "tenant_id", "title", "vendor", "product_type", "tags",
+                                   "min_price", "max_price", "has_discount"))
+
+
+def _filter_query(name, where_sql, **kw):
+    from storelens.operators.search import filter_products
+
+    @register(name, A.with_views("products") + f"SELECT {_PROD_COLS} FROM products WHERE {where_sql}")
+    def q(spark, sf):
+        return _prod_out(filter_products(_products(spark, sf, False), **kw))
+    return q
+
+
+_filter_query("filter_products",
+              "product_type = 'ECONOMY' AND coalesce(max_price >= 1000.0, false) "
+              "AND coalesce(min_price <= 5000.0, false) AND coalesce(has_discount = true, false)",
+              product_type="ECONOMY", min_price=1000.0, max_price=5000.0, has_discount=True)
+_filter_query("filter_price_range", "coalesce(max_price >= 0.0, false) AND coalesce(min_price <= 500.0, false)",
+              min_price=0.0, max_price=500.0)
+_filter_query("filter_type", "product_type = 'PROMO'", product_type="PROMO")
+_filter_query("filter_discount", "coalesce(has_discount = false, false)", has_discount=False)
+
+
+@register("filter_vendor", A.with_views("products") + f"SELECT {_PROD_COLS} FROM products WHERE vendor = 'Brand#4'")
+def q_filter_vendor(spark, sf):
+    from storelens.operators.search import vendor_equals
+    return _prod_out(vendor_equals(_products(spark, sf, False), "Brand#4"))
+
+
+@register("filter_tag", A.with_views("products") + f"SELECT {_PROD_COLS} FROM products WHERE contains(tags, 'LARGE')")
+def q_filter_tag(spark, sf):
+    from storelens.operators.search import tag_contains
+    return _prod_out(tag_contains(_products(spark, sf, False), "LARGE"))
+
+
+@register("filter_option", A.with_views("products") + f"SELECT {_PROD_COLS} FROM products WHERE color = 'red'")
+def q_filter_option(spark, sf):
+    from storelens.operators.search import option_has
+    return _prod_out(option_has(_products(spark, sf, False), "Color", "red"))
+
+
+@register("primary_image", A.with_views("products", "images") + """
+SELECT p.id, p.tenant_id, i.src AS image_url
+FROM products p LEFT JOIN images i ON p.id = i.product_id AND i.position = 1
+""")
+def q_primary_image(spark, sf):
+    from storelens.operators.search import with_primary_image
+    li = _t(spark, sf, "lineitem")
+    return with_primary_image(_products(spark, sf, False), A.images(li)).select("id", "tenant_id", "image_url")
+
+
+@register("first_image", A.with_views("products", "images") + """
+SELECT p.id, p.tenant_id, fi.src AS image_url
+FROM products p LEFT JOIN LATERAL (
+  SELECT src FROM images i WHERE i.product_id = p.id AND i.tenant_id = p.tenant_id
+  ORDER BY coalesce(i.position, 2147483647), i.id LIMIT 1) fi ON true
+""")
+def q_first_image(spark, sf):
+    from storelens.operators.search import with_first_image
+    li = _t(spark, sf, "lineitem")
+    return with_first_image(_products(spark, sf, False), A.images(li)).select("id", "tenant_id", "image_url")
+
+
+@register("lookup_ordered", A.with_views("messages", "products") + """
+, ids AS (
+  SELECT message_id, unnest(range(len(l))) AS pos, unnest(l) AS id
+  FROM (SELECT message_id, CAST(json_extract(structured_data, '$.product_ids') AS BIGINT[]) AS l
+        FROM messages WHERE structured_data IS NOT NULL)
+), firsts AS (SELECT message_id, id, min(pos) AS pos FROM ids GROUP BY ALL)
+SELECT f.message_id, CAST(f.pos AS BIGINT) AS pos, p.id, p.title, p.tenant_id
+FROM firsts f JOIN products p ON p.id = f.id
+""")
+def q_lookup_ordered(spark, sf):
+    from storelens.operators.search import ids_from_array, lookup_ordered
+    m = _messages(spark, sf).where(F.col("structured_data").isNotNull())
+    arr = m.select("message_id", F.from_json("structured_data", "struct<product_ids:array<bigint>>")
+                   ["product_ids"].alias("ids"))
+    ids = ids_from_array(arr, "ids", ["message_id"])
+    out = lookup_ordered(_products(spark, sf, False), ids, key=["message_id"])
+    return out.select("message_id", F.col("pos").cast("long").alias("pos"), "id", "title", "tenant_id")
+
+
+@register("distinct_types", A.with_views("products") + """
+SELECT DISTINCT tenant_id, product_type FROM products WHERE product_type IS NOT NULL
+""")
+def q_distinct_types(spark, sf):
+    from storelens.operators.catalog import distinct_types
+    return distinct_types(_products(spark, sf, False))
+
+
+@register("catalogue_listing", A.with_views("products", "images") + """
+, fi AS (
+  SELECT product_id, tenant_id, arg_min(src, (coalesce(position, 2147483647), id)) AS image_url
+  FROM images GROUP BY ALL
+), r AS (
+  SELECT p.*, fi.image_url,
+         row_number() OVER (PARTITION BY p.tenant_id ORDER BY p.updated_at DESC NULLS FIRST, p.id) AS pos
+  FROM products p LEFT JOIN fi ON fi.product_id = p.id AND fi.tenant_id = p.tenant_id
+)
+SELECT tenant_id, CAST(pos AS BIGINT) AS position, id, title AS name, vendor, product_type,
+       round(coalesce(CASE WHEN min_price <> 0 THEN min_price END, 0.0), 6) AS price_min,
+       round(coalesce(CASE WHEN max_price <> 0 THEN max_price END, 0.0), 6) AS price_max,
+       has_discount, image_url, handle
+FROM r WHERE pos <= 100
+""")
+def q_catalogue_listing(spark, sf):
+    from storelens.plans.search import catalogue_listing
+    li = _t(spark, sf, "lineitem")
+    return round_doubles(catalogue_listing(_products(spark, sf, False), A.images(li), limit=100))
+
+
+# Search queries are derived from the data: one per embedding label, whose
+# vector is the label's centroid and whose filters depend on the label.
+
+def _label_queries(spark, sf, with_vec=True, with_filters=True, mixed=False, k_rule="5"):
+    e = _t(spark, sf, "embeddings")
+    cent = (e.select("label", F.posexplode("embedding").alias("pos", "x"))
+            .groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+            .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c"))
+            .select("label", F.transform("c", lambda s: s["x"]).alias("vec")))
+    L = F.col("label")
+    none_s, none_d, none_b = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("boolean")
+    vec = F.col("vec") if with_vec else F.lit(None).cast("array<double>")
+    if mixed:
+        vec = F.when(L % 3 != 1, F.col("vec"))
+    return cent.select(
+        L.cast("long").alias("query_id"),
+        F.concat(F.lit("tenant-"), (L % 3).cast("string")).alias("tenant_id"),
+        (F.when(L % 5 == 0, "ECONOMY").when(L % 5 == 1, "PROMO").when(L % 5 == 2, "NO-SUCH-TYPE")
+         if with_filters else none_s).alias("product_type"),
+        (F.when(L % 2 == 0, F.lit(1000.0)) if with_filters else none_d).alias("min_price"),
+        (F.when(L % 3 == 0, F.lit(5000.0)) if with_filters else none_d).alias("max_price"),
+        (F.when(L % 4 == 0, F.lit(True)).when(L % 4 == 1, F.lit(False)) if with_filters else none_b)
+        .alias("has_discount"),
+        vec.cast("array<double>").alias("query_vec"),
+        F.expr(k_rule).cast("int").alias("k"))
+
+
+def _label_queries_sql(with_vec=True, with_filters=True, mixed=False, k_rule="5"):
+    vec = "vec" if with_vec else "NULL::DOUBLE[]"
+    if mixed:
+        vec = "CASE WHEN label % 3 <> 1 THEN vec END"
+    f = with_filters
+    return f"""
+, cent AS (
+  SELECT label, list(x ORDER BY pos) AS vec FROM (
+    SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM (
+      SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding) AS x FROM embeddings)
+    GROUP BY ALL) GROUP BY label
+), queries AS (
+  SELECT CAST(label AS BIGINT) AS query_id, 'tenant-' || CAST(label % 3 AS VARCHAR) AS tenant_id,
+    {"CASE label % 5 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'PROMO' WHEN 2 THEN 'NO-SUCH-TYPE' END" if f else "NULL::VARCHAR"} AS product_type,
+    {"CASE WHEN label % 2 = 0 THEN 1000.0::DOUBLE END" if f else "NULL::DOUBLE"} AS min_price,
+    {"CASE WHEN label % 3 = 0 THEN 5000.0::DOUBLE END" if f else "NULL::DOUBLE"} AS max_price,
+    {"CASE label % 4 WHEN 0 THEN true WHEN 1 THEN false END" if f else "NULL::BOOLEAN"} AS has_discount,
+    {vec} AS query_vec, CAST({k_rule} AS INTEGER) AS k
+  FROM cent
+)"""
+
+
+def _search_sql(cap: int | None) -> str:
+    cap_where = f"WHERE cand_rank <= {cap}" if cap is not None else ""
+    cols = "id, tenant_id, title, product_type, body_html, min_price, max_price, tags, has_discount, updated_at, embedding"
+    return f"""
+, filtered AS (
+  SELECT q.query_id, q.k, q.query_vec, {', '.join('p.' + c.strip() for c in cols.split(','))}
+  FROM products p JOIN queries q ON p.tenant_id = q.tenant_id
+   AND (q.product_type IS NULL OR q.product_type = '' OR p.product_type = q.product_type)
+   AND (q.min_price IS NULL OR coalesce(p.max_price >= q.min_price, false))
+   AND (q.max_price IS NULL OR coalesce(p.min_price <= q.max_price, false))
+   AND (q.has_discount IS NULL OR coalesce(p.has_discount = q.has_discount, false))
+), cands AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC NULLS FIRST, id) AS cand_rank
+                 FROM filtered) {cap_where}
+), fb AS (
+  SELECT q.query_id, q.k, q.query_vec, {', '.join('p.' + c.strip() for c in cols.split(','))}, NULL::BIGINT AS cand_rank
+  FROM products p JOIN queries q ON p.tenant_id = q.tenant_id
+  WHERE q.query_vec IS NOT NULL AND q.query_id NOT IN (SELECT query_id FROM cands)
+), allc AS (SELECT * FROM cands UNION ALL SELECT * FROM fb),
+sem AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM (
+      SELECT *, list_cosine_similarity(embedding, query_vec) AS similarity FROM allc
+      WHERE query_vec IS NOT NULL AND embedding IS NOT NULL))
+  WHERE rank <= k
+), res AS (
+  SELECT query_id, rank, id, title, product_type, body_html, min_price, max_price, tags, similarity FROM sem
+  UNION ALL
+  SELECT query_id, cand_rank AS rank, id, title, product_type, body_html, min_price, max_price, tags,
+         NULL::DOUBLE AS similarity FROM allc WHERE query_vec IS NULL AND cand_rank <= k
+)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, id, title, product_type, body_html,
+       round(CASE WHEN min_price <> 0 THEN min_price END, 6) AS min_price,
+       round(CASE WHEN max_price <> 0 THEN max_price END, 6) AS max_price,
+       tags, round(similarity, 6) AS similarity
+FROM res
+"""
+
+
+def _search_out(df):
+    return round_doubles(df.drop("options"))
+
+
+@register("semantic_topk", A.with_views("products") + _label_queries_sql(True, False) + _search_sql(None))
+def q_semantic_topk(spark, sf):
+    from storelens.plans.search import search_batch
+    return _search_out(search_batch(_products(spark, sf), _label_queries(spark, sf, True, False),
+                                    candidate_cap=None))
+
+
+@register("search_filters_only", A.with_views("products") + _label_queries_sql(False, True) + _search_sql(1000))
+def q_search_filters_only(spark, sf):
+    from storelens.plans.search import search_batch
+    return _search_out(search_batch(_products(spark, sf), _label_queries(spark, sf, False, True)))
+
+
+@register("search_combined", A.with_views("products") + _label_queries_sql(True, True) + _search_sql(1000))
+def q_search_combined(spark, sf):
+    from storelens.plans.search import search_batch
+    return _search_out(search_batch(_products(spark, sf), _label_queries(spark, sf, True, True)))
+
+
+@register("search_batch", A.with_views("products")
+          + _label_queries_sql(True, True, mixed=True, k_rule="1 + (label * 7) % 25") + _search_sql(1000))
+def q_search_batch(spark, sf):
+    from storelens.plans.search import search_batch
+    q = _label_queries(spark, sf, True, True, mixed=True, k_rule="1 + (label * 7) % 25")
+    return _search_out(search_batch(_products(spark, sf), q))
