@@ -36,13 +36,20 @@ def extract_links(c, pattern: str = HREF_PATTERN, group: int = 1) -> Column:
     return F.array_distinct(F.regexp_extract_all(_col(c), F.lit(pattern), F.lit(group)))
 
 
+def money(c) -> Column:
+    """Two decimals, rounded like Python/C printf (half-even on the exact binary
+    value).  Java's %.2f rounds the shortest decimal form half-up instead
+    (1.005 -> 1.01), so format_number (DecimalFormat) is used, without grouping."""
+    return F.regexp_replace(F.format_number(_col(c).cast("double"), 2), ",", "")
+
+
 def format_price(lo, hi) -> Column:
     """'$a' when max is absent or equal, else '$a - $b' (two decimals)."""
     lo, hi = _col(lo), _col(hi)
-    single = F.format_string("$%.2f", lo)
+    single = F.concat(F.lit("$"), money(lo))
     return (F.when(lo.isNull(), F.lit(None).cast("string"))
              .when(hi.isNull() | (hi == lo), single)
-             .otherwise(F.format_string("$%.2f - $%.2f", lo, hi)))
+             .otherwise(F.concat(F.lit("$"), money(lo), F.lit(" - $"), money(hi))))
 
 
 def transcript_line(role, text) -> Column:

@@ -58,11 +58,14 @@ def require_small(df: DataFrame, max_rows: int, what: str) -> None:
         raise ValueError(f"{what} has more than {max_rows} rows; refusing to broadcast it")
 
 
-def round_doubles(df: DataFrame, digits: int = 6, **per_column: int) -> DataFrame:
-    """Round every double column (stable comparisons across engines).
+def round_doubles(df: DataFrame, digits: int = 6, keep: tuple = (), **per_column: int) -> DataFrame:
+    """Round computed double columns (stable comparisons across engines).
 
-    ``per_column`` overrides the digits for named columns (e.g. cost=10).
+    ``per_column`` overrides the digits for named columns (e.g. cost=10);
+    ``keep`` lists raw columns left untouched (already bit-identical, and
+    rounding could split a tie differently in another engine).
     """
     cols = [F.round(F.col(f.name), per_column.get(f.name, digits)).alias(f.name)
-            if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields]
+            if f.dataType.typeName() == "double" and f.name not in keep else F.col(f.name)
+            for f in df.schema.fields]
     return df.select(*cols)

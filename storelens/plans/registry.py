@@ -65,13 +65,13 @@ def _products(spark, sf, with_embeddings=True):
   FROM counts c JOIN products p ON c.product_id = p.id
 )
 SELECT tenant_id, event_type, CAST(rank AS BIGINT) AS rank, id, name, vendor,
-       round(price_min, 6) AS price_min, round(price_max, 6) AS price_max, event_count
+       price_min, price_max, event_count
 FROM ranked WHERE rank <= 10
 """)
 def q_top_products(spark, sf):
     out = D.top_products(A.product_events(_t(spark, sf, "events")), _products(spark, sf, False),
                          AS_OF, event_type=None, limit=10, days=DAYS)
-    return round_doubles(out)
+    return out
 
 
 def _window(col: str, days: int = DAYS, inclusive: bool = False) -> str:
@@ -474,13 +474,12 @@ def q_running_latency_compat(spark, sf):
 # Search F3-F9, J2-J4, O3, P1, P2, P7, A22
 # ---------------------------------------------------------------------------
 
-_PROD_COLS = "id, tenant_id, title, vendor, product_type, tags, round(min_price, 6) AS min_price, " \
-             "round(max_price, 6) AS max_price, has_discount"
+_PROD_COLS = "id, tenant_id, title, vendor, product_type, tags, min_price, max_price, has_discount"
 
 
 def _prod_out(df):
-    return round_doubles(df.select("id", "tenant_id", "title", "vendor", "product_type", "tags",
-                                   "min_price", "max_price", "has_discount"))
+    return df.select("id", "tenant_id", "title", "vendor", "product_type", "tags",
+                     "min_price", "max_price", "has_discount")
 
 
 def _filter_query(name, where_sql, **kw):
@@ -579,15 +578,15 @@ def q_distinct_types(spark, sf):
   FROM products p LEFT JOIN fi ON fi.product_id = p.id AND fi.tenant_id = p.tenant_id
 )
 SELECT tenant_id, CAST(pos AS BIGINT) AS position, id, title AS name, vendor, product_type,
-       round(coalesce(CASE WHEN min_price <> 0 THEN min_price END, 0.0), 6) AS price_min,
-       round(coalesce(CASE WHEN max_price <> 0 THEN max_price END, 0.0), 6) AS price_max,
+       coalesce(CASE WHEN min_price <> 0 THEN min_price END, 0.0) AS price_min,
+       coalesce(CASE WHEN max_price <> 0 THEN max_price END, 0.0) AS price_max,
        has_discount, image_url, handle
 FROM r WHERE pos <= 100
 """)
 def q_catalogue_listing(spark, sf):
     from storelens.plans.search import catalogue_listing
     li = _t(spark, sf, "lineitem")
-    return round_doubles(catalogue_listing(_products(spark, sf, False), A.images(li), limit=100))
+    return catalogue_listing(_products(spark, sf, False), A.images(li), limit=100)
 
 
 # Search queries are derived from the data: one per embedding label, whose
@@ -671,15 +670,15 @@ sem AS (
          NULL::DOUBLE AS similarity FROM allc WHERE query_vec IS NULL AND cand_rank <= k
 )
 SELECT query_id, CAST(rank AS BIGINT) AS rank, id, title, product_type, body_html,
-       round(CASE WHEN min_price <> 0 THEN min_price END, 6) AS min_price,
-       round(CASE WHEN max_price <> 0 THEN max_price END, 6) AS max_price,
+       CASE WHEN min_price <> 0 THEN min_price END AS min_price,
+       CASE WHEN max_price <> 0 THEN max_price END AS max_price,
        tags, round(similarity, 6) AS similarity
 FROM res
 """
 
 
 def _search_out(df):
-    return round_doubles(df.drop("options"))
+    return round_doubles(df.drop("options"), keep=("min_price", "max_price"))
 
 
 @register("semantic_topk", A.with_views("products") + _label_queries_sql(True, False) + _search_sql(None))
@@ -707,3 +706,350 @@ def q_search_batch(spark, sf):
     from storelens.plans.search import search_batch
     q = _label_queries(spark, sf, True, True, mixed=True, k_rule="1 + (label * 7) % 25")
     return _search_out(search_batch(_products(spark, sf), q))
+
+
+# ---------------------------------------------------------------------------
+# Text and catalogue X1, X3, X8, X14, X15, X20, A16, A20, A21, S9
+# ---------------------------------------------------------------------------
+
+_WS_SQL = (r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}"
+           r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
+
+
+def _clean_sql(expr: str) -> str:
+    return (f"trim(regexp_replace(regexp_replace(coalesce({expr}, ''), '<[^>]+>', ' ', 'g'), "
+            f"'{_WS_SQL}', ' ', 'g'))")
+
+
+@register("clean_html", f"SELECT page_id, {_clean_sql('html')} AS text FROM pages")
+def q_clean_html(spark, sf):
+    from storelens.functions.text import clean_html
+    return _t(spark, sf, "pages").select("page_id", clean_html("html").alias("text"))
+
+
+@register("extract_links", """
+SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS link FROM pages
+""")
+def q_extract_links(spark, sf):
+    from storelens.functions.text import extract_links
+    return _t(spark, sf, "pages").select("page_id", F.explode(extract_links("html")).alias("link"))
+
+
+_MONEY = "printf('%.2f', {})"
+
+
+@register("format_price", A.with_views("products") + f"""
+SELECT id, CASE WHEN min_price IS NULL THEN NULL
+                WHEN max_price IS NULL OR max_price = min_price THEN '$' || {_MONEY.format('min_price')}
+                ELSE '$' || {_MONEY.format('min_price')} || ' - $' || {_MONEY.format('max_price')} END AS price_label
+FROM products
+""")
+def q_format_price(spark, sf):
+    from storelens.functions.text import format_price
+    return _products(spark, sf, False).select("id", format_price("min_price", "max_price").alias("price_label"))
+
+
+@register("fact_sheet", A.with_views("products") + f"""
+SELECT id, 'Name: ' || coalesce(title, 'Not specified') || chr(10)
+        || 'Brand: ' || coalesce(vendor, 'Not specified') || chr(10)
+        || 'Price Range: ' || coalesce(CASE WHEN min_price IS NULL THEN NULL
+                WHEN max_price IS NULL OR max_price = min_price THEN '$' || {_MONEY.format('min_price')}
+                ELSE '$' || {_MONEY.format('min_price')} || ' - $' || {_MONEY.format('max_price')} END, 'Not available') || chr(10)
+        || 'On Sale: ' || CASE WHEN coalesce(has_discount, false) THEN 'Yes' ELSE 'No' END || chr(10)
+        || 'Tags: ' || CASE WHEN length(trim(coalesce(tags, ''))) = 0 THEN 'Not specified'
+                            ELSE array_to_string(regexp_split_to_array(coalesce(tags, ''), ',\\s*'), ', ') END AS sheet
+FROM products
+""")
+def q_fact_sheet(spark, sf):
+    from storelens.functions.text import fact_sheet
+    p = _products(spark, sf, False)
+    return p.select("id", fact_sheet("title", "vendor", "min_price", "max_price", "has_discount", "tags").alias("sheet"))
+
+
+@register("embedding_json", A.with_views("products") + f"""
+SELECT id, to_json(struct_pack(title := title, product_type := product_type, tags := tags, vendor := vendor,
+                               options := MAP {{'Color': [color], 'Size': [size]}},
+                               description := {_clean_sql('body_html')})) AS embedding_json
+FROM products
+""")
+def q_embedding_json(spark, sf):
+    return _products(spark, sf, False).select("id", "embedding_json")
+
+
+@register("variant_rollup", A.with_views("products") + """
+SELECT product_id, min_price, max_price, has_discount FROM vroll
+""")
+def q_variant_rollup(spark, sf):
+    from storelens.operators.catalog import variant_rollup_flat
+    v = A.variants(_t(spark, sf, "lineitem"))
+    return variant_rollup_flat(v)
+
+
+@register("variant_listing", A.with_views("products") + """
+SELECT v.id AS variant_id, p.id AS product_id, p.title, p.vendor, p.product_type, v.title AS variant_title,
+       v.price, v.compare_at_price, v.sku, v.option1, v.option2
+FROM products p JOIN variants v ON v.product_id = p.id
+""")
+def q_variant_listing(spark, sf):
+    v = A.variants(_t(spark, sf, "lineitem"))
+    p = _products(spark, sf, False).select(F.col("id").alias("product_id"), "title", "vendor", "product_type")
+    out = p.join(v.select(F.col("id").alias("variant_id"), "product_id", F.col("title").alias("variant_title"),
+                          "price", "compare_at_price", "sku", "option1", "option2"), "product_id")
+    return out
+
+
+@register("variants_per_product", A.with_views("products") + """
+SELECT count(*) AS variant_rows, count(DISTINCT v.product_id) AS products,
+       round(count(*) / count(DISTINCT v.product_id), 1) AS avg_variants_per_product
+FROM products p JOIN variants v ON v.product_id = p.id
+""")
+def q_variants_per_product(spark, sf):
+    from storelens.operators.catalog import variants_per_product
+    v = A.variants(_t(spark, sf, "lineitem")).select("product_id")
+    p = _products(spark, sf, False).select(F.col("id").alias("product_id"))
+    return variants_per_product(p.join(v, "product_id"))
+
+
+@register("ingest_summary", A.with_views("products", "images") + """
+SELECT 'products' AS table_name, count(*) AS rows FROM products
+UNION ALL SELECT 'variants', count(*) FROM variants
+UNION ALL SELECT 'images', count(*) FROM images
+""")
+def q_ingest_summary(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    parts = [("products", _products(spark, sf, False)), ("variants", A.variants(li)), ("images", A.images(li))]
+    out = None
+    for name, df in parts:
+        one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("expand_recommendations", A.with_views("messages") + """
+SELECT tenant_id, unnest(CAST(json_extract(structured_data, '$.product_ids') AS BIGINT[])) AS product_id,
+       'recommended' AS event_type, session_id, created_at
+FROM messages WHERE structured_data IS NOT NULL
+""")
+def q_expand_recommendations(spark, sf):
+    from storelens.sources.tables import expand_recommendations
+    m = _messages(spark, sf).where(F.col("structured_data").isNotNull()) \
+        .withColumn("product_ids", F.from_json("structured_data", "struct<product_ids:array<bigint>>")["product_ids"])
+    return expand_recommendations(m)
+
+
+# ---------------------------------------------------------------------------
+# Conversations P6, routing F19, session messages F18
+# ---------------------------------------------------------------------------
+
+@register("transcripts", """
+WITH t AS (SELECT conv_id AS session_id, turn, role, text AS content FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS rn,
+             least(count(*) OVER (PARTITION BY session_id), 5) AS m FROM t),
+kept AS (SELECT *, m - rn + 1 AS position FROM r WHERE rn <= 5 AND role IN ('user', 'assistant'))
+SELECT session_id,
+       string_agg(CASE role WHEN 'user' THEN 'USER: ' ELSE 'CHATBOT: ' END || coalesce(content, '') || chr(10), ''
+                  ORDER BY position) AS transcript,
+       count(*) AS lines, arg_max(role, position) = 'user' AS ends_with_user
+FROM kept GROUP BY session_id
+""")
+def q_transcripts(spark, sf):
+    from storelens.plans.reports import transcripts
+    t = A.turns(_t(spark, sf, "conversations"))
+    return transcripts(t, 5, key=["session_id"], order=["turn"], text_col="content")
+
+
+@register("message_transcripts", A.with_views("messages") + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, session_id ORDER BY created_at DESC, message_id DESC) AS rn,
+               least(count(*) OVER (PARTITION BY tenant_id, session_id), 5) AS m FROM messages),
+kept AS (SELECT *, m - rn + 1 AS position FROM r WHERE rn <= 5 AND role IN ('user', 'assistant'))
+SELECT tenant_id, session_id,
+       string_agg(CASE role WHEN 'user' THEN 'USER: ' ELSE 'CHATBOT: ' END
+                  || coalesce(CASE WHEN role = 'assistant' AND structured_data IS NOT NULL THEN structured_data ELSE content END, '')
+                  || chr(10), '' ORDER BY position) AS transcript,
+       count(*) AS lines, arg_max(role, position) = 'user' AS ends_with_user
+FROM kept GROUP BY tenant_id, session_id
+""")
+def q_message_transcripts(spark, sf):
+    from storelens.plans.reports import transcripts
+    return transcripts(_messages(spark, sf), 5)
+
+
+@register("route", A.with_views("messages") + """
+SELECT message_id, intent,
+       CASE intent WHEN 'product_recommendation' THEN 'product_recommendation_graph'
+                   WHEN 'product_inquiry' THEN 'product_inquiry_graph'
+                   WHEN 'store_brand_question' THEN 'store_brand_graph'
+                   WHEN 'unrelated' THEN 'unrelated_graph' ELSE 'error' END AS route
+FROM messages WHERE role = 'user'
+""")
+def q_route(spark, sf):
+    from storelens.operators.sessions import messages_by_role, route
+    return route(messages_by_role(_messages(spark, sf), role="user")).select("message_id", "intent", "route")
+
+
+@register("session_messages", A.with_views("messages") + """
+SELECT tenant_id, session_id, message_id, role, content, structured_data, model_used,
+       round(coalesce(cost, 0.0), 10) AS cost, created_at, latency_ms
+FROM messages WHERE role <> 'system'
+""")
+def q_session_messages(spark, sf):
+    from storelens.operators.sessions import messages_by_role, session_messages
+    return round_doubles(session_messages(messages_by_role(_messages(spark, sf))), cost=10)
+
+
+# ---------------------------------------------------------------------------
+# Tenancy, quality and maintenance J10-J12, F17, M2, M3, M6, M10
+# ---------------------------------------------------------------------------
+
+@register("tenant_info", A.with_views("tenants") + """
+SELECT tenant_id, name, coalesce(description, 'E-commerce store') AS description FROM tenants
+""")
+def q_tenant_info(spark, sf):
+    from storelens.operators.tenancy import tenant_info
+    return tenant_info(A.tenants(_t(spark, sf, "nation")), for_agent=True).select("tenant_id", "name", "description")
+
+
+@register("missing_tenants", A.with_views("messages", "products", "tenants") + """
+SELECT DISTINCT tenant_id FROM (SELECT tenant_id FROM messages UNION ALL SELECT tenant_id FROM products)
+WHERE tenant_id NOT IN (SELECT tenant_id FROM tenants)
+""")
+def q_missing_tenants(spark, sf):
+    from storelens.operators.tenancy import missing_tenants
+    used = _messages(spark, sf).select("tenant_id").unionByName(_products(spark, sf, False).select("tenant_id"))
+    return missing_tenants(used, A.tenants(_t(spark, sf, "nation")))
+
+
+@register("orphans", A.with_views("products", "images", "product_events") + """
+SELECT 'variants->products' AS relation, count(*) AS orphans FROM variants WHERE product_id NOT IN (SELECT id FROM products)
+UNION ALL SELECT 'images->products', count(*) FROM images WHERE product_id NOT IN (SELECT id FROM products)
+UNION ALL SELECT 'product_events->products', count(*) FROM product_events WHERE product_id NOT IN (SELECT id FROM products)
+UNION ALL SELECT 'embeddings->products', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT id FROM products)
+""")
+def q_orphans(spark, sf):
+    from storelens.operators.tenancy import orphan_report
+    li = _t(spark, sf, "lineitem")
+    p = _products(spark, sf, False).select("id")
+    return orphan_report([
+        ("variants->products", A.variants(li), p, "product_id", "id"),
+        ("images->products", A.images(li), p, "product_id", "id"),
+        ("product_events->products", A.product_events(_t(spark, sf, "events")), p, "product_id", "id"),
+        ("embeddings->products", _t(spark, sf, "embeddings"), p, "vec_id", "id"),
+    ])
+
+
+@register("uniqueness_report", A.with_views("sessions", "products") + """
+, k AS (
+  SELECT 'sessions' AS relation, count(*) AS n FROM sessions GROUP BY tenant_id, session_id
+  UNION ALL SELECT 'products', count(*) FROM products GROUP BY tenant_id, shopify_id
+  UNION ALL SELECT 'variants', count(*) FROM variants GROUP BY id
+  UNION ALL SELECT 'messages', count(*) FROM messages GROUP BY message_id
+)
+SELECT relation, CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_keys,
+       count(CASE WHEN n > 1 THEN 1 END) AS duplicate_keys
+FROM k GROUP BY relation
+""")
+def q_uniqueness_report(spark, sf):
+    from storelens.operators.sessions import session_rollup
+    from storelens.operators.tenancy import uniqueness_report
+    m = _messages(spark, sf)
+    return uniqueness_report([
+        ("sessions", session_rollup(m), ["tenant_id", "session_id"]),
+        ("products", _products(spark, sf, False), ["tenant_id", "shopify_id"]),
+        ("variants", A.variants(_t(spark, sf, "lineitem")), ["id"]),
+        ("messages", m, ["message_id"]),
+    ])
+
+
+@register("embedding_coverage", A.with_views("products", "tenants") + """
+, per AS (SELECT tenant_id, count(*) AS products, count(embedding) AS with_embedding FROM products GROUP BY tenant_id)
+SELECT t.tenant_id, coalesce(per.products, 0) AS products, coalesce(per.with_embedding, 0) AS with_embedding,
+       round(CASE WHEN coalesce(per.products, 0) = 0 THEN NULL ELSE per.with_embedding / per.products END, 6) AS coverage
+FROM tenants t LEFT JOIN per ON per.tenant_id = t.tenant_id
+""")
+def q_embedding_coverage(spark, sf):
+    from storelens.operators.embed import embedding_coverage
+    return round_doubles(embedding_coverage(_products(spark, sf), A.tenants(_t(spark, sf, "nation"))))
+
+
+@register("pending_embeddings", A.with_views("products") + """
+SELECT id, tenant_id FROM products WHERE embedding IS NULL
+""")
+def q_pending_embeddings(spark, sf):
+    from storelens.operators.embed import pending_embeddings
+    return pending_embeddings(_products(spark, sf)).select("id", "tenant_id")
+
+
+@register("backfill_embeddings")
+def q_backfill_embeddings(spark, sf):
+    """E1 with the default hashed bag-of-words function (no SQL twin: the
+    vectors come from a Python function).  Every product ends with a vector."""
+    from storelens.operators.embed import backfill_embeddings
+    out = backfill_embeddings(_products(spark, sf))
+    return out.select("id", "tenant_id", F.size("embedding").cast("long").alias("dims"))
+
+
+def _changes(nation):
+    n = F.col("n_nationkey")
+    first = nation.where(n % 4 == 0).select(
+        F.concat(F.lit("tenant-"), n.cast("string")).alias("tenant_id"), F.lit(1).alias("seq"),
+        F.lit(None).cast("string").alias("name"),
+        F.concat(F.lit("Updated "), F.col("n_name")).alias("description"),
+        F.create_map(F.lit("theme"), F.lit("dark")).alias("settings"))
+    second = nation.where(n % 4 <= 1).select(
+        F.concat(F.lit("tenant-"), n.cast("string")).alias("tenant_id"), F.lit(2).alias("seq"),
+        F.lower(F.col("n_name")).alias("name"), F.lit(None).cast("string").alias("description"),
+        F.create_map(F.lit("theme"), F.lit("blue"), F.lit("currency"), F.lit("USD")).alias("settings"))
+    return first.unionByName(second)
+
+
+@register("settings_merge", A.with_views("tenants") + """
+, ch AS (
+  SELECT 'tenant-' || CAST(n_nationkey AS VARCHAR) AS tenant_id, 1 AS seq, NULL::VARCHAR AS name,
+         'Updated ' || n_name AS description, 'theme' AS k, 'dark' AS v FROM nation WHERE n_nationkey % 4 = 0
+  UNION ALL SELECT 'tenant-' || CAST(n_nationkey AS VARCHAR), 2, lower(n_name), NULL, 'theme', 'blue'
+  FROM nation WHERE n_nationkey % 4 <= 1
+  UNION ALL SELECT 'tenant-' || CAST(n_nationkey AS VARCHAR), 2, lower(n_name), NULL, 'currency', 'USD'
+  FROM nation WHERE n_nationkey % 4 <= 1
+), kv AS (
+  SELECT tenant_id, 'region' AS k, region_setting AS v, 0 AS seq FROM tenants
+  UNION ALL SELECT tenant_id, 'theme', theme_setting, 0 FROM tenants
+  UNION ALL SELECT tenant_id, k, v, seq FROM ch
+), merged AS (SELECT tenant_id, k, arg_max(v, seq) AS v FROM kv GROUP BY ALL),
+names AS (
+  SELECT t.tenant_id,
+         coalesce((SELECT arg_max(name, seq) FROM ch WHERE ch.tenant_id = t.tenant_id AND name IS NOT NULL), t.name) AS name,
+         coalesce((SELECT arg_max(description, seq) FROM ch WHERE ch.tenant_id = t.tenant_id AND description IS NOT NULL),
+                  t.description) AS description
+  FROM tenants t
+)
+SELECT n.tenant_id, n.name, n.description, m.k AS setting_key, m.v AS setting_value
+FROM names n JOIN merged m ON m.tenant_id = n.tenant_id
+""")
+def q_settings_merge(spark, sf):
+    from storelens.operators.tenancy import apply_settings_changes
+    nation = _t(spark, sf, "nation")
+    out = apply_settings_changes(A.tenants(nation), _changes(nation))
+    return out.select("tenant_id", "name", "description",
+                      F.explode("settings").alias("setting_key", "setting_value"))
+
+
+@register("replace_products", A.with_views("products") + f"""
+, incoming AS (SELECT id, tenant_id, shopify_id, upper(title) AS title FROM products WHERE product_type = 'PROMO')
+SELECT id, tenant_id, shopify_id, title FROM products
+WHERE (tenant_id, shopify_id) NOT IN (SELECT (tenant_id, shopify_id) FROM incoming)
+UNION ALL SELECT id, tenant_id, shopify_id, title FROM incoming
+""")
+def q_replace_products(spark, sf):
+    from storelens.operators.catalog import replace_products
+    p = _products(spark, sf, False).select("id", "tenant_id", "shopify_id", "title", "product_type")
+    incoming = p.where(F.col("product_type") == "PROMO").withColumn("title", F.upper("title"))
+    return replace_products(p, incoming).select("id", "tenant_id", "shopify_id", "title")
+
+
+@register("delete_tenant", A.with_views("messages") + """
+SELECT tenant_id, count(*) AS messages FROM messages WHERE tenant_id <> 'tenant-0' GROUP BY tenant_id
+""")
+def q_delete_tenant(spark, sf):
+    from storelens.operators.tenancy import delete_tenant
+    kept = delete_tenant({"messages": _messages(spark, sf)}, "tenant-0")["messages"]
+    return kept.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("messages"))
