@@ -299,7 +299,10 @@ def latest_per_key(df: DataFrame, key: list, order_cols: list) -> DataFrame:
 
 def rate_window(requests: DataFrame, key: str, ts_col: str = "ts", *, window_seconds: int = RATE_WINDOW_SECONDS,
                 limit: int = RATE_LIMIT) -> DataFrame:
-    """Requests by the same key in [ts - window, ts], and whether over ``limit``.
+    """Requests by the same key in (ts - window, ts], and whether over ``limit``.
+
+    The lower bound is strict, as in the reference's limiter (a request
+    exactly ``window`` seconds old has left the window).
 
     A plain per-key RANGE frame puts a hot key's whole history in one task.
     Instead each row is bucketed by ``window_seconds`` of time and also copied
@@ -313,7 +316,7 @@ def rate_window(requests: DataFrame, key: str, ts_col: str = "ts", *, window_sec
               .withColumn("_b", b)
               .withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
               .withColumn("_bucket", F.col("_b") + F.col("_copy")))
-    w = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-size, 0)
+    w = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-size + 1, 0)
     counted = tagged.withColumn("requests_in_window", F.count(F.lit(1)).over(w))
     return (counted.where(F.col("_copy") == 0)
                    .withColumn("over_limit", F.col("requests_in_window") > F.lit(limit))

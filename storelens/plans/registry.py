@@ -363,9 +363,9 @@ def q_last_n_messages(spark, sf):
 @register("rate_window", f"""
 SELECT event_id, user_id,
        count(*) OVER (PARTITION BY user_id ORDER BY CAST(ts AS TIMESTAMP)
-                      RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS requests_in_window,
+                      RANGE BETWEEN INTERVAL 59999999 MICROSECOND PRECEDING AND CURRENT ROW) AS requests_in_window,
        count(*) OVER (PARTITION BY user_id ORDER BY CAST(ts AS TIMESTAMP)
-                      RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) > 20 AS over_limit
+                      RANGE BETWEEN INTERVAL 59999999 MICROSECOND PRECEDING AND CURRENT ROW) > 20 AS over_limit
 FROM events
 """)
 def q_rate_window(spark, sf):
@@ -1053,3 +1053,104 @@ def q_delete_tenant(spark, sf):
     from storelens.operators.tenancy import delete_tenant
     kept = delete_tenant({"messages": _messages(spark, sf)}, "tenant-0")["messages"]
     return kept.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("messages"))
+
+
+# ---------------------------------------------------------------------------
+# Streaming T1-T7: each runs the stream over the events file to completion
+# (availableNow) through the idempotent upsert sink, then reads the result.
+# ---------------------------------------------------------------------------
+
+def _event_stream(spark, sf):
+    from storelens.streaming.sources import file_stream
+    schema = _t(spark, sf, "events").schema
+    return file_stream(spark, f"{sf.rstrip('/')}/events.parquet", schema)
+
+
+def _drain(df, name, key, mode="update", whole_key_group=False):
+    from storelens.streaming.sources import new_checkpoint, read_upserted, run_to_table
+    spark = df.sparkSession
+    path = new_checkpoint(spark, f"{name}-table")
+    run_to_table(df, path, mode=mode, name=name)
+    return read_upserted(spark, path, key, whole_key_group)
+
+
+@register("stream_session_metrics", ORACLE["session_rollup"])
+def q_stream_session_metrics(spark, sf):
+    from storelens.streaming.metrics import stream_session_metrics
+    s = stream_session_metrics(A.messages(_event_stream(spark, sf)))
+    return round_doubles(_drain(s, "t1", ["tenant_id", "session_id"]), estimated_cost=10)
+
+
+@register("stream_event_counts", A.with_views("product_events") + """
+SELECT tenant_id, event_type, product_id, date_trunc('day', created_at) AS window_start,
+       date_trunc('day', created_at) + INTERVAL 1 DAY AS window_end, count(*) AS event_count
+FROM product_events GROUP BY ALL
+""")
+def q_stream_event_counts(spark, sf):
+    from storelens.streaming.metrics import stream_event_counts
+    s = stream_event_counts(A.product_events(_event_stream(spark, sf)), "1 day")
+    return _drain(s, "t2", ["tenant_id", "event_type", "product_id", "window_start"])
+
+
+@register("stream_active_sessions")
+def q_stream_active_sessions(spark, sf):
+    """T3 (approximate distinct counts: row check only)."""
+    from storelens.streaming.metrics import stream_active_sessions
+    s = stream_active_sessions(A.messages(_event_stream(spark, sf)), "1 hour", "30 seconds")
+    return _drain(s, "t3", ["tenant_id", "window_start"])
+
+
+@register("stream_sessionise", f"""
+SELECT * FROM ({ORACLE["sessionise"]}) s
+WHERE session_end <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events) - INTERVAL 1 HOUR
+""")
+def q_stream_sessionise(spark, sf):
+    """T4: append mode emits a session once the watermark (max event time - 1 h)
+    passes its end; sessions still open at the end of the input stay in state."""
+    from storelens.streaming.metrics import stream_sessionise
+    s = stream_sessionise(_event_stream(spark, sf), "user_id", "ts", 3600)
+    return _drain(s, "t4", ["user_id", "session_start"], mode="append")
+
+
+@register("stream_hourly_latency", A.with_views("messages") + """
+SELECT tenant_id, date_trunc('hour', created_at) AS hour, round(avg(latency_ms), 6) AS avg_latency_ms,
+       round(quantile_cont(latency_ms, 0.50), 6) AS p50, round(quantile_cont(latency_ms, 0.90), 6) AS p90,
+       round(quantile_cont(latency_ms, 0.99), 6) AS p99, count(*) AS message_count
+FROM messages WHERE role = 'assistant' AND latency_ms IS NOT NULL GROUP BY ALL
+""")
+def q_stream_hourly_latency(spark, sf):
+    from storelens.streaming.metrics import stream_hourly_latency
+    s = stream_hourly_latency(A.messages(_event_stream(spark, sf)))
+    return round_doubles(_drain(s, "t7", ["tenant_id", "hour"]))
+
+
+@register("stream_recent_history", A.with_views("messages") + """
+, g AS (
+  SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY tenant_id, session_id ORDER BY created_at, message_id)
+                      >= INTERVAL 3600 SECOND THEN 1 ELSE 0 END AS brk
+  FROM messages
+), seg AS (
+  SELECT *, sum(brk) OVER (PARTITION BY tenant_id, session_id ORDER BY created_at, message_id ROWS UNBOUNDED PRECEDING) AS sg
+  FROM g
+), lastseg AS (
+  SELECT * FROM seg QUALIFY sg = max(sg) OVER (PARTITION BY tenant_id, session_id)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, session_id ORDER BY created_at DESC, message_id DESC) AS rn,
+         least(count(*) OVER (PARTITION BY tenant_id, session_id), 20) AS m
+  FROM lastseg
+)
+SELECT tenant_id, session_id, CAST(m - rn + 1 AS BIGINT) AS position, message_id, role, content, created_at
+FROM r WHERE rn <= 20
+""")
+def q_stream_recent_history(spark, sf):
+    from storelens.streaming.metrics import stream_recent_history
+    s = stream_recent_history(A.messages(_event_stream(spark, sf)), 20, 3600)
+    return _drain(s, "t5", ["tenant_id", "session_id"], whole_key_group=True)
+
+
+@register("stream_rate_limit")
+def q_stream_rate_limit(spark, sf):
+    """T6 exact admission (sequential per key: row check only)."""
+    from storelens.streaming.metrics import stream_rate_limit
+    s = stream_rate_limit(_event_stream(spark, sf), "user_id", "event_id", "ts", 20, 60)
+    return _drain(s, "t6", ["request_id"], mode="append")

@@ -28,7 +28,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def get_spark(master: str | None = None, app: str = "storelens",
               shuffle_partitions: int | None = None,
-              extra: dict | None = None) -> SparkSession:
+              extra: dict | None = None, driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the library's defaults.
 
     On a cluster ``master`` stays None so spark-submit decides.  The shuffle
@@ -38,6 +38,9 @@ def get_spark(master: str | None = None, app: str = "storelens",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        # Only meaningful for local mode, where the driver JVM runs the tasks.
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in SESSION_CONF.items():
