@@ -97,11 +97,12 @@ def search_products(products: DataFrame, tenant_id: str, product_type: str | Non
 # P7 storefront listing
 # ---------------------------------------------------------------------------
 
+# Storefront sorts (built lazily: Columns need an active session).
 SORTS = {
-    "newest": None,
-    "price-low": [F.col("price_min").asc(), F.col("position").asc()],
-    "price-high": [F.col("price_max").desc(), F.col("position").asc()],
-    "name": [F.col("name").asc(), F.col("position").asc()],
+    "newest": lambda: None,
+    "price-low": lambda: [F.col("price_min").asc(), F.col("position").asc()],
+    "price-high": lambda: [F.col("price_max").desc(), F.col("position").asc()],
+    "name": lambda: [F.col("name").asc(), F.col("position").asc()],
 }
 
 
@@ -126,5 +127,5 @@ def catalogue_listing(products: DataFrame, images: DataFrame, tenant_id: str | N
         F.coalesce(F.when(F.col("max_price") != 0, F.col("max_price")), F.lit(0.0)).cast("double").alias("price_max"),
         "has_discount", "image_url", "handle")
     page = by_category(page, category)
-    order = SORTS[sort]
+    order = SORTS[sort]()
     return page if order is None else page.orderBy(*order)
