@@ -141,9 +141,8 @@ def products(part: DataFrame, lineitem: DataFrame, embeddings: DataFrame | None
     """One product per part; prices and discount flag roll up from its variants."""
     from storelens.operators.catalog import variant_rollup_flat
     v = variants(lineitem)
-    roll = variant_rollup_flat(v)
-    dates = v.groupBy("product_id").agg(F.min("created_at").alias("created_at"),
-                                       F.max("created_at").alias("updated_at"))
+    roll = variant_rollup_flat(v, extra=[F.min("created_at").alias("created_at"),
+                                         F.max("created_at").alias("updated_at")])
     p = part.select(
         F.col("p_partkey").alias("id"),
         tenant_of(F.col("p_partkey")).alias("tenant_id"),
@@ -159,7 +158,6 @@ def products(part: DataFrame, lineitem: DataFrame, embeddings: DataFrame | None
                      F.lit("Size"), F.array(F.col("p_size").cast("string"))).alias("options"),
     )
     out = (p.join(roll, p["id"] == roll["product_id"], "left").drop("product_id")
-            .join(dates, F.col("id") == dates["product_id"], "left").drop("product_id")
             .withColumn("has_discount", F.coalesce("has_discount", F.lit(False))))
     out = out.withColumn("embedding_json", embedding_json(
         "title", "product_type", "tags", "vendor",

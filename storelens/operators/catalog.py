@@ -40,10 +40,12 @@ def variant_rollup(variants: str | Column = "variants") -> Column:
 
 
 def variant_rollup_flat(variants: DataFrame, key: str = "product_id", price: str = "price",
-                        compare_at: str = "compare_at_price") -> DataFrame:
+                        compare_at: str = "compare_at_price", extra: list | None = None) -> DataFrame:
     """A16 (flat): the same rollup over a variants table, one row per product.
 
     String prices are parsed with the same rules; numeric ones are used as is.
+    ``extra`` aggregate columns ride along in the same aggregation (one
+    shuffle of the variants, with map-side partial aggregation).
     """
     def num(c: str) -> Column:
         t = dict(variants.dtypes)[c]
@@ -51,7 +53,8 @@ def variant_rollup_flat(variants: DataFrame, key: str = "product_id", price: str
     p, c = num(price), num(compare_at)
     return variants.groupBy(key).agg(
         F.min(p).alias("min_price"), F.max(p).alias("max_price"),
-        F.coalesce(F.bool_or(F.coalesce(c > p, F.lit(False))), F.lit(False)).alias("has_discount"))
+        F.coalesce(F.bool_or(F.coalesce(c > p, F.lit(False))), F.lit(False)).alias("has_discount"),
+        *(extra or []))
 
 
 # ---------------------------------------------------------------------------

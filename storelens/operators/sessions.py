@@ -100,21 +100,44 @@ def route(df: DataFrame, intent_col: str = "intent", error_col: str | None = Non
 # J6 derive_latency (as-of join as a window frame)
 # ---------------------------------------------------------------------------
 
-def derive_latency(messages: DataFrame) -> DataFrame:
+SEGMENT = "1 day"     # time slice that bounds one task's share of a hot session
+
+
+def _segment(ts: Column, segment: str) -> Column:
+    return F.date_trunc("day", ts) if segment == "1 day" else F.window(ts, segment)["start"]
+
+
+def derive_latency(messages: DataFrame, segment: str = SEGMENT) -> DataFrame:
     """Assistant latency = ms since the latest earlier user message.
 
-    An explicit latency wins; none earlier -> NULL; ms truncated.  The as-of
-    lookup is a running ``last(ignorenulls)`` frame over the session, ordered
-    by (created_at, message_id): one sort per session, no self-join.
+    An explicit latency wins; none earlier -> NULL; ms truncated.
+
+    As-of lookup as a segmented scan, so one hot session never lands in a
+    single task: rows are cut into (session, time-segment) slices; inside a
+    slice a running ``last(ignorenulls)`` frame finds the latest earlier user
+    message; a slice with none takes the last user message of the nearest
+    earlier slice, found from one summary row per slice (a small window).
     """
-    w = (Window.partitionBy(*SESSION_KEY).orderBy("created_at", "message_id")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    last_user = F.last(F.when(F.col("role") == "user", F.col("created_at")), ignorenulls=True).over(w)
+    key = SESSION_KEY + ["_seg"]
+    m = messages.withColumn("_seg", _segment(F.col("created_at"), segment))
+    user_ts = F.when(F.col("role") == "user", F.col("created_at"))
+    w_in = (Window.partitionBy(*key).orderBy("created_at", "message_id")
+            .rowsBetween(Window.unboundedPreceding, -1))
+    within = m.withColumn("_last_user", F.last(user_ts, ignorenulls=True).over(w_in))
+    # carry-in: last user message of all earlier segments of the session
+    summary = m.groupBy(*key).agg(F.max(user_ts).alias("_seg_last_user"))
+    w_prev = (Window.partitionBy(*SESSION_KEY).orderBy("_seg")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    carry = summary.withColumn("_carry", F.last("_seg_last_user", ignorenulls=True).over(w_prev)) \
+                   .select(*key, "_carry")
+    joined = within.join(carry, key, "left")
+    last_user = F.coalesce(F.col("_last_user"), F.col("_carry"))
     gap_ms = ((F.unix_micros("created_at") - F.unix_micros(last_user)) / F.lit(1000)).cast("long")
     derived = F.when((F.col("role") == "assistant") & last_user.isNotNull(), gap_ms)
-    return messages.withColumn(
+    out = joined.withColumn(
         "latency_ms",
         F.when(F.col("role") == "assistant", F.coalesce(F.col("latency_ms"), derived)).otherwise(F.col("latency_ms")))
+    return out.select(*messages.columns)
 
 
 # ---------------------------------------------------------------------------
@@ -230,19 +253,37 @@ def backfill_session_tokens(sessions: DataFrame, messages: DataFrame) -> DataFra
              .drop("_in", "_out"))
 
 
-def usage_running(messages: DataFrame) -> DataFrame:
-    """Cumulative tokens, cost and call count per session, per LLM call."""
-    calls = messages.where(_is_llm_call())
-    w = (Window.partitionBy(*SESSION_KEY).orderBy("created_at", "message_id")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    tok = total_tokens("total_tokens", "prompt_tokens", "completion_tokens")
-    return calls.select(
+def usage_running(messages: DataFrame, segment: str = SEGMENT) -> DataFrame:
+    """Cumulative tokens, cost and call count per session, per LLM call.
+
+    Segmented prefix sums: running sums inside (session, time-segment)
+    slices plus the totals of all earlier slices (a window over one summary
+    row per slice), so a hot session is spread over many tasks.
+    """
+    calls = messages.where(_is_llm_call()) \
+        .withColumn("_seg", _segment(F.col("created_at"), segment)) \
+        .withColumn("_tok", total_tokens("total_tokens", "prompt_tokens", "completion_tokens")) \
+        .withColumn("_cost", F.coalesce("cost", F.lit(0.0)))
+    key = SESSION_KEY + ["_seg"]
+    w_in = (Window.partitionBy(*key).orderBy("created_at", "message_id")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = calls.withColumn("_t", F.sum("_tok").over(w_in)) \
+                  .withColumn("_c", F.sum("_cost").over(w_in)) \
+                  .withColumn("_n", F.count(F.lit(1)).over(w_in))
+    seg = calls.groupBy(*key).agg(F.sum("_tok").alias("_st"), F.sum("_cost").alias("_sc"),
+                                  F.count(F.lit(1)).alias("_sn"))
+    w_prev = Window.partitionBy(*SESSION_KEY).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = seg.select(*key, F.coalesce(F.sum("_st").over(w_prev), F.lit(0)).alias("_ot"),
+                         F.coalesce(F.sum("_sc").over(w_prev), F.lit(0.0)).alias("_oc"),
+                         F.coalesce(F.sum("_sn").over(w_prev), F.lit(0)).alias("_on"))
+    out = within.join(offsets, key, "left")
+    return out.select(
         *SESSION_KEY, "message_id", "created_at",
-        tok.cast("long").alias("call_tokens"),
-        F.coalesce("cost", F.lit(0.0)).alias("call_cost"),
-        F.sum(tok).over(w).cast("long").alias("cum_tokens"),
-        F.sum(F.coalesce("cost", F.lit(0.0))).over(w).alias("cum_cost"),
-        F.count(F.lit(1)).over(w).alias("cum_calls"),
+        F.col("_tok").cast("long").alias("call_tokens"),
+        F.col("_cost").alias("call_cost"),
+        (F.col("_t") + F.col("_ot")).cast("long").alias("cum_tokens"),
+        (F.col("_oc") + F.col("_c")).alias("cum_cost"),
+        (F.col("_n") + F.col("_on")).cast("long").alias("cum_calls"),
     )
 
 
@@ -323,16 +364,42 @@ def rate_window(requests: DataFrame, key: str, ts_col: str = "ts", *, window_sec
                    .drop("_us", "_b", "_copy", "_bucket"))
 
 
-def sessionise(events: DataFrame, key: str, ts_col: str = "ts", gap_seconds: int = SESSION_TTL_SECONDS) -> DataFrame:
+def sessionise(events: DataFrame, key: str, ts_col: str = "ts", gap_seconds: int = SESSION_TTL_SECONDS,
+               segment: str = SEGMENT) -> DataFrame:
     """T4 (batch): activity sessions that expire ``gap_seconds`` after the last event.
 
-    Uses Spark's session_window, which merges sessions within each map task
-    before the shuffle and then once more per key.
+    A session is [first event, last event + gap); a new one starts when the
+    gap to the previous event is >= ``gap_seconds``.
+
+    Skew-safe two-level form: sessions are first built inside (key,
+    time-segment) slices with ``session_window``, so a task holds at most one
+    key's slice.  Only the first and last session of a slice can continue
+    across a slice boundary, so just those (<= 2 per key and segment) are
+    merged across slices by an interval merge; the slice-interior sessions
+    are final as they are.
     """
-    ts = F.col(ts_col).cast("timestamp")
-    return (events.withColumn("_ts", ts)
-            .groupBy(key, F.session_window("_ts", f"{gap_seconds} seconds").alias("session"))
-            .agg(F.count(F.lit(1)).alias("event_count"), F.min("_ts").alias("first_ts"),
-                 F.max("_ts").alias("last_ts"))
-            .select(key, F.col("session.start").alias("session_start"),
-                    F.col("session.end").alias("session_end"), "event_count", "first_ts", "last_ts"))
+    gap = f"{gap_seconds} seconds"
+    e = events.select(F.col(key), F.col(ts_col).cast("timestamp").alias("_ts")) \
+              .withColumn("_seg", _segment(F.col("_ts"), segment))
+    local = (e.groupBy(key, "_seg", F.session_window("_ts", gap).alias("s"))
+              .agg(F.count(F.lit(1)).alias("event_count"), F.min("_ts").alias("first_ts"),
+                   F.max("_ts").alias("last_ts"))
+              .select(key, "_seg", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
+                      "event_count", "first_ts", "last_ts"))
+    w_seg = Window.partitionBy(key, "_seg")
+    marked = (local.withColumn("_is_first", F.col("session_start") == F.min("session_start").over(w_seg))
+                   .withColumn("_is_last", F.col("session_start") == F.max("session_start").over(w_seg)))
+    cols = [key, "session_start", "session_end", "event_count", "first_ts", "last_ts"]
+    interior = marked.where(~F.col("_is_first") & ~F.col("_is_last")).select(*cols)
+    edge = marked.where(F.col("_is_first") | F.col("_is_last")).select(*cols)
+    # interval merge of edge sessions per key: a new group starts when the
+    # session begins at or after the furthest end seen so far
+    w = Window.partitionBy(key).orderBy("session_start", "session_end")
+    reach = F.max("session_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    grouped = edge.withColumn("_new", F.when(reach.isNull() | (F.col("session_start") >= reach), 1).otherwise(0)) \
+                  .withColumn("_grp", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = grouped.groupBy(key, "_grp").agg(
+        F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"),
+        F.sum("event_count").alias("event_count"), F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts")).select(*cols)
+    return interior.unionByName(merged)

@@ -141,3 +141,30 @@ def test_sessionise_gap(spark):
     out = sessionise(spark.createDataFrame(rows, "user_id long, ts timestamp"), "user_id", "ts", 3600)
     got = sorted((r.user_id, r.event_count) for r in out.collect())
     assert got == [(1, 1), (1, 3), (2, 1)]
+
+
+def test_segmented_scans_cross_segments(spark):
+    """Sessions spanning several days: carry-ins and cross-day merges are exact."""
+    from conftest import MSG_COLS as C
+    rows = [msg("t", "s", 1, "user", "2024-01-01 23:59:00"),
+            msg("t", "s", 2, "assistant", "2024-01-02 00:00:30", p=10, c=1, model="gpt-4o-mini"),
+            msg("t", "s", 3, "assistant", "2024-01-03 00:00:00", p=5, c=5, model="gpt-4o-mini")]
+    m = price_usage(spark.createDataFrame(rows, C))
+    lat = by_id(derive_latency(m), "latency_ms")
+    assert lat[2] == 90_000 and lat[3] == 24 * 3600_000 + 60_000
+    run = {r.message_id: r for r in usage_running(m).collect()}
+    assert run[3].cum_tokens == 21 and run[3].cum_calls == 2
+
+
+def test_sessionise_chains_across_midnights(spark):
+    import datetime as dt
+    base = ts("2024-01-01 22:30:00")
+    step = [0, 50, 100, 150, 200, 250, 300]          # minutes; every gap 50 min -> one session over 3 days
+    rows = [(1, base + dt.timedelta(minutes=m)) for m in step]
+    rows += [(1, base + dt.timedelta(minutes=300 + 61)), (1, base + dt.timedelta(hours=30))]
+    rows += [(2, base + dt.timedelta(hours=h)) for h in (0, 2, 4)]
+    out = sessionise(spark.createDataFrame(rows, "user_id long, ts timestamp"), "user_id", "ts", 3600)
+    got = sorted((r.user_id, r.event_count, r.first_ts) for r in out.collect())
+    assert [(u, n) for u, n, _ in got] == [(1, 1), (1, 1), (1, 7), (2, 1), (2, 1), (2, 1)]
+    one = [r for r in out.collect() if r.event_count == 7][0]
+    assert one.session_end == base + dt.timedelta(minutes=300 + 60)
