@@ -208,30 +208,64 @@ def upsert_sessions(existing: DataFrame, new_messages: DataFrame) -> DataFrame:
     return merge_session_rollups(existing, session_rollup(new_messages))
 
 
+COMPAT_OUT = ("tenant_id string, session_id string, avg_latency_ms_compat long, "
+              "max_latency_ms long, min_latency_ms long")
+
+
+def _compat_fold(batches):
+    """Fold sorted (tenant, session, created_at, message_id) rows; state carries
+    across Arrow batches, so memory is one batch whatever the session size."""
+    import pandas as pd
+
+    cur, n, avg, hi, lo = None, 0, None, None, None
+    out = []
+
+    def flush():
+        if cur is not None and avg is not None:
+            out.append((cur[0], cur[1], int(avg), int(hi), int(lo)))
+
+    for pdf in batches:
+        keys = zip(pdf["tenant_id"].tolist(), pdf["session_id"].tolist())
+        for k, role, lat in zip(keys, pdf["role"].tolist(), pdf["latency_ms"].tolist()):
+            if k != cur:
+                flush()
+                cur, n, avg, hi, lo = k, 0, None, None, None
+            if role == "assistant" and lat is not None and lat == lat:
+                x = int(lat)
+                if avg is None:
+                    avg = x
+                elif n != 0:
+                    num = avg * (n - 1) + x
+                    q = abs(num) // n           # exact integer division truncating toward zero
+                    avg = q if num >= 0 else -q
+                hi = x if hi is None else max(hi, x)
+                lo = x if lo is None else min(lo, x)
+            n += 1
+        if len(out) >= 10_000:
+            yield pd.DataFrame(out, columns=["tenant_id", "session_id", "avg_latency_ms_compat",
+                                             "max_latency_ms", "min_latency_ms"])
+            out = []
+    flush()
+    if out:
+        yield pd.DataFrame(out, columns=["tenant_id", "session_id", "avg_latency_ms_compat",
+                                         "max_latency_ms", "min_latency_ms"])
+
+
 def running_latency_compat(messages: DataFrame) -> DataFrame:
     """The reference's incremental average, reproduced exactly.
 
     avg <- x when unset, else (avg * (n - 1) + x) div n where n is the
     session's message count *before* this message (all roles), integer
-    arithmetic.  Order-dependent, so it is an ordered fold per session
-    (bounded by session length); use A17's exact average for analytics.
+    arithmetic.  The recurrence is order-dependent and not associative, so
+    it is a sequential fold: rows are hash-partitioned by session, sorted
+    within partitions, and folded by ``mapInPandas`` which streams Arrow
+    batches - a session is never collected, however large.  Use A17's exact
+    average for analytics; this exists for parity with stored values.
     """
-    w = Window.partitionBy(*SESSION_KEY).orderBy("created_at", "message_id")
-    with_n = messages.withColumn("_n", (F.row_number().over(w) - 1).cast("long"))
-    steps = with_n.where((F.col("role") == "assistant") & F.col("latency_ms").isNotNull())
-    grouped = steps.groupBy(*SESSION_KEY).agg(F.array_sort(F.collect_list(
-        F.struct("created_at", "message_id", F.col("latency_ms").alias("x"), "_n"))).alias("_steps"))
-
-    def step(acc, e):
-        n = e["_n"]
-        # integer division truncating toward zero, as the database does for INT
-        upd = ((acc * (n - 1) + e["x"]) / n).cast("long")
-        return F.when(acc.isNull(), e["x"]).when(n == 0, acc).otherwise(upd).cast("long")
-
-    return grouped.select(*SESSION_KEY,
-                          F.aggregate("_steps", F.lit(None).cast("long"), step).alias("avg_latency_ms_compat"),
-                          F.array_max(F.transform("_steps", lambda e: e["x"])).alias("max_latency_ms"),
-                          F.array_min(F.transform("_steps", lambda e: e["x"])).alias("min_latency_ms"))
+    rows = (messages.select(*SESSION_KEY, "created_at", "message_id", "role", "latency_ms")
+            .repartition(*SESSION_KEY)
+            .sortWithinPartitions(*SESSION_KEY, "created_at", "message_id"))
+    return rows.mapInPandas(_compat_fold, COMPAT_OUT)
 
 
 # ---------------------------------------------------------------------------
