@@ -145,8 +145,11 @@ def resolve_variant_images(variants: DataFrame, images: DataFrame) -> DataFrame:
     A left join on (tenant, product, shopify image id); an image of another
     product never matches.
     """
-    img = images.select(F.col("tenant_id").alias("_t"), F.col("product_id").alias("_p"),
-                        F.col("shopify_image_id").alias("_s"), F.col("id").alias("_img"))
+    # one image per (tenant, product, source id) even if the source repeats an
+    # id, so the left join never multiplies variants
+    img = (images.groupBy(F.col("tenant_id").alias("_t"), F.col("product_id").alias("_p"),
+                          F.col("shopify_image_id").alias("_s"))
+           .agg(F.min("id").alias("_img")))
     cond = ((variants["tenant_id"] == img["_t"]) & (variants["product_id"] == img["_p"])
             & (variants["shopify_image_id"] == img["_s"]))
     return (variants.join(img, cond, "left")
@@ -155,7 +158,7 @@ def resolve_variant_images(variants: DataFrame, images: DataFrame) -> DataFrame:
 
 def set_null_on_missing_image(variants: DataFrame, images: DataFrame) -> DataFrame:
     """M4: image_id of a variant whose image row is gone becomes NULL (FK SET NULL)."""
-    alive = images.select(F.col("id").alias("_img"))
+    alive = images.select(F.col("id").alias("_img")).distinct()     # never multiplies variants
     return (variants.join(alive, variants["image_id"] == alive["_img"], "left")
             .withColumn("image_id", F.col("_img")).drop("_img"))
 
