@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import sys
 import time
 
@@ -44,7 +45,12 @@ def main():
     args = sys.argv[1:]
     sf = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")] or sorted(QUERIES)
-    spark = get_spark("local[8]", shuffle_partitions=8, driver_memory="16g")
+    if os.environ.get("PLAIN"):
+        # a bare session, as an outside caller would build it
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", "16g").getOrCreate()
+    else:
+        spark = get_spark("local[8]", shuffle_partitions=8, driver_memory="16g")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")

@@ -14,10 +14,11 @@ from storelens.operators.catalog import (cascade_children, ingest_summary, norma
                                          split_rejects)
 from storelens.operators.embed import backfill_embeddings
 from storelens.operators.sessions import latest_per_key
+from storelens.session import materialize
 
 
 def ingest_catalog(raw: DataFrame, tenant_id: str, current: dict | None = None,
-                   embed_fn=None, embed: bool = False) -> dict:
+                   embed_fn=None, embed: bool = False, materialize_docs: bool = False) -> dict:
     """Normalise a batch of catalogue documents for one tenant.
 
     * the same source id twice in a batch: the newest ``updated_at`` wins (W5)
@@ -26,8 +27,13 @@ def ingest_catalog(raw: DataFrame, tenant_id: str, current: dict | None = None,
     * with ``current`` (products, images, variants), re-sent products replace
       their stored rows and their children (M2 with cascade)
     * ``embed`` backfills vectors with ``embed_fn`` (E1)
+    * ``materialize_docs`` writes the de-duplicated documents once under
+      ``spark.checkpoint.dir`` so the three tables (and a retry after a lost
+      executor) read stored Parquet instead of re-parsing the JSON
     """
     dedup = latest_per_key(raw.withColumn("_upd", F.col("updated_at")), ["id"], ["_upd"]).drop("_upd")
+    if materialize_docs:
+        dedup = materialize(dedup, "catalog-docs")
     products_all = normalise_products(dedup, tenant_id)
     good, rejects = split_rejects(products_all)
     good_ids = good.select(F.col("shopify_id").alias("id"))

@@ -73,15 +73,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint dir for one written table/stream."""
+    import uuid
     base = checkpoint_dir(spark)
-    return f"{base}/{name}-{os.getpid()}-{next(_counter)}"
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
 
+def materialize(df, name: str):
+    """Write ``df`` under the shared checkpoint dir and read it back.
 
-_counter = _count()
+    Cuts the lineage (a lost executor recomputes from the written files, not
+    from the sources) and lets several outputs share one computation.
+    Uses the cluster's ``spark.checkpoint.dir``; never a machine-local folder
+    unless the session has none (tests).
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
