@@ -42,17 +42,16 @@ def embedding_json(title="title", product_type="product_type", tags="tags", vend
 
 
 def parse_ts(c) -> Column:
-    """Lenient ISO-8601 (with or without offset, 'T' or space); bad/empty -> NULL."""
+    """Lenient ISO-8601; bad/empty -> NULL.
+
+    Spark's string->timestamp cast accepts date-only, 'T' or space, optional
+    fractions (up to micros) and Z / +hh:mm / +hhmm offsets; the compact basic
+    form (20240102T100000Z) is tried second.
+    """
     s = F.trim(_col(c))
     s = F.when(F.length(s) > 0, s)
-    return F.coalesce(
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSXXX")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ssXXX")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd")),
-    )
+    return F.coalesce(s.try_cast("timestamp"),
+                      F.try_to_timestamp(s, F.lit("yyyyMMdd'T'HHmmssX")))
 
 
 def _num(c: Column) -> Column:

@@ -49,8 +49,9 @@ def test_embedding_json_keeps_nulls_and_order(spark):
 
 def test_parse_ts(spark):
     data = [("2024-01-02T10:00:00-05:00",), ("2024-01-02T10:00:00Z",), ("",), ("garbage",), (None,),
-            ("2024-01-02 03:04:05",)]
+            ("2024-01-02 03:04:05",), ("2024-01-02T10:00:00.123456+05:30",), ("20240102T100000Z",)]
     rows = one(spark, parse_ts("s"), data, "s string")
+    assert rows[6].r == ts("2024-01-02 04:30:00.123456") and rows[7].r == ts("2024-01-02 10:00:00")
     assert rows[0].r == ts("2024-01-02 15:00:00")
     assert rows[1].r == ts("2024-01-02 10:00:00")
     assert rows[2].r is None and rows[3].r is None and rows[4].r is None
