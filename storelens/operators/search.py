@@ -79,14 +79,18 @@ def with_primary_image(products: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def first_image(images: DataFrame) -> DataFrame:
-    """Lowest-position image per (tenant, product); NULL position last, ties on id.
+    """Lowest-position image per (tenant, product); NULL position last, ties on
+    id, then on src (fully deterministic).
 
-    ``min_by`` is a mergeable aggregate: a product with many images costs one
-    partial row per task, never a collected list.
+    ``min`` over a (position, id, src) struct is a mergeable aggregate: a
+    product with many images costs one partial row per task, never a
+    collected list.  The long product key leads the grouping so the
+    sort-based aggregate rarely compares the tenant string.
     """
-    order = F.struct(F.coalesce(F.col("position"), F.lit(INT_MAX)).alias("p"), F.col("id").alias("i"))
-    return (images.groupBy("tenant_id", "product_id")
-            .agg(F.min_by("src", order).alias("image_url")))
+    best = F.min(F.struct(F.coalesce(F.col("position"), F.lit(INT_MAX)).alias("p"),
+                          F.col("id").alias("i"), F.col("src").alias("s")))
+    return (images.groupBy("product_id", "tenant_id").agg(best["s"].alias("image_url"))
+            .select("tenant_id", "product_id", "image_url"))
 
 
 def with_first_image(products: DataFrame, images: DataFrame) -> DataFrame:

@@ -533,7 +533,7 @@ def q_primary_image(spark, sf):
 SELECT p.id, p.tenant_id, fi.src AS image_url
 FROM products p LEFT JOIN LATERAL (
   SELECT src FROM images i WHERE i.product_id = p.id AND i.tenant_id = p.tenant_id
-  ORDER BY coalesce(i.position, 2147483647), i.id LIMIT 1) fi ON true
+  ORDER BY coalesce(i.position, 2147483647), i.id, i.src LIMIT 1) fi ON true
 """)
 def q_first_image(spark, sf):
     from storelens.operators.search import with_first_image
@@ -570,7 +570,7 @@ def q_distinct_types(spark, sf):
 
 @register("catalogue_listing", A.with_views("products", "images") + """
 , fi AS (
-  SELECT product_id, tenant_id, arg_min(src, (coalesce(position, 2147483647), id)) AS image_url
+  SELECT product_id, tenant_id, min({'p': coalesce(position, 2147483647), 'i': id, 's': src}).s AS image_url
   FROM images GROUP BY ALL
 ), r AS (
   SELECT p.*, fi.image_url,
@@ -1176,7 +1176,7 @@ def q_products_json(spark, sf):
 
 @register("product_cards", A.with_views("products", "images") + """
 , fi AS (
-  SELECT product_id, tenant_id, arg_min(src, (coalesce(position, 2147483647), id)) AS image_url
+  SELECT product_id, tenant_id, min({'p': coalesce(position, 2147483647), 'i': id, 's': src}).s AS image_url
   FROM images GROUP BY ALL
 )
 SELECT p.id, CAST(p.shopify_id AS VARCHAR) AS shopify_id, p.title AS name, coalesce(p.vendor, '') AS vendor,
