@@ -31,7 +31,7 @@ AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 N_TENANTS = 3
 N_EVENT_PRODUCTS = 200          # product ids referenced by product events
-SHOPIFY_ID_BASE = 7_000_000_000
+SOURCE_ID_BASE = 7_000_000_000
 
 MODEL_BY_MOD5 = ["gpt-4o-mini", "gpt-4.1-nano-2025-04-14", "GPT-4O-MINI", "mystery-model-1", None]
 INTENT_BY_MOD5 = ["product_recommendation", "product_inquiry", "store_brand_question", "unrelated", None]
@@ -146,7 +146,7 @@ def products(part: DataFrame, lineitem: DataFrame, embeddings: DataFrame | None
     p = part.select(
         F.col("p_partkey").alias("id"),
         tenant_of(F.col("p_partkey")).alias("tenant_id"),
-        (F.col("p_partkey") + F.lit(SHOPIFY_ID_BASE)).alias("shopify_id"),
+        (F.col("p_partkey") + F.lit(SOURCE_ID_BASE)).alias("source_id"),
         F.lower(F.regexp_replace("p_name", " ", "-")).alias("handle"),
         F.col("p_name").alias("title"),
         F.concat(F.lit("<p>"), F.col("p_name"), F.lit(" by "), F.col("p_brand"), F.lit("</p>")).alias("body_html"),
@@ -285,7 +285,7 @@ vroll AS (
 ),
 products AS (
   SELECT p_partkey AS id, 'tenant-' || CAST(p_partkey % {N_TENANTS} AS VARCHAR) AS tenant_id,
-         p_partkey + {SHOPIFY_ID_BASE} AS shopify_id,
+         p_partkey + {SOURCE_ID_BASE} AS source_id,
          lower(replace(p_name, ' ', '-')) AS handle,
          p_name AS title, '<p>' || p_name || ' by ' || p_brand || '</p>' AS body_html,
          p_brand AS vendor, p_type AS product_type, p_type || ', ' || p_brand AS tags,

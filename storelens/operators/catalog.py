@@ -72,7 +72,7 @@ def normalise_products(raw: DataFrame, tenant_id: str) -> DataFrame:
     return raw.select(
         surrogate_id(t, F.col("id")).alias("id"),
         t.alias("tenant_id"),
-        F.col("id").alias("shopify_id"),
+        F.col("id").alias("source_id"),
         "handle", "title", "body_html", "vendor", "product_type", "tags", "status",
         parse_ts("published_at").alias("published_at"),
         roll["min_price"].alias("min_price"), roll["max_price"].alias("max_price"),
@@ -99,7 +99,7 @@ def normalise_images(raw: DataFrame, tenant_id: str) -> DataFrame:
         surrogate_id(t, F.col("i.id")).alias("id"),
         surrogate_id(t, F.col("_pid")).alias("product_id"),
         t.alias("tenant_id"),
-        F.col("i.id").alias("shopify_image_id"),
+        F.col("i.id").alias("source_image_id"),
         F.col("i.alt").alias("alt"), F.col("i.position").alias("position"),
         F.col("i.width").alias("width"), F.col("i.height").alias("height"),
         F.col("i.src").alias("src"),
@@ -123,7 +123,7 @@ def normalise_variants(raw: DataFrame, tenant_id: str) -> DataFrame:
         surrogate_id(t, F.col("v.id")).alias("id"),
         surrogate_id(t, F.col("_pid")).alias("product_id"),
         t.alias("tenant_id"),
-        F.col("v.id").alias("shopify_variant_id"),
+        F.col("v.id").alias("source_variant_id"),
         F.col("v.title").alias("title"),
         nums["price"].alias("price"), nums["compare_at_price"].alias("compare_at_price"),
         F.col("v.position").alias("position"),
@@ -133,25 +133,25 @@ def normalise_variants(raw: DataFrame, tenant_id: str) -> DataFrame:
         nums["weight"].alias("weight"),
         F.col("v.inventory_quantity").alias("inventory_quantity"),
         F.when(own_image, surrogate_id(t, F.col("v.image_id"))).alias("image_id"),
-        F.col("v.image_id").alias("shopify_image_id"),
+        F.col("v.image_id").alias("source_image_id"),
         parse_ts(F.col("v.created_at")).alias("created_at"),
         parse_ts(F.col("v.updated_at")).alias("updated_at"),
     )
 
 
 def resolve_variant_images(variants: DataFrame, images: DataFrame) -> DataFrame:
-    """J5 (flat): variant.shopify_image_id -> image.id within the same product.
+    """J5 (flat): variant.source_image_id -> image.id within the same product.
 
-    A left join on (tenant, product, shopify image id); an image of another
+    A left join on (tenant, product, source image id); an image of another
     product never matches.
     """
     # one image per (tenant, product, source id) even if the source repeats an
     # id, so the left join never multiplies variants
     img = (images.groupBy(F.col("tenant_id").alias("_t"), F.col("product_id").alias("_p"),
-                          F.col("shopify_image_id").alias("_s"))
+                          F.col("source_image_id").alias("_s"))
            .agg(F.min("id").alias("_img")))
     cond = ((variants["tenant_id"] == img["_t"]) & (variants["product_id"] == img["_p"])
-            & (variants["shopify_image_id"] == img["_s"]))
+            & (variants["source_image_id"] == img["_s"]))
     return (variants.join(img, cond, "left")
             .withColumn("image_id", F.col("_img")).drop("_t", "_p", "_s", "_img"))
 
@@ -218,7 +218,7 @@ def replace_products(current: DataFrame, incoming: DataFrame, key: list | None =
     Replace-by-key = left_anti + unionByName.  ``incoming`` should hold one row
     per key (see ``latest_per_key``).
     """
-    key = key or ["tenant_id", "shopify_id"]
+    key = key or ["tenant_id", "source_id"]
     kept = current.join(incoming.select(*key).distinct(), key, "left_anti")
     return kept.unionByName(incoming, allowMissingColumns=True)
 

@@ -162,7 +162,7 @@ def product_cards(products_with_image: DataFrame) -> DataFrame:
     """display card; vendor '' if NULL, prices 0 if NULL/0, discount false if NULL."""
     p = products_with_image
     return p.select(
-        "id", F.col("shopify_id").cast("string").alias("shopify_id"),
+        "id", F.col("source_id").cast("string").alias("source_id"),
         F.col("title").alias("name"), F.coalesce("vendor", F.lit("")).alias("vendor"),
         F.col("image_url") if "image_url" in p.columns else F.lit(None).cast("string").alias("image_url"),
         F.coalesce(F.col("min_price").cast("double"), F.lit(0.0)).alias("price_min"),

@@ -36,7 +36,7 @@ def ingest_catalog(raw: DataFrame, tenant_id: str, current: dict | None = None,
         dedup = materialize(dedup, "catalog-docs")
     products_all = normalise_products(dedup, tenant_id)
     good, rejects = split_rejects(products_all)
-    good_ids = good.select(F.col("shopify_id").alias("id"))
+    good_ids = good.select(F.col("source_id").alias("id"))
     docs = dedup.join(good_ids, "id", "left_semi")
     images = normalise_images(docs, tenant_id)
     variants = normalise_variants(docs, tenant_id)
@@ -45,8 +45,8 @@ def ingest_catalog(raw: DataFrame, tenant_id: str, current: dict | None = None,
     out = {"products": good, "images": images, "variants": variants, "rejects": rejects,
            "summary": ingest_summary(docs)}
     if current:
-        replaced = current["products"].join(good.select("tenant_id", "shopify_id"),
-                                            ["tenant_id", "shopify_id"], "left_semi")
+        replaced = current["products"].join(good.select("tenant_id", "source_id"),
+                                            ["tenant_id", "source_id"], "left_semi")
         out["products"] = replace_products(current["products"], good)
         out["images"] = cascade_children(current["images"], replaced).unionByName(images, allowMissingColumns=True)
         out["variants"] = cascade_children(current["variants"], replaced).unionByName(variants,

@@ -940,7 +940,7 @@ def q_orphans(spark, sf):
 @register("uniqueness_report", A.with_views("sessions", "products") + """
 , k AS (
   SELECT 'sessions' AS relation, count(*) AS n FROM sessions GROUP BY tenant_id, session_id
-  UNION ALL SELECT 'products', count(*) FROM products GROUP BY tenant_id, shopify_id
+  UNION ALL SELECT 'products', count(*) FROM products GROUP BY tenant_id, source_id
   UNION ALL SELECT 'variants', count(*) FROM variants GROUP BY id
   UNION ALL SELECT 'messages', count(*) FROM messages GROUP BY message_id
 )
@@ -954,7 +954,7 @@ def q_uniqueness_report(spark, sf):
     m = _messages(spark, sf)
     return uniqueness_report([
         ("sessions", session_rollup(m), ["tenant_id", "session_id"]),
-        ("products", _products(spark, sf, False), ["tenant_id", "shopify_id"]),
+        ("products", _products(spark, sf, False), ["tenant_id", "source_id"]),
         ("variants", A.variants(_t(spark, sf, "lineitem")), ["id"]),
         ("messages", m, ["message_id"]),
     ])
@@ -1034,16 +1034,16 @@ def q_settings_merge(spark, sf):
 
 
 @register("replace_products", A.with_views("products") + f"""
-, incoming AS (SELECT id, tenant_id, shopify_id, upper(title) AS title FROM products WHERE product_type = 'PROMO')
-SELECT id, tenant_id, shopify_id, title FROM products
-WHERE (tenant_id, shopify_id) NOT IN (SELECT (tenant_id, shopify_id) FROM incoming)
-UNION ALL SELECT id, tenant_id, shopify_id, title FROM incoming
+, incoming AS (SELECT id, tenant_id, source_id, upper(title) AS title FROM products WHERE product_type = 'PROMO')
+SELECT id, tenant_id, source_id, title FROM products
+WHERE (tenant_id, source_id) NOT IN (SELECT (tenant_id, source_id) FROM incoming)
+UNION ALL SELECT id, tenant_id, source_id, title FROM incoming
 """)
 def q_replace_products(spark, sf):
     from storelens.operators.catalog import replace_products
-    p = _products(spark, sf, False).select("id", "tenant_id", "shopify_id", "title", "product_type")
+    p = _products(spark, sf, False).select("id", "tenant_id", "source_id", "title", "product_type")
     incoming = p.where(F.col("product_type") == "PROMO").withColumn("title", F.upper("title"))
-    return replace_products(p, incoming).select("id", "tenant_id", "shopify_id", "title")
+    return replace_products(p, incoming).select("id", "tenant_id", "source_id", "title")
 
 
 @register("delete_tenant", A.with_views("messages") + """
@@ -1179,7 +1179,7 @@ def q_products_json(spark, sf):
   SELECT product_id, tenant_id, min({'p': coalesce(position, 2147483647), 'i': id, 's': src}).s AS image_url
   FROM images GROUP BY ALL
 )
-SELECT p.id, CAST(p.shopify_id AS VARCHAR) AS shopify_id, p.title AS name, coalesce(p.vendor, '') AS vendor,
+SELECT p.id, CAST(p.source_id AS VARCHAR) AS source_id, p.title AS name, coalesce(p.vendor, '') AS vendor,
        fi.image_url, coalesce(p.min_price, 0.0) AS price_min, coalesce(p.max_price, 0.0) AS price_max,
        coalesce(p.has_discount, false) AS has_discount
 FROM products p LEFT JOIN fi ON fi.product_id = p.id AND fi.tenant_id = p.tenant_id

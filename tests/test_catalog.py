@@ -51,8 +51,8 @@ def test_variant_rollup_flat_matches_nested(raw):
 
 def test_ingest_catalog_end_to_end(spark, raw):
     out = ingest_catalog(raw, T)
-    products = {r.shopify_id: r for r in out["products"].collect()}
-    rejects = [r.shopify_id for r in out["rejects"].collect()]
+    products = {r.source_id: r for r in out["products"].collect()}
+    rejects = [r.source_id for r in out["rejects"].collect()]
     assert rejects == [103]
     assert sorted(products) == [101, 102, 104]
     # same id twice: the newer document wins
@@ -64,15 +64,15 @@ def test_ingest_catalog_end_to_end(spark, raw):
     ej = products[101].embedding_json
     assert '"description":"Warm&nbsp;jacket var x = 1; Green edition"' in ej
     # surrogate ids are deterministic
-    again = {r.shopify_id: r.id for r in ingest_catalog(raw, T)["products"].collect()}
+    again = {r.source_id: r.id for r in ingest_catalog(raw, T)["products"].collect()}
     assert again[101] == products[101].id
 
-    variants = {r.shopify_variant_id: r for r in out["variants"].collect()}
+    variants = {r.source_variant_id: r for r in out["variants"].collect()}
     assert variants[5001].image_id is not None          # own image resolves
     assert variants[5002].image_id is None              # unknown image id does not
     assert variants[5004].price is None and variants[5004].weight is None
     assert variants[5002].price == 0.0
-    images = {r.shopify_image_id: r for r in out["images"].collect()}
+    images = {r.source_image_id: r for r in out["images"].collect()}
     assert images[9001].variant_ids == [5001] and images[9002].variant_ids == []
     s = out["summary"].first()
     assert (s.products, s.variants, s.images) == (3, 6, 5)
@@ -85,17 +85,17 @@ def test_replace_products_with_cascade(spark, raw):
                 .withColumn("updated_at", F.lit("2024-02-01T00:00:00Z")) \
                 .withColumn("variants", F.slice("variants", 1, 1))
     second = ingest_catalog(update, T, current=current)
-    titles = {r.shopify_id: r.title for r in second["products"].collect()}
+    titles = {r.source_id: r.title for r in second["products"].collect()}
     assert titles == {101: "Trail Jacket II", 102: "Plain Mug", 104: "Hat v2"}
-    v = [r.shopify_variant_id for r in second["variants"].collect()]
+    v = [r.source_variant_id for r in second["variants"].collect()]
     assert sorted(v) == [5001, 5101]
 
 
 def test_resolve_variant_images_flat(spark):
     variants = spark.createDataFrame([(1, 10, "t", 900), (2, 10, "t", 901), (3, 11, "t", 900)],
-                                     "id long, product_id long, tenant_id string, shopify_image_id long")
+                                     "id long, product_id long, tenant_id string, source_image_id long")
     images = spark.createDataFrame([(77, 10, "t", 900), (78, 12, "t", 901)],
-                                   "id long, product_id long, tenant_id string, shopify_image_id long")
+                                   "id long, product_id long, tenant_id string, source_image_id long")
     got = {r.id: r.image_id for r in resolve_variant_images(variants, images).collect()}
     assert got == {1: 77, 2: None, 3: None}
 
@@ -110,9 +110,9 @@ def test_flatten_and_counts(raw):
 
 
 def test_replace_products_keyed(spark):
-    cur = spark.createDataFrame([("t", 1, "a"), ("t", 2, "b")], "tenant_id string, shopify_id long, title string")
-    new = spark.createDataFrame([("t", 2, "B"), ("t", 3, "C")], "tenant_id string, shopify_id long, title string")
-    got = sorted((r.shopify_id, r.title) for r in replace_products(cur, new).collect())
+    cur = spark.createDataFrame([("t", 1, "a"), ("t", 2, "b")], "tenant_id string, source_id long, title string")
+    new = spark.createDataFrame([("t", 2, "B"), ("t", 3, "C")], "tenant_id string, source_id long, title string")
+    got = sorted((r.source_id, r.title) for r in replace_products(cur, new).collect())
     assert got == [(1, "a"), (2, "B"), (3, "C")]
 
 

@@ -10,7 +10,7 @@ from storelens.operators.search import (filter_products, first_image, ids_from_a
 from storelens.plans.search import catalogue_listing, search_batch, search_products
 
 T = "t1"
-SCHEMA = ("id long, tenant_id string, shopify_id long, title string, vendor string, product_type string, "
+SCHEMA = ("id long, tenant_id string, source_id long, title string, vendor string, product_type string, "
           "tags string, min_price double, max_price double, has_discount boolean, options map<string,array<string>>, "
           "body_html string, updated_at timestamp, embedding array<float>, handle string")
 
@@ -117,7 +117,7 @@ def test_images_primary_and_first(spark, products):
     assert fi[1] == "a.jpg" and fi[2] == "c.jpg" and fi[3] == "e.jpg" and fi[4] is None
     cards = {r.id: r for r in product_cards(with_first_image(products, images)).collect()}
     assert cards[4].vendor == "" and cards[4].price_min == 0.0 and cards[4].has_discount is False
-    assert cards[1].shopify_id == "11"
+    assert cards[1].source_id == "11"
     assert first_image(images).count() == 4
 
 
