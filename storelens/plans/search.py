@@ -24,7 +24,7 @@ def _query_predicate(q) -> Column:
 
 
 def search_batch(products: DataFrame, queries: DataFrame, candidate_cap: int = CANDIDATE_CAP,
-                 fallback_unfiltered: bool = True) -> DataFrame:
+                 fallback_unfiltered: bool = True, known_size: int | None = None) -> DataFrame:
     """The reference's search for many queries in one plan.
 
     Per query: F3 filter -> newest ``candidate_cap`` (updated_at DESC, NULLs
@@ -33,12 +33,15 @@ def search_batch(products: DataFrame, queries: DataFrame, candidate_cap: int = C
     query whose filter matches nothing but has a vector searches the whole
     tenant (the reference's empty-id-list fallback).
 
-    ``queries`` (QUERY_COLUMNS) is bounded by ``MAX_BATCH_QUERIES`` (checked)
-    and broadcast; products are never shuffled for the match, only the
+    ``queries`` (QUERY_COLUMNS) is bounded by ``MAX_BATCH_QUERIES`` (checked
+    with one small job unless the caller passes ``known_size``) and broadcast; products are never shuffled for the match, only the
     capped candidate rows.  Both ranking steps are ``row_number() <= n``, so
     Spark keeps a partial top-n per map task before each shuffle.
     """
-    require_small(queries, MAX_BATCH_QUERIES, "query batch")
+    if known_size is None:
+        require_small(queries, MAX_BATCH_QUERIES, "query batch")
+    elif known_size > MAX_BATCH_QUERIES:
+        raise ValueError(f"query batch has more than {MAX_BATCH_QUERIES} rows")
     q = F.broadcast(queries.select(*[F.col(c).alias(f"q_{c}") for c in QUERY_COLUMNS]))
     p = products.select("id", "tenant_id", "title", "product_type", "body_html", "min_price", "max_price",
                         "options", "tags", "has_discount", "updated_at", "embedding")
@@ -90,7 +93,7 @@ def search_products(products: DataFrame, tenant_id: str, product_type: str | Non
           None if max_price is None else float(max_price), has_discount, vec, k)],
         "query_id long, tenant_id string, product_type string, min_price double, max_price double, "
         "has_discount boolean, query_vec array<double>, k int")
-    return search_batch(for_tenant(products, tenant_id), q, candidate_cap, fallback_unfiltered)
+    return search_batch(for_tenant(products, tenant_id), q, candidate_cap, fallback_unfiltered, known_size=1)
 
 
 # ---------------------------------------------------------------------------
