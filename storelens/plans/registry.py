@@ -1212,3 +1212,33 @@ def q_variant_images(spark, sf):
     from storelens.operators.catalog import set_null_on_missing_image
     li = _t(spark, sf, "lineitem")
     return set_null_on_missing_image(A.variants(li), A.images(li)).select("id", "product_id", "image_id")
+
+
+# Twins added after the fact for queries defined above.
+
+# Exact admission as a recursive walk over each user's requests in
+# (ts, id) order, carrying the admitted timestamps of the trailing window.
+ORACLE["stream_rate_limit"] = """
+WITH RECURSIVE ev AS (
+  SELECT user_id, event_id, CAST(ts AS TIMESTAMP) AS ts, epoch_us(CAST(ts AS TIMESTAMP)) AS us,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events
+), r AS (
+  SELECT user_id, rn, event_id, ts, [us]::BIGINT[] AS adm, true AS admitted FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.event_id, e.ts,
+         CASE WHEN len(list_filter(r.adm, lambda a: a > e.us - 60000000)) >= 20
+              THEN list_filter(r.adm, lambda a: a > e.us - 60000000)
+              ELSE list_append(list_filter(r.adm, lambda a: a > e.us - 60000000), e.us) END,
+         len(list_filter(r.adm, lambda a: a > e.us - 60000000)) < 20
+  FROM r JOIN ev e ON e.user_id = r.user_id AND e.rn = r.rn + 1
+)
+SELECT CAST(user_id AS VARCHAR) AS key, event_id AS request_id, ts, admitted,
+       CAST(len(adm) AS BIGINT) AS in_window
+FROM r
+"""
+
+# Every product ends with a 64-dimensional vector (stored or backfilled).
+ORACLE["backfill_embeddings"] = A.with_views("products") + """
+SELECT id, tenant_id, CAST(64 AS BIGINT) AS dims FROM products
+"""
