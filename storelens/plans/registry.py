@@ -1092,12 +1092,22 @@ def q_stream_event_counts(spark, sf):
     return _drain(s, "t2", ["tenant_id", "event_type", "product_id", "window_start"])
 
 
-@register("stream_active_sessions")
+@register("stream_active_sessions", A.with_views("messages") + """
+, w AS (
+  SELECT tenant_id, session_id, (epoch_us(created_at) // 30000000 - i) * 30000000 AS ws
+  FROM messages, range(0, 120) r(i)
+)
+SELECT tenant_id, make_timestamp(ws) AS window_start, make_timestamp(ws + 3600000000) AS window_end,
+       count(DISTINCT session_id) AS active_sessions
+FROM w GROUP BY ALL
+HAVING make_timestamp(ws + 3600000000) <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events) - INTERVAL 1 HOUR
+""")
 def q_stream_active_sessions(spark, sf):
-    """T3 (approximate distinct counts: row check only)."""
+    """T3 exact: sessions active per 1 h window sliding every 30 s, windows
+    emitted once closed by the watermark."""
     from storelens.streaming.metrics import stream_active_sessions
-    s = stream_active_sessions(A.messages(_event_stream(spark, sf)), "1 hour", "30 seconds")
-    return _drain(s, "t3", ["tenant_id", "window_start"])
+    s = stream_active_sessions(A.messages(_event_stream(spark, sf)), "1 hour", "30 seconds", exact=True)
+    return _drain(s, "t3", ["tenant_id", "window_start"], mode="append")
 
 
 @register("stream_sessionise", f"""
