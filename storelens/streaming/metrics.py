@@ -130,7 +130,8 @@ HISTORY_STATE = "ids array<long>, roles array<string>, contents array<string>, t
 def stream_recent_history(messages: DataFrame, n: int = HISTORY_CAP, ttl_seconds: int = SESSION_TTL_SECONDS,
                           watermark: str | None = WATERMARK) -> DataFrame:
     """T5: the last ``n`` messages per session, expiring ``ttl_seconds`` after
-    the last message (event time).  State per key is at most ``n`` messages.
+    the last message (event time).  State per key is at most ``n`` messages,
+    and a micro-batch is folded in chunk by chunk (memory n + one chunk).
 
     Emits a key's whole history (positions 1..m, oldest first) whenever it
     changes; the upsert sink keeps the newest history per key.
@@ -150,16 +151,20 @@ def stream_recent_history(messages: DataFrame, n: int = HISTORY_CAP, ttl_seconds
         else:
             hist = pd.DataFrame({"message_id": pd.Series([], dtype="int64"), "role": [], "content": [],
                                  "created_at": pd.to_datetime(pd.Series([], dtype="datetime64[ns]"))})
-        parts = [hist] + [p[["message_id", "role", "content", "created_at"]] for p in pdfs]
-        allm = pd.concat(parts, ignore_index=True)
-        allm["created_at"] = pd.to_datetime(allm["created_at"])
-        allm = allm.sort_values(["created_at", "message_id"], kind="mergesort")
+        # The answer depends only on the newest n messages (an expiry gap older
+        # than them cannot change them), so each chunk is folded into a sorted
+        # tail of n rows: memory is n + one Arrow chunk, whatever the key's volume.
+        allm = hist
+        for p in pdfs:
+            chunk = p[["message_id", "role", "content", "created_at"]].copy()
+            chunk["created_at"] = pd.to_datetime(chunk["created_at"])
+            allm = pd.concat([allm, chunk], ignore_index=True) \
+                     .sort_values(["created_at", "message_id"], kind="mergesort").tail(n)
         # Event-time TTL: a gap of ttl or more since the previous message
         # means the old history expired before this message arrived.
         gaps = allm["created_at"].diff() >= pd.Timedelta(seconds=ttl_seconds)
         if gaps.any():
             allm = allm.iloc[int(gaps.to_numpy().nonzero()[0][-1]):]
-        allm = allm.tail(n)
         times = [t.to_pydatetime() for t in allm["created_at"]]
         state.update((allm["message_id"].astype("int64").tolist(), allm["role"].tolist(),
                       allm["content"].tolist(), times))
