@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from storelens.functions.misc import total_tokens, usage_cost
-from storelens.operators.common import as_ts, require_small, top_k_per_group, trailing
+from storelens.operators.common import as_ts, require_small, top_k_per_group
 from storelens.schemas import (DEFAULT_MODEL_PRICES, HISTORY_DEFAULT, INTENT_ROUTES, MODEL_PRICES,
                                RATE_LIMIT, RATE_WINDOW_SECONDS, SESSION_TTL_SECONDS)
 

@@ -152,3 +152,12 @@ def test_batch_search_plan_is_partial_topk_and_broadcast(spark, products):
     plan = search_batch(products, q)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_vector_stage_sees_only_newest_capped_candidates(products):
+    # filters always run: with a cap of 2 only the two newest products
+    # (4 has NULL updated_at -> first, then 3) reach the vector stage
+    r = search_products(products, T, query_vec=[1.0, 0.0], k=5, candidate_cap=2).collect()
+    assert sorted(x.id for x in r) == [4]                # 3 has no embedding
+    r = search_products(products, T, query_vec=[1.0, 0.0], k=5, candidate_cap=3).collect()
+    assert sorted(x.id for x in r) == [1, 4]
