@@ -50,3 +50,16 @@ def test_ingest_materialized_docs(spark):
     assert out["products"].count() == 3 and out["variants"].count() == 6
     plan = out["variants"]._jdf.queryExecution().executedPlan().toString()
     assert "JsonFileFormat" not in plan and "Text" not in plan.split("FileScan")[1][:30]
+
+
+def test_cli_ingest_and_export(spark, tmp_path):
+    from storelens import cli
+    out = str(tmp_path / "catalog")
+    cli.main(["ingest", "--input", os.path.join(FIXTURES, "catalog_array.json"), "--tenant", "t", "--out", out])
+    assert spark.read.parquet(f"{out}/products").count() == 3
+    tables = str(tmp_path / "tables")
+    from storelens.plans.serving import build_tables
+    build_tables(spark, SMOKE, tables)
+    cli.main(["export-daily", "--tables", tables, "--as-of", "2024-01-31 00:00:00", "--out",
+              str(tmp_path / "csv"), "--tenant", "tenant-2", "--days", "31"])
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 31
