@@ -69,3 +69,15 @@ def round_doubles(df: DataFrame, digits: int = 6, keep: tuple = (), **per_column
             if f.dataType.typeName() == "double" and f.name not in keep else F.col(f.name)
             for f in df.schema.fields]
     return df.select(*cols)
+
+
+def ensure_tenant_row(agg: DataFrame, tenant_id: str | None, zeros: dict) -> DataFrame:
+    """A scoped scalar aggregate always answers one row, like SQL's COUNT(*)
+    without GROUP BY: a tenant with no rows gets ``zeros`` (others NULL)."""
+    if tenant_id is None:
+        return agg
+    one = agg.sparkSession.createDataFrame([(tenant_id,)], "tenant_id string")
+    out = one.join(agg, "tenant_id", "left")
+    for c, v in zeros.items():
+        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
+    return out.select(*agg.columns)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from storelens.operators.common import as_ts, for_tenant, top_k_per_group, trailing
+from storelens.operators.common import as_ts, ensure_tenant_row, for_tenant, top_k_per_group, trailing
 from storelens.schemas import DASHBOARD_DAYS, TOP_LIMIT, check_range
 
 
@@ -69,6 +69,8 @@ def overview(sessions: DataFrame, messages: DataFrame, as_of, tenant_id: str | N
         F.count_distinct(F.when((F.col("created_at") > hour_ago) & (F.col("created_at") <= as_ts(as_of)),
                                 F.col("session_id"))).alias("active_sessions"))
     out = s_agg.join(m_agg, "tenant_id", "full")
+    if tenant_id is not None:
+        out = ensure_tenant_row(out, tenant_id, {})
     return out.select("tenant_id",
                       F.coalesce("total_sessions", F.lit(0)).alias("total_sessions"),
                       F.coalesce("days_active", F.lit(0)).alias("days_active"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from storelens.operators.common import for_tenant, top_k_per_group, trailing
+from storelens.operators.common import ensure_tenant_row, for_tenant, top_k_per_group, trailing
 from storelens.schemas import DASHBOARD_DAYS, PERCENTILES, check_range
 
 
@@ -63,5 +63,8 @@ def worst_sessions(lat: DataFrame, limit: int = 10) -> DataFrame:
 def latency_report(messages: DataFrame, as_of, days: int = 7, tenant_id: str | None = None) -> dict:
     """P5: the four latency aggregates over one filtered input."""
     lat = assistant_latencies(messages, as_of, days, tenant_id)
-    return {"summary": latency_summary(lat), "percentiles": latency_percentiles(lat),
+    summary = ensure_tenant_row(latency_summary(lat), tenant_id, {"avg_latency_ms": 0.0, "message_count": 0})
+    pct = latency_percentiles(lat)
+    pct = ensure_tenant_row(pct, tenant_id, {c: 0.0 for c in pct.columns if c != "tenant_id"})
+    return {"summary": summary, "percentiles": pct,
             "by_hour": latency_by_hour(lat), "worst_sessions": worst_sessions(lat)}

@@ -49,7 +49,7 @@ class TenantStore:
 
     # dashboard routes -----------------------------------------------------
     def overview(self, tenant_id, as_of):
-        return D.overview(self.table("sessions", tenant_id), self.table("messages", tenant_id), as_of)
+        return D.overview(self.table("sessions", tenant_id), self.table("messages", tenant_id), as_of, tenant_id)
 
     def sessions_over_time(self, tenant_id, as_of, days=7):
         return D.sessions_over_time(self.table("sessions", tenant_id), as_of, days)
@@ -71,7 +71,7 @@ class TenantStore:
                               as_of, event_type, limit, days)
 
     def latency(self, tenant_id, as_of, days=7):
-        return L.latency_report(self.table("messages", tenant_id), as_of, days)
+        return L.latency_report(self.table("messages", tenant_id), as_of, days, tenant_id)
 
     def recent_sessions(self, tenant_id, limit=10):
         return recent_sessions(self.table("sessions", tenant_id), limit)

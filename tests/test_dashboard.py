@@ -111,3 +111,12 @@ def test_transcripts_system_consumes_limit(spark):
     out = {r.session_id: r for r in transcripts(t, 3, key=["session_id"], order=["turn"]).collect()}
     assert out[1].transcript == "CHATBOT: hello\nUSER: q\n" and out[1].ends_with_user is True
     assert out[2].ends_with_user is False and out[2].lines == 2
+
+
+def test_scoped_scalars_answer_for_empty_tenant(sessions, messages):
+    r = D.overview(sessions, messages, AS_OF, tenant_id="nobody").collect()
+    assert len(r) == 1 and r[0].total_sessions == 0 and r[0].cost_today == 0.0
+    rep = L.latency_report(messages, AS_OF, 7, tenant_id="nobody")
+    s = rep["summary"].first()
+    assert s.avg_latency_ms == 0.0 and s.message_count == 0 and s.min_latency_ms is None
+    assert rep["percentiles"].first().p99 == 0.0
