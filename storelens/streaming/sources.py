@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from storelens.session import checkpoint_dir, configure
 
@@ -56,8 +56,14 @@ def read_upserted(spark: SparkSession, path: str, key: list, whole_key_group: bo
     if whole_key_group:
         newest = df.groupBy(*key).agg(F.max("_batch").alias("_batch"))
         return df.join(newest, key + ["_batch"], "left_semi").drop("_batch")
-    w = Window.partitionBy(*key).orderBy(F.col("_batch").desc())
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_batch")
+    # max_by is mergeable: old versions of a key are dropped map-side
+    payload = F.struct(*[F.col(c) for c in df.columns if c not in key and c != "_batch"])
+    return df.groupBy(*key).agg(F.max_by(payload, F.col("_batch")).alias("_row")).select(*key, "_row.*")
+
+
+def compact_upserted(spark: SparkSession, path: str, key: list, out: str, whole_key_group: bool = False) -> None:
+    """Write the resolved snapshot of an upsert folder (bounds later reads)."""
+    read_upserted(spark, path, key, whole_key_group).write.mode("overwrite").parquet(out)
 
 
 def run_to_table(df: DataFrame, path: str, mode: str = "update", name: str = "stream",
