@@ -767,9 +767,9 @@ def q_fact_sheet(spark, sf):
 
 
 @register("embedding_json", A.with_views("products") + f"""
-SELECT id, to_json(struct_pack(title := title, product_type := product_type, tags := tags, vendor := vendor,
-                               options := MAP {{'Color': [color], 'Size': [size]}},
-                               description := {_clean_sql('body_html')})) AS embedding_json
+SELECT id, CAST(to_json(struct_pack(title := title, product_type := product_type, tags := tags, vendor := vendor,
+                                    options := MAP {{'Color': [color], 'Size': [size]}},
+                                    description := {_clean_sql('body_html')})) AS VARCHAR) AS embedding_json
 FROM products
 """)
 def q_embedding_json(spark, sf):
@@ -1174,7 +1174,7 @@ def q_stream_rate_limit(spark, sf):
     "\nSELECT query_id, CAST(rank AS BIGINT) AS rank, id, title, product_type, body_html,",
     "\n, ranked AS (SELECT query_id, CAST(rank AS BIGINT) AS rank, id, title, product_type, body_html,", 1)
     .rstrip() + """)
-SELECT query_id, to_json(list(struct_pack(rank := rank, id := id, title := title) ORDER BY rank)) AS json
+SELECT query_id, CAST(to_json(list(struct_pack(rank := rank, id := id, title := title) ORDER BY rank)) AS VARCHAR) AS json
 FROM ranked GROUP BY query_id
 """)
 def q_products_json(spark, sf):
