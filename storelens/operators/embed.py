@@ -38,6 +38,16 @@ def embedding_coverage(products: DataFrame, tenants: DataFrame | None = None) ->
     return per.withColumn("coverage", F.try_divide(F.col("with_embedding").cast("double"), F.col("products")))
 
 
+def embedding_dimension_report(products: DataFrame, expected: int = EMBED_DIM) -> DataFrame:
+    """Data quality for the vector column: per tenant, vectors present and
+    vectors whose length is not ``expected`` (the reference's column type
+    fixes the dimension; here it is a check)."""
+    size = F.size("embedding")
+    return products.groupBy("tenant_id").agg(
+        F.count("embedding").alias("with_embedding"),
+        F.count(F.when(F.col("embedding").isNotNull() & (size != expected), F.lit(1))).alias("wrong_dimension"))
+
+
 def hashed_bow(texts: list, dim: int = EMBED_DIM) -> list:
     """Default embedding function: L2-normalised hashed bag of words (no network).
 
@@ -57,13 +67,14 @@ def hashed_bow(texts: list, dim: int = EMBED_DIM) -> list:
 
 def backfill_embeddings(products: DataFrame, embed_fn: Callable[[list], list] | None = None,
                         batch_size: int = EMBED_BATCH, regenerate: bool = False,
-                        text_col: str = "embedding_json") -> DataFrame:
+                        text_col: str = "embedding_json", dim: int | None = EMBED_DIM) -> DataFrame:
     """Fill missing vectors by calling ``embed_fn`` on batches of texts.
 
     ``embed_fn(list[str]) -> list[vector]``.  Runs in ``mapInPandas`` on the
     executors, ``batch_size`` texts per call; a batch that raises yields
     NULLs and those rows stay pending for the next run.  Vectors are joined
     back by id (the pending rows only, so the join input is the work set).
+    A vector whose length is not ``dim`` is rejected (the row stays pending).
     """
     fn = embed_fn or hashed_bow
     base = clear_embeddings(products) if regenerate else products
@@ -77,7 +88,8 @@ def backfill_embeddings(products: DataFrame, embed_fn: Callable[[list], list] |
                     vecs = fn(chunk["_text"].tolist())
                     if len(vecs) != len(chunk):
                         raise ValueError("embedding count mismatch")
-                    vecs = [None if v is None else [float(x) for x in v] for v in vecs]
+                    vecs = [None if v is None or (dim is not None and len(v) != dim)
+                            else [float(x) for x in v] for v in vecs]
                 except Exception:  # noqa: BLE001 - a failed batch stays pending
                     vecs = [None] * len(chunk)
                 yield pd.DataFrame({"id": chunk["id"].to_numpy(), "_vec": vecs})

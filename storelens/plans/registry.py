@@ -1252,3 +1252,13 @@ FROM r
 ORACLE["backfill_embeddings"] = A.with_views("products") + """
 SELECT id, tenant_id, CAST(64 AS BIGINT) AS dims FROM products
 """
+
+
+@register("embedding_dimensions", A.with_views("products") + """
+SELECT tenant_id, count(embedding) AS with_embedding,
+       count(CASE WHEN embedding IS NOT NULL AND len(embedding) <> 64 THEN 1 END) AS wrong_dimension
+FROM products GROUP BY tenant_id
+""")
+def q_embedding_dimensions(spark, sf):
+    from storelens.operators.embed import embedding_dimension_report
+    return embedding_dimension_report(_products(spark, sf), 64)

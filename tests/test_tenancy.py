@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from storelens.operators.embed import (backfill_embeddings, clear_embeddings, embed_query, embedding_coverage,
+                                       embedding_dimension_report,
                                        hashed_bow, pending_embeddings)
 from storelens.operators.tenancy import (apply_settings_changes, check_tenant_writes, delete_tenant,
                                          duplicate_keys, evolve_schema, missing_tenants, orphans, require_tenant,
@@ -93,3 +94,12 @@ def test_embedding_lifecycle(spark):
     cov = {r.tenant_id: (r.products, r.with_embedding) for r in embedding_coverage(prods).collect()}
     assert cov == {"a": (2, 1), "b": (1, 0)}
     assert embed_query("green hat") == hashed_bow(["green hat"])[0]
+
+
+def test_dimension_report_and_rejection(spark):
+    prods = spark.createDataFrame([(1, "a", "x", [0.1] * 64), (2, "a", "y", [0.1, 0.2]), (3, "a", "z", None)],
+                                  "id long, tenant_id string, embedding_json string, embedding array<float>")
+    r = embedding_dimension_report(prods, 64).first()
+    assert r.with_embedding == 2 and r.wrong_dimension == 1
+    short = backfill_embeddings(prods, lambda texts: [[1.0, 2.0] for _ in texts])
+    assert short.where("id = 3").first().embedding is None          # wrong size -> stays pending
