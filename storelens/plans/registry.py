@@ -989,31 +989,39 @@ def q_backfill_embeddings(spark, sf):
 
 
 def _changes(nation):
-    n = F.col("n_nationkey")
-    first = nation.where(n % 4 == 0).select(
-        F.concat(F.lit("tenant-"), n.cast("string")).alias("tenant_id"), F.lit(1).alias("seq"),
+    """Two partial-update rows per tenant (all nations); which fields a row
+    sets depends on the nation's region, NULL fields leave values as they are."""
+    r = F.col("n_regionkey")
+    t = F.concat(F.lit("tenant-"), F.col("n_nationkey").cast("string"))
+    first = nation.select(
+        t.alias("tenant_id"), F.lit(1).alias("seq"),
         F.lit(None).cast("string").alias("name"),
-        F.concat(F.lit("Updated "), F.col("n_name")).alias("description"),
-        F.create_map(F.lit("theme"), F.lit("dark")).alias("settings"))
-    second = nation.where(n % 4 <= 1).select(
-        F.concat(F.lit("tenant-"), n.cast("string")).alias("tenant_id"), F.lit(2).alias("seq"),
-        F.lower(F.col("n_name")).alias("name"), F.lit(None).cast("string").alias("description"),
-        F.create_map(F.lit("theme"), F.lit("blue"), F.lit("currency"), F.lit("USD")).alias("settings"))
+        F.when(r == 0, F.concat(F.lit("Updated "), F.col("n_name"))).alias("description"),
+        F.when(r <= 1, F.create_map(F.lit("theme"), F.lit("dark"))).alias("settings"))
+    second = nation.select(
+        t.alias("tenant_id"), F.lit(2).alias("seq"),
+        F.when(r >= 3, F.lower(F.col("n_name"))).alias("name"),
+        F.lit(None).cast("string").alias("description"),
+        F.when(r == 1, F.create_map(F.lit("theme"), F.lit("blue"), F.lit("currency"), F.lit("USD")))
+        .alias("settings"))
     return first.unionByName(second)
 
 
 @register("settings_merge", A.with_views("tenants") + """
 , ch AS (
   SELECT 'tenant-' || CAST(n_nationkey AS VARCHAR) AS tenant_id, 1 AS seq, NULL::VARCHAR AS name,
-         'Updated ' || n_name AS description, 'theme' AS k, 'dark' AS v FROM nation WHERE n_nationkey % 4 = 0
-  UNION ALL SELECT 'tenant-' || CAST(n_nationkey AS VARCHAR), 2, lower(n_name), NULL, 'theme', 'blue'
-  FROM nation WHERE n_nationkey % 4 <= 1
-  UNION ALL SELECT 'tenant-' || CAST(n_nationkey AS VARCHAR), 2, lower(n_name), NULL, 'currency', 'USD'
-  FROM nation WHERE n_nationkey % 4 <= 1
+         CASE WHEN n_regionkey = 0 THEN 'Updated ' || n_name END AS description,
+         CASE WHEN n_regionkey <= 1 THEN MAP {'theme': 'dark'} END AS settings FROM nation
+  UNION ALL
+  SELECT 'tenant-' || CAST(n_nationkey AS VARCHAR), 2, CASE WHEN n_regionkey >= 3 THEN lower(n_name) END, NULL,
+         CASE WHEN n_regionkey = 1 THEN MAP {'theme': 'blue', 'currency': 'USD'} END FROM nation
+), ch_kv AS (
+  SELECT tenant_id, seq, unnest(map_keys(settings)) AS k, unnest(map_values(settings)) AS v
+  FROM ch WHERE settings IS NOT NULL
 ), kv AS (
   SELECT tenant_id, 'region' AS k, region_setting AS v, 0 AS seq FROM tenants
   UNION ALL SELECT tenant_id, 'theme', theme_setting, 0 FROM tenants
-  UNION ALL SELECT tenant_id, k, v, seq FROM ch
+  UNION ALL SELECT tenant_id, k, v, seq FROM ch_kv
 ), merged AS (SELECT tenant_id, k, arg_max(v, seq) AS v FROM kv GROUP BY ALL),
 names AS (
   SELECT t.tenant_id,
