@@ -57,12 +57,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and streaming state.
 
     The cluster names it in ``spark.checkpoint.dir``; we only pick our own
-    folder when the setting is absent (local tests).
+    folder when the setting is absent *and* the master is local (tests).
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            # executors on other machines could not see a local folder
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         path = tempfile.mkdtemp(prefix="storelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
