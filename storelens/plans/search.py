@@ -10,6 +10,7 @@ from storelens.operators.search import by_category, with_first_image
 from storelens.schemas import CANDIDATE_CAP, K_DEFAULT, K_MAX, K_MIN, check_range
 
 MAX_BATCH_QUERIES = 10_000
+MAX_PAGE_END = 10_000          # offset + limit bound for listing pages
 QUERY_COLUMNS = ["query_id", "tenant_id", "product_type", "min_price", "max_price", "has_discount",
                  "query_vec", "k"]
 
@@ -120,9 +121,18 @@ def catalogue_listing(products: DataFrame, images: DataFrame, tenant_id: str | N
     """
     if sort not in SORTS:
         raise ValueError(f"unknown sort {sort!r}")
-    p = with_first_image(for_tenant(products, tenant_id), images)
-    ranked = top_k_per_group(p, ["tenant_id"], [F.col("updated_at").desc_nulls_first(), F.col("id").asc()],
+    if limit < 1 or offset < 0 or offset + limit > MAX_PAGE_END:
+        raise ValueError(f"page must lie within the first {MAX_PAGE_END} rows")
+    # Cut the page first (partial top-k per task), then resolve images for the
+    # page's products only: the page holds at most offset + limit rows per
+    # tenant, so its ids are a bounded broadcast and the image scan is a
+    # semi-join, not an aggregation over every image of the tenant.
+    ranked = top_k_per_group(for_tenant(products, tenant_id), ["tenant_id"],
+                             [F.col("updated_at").desc_nulls_first(), F.col("id").asc()],
                              offset + limit, "_pos").where(F.col("_pos") > offset)
+    page_ids = F.broadcast(ranked.select(F.col("id").alias("product_id"), "tenant_id"))
+    page_images = for_tenant(images, tenant_id).join(page_ids, ["product_id", "tenant_id"], "left_semi")
+    ranked = with_first_image(ranked, page_images)
     page = ranked.select(
         "tenant_id", F.col("_pos").cast("long").alias("position"), "id", F.col("title").alias("name"),
         "vendor", "product_type",
