@@ -37,15 +37,19 @@ def search_batch(products: DataFrame, queries: DataFrame, candidate_cap: int = C
     ``queries`` (QUERY_COLUMNS) is bounded by ``MAX_BATCH_QUERIES`` (checked
     with one small job unless the caller passes ``known_size``) and broadcast; products are never shuffled for the match, only the
     capped candidate rows.  Both ranking steps are ``row_number() <= n``, so
-    Spark keeps a partial top-n per map task before each shuffle.
+    Spark keeps a partial top-n per map task before each shuffle.  Ranking
+    carries narrow rows; details are joined to the winners (<= queries x 25
+    rows, a bounded broadcast).
     """
     if known_size is None:
         require_small(queries, MAX_BATCH_QUERIES, "query batch")
     elif known_size > MAX_BATCH_QUERIES:
         raise ValueError(f"query batch has more than {MAX_BATCH_QUERIES} rows")
     q = F.broadcast(queries.select(*[F.col(c).alias(f"q_{c}") for c in QUERY_COLUMNS]))
-    p = products.select("id", "tenant_id", "title", "product_type", "body_html", "min_price", "max_price",
-                        "options", "tags", "has_discount", "updated_at", "embedding")
+    # Ranking runs on narrow rows; the wide detail columns are joined to the
+    # winners only (at most queries x K_MAX rows).
+    p = products.select("id", "tenant_id", "product_type", "min_price", "max_price", "has_discount",
+                        "updated_at", "embedding")
     on_tenant = p["tenant_id"] == q["q_tenant_id"]
     filtered = p.join(q, on_tenant & _query_predicate(q), "inner")
     newest = [F.col("updated_at").desc_nulls_first(), F.col("id").asc()]
@@ -71,10 +75,14 @@ def search_batch(products: DataFrame, queries: DataFrame, candidate_cap: int = C
                               K_MAX, "rank").where(F.col("rank") <= F.col("q_k"))
     plain = cands.where(~has_vec & (F.col("_cand_rank") <= F.col("q_k"))) \
                  .withColumn("rank", F.col("_cand_rank")).withColumn("similarity", F.lit(None).cast("double"))
-    ranked = sem_top.unionByName(plain)
-    return ranked.select(
-        F.col("q_query_id").alias("query_id"), F.col("rank").cast("long").alias("rank"), "id", "title",
-        "product_type", "body_html",
+    cols = [F.col("q_query_id").alias("query_id"), F.col("rank").cast("long").alias("rank"),
+            F.col("id").alias("_id"), F.col("tenant_id").alias("_t"), "similarity"]
+    winners = sem_top.select(*cols).unionByName(plain.select(*cols))
+    details = products.select("id", "tenant_id", "title", "product_type", "body_html", "min_price", "max_price",
+                              "options", "tags")
+    out = details.join(F.broadcast(winners), (details["id"] == winners["_id"]) & (details["tenant_id"] == winners["_t"]))
+    return out.select(
+        "query_id", "rank", "id", "title", "product_type", "body_html",
         F.when(F.col("min_price") != 0, F.col("min_price").cast("double")).alias("min_price"),
         F.when(F.col("max_price") != 0, F.col("max_price").cast("double")).alias("max_price"),
         "options", "tags", "similarity")
