@@ -76,10 +76,10 @@ def search_batch(products: DataFrame, queries: DataFrame, candidate_cap: int = C
     plain = cands.where(~has_vec & (F.col("_cand_rank") <= F.col("q_k"))) \
                  .withColumn("rank", F.col("_cand_rank")).withColumn("similarity", F.lit(None).cast("double"))
     cols = [F.col("q_query_id").alias("query_id"), F.col("rank").cast("long").alias("rank"),
-            F.col("id").alias("_id"), F.col("tenant_id").alias("_t"), "similarity"]
+            F.col("id").alias("_id"), F.col("tenant_id").alias("_t"), "similarity", "min_price", "max_price"]
     winners = sem_top.select(*cols).unionByName(plain.select(*cols))
-    details = products.select("id", "tenant_id", "title", "product_type", "body_html", "min_price", "max_price",
-                              "options", "tags")
+    # prices ride along with the winners; the detail side is catalogue text only
+    details = products.select("id", "tenant_id", "title", "product_type", "body_html", "options", "tags")
     out = details.join(F.broadcast(winners), (details["id"] == winners["_id"]) & (details["tenant_id"] == winners["_t"]))
     return out.select(
         "query_id", "rank", "id", "title", "product_type", "body_html",
