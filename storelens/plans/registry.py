@@ -1270,3 +1270,60 @@ FROM products GROUP BY tenant_id
 def q_embedding_dimensions(spark, sf):
     from storelens.operators.embed import embedding_dimension_report
     return embedding_dimension_report(_products(spark, sf), 64)
+
+
+# ---------------------------------------------------------------------------
+# Catalogue round trip: S2/S3 pages -> P3 ingest (X2, X4, X5, A16 nested)
+# ---------------------------------------------------------------------------
+
+def _line_documents(li):
+    """One catalogue document per line item: a product with one variant, one
+    image and one option; prices travel as text, timestamps as ISO text."""
+    price = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
+    compare = F.try_divide(price, F.lit(1.0) - F.col("l_discount"))
+    key = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    iso = F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    doc_id = F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                        "l_extendedprice", "l_discount", "l_shipdate")
+    return li.select(
+        doc_id.alias("id"),
+        F.concat(F.lit("Line "), key).alias("title"),
+        F.concat(F.lit("<p>Flag "), F.col("l_returnflag"), F.lit("</p>")).alias("body_html"),
+        F.concat(F.lit("Vendor "), F.col("l_returnflag")).alias("vendor"),
+        F.col("l_linestatus").alias("product_type"),
+        iso.alias("created_at"), iso.alias("updated_at"), iso.alias("published_at"),
+        F.array(F.struct(F.lit("Flag").alias("name"), F.array(F.col("l_returnflag")).alias("values"))).alias("options"),
+        F.array(F.struct(doc_id.alias("id"), F.lit(1).alias("position"),
+                         F.concat(F.lit("https://cdn.example.com/l/"), key, F.lit(".jpg")).alias("src"))).alias("images"),
+        F.array(F.struct(doc_id.alias("id"), price.cast("string").alias("price"),
+                         compare.cast("string").alias("compare_at_price"), doc_id.alias("image_id"))).alias("variants"))
+
+
+@register("catalog_roundtrip", """
+WITH l AS (
+  SELECT *, CASE WHEN l_quantity <> 0 THEN l_extendedprice / l_quantity END AS price FROM lineitem
+)
+SELECT 'tenant-rt' AS tenant_id, 'Line ' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS title,
+       l_linestatus AS product_type, 'Vendor ' || l_returnflag AS vendor,
+       price AS min_price, price AS max_price,
+       coalesce(CASE WHEN l_discount <> 1 THEN price / (1.0 - l_discount) END > price, false) AS has_discount,
+       CAST(l_shipdate AS TIMESTAMP) AS created_at, CAST(l_shipdate AS TIMESTAMP) AS published_at,
+       l_returnflag AS flag, 'Flag ' || l_returnflag AS description, CAST(1 AS BIGINT) AS variants_resolved
+FROM l
+""")
+def q_catalog_roundtrip(spark, sf):
+    """Documents written as pages, read back and ingested; one product per line item."""
+    from storelens.plans.ingest import ingest_catalog
+    from storelens.sources.catalog import read_catalog_pages, write_catalog_pages
+    from storelens.streaming.sources import new_checkpoint
+    path = new_checkpoint(spark, "catalog-pages")
+    write_catalog_pages(_line_documents(_t(spark, sf, "lineitem")), path)
+    raw = read_catalog_pages(spark, path, multiline=False)
+    out = ingest_catalog(raw, "tenant-rt")
+    resolved = out["variants"].groupBy("product_id").agg(F.count("image_id").alias("variants_resolved"))
+    p = out["products"]
+    return p.join(resolved, p["id"] == resolved["product_id"], "left").select(
+        "tenant_id", "title", "product_type", "vendor", "min_price", "max_price", "has_discount", "created_at",
+        "published_at", F.col("options")["Flag"][0].alias("flag"),
+        F.get_json_object("embedding_json", "$.description").alias("description"),
+        F.coalesce("variants_resolved", F.lit(0)).alias("variants_resolved"))

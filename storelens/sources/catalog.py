@@ -34,13 +34,15 @@ def read_catalog_ndjson(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CATALOG).json(path)
 
 
-def read_catalog_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed result pages (``{"products": [...]}`` files) -> one product frame.
+def read_catalog_pages(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Landed result pages (``{"products": [...]}``) -> one product frame.
 
-    Many page files are read by one scan (each file a task), exploded and
-    projected to the requested fields; an empty page contributes nothing.
+    Many page files are read by one scan, exploded and projected to the
+    requested fields; an empty page contributes nothing.  ``multiline``:
+    one (pretty-printed) page per file; otherwise one page per line, which
+    is splittable.
     """
-    pages = spark.read.schema(_WRAPPED).option("multiLine", True).json(path)
+    pages = spark.read.schema(_WRAPPED).option("multiLine", multiline).json(path)
     return pages.select(F.explode("products").alias("p")).select(*[F.col(f"p.{c}") for c in PAGE_FIELDS])
 
 
@@ -49,6 +51,18 @@ def write_catalog(df: DataFrame, path: str, fmt: str = "json", mode: str = "over
     df.write.mode(mode).format(fmt).save(path)
 
 
+def write_catalog_pages(df: DataFrame, path: str, page_size: int = 250, mode: str = "overwrite") -> None:
+    """Write documents as ``{"products": [...]}`` pages of at most ``page_size``.
+
+    Pages are cut inside each partition (consecutive monotonically increasing
+    ids), so a page is a bounded group and no global ordering is needed.
+    """
+    page = F.floor(F.monotonically_increasing_id() / F.lit(page_size))
+    pages = (df.withColumn("_page", page).groupBy("_page")
+             .agg(F.collect_list(F.struct(*[F.col(c) for c in df.columns])).alias("products")))
+    pages.select(F.to_json(F.struct("products")).alias("value")).write.mode(mode).text(path)
+
+
 def to_csv_frame(df: DataFrame) -> DataFrame:
     """S4 shape: columns in sorted order; arrays/maps/structs become JSON text."""
     cols = []
