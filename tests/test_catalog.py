@@ -119,6 +119,14 @@ def test_replace_products_keyed(spark):
 def test_writers_and_pages(spark, raw, tmp_path):
     write_catalog(raw, str(tmp_path / "nd"))
     assert spark.read.json(str(tmp_path / "nd")).count() == 5
+    from storelens.sources.catalog import read_catalog_ndjson, write_catalog_pages
+    back = read_catalog_ndjson(spark, str(tmp_path / "nd"))
+    assert sorted(r.id for r in back.collect()) == sorted(r.id for r in raw.collect())
+    write_catalog_pages(raw, str(tmp_path / "pages"), page_size=2)
+    paged = read_catalog_pages(spark, str(tmp_path / "pages"), multiline=False)
+    assert paged.count() == 5
+    lines = spark.read.text(str(tmp_path / "pages")).collect()
+    assert all(r.value.count('"title"') <= 2 for r in lines)
     flat = flatten_variants(raw)
     other = flat.select("variant_id", F.lit("x").alias("extra"))
     write_variants_csv([flat, other], str(tmp_path / "csv"))

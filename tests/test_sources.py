@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import FIXTURES, SMOKE
+from conftest import FIXTURES, SMOKE, ts
 from storelens import adapters as A
 from storelens.operators.common import trailing
 from storelens.operators.sessions import session_rollup
@@ -63,3 +63,14 @@ def test_cli_ingest_and_export(spark, tmp_path):
     cli.main(["export-daily", "--tables", tables, "--as-of", "2024-01-31 00:00:00", "--out",
               str(tmp_path / "csv"), "--tenant", "tenant-2", "--days", "31"])
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 31
+
+
+def test_expand_and_inquiry_events(spark):
+    from storelens.sources.tables import expand_recommendations, inquiry_event
+    df = spark.createDataFrame([("t", "s", ts("2024-01-01 00:00:00"), [3, 1], 7)],
+                               "tenant_id string, session_id string, created_at timestamp, product_ids array<bigint>, "
+                               "product_id long")
+    rec = expand_recommendations(df).collect()
+    assert sorted(r.product_id for r in rec) == [1, 3] and {r.event_type for r in rec} == {"recommended"}
+    inq = inquiry_event(df).first()
+    assert inq.event_type == "inquired" and inq.product_id == 7
