@@ -1327,3 +1327,49 @@ def q_catalog_roundtrip(spark, sf):
         "published_at", F.col("options")["Flag"][0].alias("flag"),
         F.get_json_object("embedding_json", "$.description").alias("description"),
         F.coalesce("variants_resolved", F.lit(0)).alias("variants_resolved"))
+
+
+_LINE_FLAT_SQL = """
+WITH l AS (
+  SELECT *, CASE WHEN l_quantity <> 0 THEN l_extendedprice / l_quantity END AS price FROM lineitem
+)
+SELECT 'Line ' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS title,
+       'Vendor ' || l_returnflag AS vendor, l_linestatus AS product_type,
+       price, CASE WHEN l_discount <> 1 THEN price / (1.0 - l_discount) END AS compare_at_price,
+       CAST(1 AS BIGINT) AS image_count
+FROM l
+"""
+
+
+def _as_catalog(docs):
+    """Conform documents to the declared catalogue schema (absent fields NULL),
+    as reading them from JSON with that schema would."""
+    from storelens.schemas import CATALOG
+    return docs.select(F.from_json(F.to_json(F.struct(*docs.columns)), CATALOG).alias("d")).select("d.*")
+
+
+@register("flatten_variants", _LINE_FLAT_SQL)
+def q_flatten_variants(spark, sf):
+    """X8 on nested documents: one row per variant with the product's columns."""
+    from storelens.operators.catalog import flatten_variants
+    flat = flatten_variants(_as_catalog(_line_documents(_t(spark, sf, "lineitem"))))
+    return flat.select("title", "vendor", "product_type",
+                       F.col("price").try_cast("double").alias("price"),
+                       F.col("compare_at_price").try_cast("double").alias("compare_at_price"),
+                       F.size("image_srcs").cast("long").alias("image_count"))
+
+
+@register("variants_csv", _LINE_FLAT_SQL)
+def q_variants_csv(spark, sf):
+    """Flattened variants written as CSV (sorted header, lists as JSON
+    text) and read back."""
+    from storelens.operators.catalog import flatten_variants
+    from storelens.sources.catalog import write_variants_csv
+    from storelens.streaming.sources import new_checkpoint
+    path = new_checkpoint(spark, "variants-csv")
+    write_variants_csv([flatten_variants(_as_catalog(_line_documents(_t(spark, sf, "lineitem"))))], path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select("title", "vendor", "product_type",
+                       F.col("price").try_cast("double").alias("price"),
+                       F.col("compare_at_price").try_cast("double").alias("compare_at_price"),
+                       F.size(F.from_json("image_srcs", "array<string>")).cast("long").alias("image_count"))
