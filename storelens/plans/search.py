@@ -35,11 +35,12 @@ def search_batch(products: DataFrame, queries: DataFrame, candidate_cap: int = C
     tenant (the reference's empty-id-list fallback).
 
     ``queries`` (QUERY_COLUMNS) is bounded by ``MAX_BATCH_QUERIES`` (checked
-    with one small job unless the caller passes ``known_size``) and broadcast; products are never shuffled for the match, only the
-    capped candidate rows.  Both ranking steps are ``row_number() <= n``, so
-    Spark keeps a partial top-n per map task before each shuffle.  Ranking
-    carries narrow rows; details are joined to the winners (<= queries x 25
-    rows, a bounded broadcast).
+    with one small job unless the caller passes ``known_size``) and
+    broadcast; products are never shuffled for the match, only the capped
+    candidate rows.  Every ranking step is ``row_number() <= n``, so Spark
+    keeps a partial top-n per map task before each shuffle.  Ranking carries
+    narrow rows; details are joined to the winners (<= queries x 25 rows, a
+    bounded broadcast).
     """
     if known_size is None:
         require_small(queries, MAX_BATCH_QUERIES, "query batch")
@@ -53,28 +54,28 @@ def search_batch(products: DataFrame, queries: DataFrame, candidate_cap: int = C
     on_tenant = p["tenant_id"] == q["q_tenant_id"]
     filtered = p.join(q, on_tenant & _query_predicate(q), "inner")
     newest = [F.col("updated_at").desc_nulls_first(), F.col("id").asc()]
-    if candidate_cap is None:
-        # No cap: every match is a candidate (plain order still ranks by newest).
-        from pyspark.sql import Window
-        w = Window.partitionBy("q_query_id").orderBy(*newest)
-        cands = filtered.withColumn("_cand_rank", F.row_number().over(w))
-    else:
-        cands = top_k_per_group(filtered, ["q_query_id"], newest, candidate_cap, "_cand_rank")
+    has_vec = F.col("q_query_vec").isNotNull()
 
+    # Queries without a vector return their k (<= K_MAX) newest matches: a
+    # partial top-k, never a full sort of the candidates.
+    plain_n = K_MAX if candidate_cap is None else min(K_MAX, candidate_cap)
+    plain = top_k_per_group(filtered.where(~has_vec), ["q_query_id"], newest, plain_n, "rank") \
+        .where(F.col("rank") <= F.col("q_k")).withColumn("similarity", F.lit(None).cast("double"))
+
+    # Queries with a vector rank the newest ``candidate_cap`` matches (all of
+    # them without a cap) by similarity.
+    vec = filtered.where(has_vec)
+    cands = vec if candidate_cap is None else top_k_per_group(vec, ["q_query_id"], newest, candidate_cap, "_c") \
+        .drop("_c")
     if fallback_unfiltered:
-        empty = q.join(cands.select("q_query_id").distinct(), "q_query_id", "left_anti") \
-                 .where(F.col("q_query_vec").isNotNull())
-        extra = p.join(F.broadcast(empty), p["tenant_id"] == empty["q_tenant_id"], "inner") \
-                 .withColumn("_cand_rank", F.lit(None).cast("int"))
+        matched = filtered.select("q_query_id").distinct()
+        empty = q.where(F.col("q_query_vec").isNotNull()).join(matched, "q_query_id", "left_anti")
+        extra = p.join(F.broadcast(empty), p["tenant_id"] == empty["q_tenant_id"], "inner")
         cands = cands.unionByName(extra)
-
-    has_vec = F.col("q_query_vec").isNotNull()
-    sem = cands.where(has_vec & F.col("embedding").isNotNull()) \
+    sem = cands.where(F.col("embedding").isNotNull()) \
                .withColumn("similarity", cosine_similarity(F.col("embedding"), F.col("q_query_vec")))
     sem_top = top_k_per_group(sem, ["q_query_id"], [F.col("similarity").desc(), F.col("id").asc()],
                               K_MAX, "rank").where(F.col("rank") <= F.col("q_k"))
-    plain = cands.where(~has_vec & (F.col("_cand_rank") <= F.col("q_k"))) \
-                 .withColumn("rank", F.col("_cand_rank")).withColumn("similarity", F.lit(None).cast("double"))
     cols = [F.col("q_query_id").alias("query_id"), F.col("rank").cast("long").alias("rank"),
             F.col("id").alias("_id"), F.col("tenant_id").alias("_t"), "similarity", "min_price", "max_price"]
     winners = sem_top.select(*cols).unionByName(plain.select(*cols))
