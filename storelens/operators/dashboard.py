@@ -140,17 +140,26 @@ def intent_distribution(messages: DataFrame, as_of, days: int = 7, tenant_id: st
              .groupBy("tenant_id", "intent").agg(F.count(F.lit(1)).alias("count")))
 
 
-def hourly_activity(messages: DataFrame, as_of, days: int = 7, tenant_id: str | None = None) -> DataFrame:
+def hourly_activity(messages: DataFrame, as_of, days: int = 7, tenant_id: str | None = None,
+                    tenants: DataFrame | None = None) -> DataFrame:
     """Messages by hour of day over the trailing window, always 24 rows per tenant.
 
-    Tenants are those present in the log (not only in the window).
+    The 24-row spine is built for: the requested tenant (``tenant_id``), else
+    the given ``tenants`` table, else every tenant present in the log (a
+    distinct over the log's tenant column).
     """
     days = check_range("days", days, *DASHBOARD_DAYS)
     scoped = for_tenant(messages, tenant_id)
     m = trailing(scoped, "created_at", as_of, days=days)
     agg = m.groupBy("tenant_id", F.hour("created_at").alias("hour")).agg(
         F.count(F.lit(1)).alias("message_count"))
-    return fill_hours(agg, scoped.select("tenant_id"), zeros={"message_count": 0}) \
+    if tenant_id is not None:
+        keys = messages.sparkSession.createDataFrame([(tenant_id,)], "tenant_id string")
+    elif tenants is not None:
+        keys = tenants.select("tenant_id")
+    else:
+        keys = scoped.select("tenant_id")
+    return fill_hours(agg, keys, zeros={"message_count": 0}) \
         .withColumn("hour", F.col("hour").cast("long"))
 
 

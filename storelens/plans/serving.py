@@ -64,7 +64,7 @@ class TenantStore:
         return D.intent_distribution(self.table("messages", tenant_id), as_of, days)
 
     def hourly_activity(self, tenant_id, as_of, days=7):
-        return D.hourly_activity(self.table("messages", tenant_id), as_of, days)
+        return D.hourly_activity(self.table("messages", tenant_id), as_of, days, tenant_id)
 
     def top_products(self, tenant_id, as_of, event_type="recommended", limit=10, days=7):
         return D.top_products(self.table("product_events", tenant_id), self.spark.read.parquet(f"{self.base}/products"),

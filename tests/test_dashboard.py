@@ -120,3 +120,11 @@ def test_scoped_scalars_answer_for_empty_tenant(sessions, messages):
     s = rep["summary"].first()
     assert s.avg_latency_ms == 0.0 and s.message_count == 0 and s.min_latency_ms is None
     assert rep["percentiles"].first().p99 == 0.0
+
+
+def test_hourly_activity_spine_sources(spark, messages):
+    one = D.hourly_activity(messages, "2024-01-11 00:00:00", 7, tenant_id="nobody").collect()
+    assert len(one) == 24 and sum(r.message_count for r in one) == 0
+    ten = spark.createDataFrame([("t",), ("u",)], "tenant_id string")
+    both = D.hourly_activity(messages, "2024-01-11 00:00:00", 7, tenants=ten).collect()
+    assert len(both) == 48 and sum(r.message_count for r in both if r.tenant_id == "t") == 40
