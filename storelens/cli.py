@@ -49,7 +49,9 @@ def cmd_stream_sessions(a) -> None:
     from storelens.streaming.sources import file_stream, new_checkpoint, upsert_batch_writer
     spark = _spark("storelens-stream-sessions")
     src = file_stream(spark, a.landing, MESSAGES, max_files_per_trigger=a.max_files)
-    q = (stream_session_metrics(src, gap_seconds=a.gap or None).writeStream.outputMode("update")
+    # session windows support append only: a session is written once closed
+    mode = "append" if a.gap else "update"
+    q = (stream_session_metrics(src, gap_seconds=a.gap or None).writeStream.outputMode(mode)
          .foreachBatch(upsert_batch_writer(a.out))
          .option("checkpointLocation", a.checkpoint or new_checkpoint(spark, "sessions"))
          .trigger(processingTime=a.trigger).start())

@@ -32,7 +32,8 @@ def stream_session_metrics(messages: DataFrame, watermark: str | None = WATERMAR
 
     Output mode ``update``; pair with the upsert sink.  With ``gap_seconds``
     sessions are also split by inactivity (session_window), which lets the
-    watermark evict finished sessions from state.
+    watermark evict finished sessions from state; that form runs in
+    ``append`` mode (a session is emitted once, when closed).
     """
     m = _event_time(messages, "created_at", watermark)
     llm = (F.col("model_used").isNotNull() | F.col("prompt_tokens").isNotNull()

@@ -104,3 +104,13 @@ def test_rate_limit_admits_exactly(spark, tmp_path):
     # 0,1,2 admitted; 3 and 30 rejected (3 admitted in window); at 60 the one at 0 left -> admitted;
     # 61: window (1,61] holds 2,60 -> admitted; 62: (2,62] holds 60,61 -> admitted
     assert [adm[i] for i in range(len(secs))] == [True, True, True, False, False, True, True, True]
+
+
+def test_session_metrics_with_inactivity_gap(spark):
+    out = drain(stream_session_metrics(A.messages(events_stream(spark)), gap_seconds=3600),
+                ["tenant_id", "session_id", "started_at"], mode="append")
+    assert out.count() > 0
+    ev = A.load(spark, SMOKE, "events")
+    max_ts = ev.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    # only sessions closed by the final watermark are emitted
+    assert out.agg(F.max("ended_at")).first()[0] <= max_ts - dt.timedelta(hours=2)
