@@ -24,25 +24,29 @@ def latency_summary(lat: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("message_count"))
 
 
-def _pct_cols(col: str, probs: list) -> list:
-    # Exact interpolated percentiles (like PERCENTILE_CONT).  Spark keeps a
+def _pct_cols(col: str, probs: list, exact: bool = True, accuracy: int = 10_000) -> list:
+    # exact: interpolated percentiles (like PERCENTILE_CONT); Spark keeps a
     # value->count map per group and merges partial maps, so the cost is the
-    # number of distinct latencies, not rows.
-    arr = F.percentile(F.col(col).cast("double"), F.array(*[F.lit(p) for p in probs]))
+    # number of distinct latencies, not rows.  Otherwise a mergeable
+    # quantile sketch (percentile_approx) of fixed size per group, whose
+    # answers are sample values within 1/accuracy in rank.
+    levels = F.array(*[F.lit(p) for p in probs])
+    c = F.col(col).cast("double")
+    arr = F.percentile(c, levels) if exact else F.percentile_approx(c, levels, accuracy)
     return [arr, [f"p{int(round(p * 100))}" for p in probs]]
 
 
-def latency_percentiles(lat: DataFrame, probs: list | None = None) -> DataFrame:
-    """p50, p75, p90, p95, p99 per tenant (exact)."""
+def latency_percentiles(lat: DataFrame, probs: list | None = None, exact: bool = True) -> DataFrame:
+    """p50, p75, p90, p95, p99 per tenant (exact, or a sketch)."""
     probs = probs or PERCENTILES
-    arr, names = _pct_cols("latency_ms", probs)
+    arr, names = _pct_cols("latency_ms", probs, exact)
     agg = lat.groupBy("tenant_id").agg(arr.alias("_p"))
     return agg.select("tenant_id", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
 
 
-def latency_by_hour(lat: DataFrame) -> DataFrame:
+def latency_by_hour(lat: DataFrame, exact: bool = True) -> DataFrame:
     """Per truncated hour: avg, p50, p90, p99, count."""
-    arr, names = _pct_cols("latency_ms", [0.5, 0.9, 0.99])
+    arr, names = _pct_cols("latency_ms", [0.5, 0.9, 0.99], exact)
     agg = lat.groupBy("tenant_id", F.date_trunc("hour", "created_at").alias("hour")).agg(
         F.avg("latency_ms").alias("avg_latency_ms"), arr.alias("_p"),
         F.count(F.lit(1)).alias("message_count"))

@@ -128,3 +128,14 @@ def test_hourly_activity_spine_sources(spark, messages):
     ten = spark.createDataFrame([("t",), ("u",)], "tenant_id string")
     both = D.hourly_activity(messages, "2024-01-11 00:00:00", 7, tenants=ten).collect()
     assert len(both) == 48 and sum(r.message_count for r in both if r.tenant_id == "t") == 40
+
+
+def test_approximate_percentiles_close_to_exact(messages):
+    lat = L.assistant_latencies(messages, "2024-01-11 00:00:00", 7)
+    ex = L.latency_percentiles(lat).first()
+    ap = L.latency_percentiles(lat, exact=False).first()
+    vals = sorted(r.latency_ms for r in lat.collect())
+    for name in ("p50", "p90", "p99"):
+        assert ap[name] in vals                                  # sketch answers are sample values
+        assert abs(vals.index(ap[name]) - vals.index(min(vals, key=lambda v: abs(v - ex[name])))) <= 1
+    assert L.latency_by_hour(lat, exact=False).count() == L.latency_by_hour(lat).count()
