@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 # applied to a session somebody else built (the driver, a notebook, a job).
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -139,3 +139,10 @@ def test_approximate_percentiles_close_to_exact(messages):
         assert ap[name] in vals                                  # sketch answers are sample values
         assert abs(vals.index(ap[name]) - vals.index(min(vals, key=lambda v: abs(v - ex[name])))) <= 1
     assert L.latency_by_hour(lat, exact=False).count() == L.latency_by_hour(lat).count()
+
+
+def test_overview_approx_distinct(sessions, messages):
+    ex = {r.tenant_id: r.active_sessions for r in D.overview(sessions, messages, "2024-01-10 06:00:00").collect()}
+    ap = {r.tenant_id: r.active_sessions for r in
+          D.overview(sessions, messages, "2024-01-10 06:00:00", approx_distinct=True).collect()}
+    assert ex == ap          # small cardinalities are exact in HyperLogLog++
