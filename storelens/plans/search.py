@@ -25,7 +25,8 @@ def _query_predicate(q) -> Column:
 
 
 def search_batch(products: DataFrame, queries: DataFrame, candidate_cap: int = CANDIDATE_CAP,
-                 fallback_unfiltered: bool = True, known_size: int | None = None) -> DataFrame:
+                 fallback_unfiltered: bool = True, known_size: int | None = None,
+                 vectors: bool | None = None) -> DataFrame:
     """The reference's search for many queries in one plan.
 
     Per query: F3 filter -> newest ``candidate_cap`` (updated_at DESC, NULLs
@@ -40,7 +41,8 @@ def search_batch(products: DataFrame, queries: DataFrame, candidate_cap: int = C
     candidate rows.  Every ranking step is ``row_number() <= n``, so Spark
     keeps a partial top-n per map task before each shuffle.  Ranking carries
     narrow rows; details are joined to the winners (<= queries x 25 rows, a
-    bounded broadcast).
+    bounded broadcast).  ``vectors`` True/False tells that all/none of the
+    queries carry a vector, so only that branch is planned.
     """
     if known_size is None:
         require_small(queries, MAX_BATCH_QUERIES, "query batch")
@@ -61,6 +63,10 @@ def search_batch(products: DataFrame, queries: DataFrame, candidate_cap: int = C
     plain_n = K_MAX if candidate_cap is None else min(K_MAX, candidate_cap)
     plain = top_k_per_group(filtered.where(~has_vec), ["q_query_id"], newest, plain_n, "rank") \
         .where(F.col("rank") <= F.col("q_k")).withColumn("similarity", F.lit(None).cast("double"))
+    cols = [F.col("q_query_id").alias("query_id"), F.col("rank").cast("long").alias("rank"),
+            F.col("id").alias("_id"), F.col("tenant_id").alias("_t"), "similarity", "min_price", "max_price"]
+    if vectors is False:
+        return _with_details(products, plain.select(*cols))
 
     # Queries with a vector rank the newest ``candidate_cap`` matches (all of
     # them without a cap) by similarity.
@@ -76,9 +82,14 @@ def search_batch(products: DataFrame, queries: DataFrame, candidate_cap: int = C
                .withColumn("similarity", cosine_similarity(F.col("embedding"), F.col("q_query_vec")))
     sem_top = top_k_per_group(sem, ["q_query_id"], [F.col("similarity").desc(), F.col("id").asc()],
                               K_MAX, "rank").where(F.col("rank") <= F.col("q_k"))
-    cols = [F.col("q_query_id").alias("query_id"), F.col("rank").cast("long").alias("rank"),
-            F.col("id").alias("_id"), F.col("tenant_id").alias("_t"), "similarity", "min_price", "max_price"]
-    winners = sem_top.select(*cols).unionByName(plain.select(*cols))
+    winners = sem_top.select(*cols)
+    if vectors is None:
+        winners = winners.unionByName(plain.select(*cols))
+    return _with_details(products, winners)
+
+
+def _with_details(products: DataFrame, winners: DataFrame) -> DataFrame:
+    """Join the wide detail columns to the ranked winners (bounded broadcast)."""
     # prices ride along with the winners; the detail side is catalogue text only
     details = products.select("id", "tenant_id", "title", "product_type", "body_html", "options", "tags")
     out = details.join(F.broadcast(winners), (details["id"] == winners["_id"]) & (details["tenant_id"] == winners["_t"]))
@@ -103,7 +114,8 @@ def search_products(products: DataFrame, tenant_id: str, product_type: str | Non
           None if max_price is None else float(max_price), has_discount, vec, k)],
         "query_id long, tenant_id string, product_type string, min_price double, max_price double, "
         "has_discount boolean, query_vec array<double>, k int")
-    return search_batch(for_tenant(products, tenant_id), q, candidate_cap, fallback_unfiltered, known_size=1)
+    return search_batch(for_tenant(products, tenant_id), q, candidate_cap, fallback_unfiltered, known_size=1,
+                        vectors=vec is not None)
 
 
 # ---------------------------------------------------------------------------
