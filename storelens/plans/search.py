@@ -145,13 +145,16 @@ def catalogue_listing(products: DataFrame, images: DataFrame, tenant_id: str | N
     if limit < 1 or offset < 0 or offset + limit > MAX_PAGE_END:
         raise ValueError(f"page must lie within the first {MAX_PAGE_END} rows")
     # Cut the page first (partial top-k per task), then resolve images for the
-    # page's products only: the page holds at most offset + limit rows per
-    # tenant, so its ids are a bounded broadcast and the image scan is a
-    # semi-join, not an aggregation over every image of the tenant.
+    # page's products only: the image scan is a semi-join against the page,
+    # not an aggregation over every image of the tenant.
     ranked = top_k_per_group(for_tenant(products, tenant_id), ["tenant_id"],
                              [F.col("updated_at").desc_nulls_first(), F.col("id").asc()],
                              offset + limit, "_pos").where(F.col("_pos") > offset)
-    page_ids = F.broadcast(ranked.select(F.col("id").alias("product_id"), "tenant_id"))
+    page_ids = ranked.select(F.col("id").alias("product_id"), "tenant_id")
+    if tenant_id is not None:
+        # one tenant: at most offset + limit ids, a proven bound; for all
+        # tenants the page set grows with the tenant count, so AQE decides
+        page_ids = F.broadcast(page_ids)
     page_images = for_tenant(images, tenant_id).join(page_ids, ["product_id", "tenant_id"], "left_semi")
     ranked = with_first_image(ranked, page_images)
     page = ranked.select(
