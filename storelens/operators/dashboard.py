@@ -176,9 +176,9 @@ def top_products(product_events: DataFrame, products: DataFrame, as_of, event_ty
     """A10: products with the most events per tenant (and event type), top ``limit``.
 
     Events are pre-aggregated to one row per (tenant, type, product) before
-    the join, so the join sees the distinct-product count, not the event
-    count; AQE broadcasts whichever side is small at runtime.  Ties break on
-    product id.  ``event_type=None`` ranks every type separately.
+    any join, so joins see the distinct-product count, not the event count.
+    Ties break on product id.  ``event_type=None`` ranks every type
+    separately.
     """
     limit = check_range("limit", limit, *TOP_LIMIT)
     days = check_range("days", days, *DASHBOARD_DAYS)
@@ -186,10 +186,16 @@ def top_products(product_events: DataFrame, products: DataFrame, as_of, event_ty
     if event_type is not None:
         ev = ev.where(F.col("event_type") == event_type)
     counts = ev.groupBy("tenant_id", "event_type", "product_id").agg(F.count(F.lit(1)).alias("event_count"))
+    # Inner-join semantics (events of unknown products drop out) via a
+    # semi-join on ids only; rank; then fetch details for the winners.  The
+    # wide product columns never go through the big join.
+    known = counts.join(products.select(F.col("id").alias("product_id")), "product_id", "left_semi")
+    winners = top_k_per_group(known, ["tenant_id", "event_type"],
+                              [F.col("event_count").desc(), F.col("product_id").asc()], limit)
+    if tenant_id is not None:
+        winners = F.broadcast(winners)        # <= event types x limit rows
     p = products.select(F.col("id"), F.col("title").alias("name"), "vendor", "min_price", "max_price")
-    joined = counts.join(p, counts["product_id"] == p["id"], "inner").drop("product_id")
-    ranked = top_k_per_group(joined, ["tenant_id", "event_type"],
-                             [F.col("event_count").desc(), F.col("id").asc()], limit)
+    ranked = winners.join(p, winners["product_id"] == p["id"], "inner").drop("product_id")
     return ranked.select(
         "tenant_id", "event_type", F.col("rank").cast("long").alias("rank"), "id", "name", "vendor",
         F.coalesce(F.col("min_price"), F.lit(0.0)).cast("double").alias("price_min"),
