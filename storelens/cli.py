@@ -51,11 +51,13 @@ def cmd_stream_sessions(a) -> None:
     src = file_stream(spark, a.landing, MESSAGES, max_files_per_trigger=a.max_files)
     # session windows support append only: a session is written once closed
     mode = "append" if a.gap else "update"
-    q = (stream_session_metrics(src, gap_seconds=a.gap or None).writeStream.outputMode(mode)
+    w = (stream_session_metrics(src, gap_seconds=a.gap or None).writeStream.outputMode(mode)
          .foreachBatch(upsert_batch_writer(a.out))
-         .option("checkpointLocation", a.checkpoint or new_checkpoint(spark, "sessions"))
-         .trigger(processingTime=a.trigger).start())
-    q.awaitTermination()
+         .option("checkpointLocation", a.checkpoint or new_checkpoint(spark, "sessions")))
+    # --once drains what has landed and stops (a scheduled batch run); the
+    # checkpoint makes the next run continue where this one ended
+    w = w.trigger(availableNow=True) if a.once else w.trigger(processingTime=a.trigger)
+    w.start().awaitTermination()
 
 
 def main(argv=None) -> None:
@@ -83,6 +85,7 @@ def main(argv=None) -> None:
     s.add_argument("--gap", type=int, default=0)
     s.add_argument("--max-files", type=int, default=1000)
     s.add_argument("--trigger", default="30 seconds")
+    s.add_argument("--once", action="store_true")
     s.set_defaults(fn=cmd_stream_sessions)
     a = p.parse_args(argv)
     a.fn(a)

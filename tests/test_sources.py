@@ -74,3 +74,21 @@ def test_expand_and_inquiry_events(spark):
     assert sorted(r.product_id for r in rec) == [1, 3] and {r.event_type for r in rec} == {"recommended"}
     inq = inquiry_event(df).first()
     assert inq.event_type == "inquired" and inq.product_id == 7
+
+
+def test_cli_stream_sessions_once_and_resume(spark, tmp_path):
+    from storelens import cli
+    from storelens.streaming.sources import read_upserted
+    msgs = A.messages(A.load(spark, SMOKE, "events"))
+    land, out, ck = str(tmp_path / "land"), str(tmp_path / "sessions"), str(tmp_path / "ck")
+    cut = F.lit("2024-01-16 12:00:00").cast("timestamp")
+    msgs.where(F.col("created_at") < cut).write.parquet(f"{land}/part1")
+    args = ["stream-sessions", "--landing", f"{land}/*", "--out", out, "--checkpoint", ck, "--once"]
+    cli.main(args)
+    msgs.where(F.col("created_at") >= cut).write.parquet(f"{land}/part2")
+    cli.main(args)                                   # resumes from the checkpoint
+    got = read_upserted(spark, out, ["tenant_id", "session_id"])
+    want = session_rollup(msgs)
+    cols = ["tenant_id", "session_id", "message_count", "llm_call_count", "input_tokens"]
+    assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == \
+        sorted(tuple(r[c] for c in cols) for r in want.collect())
