@@ -6,8 +6,11 @@ from pyspark.sql import Column, functions as F
 
 from storelens.schemas import NOT_AVAILABLE, NOT_SPECIFIED, TRANSCRIPT_PREFIX
 
-# The characters Python's str.isspace() accepts, i.e. what the
-# reference's `\s` matches on text.  Java's plain `\s` misses several of them.
+# Fixed values (must match the reference's text cleaning):
+# - WHITESPACE_CLASS: the characters Python's str.isspace() accepts, i.e. what
+#   the reference's `\s` matches on text (Java's plain `\s` misses several);
+# - TAG_PATTERN: an HTML tag, replaced by a space;
+# - HREF_PATTERN: default link pattern for extract_links (group 1 = target).
 WHITESPACE_CLASS = (r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}"
                     r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
 TAG_PATTERN = r"<[^>]+>"
