@@ -1373,3 +1373,19 @@ def q_variants_csv(spark, sf):
                        F.col("price").try_cast("double").alias("price"),
                        F.col("compare_at_price").try_cast("double").alias("compare_at_price"),
                        F.size(F.from_json("image_srcs", "array<string>")).cast("long").alias("image_count"))
+
+
+@register("export_daily_csv", ORACLE["sessions_over_time"])
+def q_export_daily_csv(spark, sf):
+    """The daily sessions report written as CSV (fixed column order) and
+    read back with its header."""
+    from storelens.sources.catalog import export_daily_csv
+    from storelens.streaming.sources import new_checkpoint
+    path = new_checkpoint(spark, "export-csv")
+    export_daily_csv(_sessions(spark, sf), AS_OF, path, days=DAYS)
+    back = spark.read.option("header", True).csv(path)
+    return back.select("tenant_id", F.col("date").cast("date").alias("date"),
+                       F.col("session_count").cast("long").alias("session_count"),
+                       F.col("unique_sessions").cast("long").alias("unique_sessions"),
+                       F.col("total_messages").cast("long").alias("total_messages"),
+                       F.round(F.col("daily_cost").cast("double"), 10).alias("daily_cost"))
