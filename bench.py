@@ -83,7 +83,8 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=cpus * 2, driver_memory="16g",
+    shuffle = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus * 2)))
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=shuffle, driver_memory="16g",
                       extra={"spark.ui.enabled": "false"})
     for name in names:                                             # one warm-up pass (JIT, file metadata)
         run_once(spark, name, sf)
