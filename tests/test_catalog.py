@@ -143,3 +143,11 @@ def test_write_catalog_tables(spark, raw, tmp_path):
     write_catalog_tables(out, str(tmp_path / "db"))
     back = spark.read.parquet(str(tmp_path / "db" / "products")).where(F.col("tenant_id") == T)
     assert back.count() == 3
+
+
+def test_set_null_on_missing_image(spark):
+    from storelens.operators.catalog import set_null_on_missing_image
+    variants = spark.createDataFrame([(1, 77), (2, 78), (3, None)], "id long, image_id long")
+    images = spark.createDataFrame([(77,), (77,)], "id long")        # duplicate ids must not multiply rows
+    got = {r.id: r.image_id for r in set_null_on_missing_image(variants, images).collect()}
+    assert got == {1: 77, 2: None, 3: None}

@@ -168,3 +168,10 @@ def test_sessionise_chains_across_midnights(spark):
     assert [(u, n) for u, n, _ in got] == [(1, 1), (1, 1), (1, 7), (2, 1), (2, 1), (2, 1)]
     one = [r for r in out.collect() if r.event_count == 7][0]
     assert one.session_end == base + dt.timedelta(minutes=300 + 60)
+
+
+def test_route_with_error_column(spark):
+    df = spark.createDataFrame([("store_brand_question", None), ("unrelated", "boom"), (None, None)],
+                               "intent string, error string")
+    got = [r.route for r in route(df, error_col="error").collect()]
+    assert got == ["store_brand_graph", "error", "error"]
