@@ -67,7 +67,7 @@ def messages_by_role(messages: DataFrame, include_system: bool = False, role: st
 
 def session_messages(messages: DataFrame, tenant_id: str | None = None, session_id: str | None = None,
                      zero_cost: bool = True) -> DataFrame:
-    """chronological message projection.
+    """message projection; for one session, in chronological order.
 
     ``zero_cost`` selects the dashboard reader (NULL/0 cost -> 0); otherwise the
     history reader (NULL/0 cost -> NULL).
@@ -79,8 +79,10 @@ def session_messages(messages: DataFrame, tenant_id: str | None = None, session_
         out = out.where(F.col("session_id") == session_id)
     cost = F.col("cost")
     cost = F.coalesce(cost, F.lit(0.0)) if zero_cost else F.when(cost != 0, cost)
-    return out.select("tenant_id", "session_id", "message_id", "role", "content", "structured_data",
-                      "model_used", cost.alias("cost"), "created_at", "latency_ms")
+    out = out.select("tenant_id", "session_id", "message_id", "role", "content", "structured_data",
+                     "model_used", cost.alias("cost"), "created_at", "latency_ms")
+    # one session is a bounded set: return it in chronological order
+    return out.orderBy("created_at", "message_id") if session_id is not None else out
 
 
 def route(df: DataFrame, intent_col: str = "intent", error_col: str | None = None,

@@ -16,6 +16,10 @@ from storelens.operators import latency as L
 from storelens.operators.sessions import session_rollup
 from storelens.plans.reports import recent_sessions
 from storelens.plans.search import catalogue_listing, search_products
+from storelens.operators.sessions import last_n_messages, session_messages
+from storelens.operators.tenancy import tenant_info
+from storelens.schemas import HISTORY_DEFAULT
+from storelens.sources.catalog import export_daily_csv
 from storelens.sources.tables import read_table, write_table
 
 LOGS = ("messages", "product_events")
@@ -32,6 +36,7 @@ def build_tables(spark: SparkSession, sf_dir: str, base: str) -> dict:
         "sessions": session_rollup(messages),
         "products": A.products(A.load(spark, sf_dir, "part"), li, A.load(spark, sf_dir, "embeddings")),
         "images": A.images(li),
+        "tenants": A.tenants(A.load(spark, sf_dir, "nation")),
     }
     for name, df in tables.items():
         write_table(df, f"{base}/{name}", ["tenant_id", "day"] if name in LOGS else ["tenant_id"], "overwrite")
@@ -76,6 +81,19 @@ class TenantStore:
     def recent_sessions(self, tenant_id, limit=10):
         return recent_sessions(self.table("sessions", tenant_id), limit)
 
+    def tenant_info(self, tenant_id):
+        return tenant_info(self.table("tenants", tenant_id))
+
+    def session_messages(self, tenant_id, session_id):
+        return session_messages(self.table("messages", tenant_id), tenant_id, session_id)
+
+    def history(self, tenant_id, session_id, n=HISTORY_DEFAULT):
+        m = self.table("messages", tenant_id).where(F.col("session_id") == session_id)
+        return last_n_messages(m, n)
+
+    def export_daily(self, tenant_id, as_of, path, days=30):
+        return export_daily_csv(self.table("sessions", tenant_id), as_of, path, days, tenant_id)
+
     # catalogue / search routes -------------------------------------------
     def search(self, tenant_id, **request):
         return search_products(self.table("products", tenant_id), tenant_id, **request)

@@ -23,3 +23,13 @@ def test_served_requests_match_batch(spark, tmp_path):
     assert store.search("tenant-1", product_type="ECONOMY", k=3).count() <= 3
     assert store.listing("tenant-1", 10, 0).count() == 10
     assert store.latency("tenant-1", A.AS_OF, 31)["summary"].count() == 1
+    info = store.tenant_info("tenant-1").first()
+    assert info.name == "NATION_1" and info.settings["theme"] == "light"
+    sid = got.sparkSession.read.parquet(f"{base}/messages").where("tenant_id = 'tenant-1'").first().session_id
+    msgs = store.session_messages("tenant-1", sid).collect()
+    times = [(r.created_at, r.message_id) for r in msgs]
+    assert msgs and times == sorted(times) and all(r.session_id == sid for r in msgs)
+    hist = store.history("tenant-1", sid, 3).collect()
+    assert 1 <= len(hist) <= 3 and sorted(r.position for r in hist) == list(range(1, len(hist) + 1))
+    out = store.export_daily("tenant-1", A.AS_OF, str(tmp_path / "csv"), 31)
+    assert out.count() == 31
