@@ -1075,10 +1075,21 @@ def _event_stream(spark, sf):
 
 
 def _drain(df, name, key, mode="update", whole_key_group=False):
+    """Run a stream over the whole input into the upsert sink and read it back.
+
+    A stream's state partition count is fixed when its checkpoint is created;
+    these one-off drains size it to the session's parallelism (the caller's
+    shuffle setting is restored afterwards).
+    """
     from storelens.streaming.sources import new_checkpoint, read_upserted, run_to_table
     spark = df.sparkSession
     path = new_checkpoint(spark, f"{name}-table")
-    run_to_table(df, path, mode=mode, name=name)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(4, spark.sparkContext.defaultParallelism * 2)))
+    try:
+        run_to_table(df, path, mode=mode, name=name)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return read_upserted(spark, path, key, whole_key_group)
 
 
