@@ -53,3 +53,17 @@ def test_top_products_preaggregates_before_join(spark):
     # events are reduced to (tenant, type, product) counts below the join
     join_at = p.find("Join")
     assert "HashAggregate" in p[join_at:]
+
+
+def test_top_products_checks_existence_on_ids_only(spark):
+    p = plan(spark, "top_products")
+    assert "LeftSemi" in p
+
+
+def test_search_ranks_narrow_rows(spark):
+    from storelens.plans import registry as R
+    df = R.QUERIES["search_combined"](spark, SMOKE)
+    p = df._jdf.queryExecution().executedPlan().toString()
+    # the wide text columns are read only on the detail side, joined to the winners
+    ranking = p[p.find("WindowGroupLimit"):]
+    assert "body_html" not in ranking.split("BroadcastExchange")[0]
