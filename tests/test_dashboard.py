@@ -146,3 +146,14 @@ def test_overview_approx_distinct(sessions, messages):
     ap = {r.tenant_id: r.active_sessions for r in
           D.overview(sessions, messages, "2024-01-10 06:00:00", approx_distinct=True).collect()}
     assert ex == ap          # small cardinalities are exact in HyperLogLog++
+
+
+def test_argument_bounds_are_checked(sessions, messages):
+    with pytest.raises(ValueError):
+        D.message_volume(messages, AS_OF, days=0)
+    with pytest.raises(ValueError):
+        D.cost_breakdown(messages, AS_OF, days=91)
+    with pytest.raises(ValueError):
+        D.top_products(messages, messages, AS_OF, limit=101)
+    with pytest.raises(ValueError):
+        D.sessions_over_time(sessions, AS_OF, days=366)
