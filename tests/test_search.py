@@ -161,3 +161,13 @@ def test_vector_stage_sees_only_newest_capped_candidates(products):
     assert sorted(x.id for x in r) == [4]                # 3 has no embedding
     r = search_products(products, T, query_vec=[1.0, 0.0], k=5, candidate_cap=3).collect()
     assert sorted(x.id for x in r) == [1, 4]
+
+
+def test_listing_page_bounds(spark, products):
+    images = spark.createDataFrame([], "id long, product_id long, tenant_id string, position int, src string")
+    with pytest.raises(ValueError):
+        catalogue_listing(products, images, tenant_id=T, limit=0)
+    with pytest.raises(ValueError):
+        catalogue_listing(products, images, tenant_id=T, limit=100, offset=9_950)
+    with pytest.raises(ValueError):
+        catalogue_listing(products, images, tenant_id=T, sort="random")
