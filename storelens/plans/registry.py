@@ -375,7 +375,7 @@ def q_rate_window(spark, sf):
 
 
 @register("sessionise", """
-, g AS (
+WITH g AS (
   SELECT user_id, CAST(ts AS TIMESTAMP) AS ts,
          CASE WHEN lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
                 OR CAST(ts AS TIMESTAMP) - lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts)
@@ -385,7 +385,7 @@ def q_rate_window(spark, sf):
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 3600 SECOND AS session_end,
        count(*) AS event_count, min(ts) AS first_ts, max(ts) AS last_ts
 FROM s GROUP BY user_id, sid
-""".replace(", g AS", "WITH g AS", 1))
+""")
 def q_sessionise(spark, sf):
     from storelens.operators.sessions import sessionise
     return sessionise(_t(spark, sf, "events").select("user_id", "ts"), "user_id", "ts", 3600)
