@@ -20,6 +20,20 @@ from storelens.schemas import HISTORY_CAP, RATE_LIMIT, RATE_WINDOW_SECONDS, SESS
 WATERMARK = "1 hour"
 
 
+def _expire_or_keep(state, deadline_ms: int) -> None:
+    """Set the event-time timeout, or drop the state if that time has already
+    passed (late rows for an idle key): Spark refuses timeouts older than the
+    current watermark."""
+    try:
+        wm = state.getCurrentWatermarkMs()
+    except Exception:  # noqa: BLE001 - no watermark defined
+        wm = None
+    if wm is not None and wm > 0 and deadline_ms <= wm:
+        state.remove()
+    else:
+        state.setTimeoutTimestamp(deadline_ms)
+
+
 def _event_time(df: DataFrame, col: str, watermark: str | None) -> DataFrame:
     # withWatermark needs TIMESTAMP (not TIMESTAMP_NTZ)
     out = df.withColumn(col, F.col(col).cast("timestamp"))
@@ -170,7 +184,8 @@ def stream_recent_history(messages: DataFrame, n: int = HISTORY_CAP, ttl_seconds
         state.update((allm["message_id"].astype("int64").tolist(), allm["role"].tolist(),
                       allm["content"].tolist(), times))
         last_ms = int(allm["created_at"].max().value // 1_000_000)
-        state.setTimeoutTimestamp(last_ms + ttl_ms)
+        if watermark:
+            _expire_or_keep(state, last_ms + ttl_ms)
         out = allm.assign(tenant_id=key[0], session_id=key[1],
                           position=range(1, len(allm) + 1))
         yield out[["tenant_id", "session_id", "position", "message_id", "role", "content", "created_at"]]
@@ -216,8 +231,8 @@ def stream_rate_limit(requests: DataFrame, key: str, id_col: str, ts_col: str =
                 ok.append(True)
             inwin.append(len(admitted))
         state.update((admitted,))
-        if admitted:
-            state.setTimeoutTimestamp(int(max(admitted) // 1000) + window_seconds * 1000)
+        if admitted and watermark:
+            _expire_or_keep(state, int(max(admitted) // 1000) + window_seconds * 1000)
         yield pd.DataFrame({"key": k[0], "request_id": batch["_id"].to_numpy(), "ts": batch["_ts"].to_numpy(),
                             "admitted": ok, "in_window": inwin})
 
