@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import quality, simhash, toxicity
-from .common import fold
+from . import chat, lm, mixing, quality, simhash, tokens, toxicity, warc
+from .common import discard, fold, shared_folder, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +40,76 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """The tokenizers file that op7 and the pipeline encode with."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    configure(spark)
+    return mixing.shares(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+def written_tokens(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Digests of the ids of ``docs``, written and read back; the files go."""
+    folder = shared_folder(spark, "tokens")
+    files = tokens.write(docs, folder, vocabulary())
+    rows, _ = stored(tokens.read_digests(files), "token-digests")
+    discard(spark, folder)
+    return rows
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, read back from the Arrow files."""
+    configure(spark)
+    return written_tokens(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation and of one full of control strings."""
+    configure(spark)
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    pieces, _ = stored(chat.format_conversations(turns.unionByName(extra)), "chat")
+    return chat.digests(pieces)
+
+
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document; a seventh of the ids is held out."""
+    configure(spark)
+    held_out = fold("doc_id", 7) == 2
+    return lm.score(table(spark, sf_dir, "documents"), training=~held_out).select(
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back from the archives."""
+    configure(spark)
+    folder = shared_folder(spark, "warc")
+    files = warc.archive(table(spark, sf_dir, "pages"), folder)
+    rows, _ = stored(warc.read(files).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-records")
+    discard(spark, folder)
+    return rows
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
+    "op6_mixing": op6_mixing,
+    "op7_tokens": op7_tokens,
+    "op8_chat": op8_chat,
+    "op9_lm": op9_lm,
+    "op10_warc": op10_warc,
 }
 
 _COMMON = ", ".join(
@@ -118,4 +186,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
-ORACLE = {"op4_quality": _OP4}
+# op8: the template's marks are constants; a backslash or a control string
+# costs one more character.
+_CONTROLS = "|".join([r"\\"] + [re.escape(c) for c in chat.CONTROLS])
+_OP8 = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
+  sum({len(chat.TURN) + len(chat.TURN_END) + 2} + length(role) + length(text)
+      + len(regexp_extract_all(text, '{_CONTROLS}')) + len(regexp_extract_all(role, '{_CONTROLS}|\n'))
+  )::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+# op10: base32 takes four characters from each five hexadecimal digits.
+_OP10 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT h, max(page_id) AS responds FROM p GROUP BY h)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)),
+    'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = responds THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> responds THEN responds END AS refers_to
+FROM p JOIN r USING (h)
+"""
+
+ORACLE = {"op4_quality": _OP4, "op8_chat": _OP8, "op10_warc": _OP10}
