@@ -1,4 +1,75 @@
-"""Corpus pipeline over ``documents``."""
-STAGES = []
+"""Corpus pipeline over ``documents``: each stage calls one operator of
+``storelens.llm``, works on all rows that the stage before kept, and is
+written as Parquet in the shared folder before the next one reads it.
+
+Rows with a null id or text pass every stage without failing: a row without
+text has no language and goes at the first stage; the result of a stage on no
+rows is no rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storelens.llm import decontam, langid, mixing, simhash
+from storelens.llm.common import stored
+from storelens.llm.queries import table, written_tokens
+from storelens.session import configure
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; the text models are learned from them."""
+    configure(spark)
+    found = langid.identify(langid.of_documents(docs), langid.train(docs))
+    kept = found.where("accepted").select(F.col("id").alias("kept_id_")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id_"), "left_semi").select(*COLUMNS)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each near-duplicate group."""
+    configure(spark)
+    groups = simhash.near_duplicates(docs)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id_")).distinct()
+    return (docs.join(kept, F.col("doc_id") == F.col("kept_id_"), "left_semi").select(*COLUMNS)
+            .dropDuplicates(["doc_id"]))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    configure(spark)
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix draws them."""
+    configure(spark)
+    return mixing.mix(docs).select(*COLUMNS)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the mix, written as Arrow files and read back."""
+    configure(spark)
+    return written_tokens(spark, docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_dedup", simhash_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("token_output", token_output),
+]
+
+# learned models, hashes and a tokenizer: not expressible in SQL
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs, _ = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

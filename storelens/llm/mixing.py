@@ -6,8 +6,8 @@ source's size, and the excess is shared again by weight.
 
 Draws: a source's documents are dealt into blocks by a hash of the id.  A
 pass over a source takes its blocks in an order permuted for the pass; as
-many passes and blocks are drawn as the target needs, the last block up to
-the document that comes nearest.  That fixes each source's quota of blocks.
+many passes and blocks are drawn as the target needs, the last block only
+in part, as near as its documents allow.  That fixes each source's quota of blocks.
 A binary tree over the output shards then splits the quotas: at each node the
 left half's number of blocks is fixed and its sources follow a multivariate
 hypergeometric distribution, so the shards are as even as they would be after
@@ -169,11 +169,17 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
         F.array_sort(F.collect_list(F.struct("pass", "shard", "place"))).alias("draws"))  # max_passes at most
     taken = blocks.select("rank", "block", "before").join(listed, ["rank", "block"])
 
-    # the last pass ends at the document that comes nearest to the target
-    inside = Window.partitionBy("rank", "block").orderBy("h", "id").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    units = units.withColumn("upto", F.sum("size").over(inside)).join(taken, ["rank", "block"], "left")
-    last = F.col("before") + F.col("upto") - F.col("size") / 2 <= F.col("rest")
+    # the last pass takes the documents of its last block that fit in order, then
+    # the one whose size comes nearest to what is still missing
+    inside = Window.partitionBy("rank", "block")
+    upto = inside.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    units = units.withColumn("upto", F.sum("size").over(upto)).join(taken, ["rank", "block"], "left")
+    units = units.withColumn("fits", F.coalesce(F.col("before") + F.col("upto") <= F.col("rest"), F.lit(False)))
+    units = units.withColumn("missing", F.col("rest") - F.col("before") - F.coalesce(
+        F.sum(F.when(F.col("fits"), F.col("size"))).over(inside), F.lit(0)))
+    off = F.abs(F.col("size") - F.col("missing"))
+    units = units.withColumn("choice", F.row_number().over(inside.orderBy("fits", off, "h", "id")))
+    last = F.col("fits") | ((F.col("choice") == 1) & (off < F.col("missing")))
     decisions = units.select("id", "source", "source_size", "target", F.coalesce(F.filter(
         "draws", lambda d: (d["pass"] < F.col("whole")) | last), F.expr(f"CAST(array() AS {DRAW_DDL})")
     ).alias("draws"))

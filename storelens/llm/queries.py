@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat, lm, mixing, quality, simhash, tokens, toxicity, warc
+from . import chat, decontam, langid, lm, mixing, quality, simhash, tokens, toxicity, warc
 from .common import discard, fold, shared_folder, stored
 
 
@@ -26,6 +26,32 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, one row each with its items."""
+    configure(spark)
+    found = decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", F.lit(True).alias("contaminated"), F.size("leaks").alias("n_items"),
+        F.col("leaks.item").alias("item_ids"), F.array_max("leaks.lcs").alias("lcs"),
+        F.array_max("leaks.cosine").alias("cosine"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every web page and of every document.
+
+    Documents carry their doc_id; page p has -1 - p as doc_id, and its page_id.
+    """
+    configure(spark)
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = langid.train(docs)
+    # one fusion: what a declared tag says is learned from both tables
+    rows = langid.of_documents(docs).unionByName(
+        langid.of_pages(pages).withColumn("id", -1 - F.col("id")))
+    return langid.identify(rows, model).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < 0, -1 - F.col("id")).alias("page_id"),
+        "declared", "host", "suffix", "lang", "probability", "accepted")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and divergence verdict of every document."""
     configure(spark)
@@ -103,6 +129,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontamination": op2_decontamination,
+    "op3_langid": op3_langid,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
