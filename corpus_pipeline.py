@@ -2,9 +2,10 @@
 ``storelens.llm``, works on all rows that the stage before kept, and is
 written as Parquet in the shared folder before the next one reads it.
 
-Rows with a null id or text pass every stage without failing: a row without
-text has no language and goes at the first stage; the result of a stage on no
-rows is no rows.
+Defined results: a row with a null id can't be named by a verdict and goes at
+the first stage, as does one without a letter; of rows with the same id one
+stays after the second stage; the result of a stage on no rows is no rows;
+further columns of ``documents`` aren't carried on.
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """Language ID: Bayesian fusion of text and address evidence.
 
-Evidence of a row: the text's likelihood under byte-trigram models of each
+Evidence of a row: the text's likelihood under models of letter trigrams (bytes) of each
 language and of no language (all trigrams alike); the declared language of
 its markup; the suffix of its host; the host itself.  What a declaration, a
 suffix or a host says is learned from the rows: each row's text posterior is
@@ -9,8 +9,8 @@ host to suffix to all rows (a row's own share is left out of its host).  The
 sum of the logarithms is the posterior; a row is accepted if its best
 language is a language and has at least the limit.
 
-Defined results: a row without three bytes of text has no text evidence and
-isn't accepted; a null or unreadable declaration, address or host is no
+Defined results: a row without a letter has no text evidence and isn't
+accepted; a null or unreadable declaration, address or host is no
 evidence; ties go to the first language in code order; without any labelled
 row the only hypothesis is no language, and nothing is accepted; repeated
 rows are judged alike, one result row each; an empty table gives an empty
@@ -56,20 +56,22 @@ class Model:
     logs: np.ndarray
 
 
-_ASCII_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint32)
+# A-Z in lower case; every other ASCII character but a-z is a space.
+_LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32
+                     for c in range(256)], dtype=np.uint32)
 
 
 def _trigrams(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, bucket) of each byte trigram, A-Z lower-cased."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    raw = _ASCII_LOWER[np.frombuffer(b"".join(texts), dtype=np.uint8)]
-    if len(raw) < 3:
-        return np.empty(0, np.int64), np.empty(0, np.uint32)
+    """(text index, bucket) of each trigram of letters and spaces; a text stands
+    between spaces, and what has two spaces side by side is left out."""
+    sizes = np.array([len(t) + 2 for t in texts], dtype=np.int64)
+    raw = _LETTERS[np.frombuffer(b"".join(b" %b " % t for t in texts), dtype=np.uint8)]
     codes = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
     codes = (codes * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
     of = np.repeat(np.arange(len(texts)), sizes)
-    whole = of[:-2] == of[2:]
-    return of[:-2][whole], codes[whole]
+    space = raw == 32
+    use = (of[:-2] == of[2:]) & ~(space[1:-1] & (space[:-2] | space[2:]))
+    return of[:-2][use], codes[use]
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
