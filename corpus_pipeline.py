@@ -11,10 +11,9 @@ further columns of ``documents`` aren't carried on.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from storelens.llm import decontam, langid, mixing, simhash
-from storelens.llm.common import stored
+from storelens.llm.common import keep_ids, stored
 from storelens.llm.queries import table, written_tokens
 from storelens.session import configure
 
@@ -25,17 +24,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; the text models are learned from them."""
     configure(spark)
     found = langid.identify(langid.of_documents(docs), langid.train(docs))
-    kept = found.where("accepted").select(F.col("id").alias("kept_id_")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id_"), "left_semi").select(*COLUMNS)
+    return keep_ids(docs, "doc_id", found.where("accepted").select("id")).select(*COLUMNS)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each near-duplicate group."""
     configure(spark)
     groups = simhash.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id_")).distinct()
-    return (docs.join(kept, F.col("doc_id") == F.col("kept_id_"), "left_semi").select(*COLUMNS)
-            .dropDuplicates(["doc_id"]))
+    kept = keep_ids(docs, "doc_id", groups.where("doc_id = component_id").select("doc_id"))
+    return kept.select(*COLUMNS).dropDuplicates(["doc_id"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

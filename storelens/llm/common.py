@@ -43,6 +43,20 @@ def n_words(col: str | Column) -> Column:
         F.size(F.split(text, SPACE_CLASS))).cast("long")
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have (names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def keep_ids(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``key`` is (``left_anti``: isn't) in the one column of ``ids``."""
+    name = free_name(df, "found_id")
+    return df.join(ids.toDF(name).distinct(), F.col(key) == F.col(name), how)
+
+
 def pieces(texts: list[bytes], limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs [lo, hi) of texts of about ``limit`` bytes; a longer text stands alone."""
     lo, size = 0, 0

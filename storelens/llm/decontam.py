@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, pieces, stored, utf8
+from .common import hash_words, keep_ids, mix, pieces, stored, utf8
 
 
 @dataclass(frozen=True)
@@ -71,11 +71,13 @@ def _buckets(words: list[bytes], bits: int) -> np.ndarray:
 
 def passages(benchmark: DataFrame, key: str = "item_id", text: str = "text", answer: str | None = None,
              params: DecontamParams = DecontamParams()) -> DataFrame:
-    """(item, part, parts, words, answer): items cut into passages of
-    ``stride`` words at most, evenly; the answer goes with the last one."""
+    """(item, part, parts, words, answer, reach): items cut into passages of
+    ``stride`` words at most, evenly.  The answer of the item is looked for up
+    to ``reach`` words around each of its passages; without one a passage's
+    own closing words stand for it."""
     p = params
     schema = pa.schema([("item", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()),
-                        ("words", pa.list_(pa.binary())), ("answer", pa.list_(pa.binary()))])
+                        ("words", pa.list_(pa.binary())), ("answer", pa.list_(pa.binary())), ("reach", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,14 +87,16 @@ def passages(benchmark: DataFrame, key: str = "item_id", text: str = "text", ans
                 parts = -(-len(words) // p.stride)
                 for k in range(parts):
                     own = words[len(words) * k // parts:len(words) * (k + 1) // parts]
-                    last = (words_of(answer) if answer and k == parts - 1 else []) or own[-p.answer_words:]
-                    out.append({"item": item, "part": k, "parts": parts, "words": own, "answer": last})
+                    told = words_of(answer)
+                    out.append({"item": item, "part": k, "parts": parts, "words": own,
+                                "answer": told or own[-p.answer_words:],
+                                "reach": len(words) + len(told) if told else 0})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return benchmark.select(
         F.col(key).cast("long").alias("item"), utf8(text).alias("t"),
         utf8(answer) if answer else F.lit(b"").alias("a")).mapInArrow(
-        run, "item long, part int, parts int, words array<binary>, answer array<binary>")
+        run, "item long, part int, parts int, words array<binary>, answer array<binary>, reach int")
 
 
 def _frequencies(docs: DataFrame, text: str, known: np.ndarray, p: DecontamParams) -> tuple[np.ndarray, int]:
@@ -292,6 +296,7 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         words = [r["words"] for r in block]
         words = [[bytes(w) for w in x] for x in words]
         answers = [[bytes(w) for w in r["answer"]] for r in block]
+        reach = [r["reach"] for r in block]
         names = [(r["item"], r["parts"]) for r in block]
         items = np.zeros((len(block), space.vectors.shape[1]), dtype=np.float32)
         for i, own in enumerate(words):
@@ -304,9 +309,11 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
             lo = max(0, stride * p.stride - p.stride // 2)
             near = doc[lo:stride * p.stride + p.window + p.stride // 2]
             share = lcs_length(words[i], near) / len(words[i])
-            if share < p.lcs or lcs_length(answers[i], near) < p.answer * len(answers[i]):
+            if share < p.lcs:
                 return 0.0
-            return share
+            if reach[i]:
+                near = doc[max(0, lo - reach[i]):stride * p.stride + p.window + reach[i]]
+            return share if lcs_length(answers[i], near) >= p.answer * len(answers[i]) else 0.0
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -351,6 +358,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
           params: DecontamParams = DecontamParams(), **names) -> DataFrame:
     """The rows of ``docs`` without a leak, with their columns; rows with a null
     id are kept, as no result can name them."""
-    found, _ = stored(search(docs, benchmark, key, text, params=params, **names)
-                      .select(F.col(key).alias("leaked_id_")).distinct(), "leaks")
-    return docs.join(found, F.col(key) == F.col("leaked_id_"), "left_anti")
+    found, _ = stored(search(docs, benchmark, key, text, params=params, **names).select(key), "leaks")
+    return keep_ids(docs, key, found, "left_anti")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import free_name, n_words, stored
 
 
 @dataclass(frozen=True)
@@ -186,20 +186,23 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return rows, stored(decisions, "mix-decisions")[0]
 
 
-def _placed(rows: DataFrame, decisions: DataFrame, key: str, source: str) -> DataFrame:
-    named = decisions.select(*[F.col(c).alias(f"mix_{c}_") for c in decisions.columns])
-    return rows.join(named, F.col(key).eqNullSafe(F.col("mix_id_"))
-                     & F.col(source).eqNullSafe(F.col("mix_source_")))
+def _placed(rows: DataFrame, decisions: DataFrame, key: str, source: str) -> tuple[DataFrame, dict[str, str]]:
+    """Rows with their decision, whose columns get the returned names."""
+    names = {c: free_name(rows, f"mix_{c}") for c in decisions.columns}
+    named = decisions.select(*[F.col(c).alias(n) for c, n in names.items()])
+    return rows.join(named, F.col(key).eqNullSafe(F.col(names["id"]))
+                     & F.col(source).eqNullSafe(F.col(names["source"]))), names
 
 
 def shares(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
            params: MixParams = MixParams()) -> DataFrame:
     """(key, size, source_size, target, taken, draws) of every document."""
     rows, decisions = decide(docs, key, text, source, params)
-    return _placed(rows, decisions, "id", "source").select(
-        F.col("id").alias(key), "size", F.col("mix_source_size_").alias("source_size"),
-        F.col("mix_target_").alias("target"), (F.col("size") * F.size("mix_draws_")).alias("taken"),
-        F.col("mix_draws_").alias("draws"))
+    rows, names = _placed(rows, decisions, "id", "source")
+    return rows.select(
+        F.col("id").alias(key), "size", F.col(names["source_size"]).alias("source_size"),
+        F.col(names["target"]).alias("target"), (F.col("size") * F.size(names["draws"])).alias("taken"),
+        F.col(names["draws"]).alias("draws"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
@@ -210,10 +213,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     dealt by shard and shuffled inside it.
     """
     _, decisions = decide(docs, key, text, source, params)
-    rows = _placed(docs, decisions, key, source).withColumn("mix_draw_", F.explode("mix_draws_"))
+    rows, names = _placed(docs, decisions, key, source)
+    draw, order = free_name(rows, "mix_draw"), free_name(rows, "mix_order")
+    rows = rows.withColumn(draw, F.explode(names["draws"]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     if shard is None:
-        return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
-    order = F.xxhash64("mix_id_", "mix_draw_.pass", "mix_draw_.shard", F.lit(params.seed))
-    return (rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("mix_draw_.shard").alias(shard),
-                        order.alias("mix_order_"))
-            .repartition(F.col(shard)).sortWithinPartitions(shard, "mix_order_").drop("mix_order_"))
+        return rows.select(*columns)
+    place = F.xxhash64(names["id"], f"{draw}.pass", f"{draw}.shard", F.lit(params.seed))
+    return (rows.select(*columns, F.col(f"{draw}.shard").alias(shard), place.alias(order))
+            .repartition(F.col(shard)).sortWithinPartitions(shard, order).drop(order))
