@@ -29,33 +29,64 @@ def trailing(df: DataFrame, ts_col: str, as_of, *, days: int = 0, hours: int = 0
 
     Dashboard windows use the strict lower bound, latency windows the
     inclusive one.  Both are plain range predicates, so Parquet min/max
-    statistics prune row groups.
+    statistics prune row groups; a stored log's ``day`` folders are pruned too.
     """
     end = as_ts(as_of)
     span = F.make_dt_interval(F.lit(days), F.lit(hours), F.lit(minutes), F.lit(seconds))
     start = end - span
     ts = F.col(ts_col)
     lower = ts >= start if inclusive else ts > start
-    return df.where(lower & (ts <= end))
+    return within_days(df, start, end).where(lower & (ts <= end))
+
+
+def within_days(df: DataFrame, start: Column, end: Column | None = None) -> DataFrame:
+    """Only the ``day`` folders between two instants, where the frame has days."""
+    if "day" not in df.columns:
+        return df
+    days = F.col("day") >= F.to_date(start)
+    return df.where(days if end is None else days & (F.col("day") <= F.to_date(end)))
 
 
 def top_k_per_group(df: DataFrame, partition_cols: list, order_cols: list, k: int,
                     rank_col: str = "rank") -> DataFrame:
     """Rows ranked 1..k within each group.
 
-    ``row_number() <= k`` lets Spark insert a partial WindowGroupLimit before
-    the shuffle, so each map task ships at most k rows per group: a hot group
-    costs k rows per task, never its full size.
+    For k up to ``PARTIAL_LIMIT`` Spark inserts a partial WindowGroupLimit
+    before the shuffle, so each map task ships at most k rows per group: a hot
+    group costs k rows per task, never its full size.  A larger k ships whole
+    groups; ``page_of_group`` reads deep pages without that.
     """
     w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def require_small(df: DataFrame, max_rows: int, what: str) -> None:
-    """Size check for a side we broadcast or compile into an expression."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"{what} has more than {max_rows} rows; refusing to broadcast it")
+# Beyond this rank Spark plans no partial limit in the map tasks.
+PARTIAL_LIMIT = 1000
+
+
+def page_of_group(df: DataFrame, group: str, order_cols: list, bucket_key: Column, limit: int, offset: int,
+                  rank_col: str = "rank") -> DataFrame:
+    """Rows offset+1 .. offset+limit of each group in the given order.
+
+    A page within the first ``PARTIAL_LIMIT`` rows is a plain top-k.  Beyond
+    it a group is counted by ranges of ``bucket_key`` (a number that the order
+    descends by first): ranges that lie wholly before or after the page are
+    only counted, and just the rows of the ranges that the page touches are
+    ranked - so a deep page sorts about a range of the group, not the group.
+    """
+    if offset + limit <= PARTIAL_LIMIT:
+        return top_k_per_group(df, [group], order_cols, offset + limit, rank_col).where(F.col(rank_col) > offset)
+    day = F.floor(bucket_key / F.lit(86_400)).alias("_bucket")
+    counts = df.groupBy(group, day).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(group).orderBy(F.col("_bucket").desc())
+    counts = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_before", F.col("_upto") - F.col("_n"))
+    touched = counts.where((F.col("_upto") > offset) & (F.col("_before") < offset + limit)) \
+                    .select(group, "_bucket", "_before")
+    rows = df.withColumn("_bucket", day).join(touched, [group, "_bucket"])
+    inside = Window.partitionBy(group, "_bucket").orderBy(*order_cols)
+    return rows.withColumn(rank_col, F.row_number().over(inside) + F.col("_before")) \
+               .where((F.col(rank_col) > offset) & (F.col(rank_col) <= offset + limit)) \
+               .drop("_bucket", "_before")
 
 
 def round_doubles(df: DataFrame, digits: int = 6, keep: tuple = (), **per_column: int) -> DataFrame:

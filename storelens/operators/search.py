@@ -126,7 +126,7 @@ def ids_from_array(df: DataFrame, array_col: str, key: list) -> DataFrame:
 
 def semantic_within(products: DataFrame, ids: DataFrame | None) -> DataFrame:
     """Restrict to candidate ids; an absent or empty list means no restriction."""
-    if ids is None:
+    if ids is None or ids.isEmpty():
         return products
     return products.join(ids.select("id").distinct(), "id", "left_semi")
 

@@ -46,7 +46,6 @@ UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0
 
 # Argument bounds.
 K_DEFAULT, K_MIN, K_MAX = 5, 1, 25
-CANDIDATE_CAP = 1000
 DASHBOARD_DAYS = (1, 90)
 EXPORT_DAYS = (1, 365)
 TOP_LIMIT = (1, 100)
@@ -177,6 +176,7 @@ SESSIONS = T.StructType([
     T.StructField("avg_latency_ms", T.DoubleType()),
     T.StructField("max_latency_ms", T.LongType()),
     T.StructField("min_latency_ms", T.LongType()),
+    T.StructField("latency_count", T.LongType()),
 ])
 
 PRODUCT_EVENTS = T.StructType([
@@ -192,3 +192,38 @@ MODEL_PRICES = T.StructType([
     T.StructField("input", T.DoubleType(), False),
     T.StructField("output", T.DoubleType(), False),
 ])
+
+
+MONEY, MONEY_3, MONEY_4, MONEY_6 = (T.DecimalType(10, d) for d in (2, 3, 4, 6))
+
+
+def _fields(**types) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in types.items()])
+
+
+_S, _L, _I, _B, _TS = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.TimestampType()
+
+TENANTS = _fields(
+    tenant_id=_S, name=_S, description=_S, brand_voice=_S, store_url=_S, logo_url=_S,
+    settings=T.MapType(_S, _S), created_at=_TS, updated_at=_TS)
+
+PRODUCTS = _fields(
+    id=_L, tenant_id=_S, source_id=_L, handle=_S, title=_S, body_html=_S, vendor=_S, product_type=_S, tags=_S,
+    status=_S, template_suffix=_S, published_scope=_S, source_api_id=_S, published_at=_TS, min_price=MONEY,
+    max_price=MONEY, has_discount=_B, options=T.MapType(_S, T.ArrayType(_S)), embedding_json=_S,
+    embedding=T.ArrayType(T.FloatType()), created_at=_TS, updated_at=_TS)
+
+IMAGES = _fields(
+    id=_L, product_id=_L, tenant_id=_S, source_image_id=_L, source_product_id=_L, alt=_S, position=_I, width=_I,
+    height=_I, src=_S, source_api_id=_S, variant_ids=T.ArrayType(_L), created_at=_TS, updated_at=_TS)
+
+VARIANTS = _fields(
+    id=_L, product_id=_L, tenant_id=_S, source_variant_id=_L, source_product_id=_L, title=_S, price=MONEY,
+    compare_at_price=MONEY, position=_I, inventory_policy=_S, option1=_S, option2=_S, option3=_S, sku=_S, barcode=_S,
+    grams=_I, weight=MONEY_3, weight_unit=_S, inventory_item_id=_L, inventory_quantity=_I, old_inventory_quantity=_I,
+    inventory_management=_S, fulfillment_service=_S, taxable=_B, requires_shipping=_B, source_api_id=_S, image_id=_L,
+    source_image_id=_L, created_at=_TS, updated_at=_TS)
+
+# Stored tables by name.
+TABLES = {"tenants": TENANTS, "products": PRODUCTS, "images": IMAGES, "variants": VARIANTS,
+          "messages": MESSAGES, "sessions": SESSIONS, "product_events": PRODUCT_EVENTS}

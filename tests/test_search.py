@@ -145,13 +145,51 @@ def test_catalogue_listing_pagination_and_sorts(spark, products):
     assert sorted(r.id for r in acc) == [1, 2]
 
 
-def test_batch_search_plan_is_partial_topk_and_broadcast(spark, products):
+def test_batch_search_plan_moves_no_vector_and_no_pair(spark, products):
     q = spark.createDataFrame([(1, T, None, None, None, None, [1.0, 0.0], 3)],
                               "query_id long, tenant_id string, product_type string, min_price double, "
                               "max_price double, has_discount boolean, query_vec array<double>, k int")
     plan = search_batch(products, q)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+    moved = [line for line in plan.split("\n") if "Exchange" in line or "Sort [" in line]
+    assert moved and not any("embedding" in line or "query_vec" in line for line in moved)
+    assert "MapInArrow" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_batch_k_is_the_rows_own(spark, products):
+    many = spark.range(1, 101).select(
+        F.col("id"), F.lit(T).alias("tenant_id"), F.concat(F.lit("P"), "id").alias("title"), F.lit("A").alias("product_type"),
+        F.lit("").alias("body_html"), F.lit("").alias("tags"), F.lit(1.0).alias("min_price"), F.lit(2.0).alias("max_price"),
+        F.lit(True).alias("has_discount"), F.expr("map('c', array('x'))").alias("options"),
+        F.timestamp_seconds(F.col("id")).alias("updated_at"),
+        F.array(F.lit(1.0), F.col("id").cast("double")).cast("array<float>").alias("embedding"))
+    schema = ("query_id long, tenant_id string, product_type string, min_price double, max_price double, "
+              "has_discount boolean, query_vec array<double>, k int")
+    q = spark.createDataFrame([(1, T, None, None, None, None, [1.0, 0.0], 50), (2, T, None, None, None, None, [1.0, 0.0], None),
+                               (3, T, None, None, None, None, None, 60), (4, None, None, None, None, None, None, 2),
+                               (5, T, "A", None, None, None, [1.0, 0.0, 0.0], 3), (6, T, None, None, None, None, [0.0, 0.0], 2)], schema)
+    got = {}
+    for r in search_batch(many.repartition(3), q).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, r.similarity))
+    assert sorted((a, b) for a, b, _ in got[1]) == [(i, i) for i in range(1, 51)]
+    assert len(got[2]) == 5 and 4 not in got
+    assert sorted((a, b) for a, b, _ in got[3]) == [(i, 101 - i) for i in range(1, 61)]
+    # vectors of another length or of norm zero have no similarity: ties on id
+    assert sorted(got[5]) == [(1, 1, None), (2, 2, None), (3, 3, None)] and sorted(got[6]) == [(1, 1, None), (2, 2, None)]
+    with pytest.raises(ValueError):
+        search_batch(many, q.withColumn("k", F.lit(0)))
+
+
+def test_batch_in_small_blocks_equals_one_block(spark, products, monkeypatch):
+    from storelens.plans import search
+    schema = ("query_id long, tenant_id string, product_type string, min_price double, max_price double, "
+              "has_discount boolean, query_vec array<double>, k int")
+    q = spark.createDataFrame([(i, [T, "t2"][i % 2], [None, "Nope", "Accessories"][i % 3], None, None, None,
+                                [float(i), 1.0] if i % 4 else None, 3) for i in range(12)], schema)
+    key = lambda df: sorted((r.query_id, r.rank, r.id) for r in df.collect())
+    whole = key(search_batch(products, q))
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 5)
+    monkeypatch.setattr(search, "SLICE_ROWS", 1)
+    assert whole and key(search_batch(products, q)) == whole
 
 
 def test_vector_stage_sees_only_newest_capped_candidates(products):
@@ -168,6 +206,23 @@ def test_listing_page_bounds(spark, products):
     with pytest.raises(ValueError):
         catalogue_listing(products, images, tenant_id=T, limit=0)
     with pytest.raises(ValueError):
-        catalogue_listing(products, images, tenant_id=T, limit=100, offset=9_950)
+        catalogue_listing(products, images, tenant_id=T, offset=-1)
     with pytest.raises(ValueError):
         catalogue_listing(products, images, tenant_id=T, sort="random")
+
+
+def test_deep_pages_equal_the_sorted_list(spark):
+    from storelens.operators.common import page_of_group
+    rows = spark.range(5000).select(
+        "id", F.concat(F.lit("t"), F.col("id") % 2).alias("tenant_id"),
+        F.when(F.col("id") % 11 > 0, F.timestamp_seconds((F.col("id") * 7919) % 700_000)).alias("updated_at"))
+    order = lambda r: (r.updated_at is not None, -(r.updated_at.timestamp() if r.updated_at else 0), r.id)
+    all_ = {t: sorted((r for r in rows.collect() if r.tenant_id == t), key=order) for t in ("t0", "t1")}
+    for limit, offset in ((100, 0), (100, 990), (100, 2000), (7, 2495), (3000, 100)):
+        got = page_of_group(rows, "tenant_id", [F.col("updated_at").desc_nulls_first(), F.col("id").asc()],
+                            F.coalesce(F.unix_seconds("updated_at"), F.lit(2 ** 62)), limit, offset, "pos")
+        want = [(t, offset + i + 1, r.id) for t in all_ for i, r in enumerate(all_[t][offset:offset + limit])]
+        assert sorted((r.tenant_id, r.pos, r.id) for r in got.collect()) == sorted(want)
+    deep = page_of_group(rows, "tenant_id", [F.col("updated_at").desc_nulls_first(), F.col("id").asc()],
+                         F.coalesce(F.unix_seconds("updated_at"), F.lit(2 ** 62)), 100, 800)
+    assert "WindowGroupLimit" in deep._jdf.queryExecution().executedPlan().toString()
