@@ -24,13 +24,13 @@ def _spark(app: str) -> SparkSession:
 
 
 def cmd_ingest(a) -> None:
-    from storelens.plans.ingest import ingest_catalog, write_catalog_tables
+    from storelens.plans.ingest import ingest_catalog, read_catalog_tables, write_catalog_tables
     from storelens.sources.catalog import read_catalog_json, read_catalog_ndjson
     spark = _spark("storelens-ingest")
     raw = read_catalog_ndjson(spark, a.input) if a.ndjson else read_catalog_json(spark, a.input)
     current = None
     if a.current:
-        current = {n: spark.read.parquet(f"{a.current}/{n}") for n in ("products", "images", "variants")}
+        current = read_catalog_tables(spark, a.current)
     out = ingest_catalog(raw, a.tenant, current=current, embed=a.embed, materialize_docs=True)
     write_catalog_tables(out, a.out)
     out["summary"].show(truncate=False)
@@ -46,14 +46,14 @@ def cmd_export_daily(a) -> None:
 
 def cmd_stream_sessions(a) -> None:
     from storelens.streaming.metrics import stream_session_metrics
-    from storelens.streaming.sources import file_stream, new_checkpoint, upsert_batch_writer
+    from storelens.streaming.sources import file_stream, sink_checkpoint, upsert_batch_writer
     spark = _spark("storelens-stream-sessions")
     src = file_stream(spark, a.landing, MESSAGES, max_files_per_trigger=a.max_files)
     # session windows support append only: a session is written once closed
     mode = "append" if a.gap else "update"
     w = (stream_session_metrics(src, gap_seconds=a.gap or None).writeStream.outputMode(mode)
          .foreachBatch(upsert_batch_writer(a.out))
-         .option("checkpointLocation", a.checkpoint or new_checkpoint(spark, "sessions")))
+         .option("checkpointLocation", a.checkpoint or sink_checkpoint(a.out)))
     # --once drains what has landed and stops (a scheduled batch run); the
     # checkpoint makes the next run continue where this one ended
     w = w.trigger(availableNow=True) if a.once else w.trigger(processingTime=a.trigger)

@@ -17,6 +17,16 @@ def _num(c: Column) -> Column:
     return F.when(F.length(c) > 0, c).try_cast("double")
 
 
+def _money(c: Column, scale: int = 2) -> Column:
+    """A price as stored: DECIMAL(10, scale), NULL beyond its range."""
+    return c.try_cast(f"decimal(10,{scale})")
+
+
+def _given(raw: DataFrame, name: str) -> Column:
+    """A document field that a source may leave out."""
+    return (F.col(name) if name in raw.columns else F.lit(None).cast("string")).alias(name)
+
+
 def surrogate_id(tenant: Column, natural: Column) -> Column:
     """Deterministic surrogate key: a rerun never renumbers rows."""
     return F.xxhash64(tenant, natural)
@@ -74,8 +84,10 @@ def normalise_products(raw: DataFrame, tenant_id: str) -> DataFrame:
         t.alias("tenant_id"),
         F.col("id").alias("source_id"),
         "handle", "title", "body_html", "vendor", "product_type", "tags", "status",
+        _given(raw, "template_suffix"), _given(raw, "published_scope"),
+        _given(raw, "admin_graphql_api_id").alias("source_api_id"),
         parse_ts("published_at").alias("published_at"),
-        roll["min_price"].alias("min_price"), roll["max_price"].alias("max_price"),
+        _money(roll["min_price"]).alias("min_price"), _money(roll["max_price"]).alias("max_price"),
         roll["has_discount"].alias("has_discount"),
         options_map("options").alias("options"),
         embedding_json().alias("embedding_json"),
@@ -86,8 +98,8 @@ def normalise_products(raw: DataFrame, tenant_id: str) -> DataFrame:
 
 
 def split_rejects(products: DataFrame):
-    """(good, rejects): created_at and updated_at are required."""
-    ok = F.col("created_at").isNotNull() & F.col("updated_at").isNotNull()
+    """(good, rejects): the id, created_at and updated_at are required."""
+    ok = F.col("source_id").isNotNull() & F.col("created_at").isNotNull() & F.col("updated_at").isNotNull()
     return products.where(ok), products.where(~ok)
 
 
@@ -99,10 +111,10 @@ def normalise_images(raw: DataFrame, tenant_id: str) -> DataFrame:
         surrogate_id(t, F.col("i.id")).alias("id"),
         surrogate_id(t, F.col("_pid")).alias("product_id"),
         t.alias("tenant_id"),
-        F.col("i.id").alias("source_image_id"),
+        F.col("i.id").alias("source_image_id"), F.col("_pid").alias("source_product_id"),
         F.col("i.alt").alias("alt"), F.col("i.position").alias("position"),
         F.col("i.width").alias("width"), F.col("i.height").alias("height"),
-        F.col("i.src").alias("src"),
+        F.col("i.src").alias("src"), F.col("i.admin_graphql_api_id").alias("source_api_id"),
         clean_variant_ids(F.col("i.variant_ids")).alias("variant_ids"),
         parse_ts(F.col("i.created_at")).alias("created_at"),
         parse_ts(F.col("i.updated_at")).alias("updated_at"),
@@ -123,15 +135,21 @@ def normalise_variants(raw: DataFrame, tenant_id: str) -> DataFrame:
         surrogate_id(t, F.col("v.id")).alias("id"),
         surrogate_id(t, F.col("_pid")).alias("product_id"),
         t.alias("tenant_id"),
-        F.col("v.id").alias("source_variant_id"),
+        F.col("v.id").alias("source_variant_id"), F.col("_pid").alias("source_product_id"),
         F.col("v.title").alias("title"),
-        nums["price"].alias("price"), nums["compare_at_price"].alias("compare_at_price"),
-        F.col("v.position").alias("position"),
+        _money(nums["price"]).alias("price"), _money(nums["compare_at_price"]).alias("compare_at_price"),
+        F.col("v.position").alias("position"), F.col("v.inventory_policy").alias("inventory_policy"),
         F.col("v.option1").alias("option1"), F.col("v.option2").alias("option2"),
         F.col("v.option3").alias("option3"), F.col("v.sku").alias("sku"),
         F.col("v.barcode").alias("barcode"), F.col("v.grams").alias("grams"),
-        nums["weight"].alias("weight"),
+        _money(nums["weight"], 3).alias("weight"), F.col("v.weight_unit").alias("weight_unit"),
+        F.col("v.inventory_item_id").alias("inventory_item_id"),
         F.col("v.inventory_quantity").alias("inventory_quantity"),
+        F.col("v.old_inventory_quantity").alias("old_inventory_quantity"),
+        F.col("v.inventory_management").alias("inventory_management"),
+        F.col("v.fulfillment_service").alias("fulfillment_service"), F.col("v.taxable").alias("taxable"),
+        F.col("v.requires_shipping").alias("requires_shipping"),
+        F.col("v.admin_graphql_api_id").alias("source_api_id"),
         F.when(own_image, surrogate_id(t, F.col("v.image_id"))).alias("image_id"),
         F.col("v.image_id").alias("source_image_id"),
         parse_ts(F.col("v.created_at")).alias("created_at"),
@@ -186,11 +204,14 @@ def flatten_variants(raw: DataFrame) -> DataFrame:
                        F.col("v.inventory_quantity").alias("inventory_quantity"))
 
 
-def ingest_summary(raw: DataFrame) -> DataFrame:
-    """Products, variants and images in a batch of documents."""
-    return raw.agg(F.count(F.lit(1)).alias("products"),
-                   F.coalesce(F.sum(F.size(F.coalesce("variants", F.array()))), F.lit(0)).cast("long").alias("variants"),
-                   F.coalesce(F.sum(F.size(F.coalesce("images", F.array()))), F.lit(0)).cast("long").alias("images"))
+def ingest_summary(raw: DataFrame, good: Column | None = None) -> DataFrame:
+    """Products, variants and images in a batch of documents, and how many
+    documents succeeded and failed (``good``: those that can be stored)."""
+    good = F.lit(True) if good is None else F.coalesce(good, F.lit(False))
+    size = lambda c: F.coalesce(F.sum(F.when(good, F.size(F.coalesce(c, F.array())))), F.lit(0)).cast("long")
+    return raw.agg(F.count(F.when(good, F.lit(1))).alias("products"), size("variants").alias("variants"),
+                   size("images").alias("images"), F.count(F.when(good, F.lit(1))).alias("successful"),
+                   F.count(F.when(~good, F.lit(1))).alias("failed"))
 
 
 def variants_per_product(flat: DataFrame, key: str = "product_id") -> DataFrame:
@@ -224,6 +245,9 @@ def replace_products(current: DataFrame, incoming: DataFrame, key: list | None =
 
 
 def cascade_children(children: DataFrame, parents_removed: DataFrame, fk: str = "product_id") -> DataFrame:
-    """Children whose parent was deleted or replaced disappear (ON DELETE CASCADE)."""
-    gone = parents_removed.select(F.col("id").alias(fk)).distinct()
-    return children.join(gone, fk, "left_anti")
+    """Children whose parent was deleted or replaced disappear (ON DELETE CASCADE).
+
+    Ids are compared within a tenant where both sides name one."""
+    keys = ["tenant_id"] if "tenant_id" in children.columns and "tenant_id" in parents_removed.columns else []
+    gone = parents_removed.select(*keys, F.col("id").alias(fk)).distinct()
+    return children.join(gone, [*keys, fk], "left_anti")

@@ -7,55 +7,105 @@ frame, and replacement of previously stored products is an anti-join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from storelens.functions.catalog import parse_ts
 from storelens.operators.catalog import (cascade_children, ingest_summary, normalise_images,
                                          normalise_products, normalise_variants, replace_products,
                                          split_rejects)
 from storelens.operators.embed import backfill_embeddings
-from storelens.operators.sessions import latest_per_key
+from storelens.schemas import TABLES
 from storelens.session import materialize
 
+CATALOG_TABLES = ("products", "images", "variants", "rejects")
+
+
+def newest_documents(raw: DataFrame) -> DataFrame:
+    """Of documents with the same id the one with the latest ``updated_at``
+    (as an instant, whatever its offset), then the last in file order.
+
+    Repeated ids are found on narrow rows; the documents themselves are only
+    checked against those few.  Documents without an id all stay.
+    """
+    docs = raw.withColumn("_pos", F.monotonically_increasing_id())
+    place = F.struct(parse_ts("updated_at").alias("at"), F.col("_pos").alias("pos"))
+    repeated = (docs.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("_id"))
+                .agg(F.count(F.lit(1)).alias("_n"), F.max(place)["pos"].alias("_last")).where("_n > 1"))
+    return (docs.join(repeated, F.col("id") == F.col("_id"), "left")
+            .where(F.col("_last").isNull() | (F.col("_pos") == F.col("_last")))
+            .drop("_id", "_n", "_last", "_pos"))
+
 
 def ingest_catalog(raw: DataFrame, tenant_id: str, current: dict | None = None,
                    embed_fn=None, embed: bool = False, materialize_docs: bool = False) -> dict:
     """Normalise a batch of catalogue documents for one tenant.
 
-    * the same source id twice in a batch: the newest ``updated_at`` wins (W5)
-    * documents whose created/updated timestamps do not parse go to
-      ``rejects`` (the reference halts the whole ingest on them)
+    * the same source id twice in a batch: ``newest_documents`` (W5)
+    * documents without an id, or whose created/updated timestamps do not
+      parse, go to ``rejects`` (the reference halts the whole ingest on them)
     * with ``current`` (products, images, variants), re-sent products replace
       their stored rows and their children (M2 with cascade)
-    * ``embed`` backfills vectors with ``embed_fn`` (E1)
+    * ``embed`` backfills vectors with ``embed_fn`` (E1); the embedded products
+      are written once, so each text is embedded once however often the
+      result is read
     * ``materialize_docs`` writes the de-duplicated documents once under
       ``spark.checkpoint.dir`` so the three tables (and a retry after a lost
       executor) read stored Parquet instead of re-parsing the JSON
     """
-    dedup = latest_per_key(raw.withColumn("_upd", F.col("updated_at")), ["id"], ["_upd"]).drop("_upd")
+    dedup = newest_documents(raw)
     if materialize_docs:
         dedup = materialize(dedup, "catalog-docs")
-    products_all = normalise_products(dedup, tenant_id)
-    good, rejects = split_rejects(products_all)
-    good_ids = good.select(F.col("source_id").alias("id"))
-    docs = dedup.join(good_ids, "id", "left_semi")
+    good, rejects = split_rejects(normalise_products(dedup, tenant_id))
+    storable = (F.col("id").isNotNull() & parse_ts("created_at").isNotNull() & parse_ts("updated_at").isNotNull())
+    docs = dedup.where(storable)
     images = normalise_images(docs, tenant_id)
     variants = normalise_variants(docs, tenant_id)
-    if embed:
-        good = backfill_embeddings(good, embed_fn)
     out = {"products": good, "images": images, "variants": variants, "rejects": rejects,
-           "summary": ingest_summary(docs)}
+           "summary": ingest_summary(dedup, storable)}
     if current:
         replaced = current["products"].join(good.select("tenant_id", "source_id"),
                                             ["tenant_id", "source_id"], "left_semi")
-        out["products"] = replace_products(current["products"], good)
         out["images"] = cascade_children(current["images"], replaced).unionByName(images, allowMissingColumns=True)
         out["variants"] = cascade_children(current["variants"], replaced).unionByName(variants,
                                                                                      allowMissingColumns=True)
+    if embed:
+        good = materialize(backfill_embeddings(good, embed_fn), "catalog-embedded")
+        out["products"] = good
+    if current:
+        out["products"] = replace_products(current["products"], good)
     return out
 
 
-def write_catalog_tables(tables: dict, base_path: str, mode: str = "overwrite") -> None:
-    """Write products/images/variants partitioned by tenant (rejects alongside)."""
-    for name in ("products", "images", "variants", "rejects"):
-        if name in tables:
-            tables[name].write.mode(mode).partitionBy("tenant_id").parquet(f"{base_path}/{name}")
+def read_catalog_tables(spark: SparkSession, base_path: str) -> dict:
+    """Stored products, images and variants, with their declared schemas (an
+    empty table has no file to infer one from)."""
+    return {n: spark.read.schema(TABLES[n]).parquet(f"{base_path}/{n}") for n in ("products", "images", "variants")}
+
+
+def write_catalog_tables(tables: dict, base_path: str) -> None:
+    """Write products/images/variants/rejects partitioned by tenant.
+
+    Only the folders of the tenants in ``tables`` are replaced; other tenants
+    stay.  All tables are first written aside, so ``tables`` may be computed
+    from ``base_path`` itself, and a failure while computing changes nothing.
+    A tenant without rows in one of the tables loses its old rows there.
+    """
+    names = [n for n in CATALOG_TABLES if n in tables]
+    ready = {n: materialize(tables[n], f"catalog-new-{n}") for n in names}
+    tenants = None
+    for df in ready.values():
+        ids = df.select("tenant_id").distinct()
+        tenants = ids if tenants is None else tenants.union(ids)
+    tenants = {r["tenant_id"] for r in tenants.distinct().collect()}        # tenants written, not rows
+    for n in names:
+        spark = ready[n].sparkSession
+        path = f"{base_path}/{n}"
+        (ready[n].write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("tenant_id").parquet(path))
+        left = tenants - {r["tenant_id"] for r in ready[n].select("tenant_id").distinct().collect()}
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for t in left:
+            folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(
+                "tenant_id", t)
+            gone = hadoop.Path(f"{path}/{folder}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)

@@ -9,43 +9,65 @@ from storelens.schemas import CATALOG, EXPORT_DAYS, PAGE_FIELDS, check_range
 _WRAPPED = T.StructType([T.StructField("products", T.ArrayType(CATALOG))])
 
 
+_CORRUPT = T.StructField("_corrupt", T.StringType())
+
+
+def _whole(df: DataFrame, what: str) -> DataFrame:
+    """Fail on rows that the reader could not parse, naming their file."""
+    bad = F.col("_corrupt").isNotNull()
+    note = F.concat(F.lit(f"{what} is not valid JSON of products: "), F.input_file_name())
+    return df.where(F.when(bad, F.raise_error(note).cast("boolean")).otherwise(F.lit(True))).drop("_corrupt")
+
+
 def read_catalog_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON file holding a product array or ``{"products": [...]}``.
 
-    The schema is declared, never inferred.  Multi-line JSON is not
-    splittable, so each file is one task; land big catalogues as NDJSON or
+    The schema is declared, never inferred; leading white space and a byte
+    order mark are allowed.  Multi-line JSON is not splittable, so each file
+    is one task, which parses it as a stream; land big catalogues as NDJSON or
     Parquet first (``read_catalog_ndjson``).  Anything else raises.
     """
-    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("doc"))
-    shape = F.when(F.col("doc").startswith("["), F.lit("array")) \
-             .when(F.col("doc").startswith("{"), F.lit("object")).otherwise(F.lit("bad"))
-    parsed = text.select(
-        shape.alias("_shape"),
-        F.when(shape == "array", F.from_json("doc", T.ArrayType(CATALOG))).alias("_a"),
-        F.when(shape == "object", F.from_json("doc", _WRAPPED)["products"]).alias("_o"))
-    ok = F.assert_true((F.col("_shape") != "bad") & F.coalesce(F.col("_a"), F.col("_o")).isNotNull(),
-                       F.lit("catalogue file is neither a product array nor {\"products\": [...]}"))
-    return (parsed.where(F.coalesce(ok.isNull(), F.lit(True)))
-            .select(F.explode(F.coalesce("_a", "_o")).alias("p")).select("p.*"))
+    schema = T.StructType([*CATALOG.fields, *_WRAPPED.fields, _CORRUPT])
+    rows = _whole(spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
+                  .option("columnNameOfCorruptRecord", "_corrupt").json(path), "catalogue file")
+    names = [f.name for f in CATALOG.fields]
+    nothing = F.col("products").isNull() & F.coalesce(*[F.col(n).cast("string") for n in names]).isNull()
+    note = F.concat(F.lit('catalogue file is neither a product array nor {"products": [...]}: '), F.input_file_name())
+    rows = rows.where(F.when(nothing, F.raise_error(note).cast("boolean")).otherwise(F.lit(True)))
+    own = F.array(F.struct(*names).cast(CATALOG))
+    return rows.select(F.explode(F.coalesce("products", own)).alias("p")).select("p.*")
 
 
 def read_catalog_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """One product document per line (splittable)."""
-    return spark.read.schema(CATALOG).json(path)
+    """One product document per line (splittable); a line that is none raises."""
+    return _whole(spark.read.schema(T.StructType([*CATALOG.fields, _CORRUPT])).option("mode", "PERMISSIVE")
+                  .option("columnNameOfCorruptRecord", "_corrupt").json(path), "catalogue line")
 
 
 def read_catalog_pages(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Landed result pages (``{"products": [...]}``) -> one product frame.
 
     Many page files are read by one scan, exploded and projected to the
-    requested fields; an empty page contributes nothing.  ``multiline``:
-    one (pretty-printed) page per file; otherwise one page per line, which
-    is splittable.
+    requested fields; an empty page contributes nothing, a corrupt one raises
+    (``corrupt_pages`` lists them).  ``multiline``: one (pretty-printed) page
+    per file; otherwise one page per line, which is splittable.
     """
-    pages = spark.read.schema(_WRAPPED).option("multiLine", multiline).json(path)
+    pages = _whole(_pages(spark, path, multiline), "catalogue page")
     return pages.select(F.explode("products").alias("p")).select(*[F.col(f"p.{c}") for c in PAGE_FIELDS])
 
 
+def _pages(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    return (spark.read.schema(T.StructType([*_WRAPPED.fields, _CORRUPT])).option("multiLine", multiline)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path))
+
+
+def corrupt_pages(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """(file, record) of the landed pages that can't be read."""
+    bad = _pages(spark, path, multiline).select(
+        F.input_file_name().alias("file"), F.col("_corrupt").alias("record"), "products")
+    return bad.where(F.col("record").isNotNull()).select("file", "record")
+
+
 def write_catalog(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
     """S3: write product documents (NDJSON by default, or Parquet)."""
     df.write.mode(mode).format(fmt).save(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from storelens.operators.tenancy import check_tenant_writes
 
@@ -22,9 +22,17 @@ def write_table(df: DataFrame, path: str, partition_by: list | None = None, mode
     df.hint("rebalance", *cols).write.mode(mode).partitionBy(*cols).parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, tenant_id: str | None = None) -> DataFrame:
-    """Read a tenant-partitioned table; a tenant filter prunes partitions."""
-    df = spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, tenant_id: str | None = None,
+               schema: T.StructType | None = None) -> DataFrame:
+    """Read a tenant-partitioned table; a tenant filter prunes partitions.
+
+    Tenant ids are text (``007`` stays ``007``).  With the table's declared
+    ``schema`` nothing is inferred, so an empty table reads as no rows.
+    """
+    if schema is None:
+        schema = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "tenant_id" else f for f in schema])
+    df = spark.read.schema(schema).parquet(path)
     return df if tenant_id is None else df.where(F.col("tenant_id") == tenant_id)
 
 

@@ -8,8 +8,10 @@ progress as ``numRowsDroppedByWatermark``.
 
 from __future__ import annotations
 
+from collections import deque
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,23 +42,35 @@ def _event_time(df: DataFrame, col: str, watermark: str | None) -> DataFrame:
     return out.withWatermark(col, watermark) if watermark else out
 
 
+def session_metrics_key(window: str | None = None, gap_seconds: int | None = None) -> list:
+    """Key of ``stream_session_metrics`` rows in the upsert sink."""
+    return ["tenant_id", "session_id"] + (["window_start"] if window or gap_seconds else [])
+
+
 def stream_session_metrics(messages: DataFrame, watermark: str | None = WATERMARK,
-                           gap_seconds: int | None = None) -> DataFrame:
+                           gap_seconds: int | None = None, window: str | None = None) -> DataFrame:
     """Running session counters (A17) kept by a stateful aggregation.
 
-    Output mode ``update``; pair with the upsert sink.  With ``gap_seconds``
-    sessions are also split by inactivity (session_window), which lets the
-    watermark evict finished sessions from state; that form runs in
-    ``append`` mode (a session is emitted once, when closed).
+    Output mode ``update``; pair with the upsert sink and
+    ``session_metrics_key``.  A bare session id never ends, so its state stays
+    for ever: give ``window`` (e.g. "1 day") to count each session by window
+    of event time, whose state the watermark evicts, or ``gap_seconds`` to
+    split sessions by inactivity (session_window); that form runs in
+    ``append`` mode (a piece is emitted once, when closed).  Pieces of one
+    session add up with ``merge_session_rollups``.
     """
+    if window and gap_seconds:
+        raise ValueError("give either a window or a gap")
     m = _event_time(messages, "created_at", watermark)
     llm = (F.col("model_used").isNotNull() | F.col("prompt_tokens").isNotNull()
            | F.col("completion_tokens").isNotNull())
     lat = F.when(F.col("role") == "assistant", F.col("latency_ms"))
     keys = [F.col("tenant_id"), F.col("session_id")]
     if gap_seconds:
-        keys.append(F.session_window("created_at", f"{gap_seconds} seconds").alias("activity"))
-    return m.groupBy(*keys).agg(
+        keys.append(F.session_window("created_at", f"{gap_seconds} seconds").alias("_w"))
+    elif window:
+        keys.append(F.window("created_at", window).alias("_w"))
+    out = m.groupBy(*keys).agg(
         F.min("created_at").alias("started_at"), F.max("created_at").alias("ended_at"),
         F.count(F.lit(1)).alias("message_count"),
         F.count(F.when(llm, F.lit(1))).alias("llm_call_count"),
@@ -67,6 +81,9 @@ def stream_session_metrics(messages: DataFrame, watermark: str | None = WATERMAR
         F.coalesce(F.sum("completion_tokens"), F.lit(0)).cast("long").alias("output_tokens"),
         F.avg(lat).alias("avg_latency_ms"), F.max(lat).alias("max_latency_ms"),
         F.min(lat).alias("min_latency_ms"), F.count(lat).alias("latency_count"))
+    if not (gap_seconds or window):
+        return out
+    return out.withColumns({"window_start": F.col("_w.start"), "window_end": F.col("_w.end")}).drop("_w")
 
 
 def stream_event_counts(product_events: DataFrame, window: str = "1 day", slide: str | None = None,
@@ -205,8 +222,9 @@ def stream_rate_limit(requests: DataFrame, key: str, id_col: str, ts_col: str =
     *admitted* requests of its key lie in (ts - window, ts].
 
     State per key is the admitted timestamps still inside the window (at
-    most ``limit``), so a hot key costs O(limit) memory; requests are
-    processed in (ts, id) order within each micro-batch.
+    most ``limit``).  Requests are decided in (ts, id) order within a
+    micro-batch, so a task holds the times and ids of one key's requests in
+    that batch (16 bytes each): bound the batch by the source's trigger size.
     """
     r = _event_time(requests, ts_col, watermark) \
         .select(F.col(key).cast("string").alias("_key"), F.col(id_col).cast("long").alias("_id"),
@@ -218,23 +236,28 @@ def stream_rate_limit(requests: DataFrame, key: str, id_col: str, ts_col: str =
             state.remove()
             return
         admitted = list(state.get[0]) if state.exists else []
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        batch["_us"] = pd.to_datetime(batch["_ts"]).astype("int64") // 1000
-        batch = batch.sort_values(["_us", "_id"], kind="mergesort")
-        ok, inwin = [], []
-        for t in batch["_us"].tolist():
-            admitted = [a for a in admitted if a > t - win_us]
-            if len(admitted) >= limit:
-                ok.append(False)
-            else:
-                admitted.append(t)
-                ok.append(True)
-            inwin.append(len(admitted))
-        state.update((admitted,))
-        if admitted and watermark:
-            _expire_or_keep(state, int(max(admitted) // 1000) + window_seconds * 1000)
-        yield pd.DataFrame({"key": k[0], "request_id": batch["_id"].to_numpy(), "ts": batch["_ts"].to_numpy(),
-                            "admitted": ok, "in_window": inwin})
+        times, ids = [], []
+        for p in pdfs:
+            times.append(pd.to_datetime(p["_ts"]).to_numpy().astype("datetime64[us]").astype("int64"))
+            ids.append(p["_id"].to_numpy())
+        us, request = np.concatenate(times), np.concatenate(ids)
+        order = np.lexsort((request, us))
+        us, request = us[order], request[order]
+        window, ok, inwin = deque(admitted), np.empty(len(us), dtype=bool), np.empty(len(us), dtype=np.int64)
+        for i, t in enumerate(us.tolist()):
+            while window and window[0] <= t - win_us:
+                window.popleft()
+            ok[i] = len(window) < limit
+            if ok[i]:
+                window.append(t)
+            inwin[i] = len(window)
+        state.update((list(window),))
+        if window and watermark:
+            _expire_or_keep(state, int(window[-1] // 1000) + window_seconds * 1000)
+        for lo in range(0, len(us), 100_000):
+            part = slice(lo, lo + 100_000)
+            yield pd.DataFrame({"key": k[0], "request_id": request[part], "ts": us[part].astype("datetime64[us]"),
+                                "admitted": ok[part], "in_window": inwin[part]})
 
     return r.groupBy("_key").applyInPandasWithState(
         step, RATE_OUT, RATE_STATE, "append",

@@ -39,6 +39,13 @@ def new_checkpoint(spark: SparkSession, name: str) -> str:
 # retried batch replaces itself; readers resolve the newest row per key.
 # ---------------------------------------------------------------------------
 
+def sink_checkpoint(path: str) -> str:
+    """The checkpoint that belongs to an upsert folder.  Batch folders are
+    numbered by it, so another run into the folder goes on where the last one
+    ended and never writes over its batches.  Readers skip the folder."""
+    return f"{path.rstrip('/')}/_checkpoint"
+
+
 def upsert_batch_writer(path: str):
     """foreachBatch function writing batch ``i`` to ``path/_batch=i`` (overwrite)."""
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -71,7 +78,7 @@ def run_to_table(df: DataFrame, path: str, mode: str = "update", name: str = "st
     """Start ``df`` into the upsert sink; with ``available_now`` drain and wait."""
     spark = df.sparkSession
     w = (df.writeStream.outputMode(mode).foreachBatch(upsert_batch_writer(path))
-         .option("checkpointLocation", checkpoint or new_checkpoint(spark, name)))
+         .option("checkpointLocation", checkpoint or sink_checkpoint(path)).queryName(f"{name}-{uuid.uuid4().hex[:6]}"))
     if available_now:
         w = w.trigger(availableNow=True)
     q = w.start()
