@@ -26,11 +26,17 @@ from storelens.functions.catalog import embedding_json
 from storelens.schemas import DEFAULT_MODEL_PRICES
 from storelens.session import configure
 
-# Fixed evaluation instant: the events cover 2024-01-01 .. 2024-01-30.
-AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
-AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
+# Fixed evaluation instant inside the events, which cover 2024-01-01 .. 2024-01-30.
+AS_OF = dt.datetime(2024, 1, 20, 15, 30, 0)
+AS_OF_SQL = "TIMESTAMP '2024-01-20 15:30:00'"
 N_TENANTS = 3
-N_EVENT_PRODUCTS = 200          # product ids referenced by product events
+# Products that events refer to where the number of parts isn't known.
+N_EVENT_PRODUCTS = 200
+# Lines with a smaller discount have no compare-at price, images lie beside
+# lines up to this number: so products without a discount and variants without
+# their image occur.
+COMPARE_FROM = 0.10
+IMAGE_LINES = 5
 SOURCE_ID_BASE = 7_000_000_000
 
 MODEL_BY_MOD5 = ["gpt-4o-mini", "gpt-4.1-nano-2025-04-14", "GPT-4O-MINI", "mystery-model-1", None]
@@ -40,7 +46,23 @@ PRODUCT_EVENT_OF = {"view": "recommended", "purchase": "inquired", "click": "cli
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name == "events":
+        df = with_parts(df, spark, sf_dir)
+    return df
+
+
+def with_parts(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the number of parts: the products they refer to grow with it."""
+    n = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet").count()
+    return events.withColumn("n_parts", F.lit(n).cast("long"))
+
+
+def event_product(events: DataFrame, step: int) -> Column:
+    """A product of the event's tenant, spread over all parts."""
+    n = F.col("n_parts") if "n_parts" in events.columns else F.lit(N_EVENT_PRODUCTS)
+    per = F.greatest(F.floor(n / N_TENANTS), F.lit(1))
+    return ((F.col("event_id") * step) % per) * N_TENANTS + F.col("user_id") % N_TENANTS
 
 
 def tenant_of(c: Column) -> Column:
@@ -77,9 +99,11 @@ def messages_base(events: DataFrame) -> DataFrame:
         F.when(is_asst & (eid % 7 != 0), prompt + completion).alias("total_tokens"),
         F.when(is_asst, _case_mod(eid % 5, MODEL_BY_MOD5)).alias("model_used"),
         ts.alias("created_at"),
-        F.when(et == "purchase", F.concat(F.lit('{"product_ids": ['),
-                                          ((eid * 7) % N_EVENT_PRODUCTS).cast("string"),
-                                          F.lit("]}"))).alias("structured_data"),
+        # several ids: one that no product has, and one of them twice
+        F.when(et == "purchase", F.concat(
+            F.lit('{"product_ids": ['), F.concat_ws(", ", *[x.cast("string") for x in (
+                event_product(events, 7), -1 - eid, event_product(events, 11), event_product(events, 7))]),
+            F.lit("]}"))).alias("structured_data"),
         F.when(et == "purchase", F.round(F.col("value") * 1000).cast("long")).alias("latency_ms"),
     )
 
@@ -95,23 +119,37 @@ def product_events(events: DataFrame) -> DataFrame:
     return (events
             .where(F.col("event_type").isin(*PRODUCT_EVENT_OF))
             .select(tenant_of(F.col("user_id")).alias("tenant_id"),
-                    ((F.col("event_id") * 7) % N_EVENT_PRODUCTS).alias("product_id"),
+                    event_product(events, 7).alias("product_id"),
                     mapping[F.col("event_type")].alias("event_type"),
                     F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("-"),
                              F.date_format(ts, "yyyy-MM-dd")).alias("session_id"),
                     ts.alias("created_at")))
 
 
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+            "l_discount", "l_tax", "l_shipdate"]
+
+
+def line_id() -> Column:
+    """An id of a line item; order and line number alone repeat in the data."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in LINE_KEY[:4]],
+                       F.col("l_quantity").cast("long").cast("string"),
+                       *[F.round(F.col(c) * 100).cast("long").cast("string") for c in LINE_KEY[5:8]],
+                       F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def variants(lineitem: DataFrame) -> DataFrame:
     price = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
-    vid = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    vid = line_id()
     return lineitem.select(
         vid.alias("id"),
         F.col("l_partkey").alias("product_id"),
         tenant_of(F.col("l_partkey")).alias("tenant_id"),
         F.concat(F.lit("Line "), F.col("l_linenumber").cast("string")).alias("title"),
         price.alias("price"),
-        F.try_divide(price, F.lit(1.0) - F.col("l_discount")).alias("compare_at_price"),
+        F.when(F.col("l_discount") >= COMPARE_FROM, F.try_divide(price, F.lit(1.0) - F.col("l_discount")))
+        .alias("compare_at_price"),
         F.col("l_linenumber").alias("position"),
         F.col("l_returnflag").alias("option1"),
         F.col("l_linestatus").alias("option2"),
@@ -124,8 +162,8 @@ def variants(lineitem: DataFrame) -> DataFrame:
 
 
 def images(lineitem: DataFrame) -> DataFrame:
-    iid = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return lineitem.select(
+    iid = line_id()
+    return lineitem.where(F.col("l_linenumber") <= IMAGE_LINES).select(
         iid.alias("id"),
         F.col("l_partkey").alias("product_id"),
         tenant_of(F.col("l_partkey")).alias("tenant_id"),
@@ -200,6 +238,15 @@ def _sql_case_mod(expr: str, values: list) -> str:
     return f"CASE {expr} {arms} END"
 
 
+def _event_product_sql(step: int) -> str:
+    per = f"greatest((SELECT count(*) FROM part) // {N_TENANTS}, 1)"
+    return f"((event_id * {step}) % {per}) * {N_TENANTS} + user_id % {N_TENANTS}"
+
+
+_LINE_ID = """CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT),
+  CAST(round(l_extendedprice * 100) AS BIGINT), CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT),
+  strftime(l_shipdate, '%Y-%m-%d'))), 1, 15) AS BIGINT)"""
+
 _MSG_BASE = f"""
 msg_base AS (
   SELECT
@@ -216,7 +263,8 @@ msg_base AS (
          THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 10 + event_id % 500 END AS total_tokens,
     CASE WHEN event_type IN ('purchase','signup') THEN {_sql_case_mod('event_id % 5', MODEL_BY_MOD5)} END AS model_used,
     CAST(ts AS TIMESTAMP) AS created_at,
-    CASE WHEN event_type = 'purchase' THEN '{{"product_ids": [' || CAST((event_id * 7) % {N_EVENT_PRODUCTS} AS VARCHAR) || ']}}' END AS structured_data,
+    CASE WHEN event_type = 'purchase' THEN '{{"product_ids": [' || concat_ws(', ', {_event_product_sql(7)}, -1 - event_id,
+         {_event_product_sql(11)}, {_event_product_sql(7)}) || ']}}' END AS structured_data,
     CASE WHEN event_type = 'purchase' THEN CAST(round(value * 1000) AS BIGINT) END AS latency_ms
   FROM events
 )"""
@@ -243,7 +291,7 @@ messages AS (
 _PRODUCT_EVENTS = f"""
 product_events AS (
   SELECT 'tenant-' || CAST(user_id % {N_TENANTS} AS VARCHAR) AS tenant_id,
-         (event_id * 7) % {N_EVENT_PRODUCTS} AS product_id,
+         {_event_product_sql(7)} AS product_id,
          CASE event_type WHEN 'view' THEN 'recommended' WHEN 'purchase' THEN 'inquired' WHEN 'click' THEN 'clicked' END AS event_type,
          's' || CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y-%m-%d') AS session_id,
          CAST(ts AS TIMESTAMP) AS created_at
@@ -252,27 +300,27 @@ product_events AS (
 
 _VARIANTS = f"""
 variants AS (
-  SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS product_id,
+  SELECT {_LINE_ID} AS id, l_partkey AS product_id,
          'tenant-' || CAST(l_partkey % {N_TENANTS} AS VARCHAR) AS tenant_id,
          'Line ' || CAST(l_linenumber AS VARCHAR) AS title,
          CASE WHEN l_quantity <> 0 THEN l_extendedprice / l_quantity END AS price,
-         CASE WHEN l_quantity <> 0 AND l_discount <> 1 THEN (l_extendedprice / l_quantity) / (1.0 - l_discount) END AS compare_at_price,
+         CASE WHEN l_quantity <> 0 AND l_discount <> 1 AND l_discount >= {COMPARE_FROM} THEN (l_extendedprice / l_quantity) / (1.0 - l_discount) END AS compare_at_price,
          l_linenumber AS position, l_returnflag AS option1, l_linestatus AS option2,
          'SKU-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS sku,
          CAST(l_quantity AS INTEGER) AS inventory_quantity,
-         l_orderkey * 8 + l_linenumber AS image_id,
+         {_LINE_ID} AS image_id,
          CAST(l_shipdate AS TIMESTAMP) AS created_at
   FROM lineitem
 )"""
 
 _IMAGES = f"""
 images AS (
-  SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS product_id,
+  SELECT {_LINE_ID} AS id, l_partkey AS product_id,
          'tenant-' || CAST(l_partkey % {N_TENANTS} AS VARCHAR) AS tenant_id,
          l_linenumber AS position,
          'https://cdn.example.com/p/' || CAST(l_partkey AS VARCHAR) || '/' || CAST(l_orderkey AS VARCHAR)
            || '-' || CAST(l_linenumber AS VARCHAR) || '.jpg' AS src
-  FROM lineitem
+  FROM lineitem WHERE l_linenumber <= {IMAGE_LINES}
 )"""
 
 _PRODUCTS = f"""

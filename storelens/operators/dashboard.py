@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from storelens.operators.common import as_ts, ensure_tenant_row, for_tenant, top_k_per_group, trailing
+from storelens.operators.common import as_ts, ensure_tenant_row, for_tenant, top_k_per_group, trailing, within_days
 from storelens.schemas import DASHBOARD_DAYS, TOP_LIMIT, check_range
 
 
@@ -69,7 +69,9 @@ def overview(sessions: DataFrame, messages: DataFrame, as_of, tenant_id: str | N
                    F.lit(0.0)).alias("cost_today"))
     recent = F.when((F.col("created_at") > hour_ago) & (F.col("created_at") <= as_ts(as_of)), F.col("session_id"))
     active = F.approx_count_distinct(recent, 0.01) if approx_distinct else F.count_distinct(recent)
-    m_agg = m.groupBy("tenant_id").agg(
+    # both counts look at today and the last hour only
+    since = F.least(today.cast("timestamp"), hour_ago)
+    m_agg = within_days(m, since).where(F.col("created_at") >= since).groupBy("tenant_id").agg(
         F.count(F.when(F.to_date("created_at") == today, F.lit(1))).alias("messages_today"),
         active.alias("active_sessions"))
     out = s_agg.join(m_agg, "tenant_id", "full")
@@ -189,13 +191,17 @@ def top_products(product_events: DataFrame, products: DataFrame, as_of, event_ty
     # Inner-join semantics (events of unknown products drop out) via a
     # semi-join on ids only; rank; then fetch details for the winners.  The
     # wide product columns never go through the big join.
-    known = counts.join(products.select(F.col("id").alias("product_id")), "product_id", "left_semi")
+    # A product counts for its own tenant, where products name one.
+    own = ["tenant_id"] if "tenant_id" in products.columns else []
+    key = [*own, "product_id"]
+    known = counts.join(products.select(*own, F.col("id").alias("product_id")), key, "left_semi")
     winners = top_k_per_group(known, ["tenant_id", "event_type"],
                               [F.col("event_count").desc(), F.col("product_id").asc()], limit)
     if tenant_id is not None:
         winners = F.broadcast(winners)        # <= event types x limit rows
-    p = products.select(F.col("id"), F.col("title").alias("name"), "vendor", "min_price", "max_price")
-    ranked = winners.join(p, winners["product_id"] == p["id"], "inner").drop("product_id")
+    p = products.select(*own, F.col("id").alias("product_id"), F.col("title").alias("name"), "vendor",
+                        "min_price", "max_price")
+    ranked = winners.join(p, key, "inner").withColumnRenamed("product_id", "id")
     return ranked.select(
         "tenant_id", "event_type", F.col("rank").cast("long").alias("rank"), "id", "name", "vendor",
         F.coalesce(F.col("min_price"), F.lit(0.0)).cast("double").alias("price_min"),

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from storelens.functions.misc import total_tokens, usage_cost
-from storelens.operators.common import as_ts, require_small, top_k_per_group
+from storelens.operators.common import as_ts, top_k_per_group
 from storelens.schemas import (DEFAULT_MODEL_PRICES, HISTORY_DEFAULT, INTENT_ROUTES, MODEL_PRICES,
                                RATE_LIMIT, RATE_WINDOW_SECONDS, SESSION_TTL_SECONDS)
 
 SESSION_KEY = ["tenant_id", "session_id"]
-MAX_PRICE_ROWS = 1000
 
 
 # ---------------------------------------------------------------------------
@@ -38,21 +37,25 @@ def price_usage(usage: DataFrame, prices: DataFrame | None = None, *, model_col:
     """Cost of each usage row from a prefix-keyed price table.
 
     Lower-cased model name must *start with* a price key; the longest key
-    wins; no match costs 0; NULL model gives NULL cost.  The price table is a
-    configuration input of at most ``MAX_PRICE_ROWS`` rows (checked); it is
-    compiled into one CASE expression, so pricing is a projection on the
-    usage rows: no join, no shuffle, whole-stage codegen.
+    wins; no match costs 0; NULL model gives NULL cost.  The default table is
+    a CASE expression: no join, no shuffle.  A given ``prices`` table of any
+    size is joined: each different model name is matched by hash on its
+    prefixes, and the few names go back to the usage rows.
     """
+    model = F.col(model_col)
     if prices is None:
         rules = sorted(DEFAULT_MODEL_PRICES, key=lambda r: (-len(r[0]), r[0]))
-    else:
-        require_small(prices, MAX_PRICE_ROWS, "price table")
-        rules = [(r["prefix"], r["input"], r["output"]) for r in
-                 prices.select("prefix", "input", "output").collect()]
-        rules.sort(key=lambda r: (-len(r[0]), r[0]))
-    model = F.col(model_col)
-    cost = usage_cost(prompt_col, completion_col, _price_expr(model, rules, 1), _price_expr(model, rules, 2))
-    return usage.withColumn(out_col, F.when(model.isNotNull(), cost))
+        cost = usage_cost(prompt_col, completion_col, _price_expr(model, rules, 1), _price_expr(model, rules, 2))
+        return usage.withColumn(out_col, F.when(model.isNotNull(), cost))
+    names = usage.select(F.lower(model).alias("_model")).where(F.col("_model").isNotNull()).distinct()
+    prefixes = names.select("_model", F.explode(F.sequence(F.lit(0), F.length("_model"))).alias("_len")) \
+                    .withColumn("_prefix", F.substring("_model", F.lit(1), F.col("_len")))
+    p = prices.groupBy(F.col("prefix").alias("_prefix")).agg(
+        F.max(F.struct("input", "output")).alias("_price"))       # a repeated key: its dearest row
+    best = prefixes.join(p, "_prefix").groupBy("_model").agg(F.max_by("_price", "_len").alias("_price"))
+    out = usage.withColumn("_key", F.lower(model)).join(best, F.col("_key") == F.col("_model"), "left")
+    cost = usage_cost(prompt_col, completion_col, F.col("_price.input"), F.col("_price.output"))
+    return out.withColumn(out_col, F.when(model.isNotNull(), cost)).drop("_key", "_model", "_price")
 
 
 # ---------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from storelens.functions.misc import merge_settings
+from storelens.operators.common import as_ts
 from storelens.schemas import DEFAULT_TENANT_DESCRIPTION
 
 
@@ -68,7 +69,8 @@ def delete_tenant(tables: dict, tenant_id: str, col: str = "tenant_id") -> dict:
             for name, df in tables.items()}
 
 
-def apply_settings_changes(tenants: DataFrame, changes: DataFrame, seq_col: str = "seq") -> DataFrame:
+def apply_settings_changes(tenants: DataFrame, changes: DataFrame, seq_col: str = "seq",
+                           as_of=None) -> DataFrame:
     """M6: apply a batch of partial tenant updates; only given fields change.
 
     ``changes`` has tenant_id, ``seq`` (application order) and any of name,
@@ -92,8 +94,9 @@ def apply_settings_changes(tenants: DataFrame, changes: DataFrame, seq_col: str
                              .otherwise(merge_settings(F.col("settings"), F.col("_new_settings")))) \
                  .drop("_new_settings")
     touched = F.col("_seq").isNotNull()
+    as_of = F.current_timestamp() if as_of is None else as_of
     if "updated_at" in out.columns:
-        out = out.withColumn("updated_at", F.when(touched, F.current_timestamp()).otherwise(F.col("updated_at")))
+        out = out.withColumn("updated_at", F.when(touched, as_ts(as_of)).otherwise(F.col("updated_at")))
     return out.drop("_seq")
 
 

@@ -22,7 +22,10 @@ ORACLE: dict[str, str] = {}
 
 AS_OF = A.AS_OF
 ASOF = A.AS_OF_SQL
-DAYS = 31          # the trailing windows cover the whole event log
+DAYS = 7           # the trailing windows cut the event log on both sides
+LAST_N = 3         # shorter than the longest session
+RATE, RATE_SECONDS = 2, 86_400
+HISTORY = 2
 
 
 def register(name: str, sql: str | None = None):
@@ -62,7 +65,7 @@ def _products(spark, sf, with_embeddings=True):
          coalesce(p.min_price, 0.0) AS price_min, coalesce(p.max_price, 0.0) AS price_max,
          c.event_count,
          row_number() OVER (PARTITION BY c.tenant_id, c.event_type ORDER BY c.event_count DESC, p.id) AS rank
-  FROM counts c JOIN products p ON c.product_id = p.id
+  FROM counts c JOIN products p ON c.product_id = p.id AND c.tenant_id = p.tenant_id
 )
 SELECT tenant_id, event_type, CAST(rank AS BIGINT) AS rank, id, name, vendor,
        price_min, price_max, event_count
@@ -166,18 +169,18 @@ def q_intent_distribution(spark, sf):
     return D.intent_distribution(_messages(spark, sf), AS_OF, DAYS)
 
 
-@register("hourly_activity", A.with_views("messages") + f"""
+@register("hourly_activity", A.with_views("messages", "tenants") + f"""
 , agg AS (
   SELECT tenant_id, CAST(hour(created_at) AS BIGINT) AS hour, count(*) AS message_count
   FROM messages WHERE {_window('created_at')} GROUP BY ALL
 )
 SELECT t.tenant_id, h.hour, coalesce(a.message_count, 0) AS message_count
-FROM (SELECT DISTINCT tenant_id FROM messages) t
+FROM tenants t
 CROSS JOIN (SELECT range AS hour FROM range(24)) h
 LEFT JOIN agg a ON a.tenant_id = t.tenant_id AND a.hour = h.hour
 """)
 def q_hourly_activity(spark, sf):
-    return D.hourly_activity(_messages(spark, sf), AS_OF, DAYS)
+    return D.hourly_activity(_messages(spark, sf), AS_OF, DAYS, tenants=A.tenants(_t(spark, sf, "nation")))
 
 
 # ---------------------------------------------------------------------------
@@ -259,14 +262,17 @@ def q_session_rollup(spark, sf):
 
 
 @register("active_session_count", A.with_views("sessions") + f"""
+, open_ AS (SELECT tenant_id, session_id, CASE WHEN message_count <> 2 THEN ended_at END AS ended_at FROM sessions)
 SELECT tenant_id,
        count(DISTINCT CASE WHEN ended_at IS NULL OR (ended_at > {ASOF} - INTERVAL 60 MINUTE AND ended_at <= {ASOF})
                       THEN session_id END) AS active_sessions
-FROM sessions GROUP BY tenant_id
+FROM open_ GROUP BY tenant_id
 """)
 def q_active_session_count(spark, sf):
+    """Sessions of two messages count as not ended."""
     from storelens.operators.sessions import active_session_count
-    return active_session_count(_sessions(spark, sf), AS_OF, 60)
+    open_ = _sessions(spark, sf).withColumn("ended_at", F.when(F.col("message_count") != 2, F.col("ended_at")))
+    return active_session_count(open_, AS_OF, 60)
 
 
 @register("recent_sessions", A.with_views("sessions") + """
@@ -348,30 +354,30 @@ def q_usage_running(spark, sf):
 @register("last_n_messages", A.with_views("messages") + """
 , r AS (
   SELECT *, row_number() OVER (PARTITION BY tenant_id, session_id ORDER BY created_at DESC, message_id DESC) AS rn,
-         least(count(*) OVER (PARTITION BY tenant_id, session_id), 10) AS m
+         least(count(*) OVER (PARTITION BY tenant_id, session_id), 3) AS m
   FROM messages
 )
 SELECT tenant_id, session_id, message_id, role, created_at, CAST(m - rn + 1 AS BIGINT) AS position
-FROM r WHERE rn <= 10
+FROM r WHERE rn <= 3
 """)
 def q_last_n_messages(spark, sf):
     from storelens.operators.sessions import last_n_messages
-    return last_n_messages(_messages(spark, sf), 10).select(
+    return last_n_messages(_messages(spark, sf), LAST_N).select(
         "tenant_id", "session_id", "message_id", "role", "created_at", "position")
 
 
 @register("rate_window", f"""
 SELECT event_id, user_id,
        count(*) OVER (PARTITION BY user_id ORDER BY CAST(ts AS TIMESTAMP)
-                      RANGE BETWEEN INTERVAL 59999999 MICROSECOND PRECEDING AND CURRENT ROW) AS requests_in_window,
+                      RANGE BETWEEN INTERVAL {RATE_SECONDS * 1_000_000 - 1} MICROSECOND PRECEDING AND CURRENT ROW) AS requests_in_window,
        count(*) OVER (PARTITION BY user_id ORDER BY CAST(ts AS TIMESTAMP)
-                      RANGE BETWEEN INTERVAL 59999999 MICROSECOND PRECEDING AND CURRENT ROW) > 20 AS over_limit
+                      RANGE BETWEEN INTERVAL {RATE_SECONDS * 1_000_000 - 1} MICROSECOND PRECEDING AND CURRENT ROW) > {RATE} AS over_limit
 FROM events
 """)
 def q_rate_window(spark, sf):
     from storelens.operators.sessions import rate_window
     ev = _t(spark, sf, "events").select("event_id", "user_id", "ts")
-    return rate_window(ev, "user_id", "ts").select("event_id", "user_id", "requests_in_window", "over_limit")
+    return rate_window(ev, "user_id", "ts", window_seconds=RATE_SECONDS, limit=RATE).select("event_id", "user_id", "requests_in_window", "over_limit")
 
 
 @register("sessionise", """
@@ -684,24 +690,23 @@ def _search_out(df):
 @register("semantic_topk", A.with_views("products") + _label_queries_sql(True, False) + _search_sql(None))
 def q_semantic_topk(spark, sf):
     from storelens.plans.search import search_batch
-    return _search_out(search_batch(_products(spark, sf), _label_queries(spark, sf, True, False),
-                                    candidate_cap=None))
+    return _search_out(search_batch(_products(spark, sf), _label_queries(spark, sf, True, False)))
 
 
-@register("search_filters_only", A.with_views("products") + _label_queries_sql(False, True) + _search_sql(1000))
+@register("search_filters_only", A.with_views("products") + _label_queries_sql(False, True) + _search_sql(None))
 def q_search_filters_only(spark, sf):
     from storelens.plans.search import search_batch
     return _search_out(search_batch(_products(spark, sf), _label_queries(spark, sf, False, True)))
 
 
-@register("search_combined", A.with_views("products") + _label_queries_sql(True, True) + _search_sql(1000))
+@register("search_combined", A.with_views("products") + _label_queries_sql(True, True) + _search_sql(None))
 def q_search_combined(spark, sf):
     from storelens.plans.search import search_batch
     return _search_out(search_batch(_products(spark, sf), _label_queries(spark, sf, True, True)))
 
 
 @register("search_batch", A.with_views("products")
-          + _label_queries_sql(True, True, mixed=True, k_rule="1 + (label * 7) % 25") + _search_sql(1000))
+          + _label_queries_sql(True, True, mixed=True, k_rule="1 + (label * 7) % 25") + _search_sql(None))
 def q_search_batch(spark, sf):
     from storelens.plans.search import search_batch
     q = _label_queries(spark, sf, True, True, mixed=True, k_rule="1 + (label * 7) % 25")
@@ -911,12 +916,27 @@ def q_tenant_info(spark, sf):
 
 @register("missing_tenants", A.with_views("messages", "products", "tenants") + """
 SELECT DISTINCT tenant_id FROM (SELECT tenant_id FROM messages UNION ALL SELECT tenant_id FROM products)
-WHERE tenant_id NOT IN (SELECT tenant_id FROM tenants)
+WHERE tenant_id NOT IN (SELECT tenant_id FROM tenants WHERE description IS NOT NULL)
 """)
 def q_missing_tenants(spark, sf):
+    """Tenants in use among those that have a description: the others miss."""
     from storelens.operators.tenancy import missing_tenants
     used = _messages(spark, sf).select("tenant_id").unionByName(_products(spark, sf, False).select("tenant_id"))
-    return missing_tenants(used, A.tenants(_t(spark, sf, "nation")))
+    return missing_tenants(used, _described(spark, sf))
+
+
+def _described(spark, sf):
+    return A.tenants(_t(spark, sf, "nation")).where("description IS NOT NULL")
+
+
+@register("require_tenant", A.with_views("messages", "tenants") + """
+SELECT message_id, tenant_id FROM messages
+WHERE tenant_id IN (SELECT tenant_id FROM tenants WHERE description IS NOT NULL)
+""")
+def q_require_tenant(spark, sf):
+    """J10 as a guard."""
+    from storelens.operators.tenancy import require_tenant
+    return require_tenant(_messages(spark, sf), _described(spark, sf)).select("message_id", "tenant_id")
 
 
 @register("orphans", A.with_views("products", "images", "product_events") + """
@@ -924,6 +944,8 @@ SELECT 'variants->products' AS relation, count(*) AS orphans FROM variants WHERE
 UNION ALL SELECT 'images->products', count(*) FROM images WHERE product_id NOT IN (SELECT id FROM products)
 UNION ALL SELECT 'product_events->products', count(*) FROM product_events WHERE product_id NOT IN (SELECT id FROM products)
 UNION ALL SELECT 'embeddings->products', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT id FROM products)
+UNION ALL SELECT 'variants->images', count(*) FROM variants WHERE image_id NOT IN (SELECT id FROM images)
+UNION ALL SELECT 'products->embeddings', count(*) FROM products WHERE id NOT IN (SELECT vec_id FROM embeddings)
 """)
 def q_orphans(spark, sf):
     from storelens.operators.tenancy import orphan_report
@@ -934,6 +956,8 @@ def q_orphans(spark, sf):
         ("images->products", A.images(li), p, "product_id", "id"),
         ("product_events->products", A.product_events(_t(spark, sf, "events")), p, "product_id", "id"),
         ("embeddings->products", _t(spark, sf, "embeddings"), p, "vec_id", "id"),
+        ("variants->images", A.variants(li), A.images(li), "image_id", "id"),
+        ("products->embeddings", p, _t(spark, sf, "embeddings"), "id", "vec_id"),
     ])
 
 
@@ -1068,36 +1092,64 @@ def q_delete_tenant(spark, sf):
 # (availableNow) through the idempotent upsert sink, then reads the result.
 # ---------------------------------------------------------------------------
 
-def _event_stream(spark, sf):
-    from storelens.streaming.sources import file_stream
-    schema = _t(spark, sf, "events").schema
-    return file_stream(spark, f"{sf.rstrip('/')}/events.parquet", schema)
+STATE_PARTITIONS = 16      # of these one-off drains; a stream's state keeps it for good
 
 
-def _drain(df, name, key, mode="update", whole_key_group=False):
-    """Run a stream over the whole input into the upsert sink and read it back.
+def _drain(spark, sf, build, name, key, mode="update", whole_key_group=False, flush=False):
+    """Run a stream over the whole events table, landed in two parts by time,
+    into the upsert sink, and read the result back.
 
-    A stream's state partition count is fixed when its checkpoint is created;
-    these one-off drains size it to the session's parallelism (the caller's
-    shuffle setting is restored afterwards).
+    Each part is a run of its own that goes on from the checkpoint, so state
+    is carried over.  ``flush`` lands a heartbeat event days after the last
+    one: the watermark then closes every real window and session, and append
+    mode emits them all.  The stream has a session of its own; the caller's
+    settings stay as they are.
     """
-    from storelens.streaming.sources import new_checkpoint, read_upserted, run_to_table
-    spark = df.sparkSession
-    path = new_checkpoint(spark, f"{name}-table")
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(max(4, spark.sparkContext.defaultParallelism * 2)))
-    try:
-        run_to_table(df, path, mode=mode, name=name)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    from storelens.session import scratch_path
+    from storelens.streaming.sources import file_stream, run_to_table, sink_checkpoint
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(STATE_PARTITIONS))
+    events = own.read.parquet(f"{sf.rstrip('/')}/events.parquet")
+    landing, path = scratch_path(own, f"{name}-landing"), scratch_path(own, f"{name}-table")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    middle = F.lit(low + (high - low) / 2 if low is not None else None).cast("timestamp_ntz")
+    later = F.coalesce(F.col("ts") >= middle, F.lit(False))
+    parts = [events.where(~later), events.where(later)]
+    if flush and high is not None:
+        beat = own.range(1).select(*[
+            (F.lit(high) + F.expr("INTERVAL 3 DAYS")).cast("timestamp_ntz").alias(f.name) if f.name == "ts"
+            else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
+        parts[1] = parts[1].unionByName(beat)
+    for part in parts:
+        part.write.mode("append").parquet(landing)
+        stream = A.with_parts(file_stream(own, landing, events.schema), own, sf)
+        run_to_table(build(stream), path, mode=mode, name=name)
+    _drop(own, landing)
+    _drop(own, sink_checkpoint(path))
+    from storelens.streaming.sources import read_upserted
     return read_upserted(spark, path, key, whole_key_group)
 
 
+def _kept(df, path):
+    """``df``, read from ``path``, as a stored table; the files at ``path`` go."""
+    from storelens.session import materialize
+    out = materialize(df, "read-back")
+    _drop(df.sparkSession, path)
+    return out, path
+
+
+def _drop(spark, path):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @register("stream_session_metrics", ORACLE["session_rollup"])
 def q_stream_session_metrics(spark, sf):
     from storelens.streaming.metrics import stream_session_metrics
-    s = stream_session_metrics(A.messages(_event_stream(spark, sf)))
-    return round_doubles(_drain(s, "t1", ["tenant_id", "session_id"]), estimated_cost=10)
+    # a session of this log lies within a day: finished days leave the state
+    out = _drain(spark, sf, lambda e: stream_session_metrics(A.messages(e), window="1 day"),
+                 "t1", ["tenant_id", "session_id", "window_start"])
+    return round_doubles(out.drop("window_start", "window_end"), estimated_cost=10)
 
 
 @register("stream_event_counts", A.with_views("product_events") + """
@@ -1107,8 +1159,8 @@ FROM product_events GROUP BY ALL
 """)
 def q_stream_event_counts(spark, sf):
     from storelens.streaming.metrics import stream_event_counts
-    s = stream_event_counts(A.product_events(_event_stream(spark, sf)), "1 day")
-    return _drain(s, "t2", ["tenant_id", "event_type", "product_id", "window_start"])
+    return _drain(spark, sf, lambda e: stream_event_counts(A.product_events(e), "1 day"),
+                  "t2", ["tenant_id", "event_type", "product_id", "window_start"])
 
 
 @register("stream_active_sessions", A.with_views("messages") + """
@@ -1119,26 +1171,22 @@ def q_stream_event_counts(spark, sf):
 SELECT tenant_id, make_timestamp(ws) AS window_start, make_timestamp(ws + 3600000000) AS window_end,
        count(DISTINCT session_id) AS active_sessions
 FROM w GROUP BY ALL
-HAVING make_timestamp(ws + 3600000000) <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events) - INTERVAL 1 HOUR
 """)
 def q_stream_active_sessions(spark, sf):
     """T3 exact: sessions active per 1 h window sliding every 30 s, windows
     emitted once closed by the watermark."""
     from storelens.streaming.metrics import stream_active_sessions
-    s = stream_active_sessions(A.messages(_event_stream(spark, sf)), "1 hour", "30 seconds", exact=True)
-    return _drain(s, "t3", ["tenant_id", "window_start"], mode="append")
+    return _drain(spark, sf, lambda e: stream_active_sessions(A.messages(e), "1 hour", "30 seconds", exact=True),
+                  "t3", ["tenant_id", "window_start"], mode="append", flush=True)
 
 
-@register("stream_sessionise", f"""
-SELECT * FROM ({ORACLE["sessionise"]}) s
-WHERE session_end <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events) - INTERVAL 1 HOUR
-""")
+@register("stream_sessionise", ORACLE["sessionise"])
 def q_stream_sessionise(spark, sf):
     """T4: append mode emits a session once the watermark (max event time - 1 h)
-    passes its end; sessions still open at the end of the input stay in state."""
+    passes its end; the heartbeat closes those open at the end of the input."""
     from storelens.streaming.metrics import stream_sessionise
-    s = stream_sessionise(_event_stream(spark, sf), "user_id", "ts", 3600)
-    return _drain(s, "t4", ["user_id", "session_start"], mode="append")
+    return _drain(spark, sf, lambda e: stream_sessionise(e, "user_id", "ts", 3600),
+                  "t4", ["user_id", "session_start"], mode="append", flush=True)
 
 
 @register("stream_hourly_latency", A.with_views("messages") + """
@@ -1149,8 +1197,7 @@ FROM messages WHERE role = 'assistant' AND latency_ms IS NOT NULL GROUP BY ALL
 """)
 def q_stream_hourly_latency(spark, sf):
     from storelens.streaming.metrics import stream_hourly_latency
-    s = stream_hourly_latency(A.messages(_event_stream(spark, sf)))
-    return round_doubles(_drain(s, "t7", ["tenant_id", "hour"]))
+    return round_doubles(_drain(spark, sf, lambda e: stream_hourly_latency(A.messages(e)), "t7", ["tenant_id", "hour"]))
 
 
 @register("stream_recent_history", A.with_views("messages") + """
@@ -1165,31 +1212,31 @@ def q_stream_hourly_latency(spark, sf):
   SELECT * FROM seg QUALIFY sg = max(sg) OVER (PARTITION BY tenant_id, session_id)
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY tenant_id, session_id ORDER BY created_at DESC, message_id DESC) AS rn,
-         least(count(*) OVER (PARTITION BY tenant_id, session_id), 20) AS m
+         least(count(*) OVER (PARTITION BY tenant_id, session_id), 2) AS m
   FROM lastseg
 )
 SELECT tenant_id, session_id, CAST(m - rn + 1 AS BIGINT) AS position, message_id, role, content, created_at
-FROM r WHERE rn <= 20
+FROM r WHERE rn <= 2
 """)
 def q_stream_recent_history(spark, sf):
     from storelens.streaming.metrics import stream_recent_history
-    s = stream_recent_history(A.messages(_event_stream(spark, sf)), 20, 3600)
-    return _drain(s, "t5", ["tenant_id", "session_id"], whole_key_group=True)
+    return _drain(spark, sf, lambda e: stream_recent_history(A.messages(e), HISTORY, 3600),
+                  "t5", ["tenant_id", "session_id"], whole_key_group=True)
 
 
 @register("stream_rate_limit")
 def q_stream_rate_limit(spark, sf):
-    """T6 exact admission (sequential per key: row check only)."""
+    """T6 exact admission (sequential per key)."""
     from storelens.streaming.metrics import stream_rate_limit
-    s = stream_rate_limit(_event_stream(spark, sf), "user_id", "event_id", "ts", 20, 60)
-    return _drain(s, "t6", ["request_id"], mode="append")
+    return _drain(spark, sf, lambda e: stream_rate_limit(e, "user_id", "event_id", "ts", RATE, RATE_SECONDS),
+                  "t6", ["request_id"], mode="append")
 
 
 # ---------------------------------------------------------------------------
 # Serialisation and projections: S10, F15, J14, J5/M4
 # ---------------------------------------------------------------------------
 
-@register("products_json", A.with_views("products") + _label_queries_sql(True, True) + _search_sql(1000).replace(
+@register("products_json", A.with_views("products") + _label_queries_sql(True, True) + _search_sql(None).replace(
     "\nSELECT query_id, CAST(rank AS BIGINT) AS rank, id, title, product_type, body_html,",
     "\n, ranked AS (SELECT query_id, CAST(rank AS BIGINT) AS rank, id, title, product_type, body_html,", 1)
     .rstrip() + """)
@@ -1220,17 +1267,19 @@ def q_product_cards(spark, sf):
 
 
 @register("semantic_within", A.with_views("messages", "products") + """
-SELECT id, tenant_id FROM products
+SELECT 'listed' AS restriction, id, tenant_id FROM products
 WHERE id IN (SELECT unnest(CAST(json_extract(structured_data, '$.product_ids') AS BIGINT[]))
              FROM messages WHERE structured_data IS NOT NULL)
+UNION ALL SELECT 'empty list', id, tenant_id FROM products
 """)
 def q_semantic_within(spark, sf):
     from storelens.operators.search import ids_from_array, semantic_within
     m = _messages(spark, sf).where(F.col("structured_data").isNotNull())
     arr = m.select("message_id", F.from_json("structured_data", "struct<product_ids:array<bigint>>")
                    ["product_ids"].alias("ids"))
-    return semantic_within(_products(spark, sf, False), ids_from_array(arr, "ids", ["message_id"])) \
-        .select("id", "tenant_id")
+    ids, p = ids_from_array(arr, "ids", ["message_id"]), _products(spark, sf, False)
+    within = lambda name, ids: semantic_within(p, ids).select(F.lit(name).alias("restriction"), "id", "tenant_id")
+    return within("listed", ids).unionByName(within("empty list", ids.where("id IS NULL")))
 
 
 @register("variant_images", A.with_views("variants", "images") + """
@@ -1256,10 +1305,10 @@ WITH RECURSIVE ev AS (
   SELECT user_id, rn, event_id, ts, [us]::BIGINT[] AS adm, true AS admitted FROM ev WHERE rn = 1
   UNION ALL
   SELECT e.user_id, e.rn, e.event_id, e.ts,
-         CASE WHEN len(list_filter(r.adm, lambda a: a > e.us - 60000000)) >= 20
-              THEN list_filter(r.adm, lambda a: a > e.us - 60000000)
-              ELSE list_append(list_filter(r.adm, lambda a: a > e.us - 60000000), e.us) END,
-         len(list_filter(r.adm, lambda a: a > e.us - 60000000)) < 20
+         CASE WHEN len(list_filter(r.adm, lambda a: a > e.us - 86400000000)) >= 2
+              THEN list_filter(r.adm, lambda a: a > e.us - 86400000000)
+              ELSE list_append(list_filter(r.adm, lambda a: a > e.us - 86400000000), e.us) END,
+         len(list_filter(r.adm, lambda a: a > e.us - 86400000000)) < 2
   FROM r JOIN ev e ON e.user_id = r.user_id AND e.rn = r.rn + 1
 )
 SELECT CAST(user_id AS VARCHAR) AS key, event_id AS request_id, ts, admitted,
@@ -1287,13 +1336,14 @@ def q_embedding_dimensions(spark, sf):
 # Catalogue round trip: S2/S3 pages -> P3 ingest (X2, X4, X5, A16 nested)
 # ---------------------------------------------------------------------------
 
-def _line_documents(li):
+def _line_documents(li, bad=None):
     """One catalogue document per line item: a product with one variant, one
     image and one option; prices travel as text, timestamps as ISO text."""
     price = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     compare = F.try_divide(price, F.lit(1.0) - F.col("l_discount"))
     key = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
     iso = F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    updated = iso if bad is None else F.when(F.col(bad), F.lit("not a time")).otherwise(iso)
     doc_id = F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                         "l_extendedprice", "l_discount", "l_shipdate")
     return li.select(
@@ -1302,7 +1352,7 @@ def _line_documents(li):
         F.concat(F.lit("<p>Flag "), F.col("l_returnflag"), F.lit("</p>")).alias("body_html"),
         F.concat(F.lit("Vendor "), F.col("l_returnflag")).alias("vendor"),
         F.col("l_linestatus").alias("product_type"),
-        iso.alias("created_at"), iso.alias("updated_at"), iso.alias("published_at"),
+        iso.alias("created_at"), updated.alias("updated_at"), iso.alias("published_at"),
         F.array(F.struct(F.lit("Flag").alias("name"), F.array(F.col("l_returnflag")).alias("values"))).alias("options"),
         F.array(F.struct(doc_id.alias("id"), F.lit(1).alias("position"),
                          F.concat(F.lit("https://cdn.example.com/l/"), key, F.lit(".jpg")).alias("src"))).alias("images"),
@@ -1316,7 +1366,7 @@ WITH l AS (
 )
 SELECT 'tenant-rt' AS tenant_id, 'Line ' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS title,
        l_linestatus AS product_type, 'Vendor ' || l_returnflag AS vendor,
-       price AS min_price, price AS max_price,
+       CAST(CAST(CAST(price AS VARCHAR) AS DECIMAL(10,2)) AS DOUBLE) AS min_price, CAST(CAST(CAST(price AS VARCHAR) AS DECIMAL(10,2)) AS DOUBLE) AS max_price,
        coalesce(CASE WHEN l_discount <> 1 THEN price / (1.0 - l_discount) END > price, false) AS has_discount,
        CAST(l_shipdate AS TIMESTAMP) AS created_at, CAST(l_shipdate AS TIMESTAMP) AS published_at,
        l_returnflag AS flag, 'Flag ' || l_returnflag AS description, CAST(1 AS BIGINT) AS variants_resolved
@@ -1330,11 +1380,13 @@ def q_catalog_roundtrip(spark, sf):
     path = new_checkpoint(spark, "catalog-pages")
     write_catalog_pages(_line_documents(_t(spark, sf, "lineitem")), path)
     raw = read_catalog_pages(spark, path, multiline=False)
-    out = ingest_catalog(raw, "tenant-rt")
+    out = ingest_catalog(raw, "tenant-rt", materialize_docs=True)
+    _drop(spark, path)
     resolved = out["variants"].groupBy("product_id").agg(F.count("image_id").alias("variants_resolved"))
     p = out["products"]
     return p.join(resolved, p["id"] == resolved["product_id"], "left").select(
-        "tenant_id", "title", "product_type", "vendor", "min_price", "max_price", "has_discount", "created_at",
+        "tenant_id", "title", "product_type", "vendor", F.col("min_price").cast("double").alias("min_price"),
+        F.col("max_price").cast("double").alias("max_price"), "has_discount", "created_at",
         "published_at", F.col("options")["Flag"][0].alias("flag"),
         F.get_json_object("embedding_json", "$.description").alias("description"),
         F.coalesce("variants_resolved", F.lit(0)).alias("variants_resolved"))
@@ -1379,7 +1431,7 @@ def q_variants_csv(spark, sf):
     from storelens.streaming.sources import new_checkpoint
     path = new_checkpoint(spark, "variants-csv")
     write_variants_csv([flatten_variants(_as_catalog(_line_documents(_t(spark, sf, "lineitem"))))], path)
-    back = spark.read.option("header", True).csv(path)
+    back, _ = _kept(spark.read.option("header", True).csv(path), path)
     return back.select("title", "vendor", "product_type",
                        F.col("price").try_cast("double").alias("price"),
                        F.col("compare_at_price").try_cast("double").alias("compare_at_price"),
@@ -1394,9 +1446,251 @@ def q_export_daily_csv(spark, sf):
     from storelens.streaming.sources import new_checkpoint
     path = new_checkpoint(spark, "export-csv")
     export_daily_csv(_sessions(spark, sf), AS_OF, path, days=DAYS)
-    back = spark.read.option("header", True).csv(path)
+    back, _ = _kept(spark.read.option("header", True).csv(path), path)
     return back.select("tenant_id", F.col("date").cast("date").alias("date"),
                        F.col("session_count").cast("long").alias("session_count"),
                        F.col("unique_sessions").cast("long").alias("unique_sessions"),
                        F.col("total_messages").cast("long").alias("total_messages"),
                        F.round(F.col("daily_cost").cast("double"), 10).alias("daily_cost"))
+
+
+# ---------------------------------------------------------------------------
+# Queries of operators that had none: tenants, appends, listing, columns, ingest
+# ---------------------------------------------------------------------------
+
+@register("search_capped", A.with_views("products") + _label_queries_sql(True, True) + _search_sql(50))
+def q_search_capped(spark, sf):
+    """P2 with a cap that the caller sets: the newest 50 matches are ranked."""
+    from storelens.plans.search import search_batch
+    return _search_out(search_batch(_products(spark, sf), _label_queries(spark, sf, True, True), candidate_cap=50))
+
+
+@register("listing_page", A.with_views("products", "images") + """
+, fi AS (
+  SELECT product_id, tenant_id, min({'p': coalesce(position, 2147483647), 'i': id, 's': src}).s AS image_url
+  FROM images GROUP BY ALL
+), r AS (
+  SELECT p.*, fi.image_url,
+         row_number() OVER (PARTITION BY p.tenant_id ORDER BY p.updated_at DESC NULLS FIRST, p.id) AS pos
+  FROM products p LEFT JOIN fi ON fi.product_id = p.id AND fi.tenant_id = p.tenant_id
+)
+SELECT tenant_id, CAST(pos AS BIGINT) AS position, id, title AS name, image_url
+FROM r WHERE pos > 40 AND pos <= 100 AND product_type = 'PROMO'
+""")
+def q_listing_page(spark, sf):
+    """O1 with an offset, F14 category and O6 sort by name."""
+    from storelens.plans.search import catalogue_listing
+    page = catalogue_listing(_products(spark, sf, False), A.images(_t(spark, sf, "lineitem")), limit=60, offset=40,
+                             category="PROMO", sort="name")
+    return page.select("tenant_id", "position", "id", "name", "image_url")
+
+
+@register("tenant_read", A.with_views("messages") + """
+SELECT message_id, '007' AS tenant_id, role, CAST(created_at AS DATE) AS day FROM messages WHERE tenant_id = 'tenant-1'
+""")
+def q_tenant_read(spark, sf):
+    """S7 append, F2 guard, F1 / S6 read of one tenant whose id is digits."""
+    from storelens.operators.common import for_tenant
+    from storelens.session import scratch_path
+    from storelens.sources.tables import append_messages, read_table
+    path, m = scratch_path(spark, "tenant-read"), _messages(spark, sf)
+    append_messages(m.where("tenant_id <> 'tenant-1'"), path)
+    append_messages(for_tenant(m, "tenant-1").withColumn("tenant_id", F.lit("007")), path, tenant_id="007")
+    back, _ = _kept(read_table(spark, path, "007").select("message_id", "tenant_id", "role", "day"), path)
+    return back
+
+
+@register("event_append", A.with_views("product_events") + """
+SELECT tenant_id, product_id, event_type, session_id, created_at, CAST(created_at AS DATE) AS day FROM product_events
+""")
+def q_event_append(spark, sf):
+    """Product events appended by tenant and day, read back whole."""
+    from storelens.session import scratch_path
+    from storelens.sources.tables import append_product_events, read_table
+    path = scratch_path(spark, "event-append")
+    append_product_events(A.product_events(_t(spark, sf, "events")), path)
+    back, _ = _kept(read_table(spark, path), path)
+    return back.select("tenant_id", "product_id", "event_type", "session_id", "created_at", "day")
+
+
+@register("column_union", A.with_views("variants", "images") + """
+SELECT 'variant' AS kind, id, product_id, sku, NULL::VARCHAR AS src FROM variants
+UNION ALL SELECT 'image', id, product_id, NULL, src FROM images
+""")
+def q_column_union(spark, sf):
+    """Frames of different columns written as one CSV and read back."""
+    from storelens.session import scratch_path
+    from storelens.sources.catalog import write_variants_csv
+    li, path = _t(spark, sf, "lineitem"), scratch_path(spark, "column-union")
+    write_variants_csv([A.variants(li).select(F.lit("variant").alias("kind"), "id", "product_id", "sku"),
+                        A.images(li).select(F.lit("image").alias("kind"), "id", "product_id", "src")], path)
+    back, _ = _kept(spark.read.option("header", True).csv(path), path)
+    return back.select("kind", F.col("id").cast("long").alias("id"), F.col("product_id").cast("long").alias("product_id"),
+                       "sku", "src")
+
+
+@register("split_tags", A.with_views("products") + """
+SELECT id, string_split(tags, ', ') AS tags, len(string_split(tags, ', ')) AS n FROM products
+""")
+def q_split_tags(spark, sf):
+    from storelens.functions.catalog import split_tags
+    return _products(spark, sf, False).select("id", split_tags("tags").alias("tags"),
+                                              F.size(split_tags("tags")).cast("long").alias("n"))
+
+
+@register("clean_variant_ids", A.with_views("images") + """
+SELECT id, CASE WHEN position > 3 THEN [] ELSE [id, product_id] END AS variant_ids FROM images
+""")
+def q_clean_variant_ids(spark, sf):
+    from storelens.functions.catalog import clean_variant_ids
+    i = A.images(_t(spark, sf, "lineitem")).withColumn("raw", F.when(F.col("position") <= 3, F.array(
+        "id", F.lit(None).cast("long"), "product_id")))
+    return i.select("id", clean_variant_ids("raw").alias("variant_ids"))
+
+
+@register("is_uuid", """
+WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS h FROM documents),
+u AS (SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-'
+             || CASE WHEN h < '8' THEN substr(h, 21, 12) ELSE substr(h, 21, 11) || 'g' END AS key FROM d)
+SELECT doc_id, key, regexp_full_match(key, '[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}') AS valid FROM u
+""")
+def q_is_uuid(spark, sf):
+    from storelens.functions.misc import is_uuid
+    h = F.md5(F.coalesce("text", F.lit("")))
+    cut = lambda a, n: F.substring(h, a, n)
+    key = F.concat_ws("-", cut(1, 8), cut(9, 4), cut(13, 4), cut(17, 4), F.when(h < "8", cut(21, 12)).otherwise(
+        F.concat(cut(21, 11), F.lit("g"))))
+    return _t(spark, sf, "documents").select("doc_id", key.alias("key"), is_uuid(key).alias("valid"))
+
+
+@register("latest_per_key", A.with_views("messages") + """
+SELECT tenant_id, session_id, arg_max(message_id, (created_at, message_id)) AS message_id,
+       arg_max(role, (created_at, message_id)) AS role
+FROM messages GROUP BY ALL
+""")
+def q_latest_per_key(spark, sf):
+    """The last message of every session."""
+    from storelens.operators.sessions import latest_per_key
+    m = _messages(spark, sf).select("tenant_id", "session_id", "created_at", "message_id", "role")
+    return latest_per_key(m.withColumn("_m", F.col("message_id")), ["tenant_id", "session_id"], ["created_at", "_m"]) \
+        .select("tenant_id", "session_id", "message_id", "role")
+
+
+@register("resolve_variant_images", A.with_views("variants", "images") + """
+SELECT v.id, v.product_id, i.id AS image_id
+FROM variants v LEFT JOIN images i ON i.id = v.image_id AND i.product_id = v.product_id AND i.tenant_id = v.tenant_id
+""")
+def q_resolve_variant_images(spark, sf):
+    """J5 flat: the image of the variant's own product, if it exists."""
+    from storelens.operators.catalog import resolve_variant_images
+    li = _t(spark, sf, "lineitem")
+    v = A.variants(li).withColumnRenamed("image_id", "source_image_id")
+    i = A.images(li).withColumn("source_image_id", F.col("id"))
+    return resolve_variant_images(v, i).select("id", "product_id", "image_id")
+
+
+@register("ingest_counts", """
+WITH d AS (SELECT l_shipdate, l_linenumber, l_discount FROM lineitem)
+SELECT count(CASE WHEN l_discount < 0.1 THEN 1 END) AS products, count(CASE WHEN l_discount < 0.1 THEN 1 END) AS variants,
+       count(CASE WHEN l_discount < 0.1 THEN 1 END) AS images, count(CASE WHEN l_discount < 0.1 THEN 1 END) AS successful,
+       count(CASE WHEN l_discount >= 0.1 THEN 1 END) AS failed
+FROM d
+""")
+def q_ingest_counts(spark, sf):
+    """Documents whose update time can't be read fail, the rest succeeds."""
+    from storelens.plans.ingest import ingest_catalog
+    li = _t(spark, sf, "lineitem")
+    docs = _line_documents(li.withColumn("bad", F.col("l_discount") >= 0.1), bad="bad")
+    return ingest_catalog(_as_catalog(docs), "t")["summary"]
+
+
+@register("ingest_two_tenants", """
+WITH l AS (SELECT *, CASE WHEN l_quantity <> 0 THEN l_extendedprice / l_quantity END AS price FROM lineitem)
+SELECT tenant_id, count(*) AS products, count(*) AS variants, count(*) AS images,
+       round(sum(CAST(CAST(CAST(price AS VARCHAR) AS DECIMAL(10,2)) AS DOUBLE)), 2) AS price_sum
+FROM l, (VALUES ('007'), ('t2')) t(tenant_id)
+WHERE (tenant_id = '007') = (l_linenumber <= 3)
+GROUP BY tenant_id
+""")
+def q_ingest_two_tenants(spark, sf):
+    """P3 into one folder, tenant after tenant, the second time over the first
+    tenant's own rows: both tenants survive, with every table."""
+    from storelens.plans.ingest import ingest_catalog, read_catalog_tables, write_catalog_tables
+    from storelens.session import materialize, scratch_path
+    li, path = _t(spark, sf, "lineitem"), scratch_path(spark, "two-tenants")
+    low, high = li.where("l_linenumber <= 3"), li.where("l_linenumber > 3")
+    write_catalog_tables(ingest_catalog(_as_catalog(_line_documents(low)), "007"), path)
+    write_catalog_tables(ingest_catalog(_as_catalog(_line_documents(high)), "t2"), path)
+    again = ingest_catalog(_as_catalog(_line_documents(low)), "007", current=read_catalog_tables(spark, path))
+    write_catalog_tables(again, path)
+    t = read_catalog_tables(spark, path)
+    counts = [t[n].groupBy("tenant_id").agg(F.count("*").alias(n)) for n in ("variants", "images")]
+    out = t["products"].groupBy("tenant_id").agg(
+        F.count("*").alias("products"), F.round(F.sum(F.col("min_price").cast("double")), 2).alias("price_sum"))
+    out = materialize(out.join(counts[0], "tenant_id").join(counts[1], "tenant_id"), "two-tenants-counts")
+    _drop(spark, path)
+    return out.select("tenant_id", "products", "variants", "images", "price_sum")
+
+
+@register("replace_cascade", A.with_views("products", "images") + """
+SELECT 'images' AS relation, count(*) AS kept FROM images
+WHERE product_id NOT IN (SELECT id FROM products WHERE product_type = 'PROMO')
+UNION ALL SELECT 'variants', count(*) FROM variants
+WHERE product_id NOT IN (SELECT id FROM products WHERE product_type = 'PROMO')
+""")
+def q_replace_cascade(spark, sf):
+    """M2: children of replaced products go with them."""
+    from storelens.operators.catalog import cascade_children
+    li = _t(spark, sf, "lineitem")
+    gone = _products(spark, sf, False).where("product_type = 'PROMO'").select("id", "tenant_id")
+    parts = [cascade_children(df, gone).agg(F.count("*").alias("kept")).select(F.lit(n).alias("relation"), "kept")
+             for n, df in (("images", A.images(li)), ("variants", A.variants(li)))]
+    return parts[0].unionByName(parts[1])
+
+
+@register("delete_tenant_tables", A.with_views("products", "images", "sessions", "product_events", "tenants") + """
+SELECT * FROM (
+  SELECT 'messages' AS relation, tenant_id, count(*) AS rows FROM messages GROUP BY ALL
+  UNION ALL SELECT 'sessions', tenant_id, count(*) FROM sessions GROUP BY ALL
+  UNION ALL SELECT 'product_events', tenant_id, count(*) FROM product_events GROUP BY ALL
+  UNION ALL SELECT 'products', tenant_id, count(*) FROM products GROUP BY ALL
+  UNION ALL SELECT 'images', tenant_id, count(*) FROM images GROUP BY ALL
+  UNION ALL SELECT 'variants', tenant_id, count(*) FROM variants GROUP BY ALL
+  UNION ALL SELECT 'tenants', tenant_id, count(*) FROM tenants GROUP BY ALL)
+WHERE tenant_id <> 'tenant-1'
+""")
+def q_delete_tenant_tables(spark, sf):
+    """M3 over all seven tables."""
+    from storelens.operators.tenancy import delete_tenant
+    li, ev, m = _t(spark, sf, "lineitem"), _t(spark, sf, "events"), _messages(spark, sf)
+    tables = {"messages": m, "sessions": _sessions(spark, sf), "product_events": A.product_events(ev),
+              "products": _products(spark, sf, False), "images": A.images(li), "variants": A.variants(li),
+              "tenants": A.tenants(_t(spark, sf, "nation"))}
+    out = None
+    for name, df in delete_tenant(tables, "tenant-1").items():
+        one = df.groupBy("tenant_id").agg(F.count("*").alias("rows")).select(F.lit(name).alias("relation"), "tenant_id", "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("clear_embeddings", A.with_views("products") + """
+SELECT id, tenant_id, embedding IS NOT NULL AS had FROM products
+""")
+def q_clear_embeddings(spark, sf):
+    """M7: afterwards every product is pending; ``had`` tells what was there."""
+    from storelens.operators.embed import clear_embeddings, pending_embeddings
+    p = _products(spark, sf).withColumn("had", F.col("embedding").isNotNull())
+    return pending_embeddings(clear_embeddings(p)).select("id", "tenant_id", "had")
+
+
+@register("evolve_schema", A.with_views("products") + """
+SELECT id, CAST(source_id AS VARCHAR) AS source_id, title, 'none' AS barcode FROM products
+""")
+def q_evolve_schema(spark, sf):
+    """M8: a new column with a default, and a wider type."""
+    from pyspark.sql import types as T
+    from storelens.operators.tenancy import evolve_schema
+    target = T.StructType([T.StructField("id", T.LongType()), T.StructField("source_id", T.StringType()),
+                           T.StructField("title", T.StringType()), T.StructField("barcode", T.StringType())])
+    p = _products(spark, sf, False).select("id", "source_id", "title")
+    return evolve_schema(p, target, {"barcode": "none"}).select("id", "source_id", "title", "barcode")

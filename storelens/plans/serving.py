@@ -72,8 +72,8 @@ class TenantStore:
         return D.hourly_activity(self.table("messages", tenant_id), as_of, days, tenant_id)
 
     def top_products(self, tenant_id, as_of, event_type="recommended", limit=10, days=7):
-        return D.top_products(self.table("product_events", tenant_id), self.spark.read.parquet(f"{self.base}/products"),
-                              as_of, event_type, limit, days)
+        return D.top_products(self.table("product_events", tenant_id), self.table("products", tenant_id),
+                              as_of, event_type, limit, days, tenant_id)
 
     def latency(self, tenant_id, as_of, days=7):
         return L.latency_report(self.table("messages", tenant_id), as_of, days, tenant_id)

@@ -26,11 +26,18 @@ def test_no_cartesian_or_nested_loop(spark, name):
 
 
 @pytest.mark.parametrize("name", ["top_products", "worst_sessions", "recent_sessions", "last_n_messages",
-                                  "catalogue_listing", "search_combined", "semantic_topk"])
+                                  "catalogue_listing"])
 def test_partial_topk(spark, name):
     assert "WindowGroupLimit" in plan(spark, name)
 
 
+@pytest.mark.parametrize("name", ["search_combined", "semantic_topk"])
+def test_search_ships_only_each_tasks_best(spark, name):
+    # the tasks cut to k rows a query themselves; nothing carries a vector on
+    moved = [x for x in plan(spark, name).split("\n") if "Exchange" in x]
+    assert "MapInArrow" in plan(spark, name) and not any("query_vec" in x for x in moved)
+
+
 def test_pricing_is_a_projection(spark):
     p = plan(spark, "price_usage")
     assert "Join" not in p and "Exchange" not in p
@@ -65,5 +72,5 @@ def test_search_ranks_narrow_rows(spark):
     df = R.QUERIES["search_combined"](spark, SMOKE)
     p = df._jdf.queryExecution().executedPlan().toString()
     # the wide text columns are read only on the detail side, joined to the winners
-    ranking = p[p.find("WindowGroupLimit"):]
-    assert "body_html" not in ranking.split("BroadcastExchange")[0]
+    ranking = p[p.find("MapInArrow"):]
+    assert "MapInArrow" in p and "body_html" not in ranking.split("BroadcastExchange")[0]
