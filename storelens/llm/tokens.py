@@ -10,7 +10,7 @@ Beside it lies the file's index (doc_id, start, n_tokens), start counted in
 the file.
 
 The tokenizer drops white space and no token spans it, so a text's ids are
-the ids of its white-space-separated words; each task encodes a word once and
+the ids of its white-space-separated words; a task encodes a word once and
 keeps a bounded number of words for the next texts.
 
 Defined results: a null or empty text has the end id only; repeated ids are
@@ -21,6 +21,7 @@ the input are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,34 +35,87 @@ from .common import file_system, fresh_name, pieces, stored, utf8
 
 SEQUENCE = 2048
 END_ID = 2
-# Sequences of one record batch, and words that a task keeps with their ids.
+# Sequences of one record batch, and words that a generation keeps with their ids.
 BATCH_SEQUENCES = 256
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+
+
+# Words that the tokenizer's normaliser and splitter treat by simple rules: printable
+# ASCII without the apostrophe (contractions) and the letters of Latin-1.  They
+# are lower-cased, and split into runs of letters, single digits and runs of marks.
+_PLAIN = re.compile(rb"(?:[\x21-\x26\x28-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# Byte-level alphabet: a visible Latin-1 character stands for itself, the others
+# for the characters from 256 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+_SPECIAL = b"<|"  # words with this may be special tokens, whose case matters
 
 
 class Encoder:
-    """Texts to ids, word by word."""
+    """Texts to ids, word by word.
+
+    Words and their ids are kept in two generations, so frequent words stay
+    and memory is bounded.  Plain words go straight to the vocabulary's merges,
+    all others through the whole tokenizer.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.kept: dict[bytes, np.ndarray] = {}
+        self.plain = self._splits_by_rule()
+        self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _splits_by_rule(self) -> bool:
+        """Whether this vocabulary treats plain words by the rules above."""
+        probe = "Äb1 x--Y2 'tis été ÿ/ß"
+        words = [w for w in probe.split() if _PLAIN.fullmatch(w.encode())]
+        return all(self._plain(w.encode()) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in words)
+
+    def _plain(self, word: bytes) -> list[int]:
+        tokenize = self.tokenizer.model.tokenize
+        return [t.id for run in _RUNS.findall(word.decode().lower())
+                for t in tokenize(run.encode().decode("latin-1").translate(_ALPHABET))]
+
+    def _learn(self, words: set[bytes]) -> None:
+        rest = []
+        for w in words:
+            ids = self.older.get(w)
+            if ids is None and self.plain and _SPECIAL not in w and _PLAIN.fullmatch(w):
+                ids = np.array(self._plain(w), dtype=self.width).tobytes()
+            if ids is None:
+                rest.append(w)
+            else:
+                self.kept[w] = ids
+        for lo in range(0, len(rest), 1000):
+            part = rest[lo:lo + 1000]
+            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part],
+                                                   add_special_tokens=False)
+            self.kept.update(zip(part, (np.array(e.ids, dtype=self.width).tobytes() for e in got), strict=True))
 
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
-        new = list({w for doc in words for w in doc}.difference(self.kept))
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept = {}
-            new = list({w for doc in words for w in doc})
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.kept.update(zip(new, (np.array(e.ids, dtype=self.width).tobytes() for e in got), strict=True))
+        words = [(t if _SPECIAL in t else t.lower()).split() for t in texts]
+        if len(self.kept) > KEPT_WORDS:
+            self.older, self.kept = self.kept, {}
+        self._learn({w for doc in words for w in doc}.difference(self.kept))
         last = np.array([end], dtype=self.width).tobytes()
         find = self.kept.__getitem__
         return [np.frombuffer(b"".join([*map(find, doc), last]), dtype=self.width) for doc in words]
 
 
+# Encoders outlive a task: Spark uses a Python worker for many.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(vocabulary: str) -> Encoder:
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
+
+
 class _SequenceFile:
     """One Arrow file that grows by ids, with its index."""
 
@@ -131,7 +185,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", te
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             if encoder is None and texts:
-                encoder = Encoder(vocabulary)
+                encoder = encoder_of(vocabulary)
                 out = _SequenceFile(folder, f"part-{part:05d}", encoder.width, sequence, end_id)
             for lo, hi in pieces(texts):
                 out.add(ids[lo:hi], encoder.encode(texts[lo:hi], end_id))

@@ -43,8 +43,12 @@ def test_word_by_word_encoding_equals_whole_texts(vocabulary):
         [*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.text(max_size=40))
+WORDS = st.one_of(st.text(max_size=40), st.text(alphabet="aZ09ÀÖ×ØßàÿéÑ'-.,<|>ſK \t", max_size=30),
+                  st.sampled_from(["<|ENDOFTEXT|>", "a<|endoftext|>b", "İstanbul", "ﬁ", "Σς", "x<|", "don'T", "Ÿ÷ÿ", "A\x7fB"]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(WORDS)
 def test_encoding_of_any_text(text):
     import public_tokenizers
     from tokenizers import Tokenizer
