@@ -15,7 +15,9 @@ _CORRUPT = T.StructField("_corrupt", T.StringType())
 def _whole(df: DataFrame, what: str) -> DataFrame:
     """Fail on rows that the reader could not parse, naming their file."""
     bad = F.col("_corrupt").isNotNull()
-    note = F.concat(F.lit(f"{what} is not valid JSON of products: "), F.input_file_name())
+    # the message names a parsed column, so that Spark always parses one
+    rest = F.to_json(F.struct(df.columns[0]))
+    note = F.concat(F.lit(f"{what} is not valid JSON of products: "), F.input_file_name(), F.lit(" "), rest)
     return df.where(F.when(bad, F.raise_error(note).cast("boolean")).otherwise(F.lit(True))).drop("_corrupt")
 
 
@@ -65,7 +67,9 @@ def corrupt_pages(spark: SparkSession, path: str, multiline: bool = True) -> Dat
     """(file, record) of the landed pages that can't be read."""
     bad = _pages(spark, path, multiline).select(
         F.input_file_name().alias("file"), F.col("_corrupt").alias("record"), "products")
-    return bad.where(F.col("record").isNotNull()).select("file", "record")
+    # with a parsed column in the filter, as Spark doesn't read the record alone
+    parsed = F.coalesce(F.size("products"), F.lit(-1)) >= -1
+    return bad.where(F.col("record").isNotNull() & parsed).select("file", "record")
 
 
 def write_catalog(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
