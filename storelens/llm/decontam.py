@@ -60,7 +60,9 @@ _APART = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.lower().translate(_APART).split()
+    """Words without ASCII marks, in lower case in any alphabet."""
+    lower = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+    return lower.translate(_APART).split()
 
 
 def _buckets(words: list[bytes], bits: int) -> np.ndarray:

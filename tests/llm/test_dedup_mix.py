@@ -217,6 +217,14 @@ def test_lcs_against_table(a, b):
     assert decontam.lcs_length(a, b) == table[-1][-1]
 
 
+def test_decontamination_ignores_case_of_any_letter(spark):
+    from storelens.llm import decontam
+    item = " ".join(f"é{w}ñ" for w in prose(30, 9).split())
+    docs = frame(spark, [(1, prose(50, 1) + " " + item.upper() + ". " + prose(50, 2), "fr", "s", 1), (2, prose(80, 3), "fr", "s", 1)])
+    found = decontam.search(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, [x.item for x in r.leaks]) for r in found] == [(1, [7])]
+
+
 def test_decontamination_answer_column(spark, contaminated):
     """With an answer column a passage without its answer is no leak."""
     from storelens.llm import decontam
