@@ -48,9 +48,13 @@ class TenantStore:
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
+        self.schemas: dict = {}        # of the stored tables, read from a file's footer once
 
     def table(self, name: str, tenant_id: str) -> DataFrame:
-        return read_table(self.spark, f"{self.base}/{name}", tenant_id)
+        path = f"{self.base}/{name}"
+        if name not in self.schemas:
+            self.schemas[name] = self.spark.read.parquet(path).schema
+        return read_table(self.spark, path, tenant_id, self.schemas[name])
 
     # dashboard routes -----------------------------------------------------
     def overview(self, tenant_id, as_of):
