@@ -13,23 +13,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from storelens.llm import decontam, langid, mixing, simhash
-from storelens.llm.common import keep_ids, stored
+from storelens.llm.common import keep_ids, prepare, stored
 from storelens.llm.queries import table, written_tokens
-from storelens.session import configure
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; the text models are learned from them."""
-    configure(spark)
+    prepare(spark)
     found = langid.identify(langid.of_documents(docs), langid.train(docs))
     return keep_ids(docs, "doc_id", found.where("accepted").select("id")).select(*COLUMNS)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each near-duplicate group."""
-    configure(spark)
+    prepare(spark)
     groups = simhash.near_duplicates(docs)
     kept = keep_ids(docs, "doc_id", groups.where("doc_id = component_id").select("doc_id"))
     return kept.select(*COLUMNS).dropDuplicates(["doc_id"])
@@ -37,19 +36,19 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    configure(spark)
+    prepare(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them."""
-    configure(spark)
+    prepare(spark)
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the mix, written as Arrow files and read back."""
-    configure(spark)
+    prepare(spark)
     return written_tokens(spark, docs)
 
 

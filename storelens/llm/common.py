@@ -12,7 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import configure, scratch_path
 
 # The white space of the word rule [^\x20\x09-\x0D]+ .
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -23,6 +23,21 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 PIECE_BYTES = 2_000_000
 
 
+# Rows and bytes of one Arrow batch: a few MB of text, so that a batch's copies in
+# the JVM and in Python stay small beside a task's own memory.
+ARROW_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+              "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings that the operators of this subpackage rely on."""
+    configure(spark)
+    for key, value in ARROW_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def utf8(col: str | Column) -> Column:
     """A text column as bytes; null counts as the empty text."""
     col = F.col(col) if isinstance(col, str) else col

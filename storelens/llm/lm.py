@@ -99,29 +99,38 @@ _CHUNK_DDL = ("chunk long, kind int, ids array<long>, flags array<int>, sizes ar
 def _chunks(docs: DataFrame, key: str, text: str, kind: Column, flag: Column, p: LmParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 32
+        held: dict[int, list] = {}  # rows by kind: the deleted part has chunks of its own
+
+        def chunk(kind: int, rows: list) -> pa.RecordBatch:
+            nonlocal made
+            split = [t.lower().split() for _, t, _ in rows]
+            sizes = np.array([len(w) + 1 for w in split], dtype=np.int32)
+            tokens = np.full(sizes.sum(), END, dtype=np.uint64)
+            inner = np.ones(len(tokens), dtype=bool)
+            inner[np.cumsum(sizes) - 1] = False
+            tokens[inner] = hash_words([w for doc in split for w in doc])
+            words, index = np.unique(tokens, return_inverse=True)
+            made += 1
+            return pa.RecordBatch.from_arrays([
+                pa.array([made]), pa.array([kind], pa.int32()),
+                pa.array([[i for i, _, _ in rows]], pa.list_(pa.int64())),
+                pa.array([[f for _, _, f in rows]], pa.list_(pa.int32())),
+                pa.array([sizes.tolist()], pa.list_(pa.int32())),
+                pa.array([_pack_sorted(words)], pa.binary()),
+                pa.array([_pack(index.astype(np.uint32))], pa.binary()),
+                pa.array([len(tokens)], pa.int64())], schema=_CHUNK)
+
         for batch in batches:
-            kinds = batch.column(2).to_numpy()
-            for kind in np.unique(kinds):  # the deleted part has chunks of its own
-                own = batch.take(pa.array(np.flatnonzero(kinds == kind)))
-                texts = own.column(1).to_pylist()
-                for lo, hi in pieces(texts, p.chunk_bytes):
-                    split = [t.lower().split() for t in texts[lo:hi]]
-                    sizes = np.array([len(w) + 1 for w in split], dtype=np.int32)
-                    tokens = np.full(sizes.sum(), END, dtype=np.uint64)
-                    ends = np.cumsum(sizes) - 1
-                    inner = np.ones(len(tokens), dtype=bool)
-                    inner[ends] = False
-                    tokens[inner] = hash_words([w for doc in split for w in doc])
-                    words, index = np.unique(tokens, return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([made]), pa.array([int(kind)], pa.int32()),
-                        pa.array([own.column(0)[lo:hi].to_pylist()], pa.list_(pa.int64())),
-                        pa.array([own.column(3)[lo:hi].to_pylist()], pa.list_(pa.int32())),
-                        pa.array([sizes.tolist()], pa.list_(pa.int32())),
-                        pa.array([_pack_sorted(words)], pa.binary()),
-                        pa.array([_pack(index.astype(np.uint32))], pa.binary()),
-                        pa.array([len(tokens)], pa.int64())], schema=_CHUNK)
-                    made += 1
+            for i, text, kind, flag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(kind, []).append((i, text, flag))
+            for kind, rows in held.items():
+                runs = list(pieces([t for _, t, _ in rows], p.chunk_bytes))
+                for lo, hi in runs[:-1]:
+                    yield chunk(kind, rows[lo:hi])
+                held[kind] = rows[runs[-1][0]:] if runs else []
+        for kind, rows in held.items():
+            if rows:
+                yield chunk(kind, rows)
 
     return docs.select(F.col(key).cast("long").alias("k"), utf8(text).alias("t"),
                        kind.cast("int").alias("kind"), flag.cast("int").alias("flag")).mapInArrow(run, _CHUNK_DDL)

@@ -7,9 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
 from . import chat, decontam, langid, lm, mixing, quality, simhash, tokens, toxicity, warc
-from .common import discard, fold, shared_folder, stored
+from .common import discard, fold, prepare, shared_folder, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; a third of the ids is held out."""
-    configure(spark)
+    prepare(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(fold("doc_id", 3) != 1))
     return toxicity.score(docs, model).select(
@@ -28,7 +27,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, one row each with its items."""
-    configure(spark)
+    prepare(spark)
     found = decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", F.lit(True).alias("contaminated"), F.size("leaks").alias("n_items"),
@@ -41,7 +40,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Documents carry their doc_id; page p has -1 - p as doc_id, and its page_id.
     """
-    configure(spark)
+    prepare(spark)
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     model = langid.train(docs)
     # one fusion: what a declared tag says is learned from both tables
@@ -54,7 +53,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and divergence verdict of every document."""
-    configure(spark)
+    prepare(spark)
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")
@@ -62,7 +61,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
-    configure(spark)
+    prepare(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -75,7 +74,7 @@ def vocabulary() -> str:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
-    configure(spark)
+    prepare(spark)
     return mixing.shares(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
@@ -91,13 +90,13 @@ def written_tokens(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, read back from the Arrow files."""
-    configure(spark)
+    prepare(spark)
     return written_tokens(spark, table(spark, sf_dir, "documents"))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every formatted conversation and of one full of control strings."""
-    configure(spark)
+    prepare(spark)
     said = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
@@ -109,7 +108,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document; a seventh of the ids is held out."""
-    configure(spark)
+    prepare(spark)
     held_out = fold("doc_id", 7) == 2
     return lm.score(table(spark, sf_dir, "documents"), training=~held_out).select(
         "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
@@ -118,7 +117,7 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, read back from the archives."""
-    configure(spark)
+    prepare(spark)
     folder = shared_folder(spark, "warc")
     files = warc.archive(table(spark, sf_dir, "pages"), folder)
     rows, _ = stored(warc.read(files).select(
