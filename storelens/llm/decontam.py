@@ -4,16 +4,20 @@ Benchmark items are cut into passages; their hashed words are weighted by
 TF-IDF, the document frequencies being counted over the passages of the whole
 corpus.  A distributed randomised SVD of the benchmark passages gives a latent
 space.  Each document is cut into overlapping windows; a window's cosine to
-the item passages in that space gives the candidates, whose words are then
-compared: a candidate is a leak if the longest common subsequence covers
+the item passages in that space gives candidates.  An index of each passage's
+rarest words adds every other window that has words enough for the comparison
+to succeed, so what is found depends neither on the rank nor on the size of the
+benchmark.  The candidates' words are then compared: one is a leak if the longest common subsequence covers
 enough of the item passage and its answer (an answer column, else the
 passage's closing words) is there too.
 
-The broadcast parts are bounded: the space by ``buckets`` x ``rank``, item
-passages by ``block`` (a larger benchmark is searched block by block).
+The rank grows with the passages.  The broadcast parts are bounded: the space
+by 2 ** ``bits`` x ``rank`` numbers, item passages by ``block`` (a larger
+benchmark is searched block by block).
 
 Defined results: a null or empty text of a document or an item matches
-nothing; an item is a leak in a document at most once, however often it
+nothing; a passage under ``short`` words that the cosine doesn't give must stand
+word for word, and one under ``least`` words needs the cosine; an item is a leak in a document at most once, however often it
 stands; repeated documents are searched alike, one result row each; an empty
 benchmark or corpus gives no match; other columns are ignored by ``search``
 and kept by ``clean``.
@@ -21,8 +25,9 @@ and kept by ``clean``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +43,21 @@ class DecontamParams:
     ``stride``; an item passage has ``stride`` words at most, so one window
     holds it whole.  ``lcs`` and ``answer``: shares of the item passage's and
     of the answer's words that must be there in order; ``items_share``: share
-    of an item's passages that must match."""
+    of an item's passages that must match.  The space has ``rank`` dimensions,
+    or one for each ``per_rank`` passages; ``sure``: indexed words of a passage
+    that a window must share, the index being as long as that takes."""
 
     window: int = 64
     stride: int = 32
     bits: int = 17
     rank: int = 128
+    per_rank: int = 4
     oversample: int = 16
     power: int = 1
     cosine: float = 0.55
+    sure: int = 3
+    short: int = 8
+    least: int = 4
     lcs: float = 0.6
     answer: float = 0.5
     answer_words: int = 5
@@ -141,10 +152,11 @@ def _frequencies(docs: DataFrame, text: str, known: np.ndarray, p: DecontamParam
 @dataclass(frozen=True)
 class Space:
     """``place`` finds the row of a bucket in ``vectors`` (buckets x rank), -1 if
-    no benchmark passage has it; rows already carry the idf weight."""
+    no benchmark passage has it; rows already carry the idf weight ``idf``."""
 
     place: np.ndarray
     vectors: np.ndarray
+    idf: np.ndarray
 
 
 def _weighted(words: list[bytes], place: np.ndarray, idf: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +175,8 @@ def svd(rows: DataFrame, place: np.ndarray, idf: np.ndarray, p: DecontamParams)
     """
     width = min(p.rank + p.oversample, len(idf))
     sketch = np.random.default_rng(p.seed).standard_normal((len(idf), width))
-    schema = pa.schema([("b", pa.int32()), ("v", pa.list_(pa.float64()))])
+    schema = pa.schema([("b", pa.int32()), ("c", pa.int32()), ("v", pa.list_(pa.float64()))])
+    columns = 144  # in one row of sums
 
     def gram(x: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,16 +188,18 @@ def svd(rows: DataFrame, place: np.ndarray, idf: np.ndarray, p: DecontamParams)
             some = np.flatnonzero(total.any(axis=1))
             for lo in range(0, len(some), 4096):
                 own = some[lo:lo + 4096]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(own.astype(np.int32)), pa.array(total[own].tolist(), pa.list_(pa.float64()))],
-                    schema=schema)
+                for c in range(0, width, columns):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(own.astype(np.int32)), pa.array(np.full(len(own), c, dtype=np.int32)),
+                        pa.array(total[own, c:c + columns].tolist(), pa.list_(pa.float64()))], schema=schema)
 
-        sums = [F.sum(F.get("v", F.lit(k))) for k in range(width)]
+        sums = [F.sum(F.get("v", F.lit(k))) for k in range(min(width, columns))]
         out = np.zeros((len(idf), width))
         # terms x sketch numbers, whatever the number of passages
-        for r in (rows.select("words").mapInArrow(run, "b int, v array<double>")
-                  .groupBy("b").agg(F.array(*sums).alias("v")).collect()):
-            out[r["b"]] = r["v"]
+        for r in (rows.select("words").mapInArrow(run, "b int, c int, v array<double>")
+                  .groupBy("b", "c").agg(F.array(*sums).alias("v")).toLocalIterator()):
+            own = out[r["b"], r["c"]:r["c"] + columns]
+            own[:] = r["v"][:len(own)]
         return out
 
     q, _ = np.linalg.qr(gram(sketch))
@@ -214,10 +229,12 @@ def latent_space(docs: DataFrame, parts: DataFrame, text: str = "text",
     place = np.full(1 << p.bits, -1, dtype=np.int32)
     place[known] = np.arange(len(known), dtype=np.int32)
     if not len(known):
-        return Space(place, np.zeros((0, 1), dtype=np.float32))
+        return Space(place, np.zeros((0, 1), dtype=np.float32), np.zeros(0))
     df, n = _frequencies(docs, text, known, p)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1e-3
-    return Space(place, (idf[:, None] * svd(parts, place, idf, p)).astype(np.float32))
+    rank = max(p.rank, min(parts.count() // p.per_rank, (p.rank << p.bits) // len(known)))
+    vectors = idf[:, None] * svd(parts, place, idf, replace(p, rank=rank))
+    return Space(place, vectors.astype(np.float32), idf)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -245,10 +262,74 @@ def _windows(sizes: np.ndarray, p: DecontamParams) -> tuple[np.ndarray, np.ndarr
     return n, np.cumsum(n) - n
 
 
-def _candidates(split: list[list[bytes]], space: Space, items: np.ndarray, p: DecontamParams
-                ) -> Iterator[tuple[int, int, int, float]]:
-    """(document, stride, item passage, cosine) above the limit; a window is
-    two strides long and begins at each."""
+def _needed(n: int, p: DecontamParams) -> int:
+    """Words of a passage of ``n`` that a window must have, whatever its cosine."""
+    return n if n < p.short else math.ceil(p.lcs * n - 1e-9)
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings of each bucket: ``items`` from ``ends[place - 1]`` to
+    ``ends[place]``, with the number of indexed words of that bucket;
+    ``shared``: the least sum of these numbers in a window, by passage."""
+
+    ends: np.ndarray
+    items: np.ndarray
+    weights: np.ndarray
+    shared: np.ndarray
+
+
+def _index(words: list[list[bytes]], space: Space, p: DecontamParams) -> Index:
+    """A window with ``need`` of a passage's n words has ``c`` at least of any
+    n - need + c of them: the rarest ones are indexed."""
+    shared = np.full(len(words), 1 << 30, dtype=np.int64)
+    posts: list[tuple[int, int, int]] = []
+    for i, own in enumerate(words):
+        if len(own) >= p.least:
+            need = _needed(len(own), p)
+            shared[i] = min(p.sure, need)
+            at = space.place[_buckets(own, p.bits)]
+            rare = at[np.lexsort((at, -space.idf[at]))][:len(own) - need + shared[i]]
+            posts.extend((b, i, n) for b, n in zip(*(x.tolist() for x in np.unique(rare, return_counts=True)),
+                                                   strict=True))
+    rows = np.array(sorted(posts), dtype=np.int64).reshape(-1, 3)
+    return Index(np.cumsum(np.bincount(rows[:, 0], minlength=len(space.idf))), rows[:, 1], rows[:, 2], shared)
+
+
+def _near(own: np.ndarray, at: np.ndarray, first: np.ndarray, n: np.ndarray, lo: int, hi: int, index: Index,
+          p: DecontamParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window - lo, passage) of the windows ``lo`` to ``hi`` that share the
+    words of the index, from the known words (bucket, place in the document,
+    the document's first stride and number of strides)."""
+    count = np.diff(index.ends, prepend=0)
+    hit = count[own] > 0
+    own, at, first, n = own[hit], at[hit], first[hit], n[hit]
+    half, keys = p.stride // 2, []
+    begin, last = (at - p.window - half) // p.stride + 1, (at + half) // p.stride
+    for k in range(p.window // p.stride + 2):
+        w = begin + k
+        ok = (w >= 0) & (w <= last) & (w < n) & (first + w >= lo) & (first + w < hi)
+        keys.append((first + w - lo)[ok] * len(count) + own[ok])
+    keys = np.unique(np.concatenate(keys))  # a word counts once a window
+    window, own = keys // len(count), keys % len(count)
+    size = np.cumsum(count[own])
+    a = 0
+    while a < len(own):  # whole windows, of some millions of postings
+        b = max(int(np.searchsorted(size, (size[a - 1] if a else 0) + 4_000_000, "right")), a + 1)
+        b = int(np.searchsorted(window, window[b], "left" if window[b] > window[a] else "right")) if b < len(own) else b
+        n = count[own[a:b]]
+        post = np.arange(n.sum()) + np.repeat(index.ends[own[a:b]] - np.cumsum(n), n)
+        pairs, of = np.unique(np.repeat(window[a:b], n) * len(index.shared) + index.items[post], return_inverse=True)
+        sums = np.bincount(of, index.weights[post], minlength=len(pairs))
+        pairs = pairs[sums >= index.shared[pairs % len(index.shared)]]
+        yield pairs // len(index.shared), pairs % len(index.shared)
+        a = b
+
+
+def _candidates(split: list[list[bytes]], space: Space, items: np.ndarray, p: DecontamParams,
+                index: Index | None = None) -> Iterator[tuple[int, int, int, float]]:
+    """(document, stride, item passage, cosine) above the limit, or with the
+    words of the index; a window is two strides long and begins at each."""
     sizes = np.array([len(w) for w in split], dtype=np.int64)
     n, first = _windows(sizes, p)
     strides = int(n.sum())
@@ -258,7 +339,8 @@ def _candidates(split: list[list[bytes]], space: Space, items: np.ndarray, p: De
     at = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     stride = np.repeat(first, sizes) + at // p.stride
     hit = own >= 0
-    own, stride = own[hit], stride[hit]
+    own, stride, at = own[hit], stride[hit], at[hit]
+    starts_at, strides_of = np.repeat(first, sizes)[hit], np.repeat(n, sizes)[hit]
     per = p.window // p.stride
     doc = np.repeat(np.arange(len(split)), n)
     for lo in range(0, strides, 8192):  # windows at a time, so the gathered vectors stay small
@@ -275,7 +357,12 @@ def _candidates(split: list[list[bytes]], space: Space, items: np.ndarray, p: De
             same[:upto - lo] = doc[lo:upto] == doc[lo + k:upto + k]
             sums[same] += vectors[k:hi - lo + k][same]
         cosines = _unit(sums) @ items.T
-        w, i = np.nonzero(cosines >= p.cosine)
+        found = cosines >= p.cosine
+        if index is not None:
+            a, b = np.searchsorted(stride, [lo - 1, hi + per + 1])
+            for w, i in _near(own[a:b], at[a:b], starts_at[a:b], strides_of[a:b], lo, hi, index, p):
+                found[w, i] = True
+        w, i = np.nonzero(found)
         for x, y in zip(w.tolist(), i.tolist(), strict=True):
             yield int(doc[lo + x]), int(lo + x - first[doc[lo + x]]), y, float(cosines[x, y])
 
@@ -305,14 +392,21 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
             at = space.place[_buckets(own, p.bits)]
             items[i] = space.vectors[at[at >= 0]].sum(axis=0)
         items = _unit(items)
+        index = _index(words, space, p) if cut else None
 
-        def check(doc: list[bytes], stride: int, i: int) -> float:
+        def check(doc: list[bytes], stride: int, i: int, cosine: float) -> float:
             # the passage may begin or end a little outside the window
             lo = max(0, stride * p.stride - p.stride // 2)
             near = doc[lo:stride * p.stride + p.window + p.stride // 2]
-            share = lcs_length(words[i], near) / len(words[i])
+            n, there = len(words[i]), set(near)
+            if sum(w in there for w in words[i]) < p.lcs * n:
+                return 0.0
+            share = lcs_length(words[i], near) / n
             if share < p.lcs:
                 return 0.0
+            if n < p.short and cosine < p.cosine and not any(
+                    near[k:k + n] == words[i] for k in range(len(near) - n + 1)):
+                return 0.0
             if reach[i]:
                 near = doc[max(0, lo - reach[i]):stride * p.stride + p.window + reach[i]]
             return share if lcs_length(answers[i], near) >= p.answer * len(answers[i]) else 0.0
@@ -323,8 +417,8 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                 for lo, hi in pieces(texts):
                     split = [words_of(t) for t in texts[lo:hi]]
                     found: dict[tuple[int, int], tuple[float, float]] = {}
-                    for d, stride, i, cosine in _candidates(split, space, items, p):
-                        share = check(split[d], stride, i) if cut else 1.0
+                    for d, stride, i, cosine in _candidates(split, space, items, p, index):
+                        share = check(split[d], stride, i, cosine) if cut else 1.0
                         if share > found.get((d, i), (0.0, 0.0))[0]:
                             found[d, i] = share, cosine
                     by: dict[int, dict] = {}

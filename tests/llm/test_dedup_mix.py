@@ -186,6 +186,60 @@ def test_retrieval_recall_against_brute_force(spark, contaminated):
     assert len(got & truth) / len(truth) >= 0.9
 
 
+def syllables(r, n):
+    """Words of a vocabulary of some thousands, the first ones common."""
+    return ["".join("bcdfghklmnprstvz"[int(c, 16)] + "aeio"[int(c, 16) % 4] for c in f"{int(4000 * r.random() ** 3):03x}")
+            for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def large_benchmark():
+    """Some thousands of items, and texts that hold one each with a fifth of its words changed."""
+    r = random.Random(17)
+    bench = [(i, " ".join(syllables(r, r.randrange(12, 32)))) for i in range(2500)]
+    rows = []
+    for i in range(0, 2500, 25):
+        words = bench[i][1].split()
+        for at in r.sample(range(len(words) - 5), len(words) // 5):
+            words[at] = "changed"
+        k = r.randrange(150)
+        rows.append((i, " ".join([*syllables(r, k), *words, *syllables(r, 150 - k)]), "en", "s", 1))
+    return bench, rows
+
+
+def test_large_benchmark_against_brute_force(spark, large_benchmark):
+    """Every planted copy that a comparison with all items reports is found."""
+    from storelens.llm import decontam
+    bench, rows = large_benchmark
+    want = set()
+    for i, text, *_ in rows:
+        words, item = decontam.words_of(text.encode()), decontam.words_of(bench[i][1].encode())
+        if decontam.lcs_length(item, words) >= 0.6 * len(item):
+            want.add((i, i))
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    found = decontam.search(frame(spark, rows, clash=False), b).collect()
+    got = {(r.doc_id, x.item) for r in found for x in r.leaks}
+    assert len(want) == 100 and want <= got and len(got) < 110
+
+
+def test_index_misses_no_window(large_benchmark):
+    """Windows that pass the word comparison come from the index alone, without any cosine."""
+    from storelens.llm import decontam
+    bench, rows = large_benchmark
+    p = decontam.DecontamParams()
+    items = [decontam.words_of(t.encode()) for _, t in bench[:300]] + [[b"ba"] * 9 + [b"co"]]
+    docs = [decontam.words_of(t.encode()) for _, t, *_ in rows[:12]] + [[b"ba", b"da"] * 20 + [b"co"]]
+    known = np.unique(np.concatenate([decontam._buckets(w, p.bits) for w in items]))
+    place = np.full(1 << p.bits, -1, dtype=np.int32)
+    place[known] = np.arange(len(known))
+    space = decontam.Space(place, np.zeros((len(known), 1), dtype=np.float32), np.linspace(1, 3, len(known)))
+    got = {x[:3] for x in decontam._candidates(docs, space, np.zeros((len(items), 1), dtype=np.float32), p,
+                                               decontam._index(items, space, p))}
+    want = {(d, k, i) for d, doc in enumerate(docs) for k in range(-(-len(doc) // 32)) for i, own in enumerate(items)
+            if decontam.lcs_length(own, doc[max(0, 32 * k - 16):32 * k + 80]) >= 0.6 * len(own)}
+    assert len(want) >= 12 and want <= got
+
+
 def test_svd_against_numpy(spark, contaminated):
     from storelens.llm import decontam
     bench, _, _ = contaminated
