@@ -8,8 +8,8 @@ the item passages in that space gives candidates.  An index of each passage's
 rarest words adds every other window that has words enough for the comparison
 to succeed, so what is found depends neither on the rank nor on the size of the
 benchmark.  The candidates' words are then compared: one is a leak if the longest common subsequence covers
-enough of the item passage and its answer (an answer column, else the
-passage's closing words) is there too.
+enough of the item passage, within ``span`` times its length, and if the
+benchmark names an answer, that is there too.
 
 The rank grows with the passages.  The broadcast parts are bounded: the space
 by 2 ** ``bits`` x ``rank`` numbers, item passages by ``block`` (a larger
@@ -42,7 +42,9 @@ class DecontamParams:
     """``window`` words of a document are compared at a time, at every
     ``stride``; an item passage has ``stride`` words at most, so one window
     holds it whole.  ``lcs`` and ``answer``: shares of the item passage's and
-    of the answer's words that must be there in order; ``items_share``: share
+    of a given answer's words that must be there in order; ``span``: words of
+    the document, by the passage's length, in which its words must lie if there
+    is no answer; ``items_share``: share
     of an item's passages that must match.  The space has ``rank`` dimensions,
     or one for each ``per_rank`` passages; ``sure``: indexed words of a passage
     that a window must share, the index being as long as that takes."""
@@ -60,7 +62,7 @@ class DecontamParams:
     least: int = 4
     lcs: float = 0.6
     answer: float = 0.5
-    answer_words: int = 5
+    span: int = 2
     items_share: float = 0.5
     block: int = 4096
     seed: int = 11
@@ -86,8 +88,7 @@ def passages(benchmark: DataFrame, key: str = "item_id", text: str = "text", ans
              params: DecontamParams = DecontamParams()) -> DataFrame:
     """(item, part, parts, words, answer, reach): items cut into passages of
     ``stride`` words at most, evenly.  The answer of the item is looked for up
-    to ``reach`` words around each of its passages; without one a passage's
-    own closing words stand for it."""
+    to ``reach`` words around each of its passages; without one both are empty."""
     p = params
     schema = pa.schema([("item", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()),
                         ("words", pa.list_(pa.binary())), ("answer", pa.list_(pa.binary())), ("reach", pa.int32())])
@@ -102,7 +103,7 @@ def passages(benchmark: DataFrame, key: str = "item_id", text: str = "text", ans
                     own = words[len(words) * k // parts:len(words) * (k + 1) // parts]
                     told = words_of(answer)
                     out.append({"item": item, "part": k, "parts": parts, "words": own,
-                                "answer": told or own[-p.answer_words:],
+                                "answer": told,
                                 "reach": len(words) + len(told) if told else 0})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -407,9 +408,15 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
             if n < p.short and cosine < p.cosine and not any(
                     near[k:k + n] == words[i] for k in range(len(near) - n + 1)):
                 return 0.0
-            if reach[i]:
+            if answers[i]:
                 near = doc[max(0, lo - reach[i]):stride * p.stride + p.window + reach[i]]
-            return share if lcs_length(answers[i], near) >= p.answer * len(answers[i]) else 0.0
+                return share if lcs_length(answers[i], near) >= p.answer * len(answers[i]) else 0.0
+            # scattered common words are no copy
+            step = max(1, n // 4)
+            if len(near) > p.span * n:
+                share = max(lcs_length(words[i], near[k:k + p.span * n])
+                            for k in range(0, len(near) - p.span * n + step, step)) / n
+            return share if share >= p.lcs else 0.0
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -289,6 +289,31 @@ def test_decontamination_answer_column(spark, contaminated):
     assert {x.item for r in found for x in r.leaks} == {i for i, _ in bench if i % 2}
 
 
+def test_decontamination_of_cut_and_reworded_endings(spark):
+    """Without an answer column the share of the passage's words decides, wherever they are missing."""
+    from storelens.llm import decontam
+    r = random.Random(3)
+    bench = [(i, " ".join(syllables(r, r.randrange(15, 60)))) for i in range(40)]
+    rows = []
+    for i, text in bench:
+        words = text.split()
+        around = syllables(r, 150)
+        for k, copy in enumerate([words[:len(words) * 17 // 20], words[:-4] + ["other"] * 4]):
+            rows.append((2 * i + k, " ".join(around[:70 + i] + copy + around[70 + i:]), "en", "s", 1))
+    found = decontam.search(frame(spark, rows, clash=False),
+                            spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(x.doc_id, y.item) for x in found for y in x.leaks} == {(i, i // 2) for i in range(80)}
+
+
+def test_scattered_words_are_no_copy(spark):
+    from storelens.llm import decontam
+    item = [f"w{i}" for i in range(12)]
+    text = " ".join(f"{w} {prose(4, i)}" for i, w in enumerate(item))
+    found = decontam.search(frame(spark, [(1, text, "en", "s", 1), (2, " ".join(item[:9]), "en", "s", 1)], clash=False),
+                            spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [x.doc_id for x in found] == [2]
+
+
 def test_decontamination_edges(spark, edge_rows, contaminated):
     from storelens.llm import decontam
     bench, rows, _ = contaminated
