@@ -378,9 +378,15 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     parts, _ = stored(passages(benchmark, item_key, item_text, answer, p), "bench-passages")
     space = latent_space(docs, parts, text, p)
     rows = docs.select(F.col(key).cast("long").alias("k"), utf8(text).alias("t"))
-    schema = pa.schema([("k", pa.int64()), ("leaks", pa.list_(pa.struct([
+    many = parts.count() > p.block
+    if many:  # the blocks' results meet by a number of the row, which is stored as it must stay the same
+        rows, _ = stored(rows.withColumn("row", F.monotonically_increasing_id()), "bench-rows")
+    else:
+        rows = rows.withColumn("row", F.lit(0).cast("long"))
+    rows = rows.select("k", "t", "row")
+    schema = pa.schema([("k", pa.int64()), ("row", pa.int64()), ("leaks", pa.list_(pa.struct([
         ("item", pa.int64()), ("parts", pa.int32()), ("cosine", pa.float64()), ("lcs", pa.float64())])))])
-    ddl = "k long, leaks array<struct<item: long, parts: int, cosine: double, lcs: double>>"
+    ddl = "k long, row long, leaks array<struct<item: long, parts: int, cosine: double, lcs: double>>"
 
     def searched(block: list) -> DataFrame:
         words = [r["words"] for r in block]
@@ -420,7 +426,8 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+                ids, texts, numbers = (c.to_pylist() for c in batch.columns)
+                out = []
                 for lo, hi in pieces(texts):
                     split = [words_of(t) for t in texts[lo:hi]]
                     found: dict[tuple[int, int], tuple[float, float]] = {}
@@ -434,9 +441,9 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                     for d, hits in sorted(by.items()):
                         leaks = [{"item": item, "parts": len(x), "cosine": max(c for _, c in x),
                                   "lcs": sum(s for s, _ in x) / len(x)}
-                                 for (item, n), x in sorted(hits.items()) if len(x) >= p.items_share * n]
+                                 for (item, n), x in sorted(hits.items(), key=lambda h: (h[0][0] is not None, h[0])) if len(x) >= p.items_share * n]
                         if leaks:
-                            out.append({"k": ids[lo + d], "leaks": leaks})
+                            out.append({"k": ids[lo + d], "row": numbers[lo + d], "leaks": leaks})
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -454,7 +461,10 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
             block.append(r)
     if found is None:
         found = rows.sparkSession.createDataFrame([], ddl)
-    return found.withColumnRenamed("k", key)
+    if many:
+        found = found.groupBy("row").agg(
+            F.first("k").alias("k"), F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    return found.select(F.col("k").alias(key), "leaks")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",

@@ -175,6 +175,22 @@ def test_decontamination_in_blocks_gives_the_same(spark, contaminated):
     assert {(r.doc_id, x.item) for r in found for x in r.leaks} == truth
 
 
+def test_blocks_give_one_row_a_document(spark, contaminated):
+    from storelens.llm import decontam
+    bench, rows, _ = contaminated
+    both = (5000, " ".join([prose(40, 1), bench[2][1], prose(40, 2), bench[25][1], prose(40, 3), bench[11][1]]), "en", "s", 1)
+    docs = frame(spark, rows[60:70] + [both, both, (None, *both[1:])])
+    b = spark.createDataFrame([*bench, (None, bench[2][1])], "item_id long, text string")
+
+    def told(p):
+        return Counter((r.doc_id, tuple((x.item, x.parts, round(x.cosine, 4), round(x.lcs, 6)) for x in r.leaks))
+                       for r in decontam.search(docs, b, params=p).collect())
+
+    whole = told(decontam.DecontamParams())
+    assert sum(whole.values()) == 13 and [x[0] for i, leaks in whole if i == 5000 for x in leaks] == [None, 2, 11, 25]
+    assert told(decontam.DecontamParams(block=7)) == whole
+
+
 def test_retrieval_recall_against_brute_force(spark, contaminated):
     """Windows that pass the word checks are found by the latent search."""
     from storelens.llm import decontam
