@@ -45,7 +45,8 @@ class DecontamParams:
     of a given answer's words that must be there in order; ``span``: words of
     the document, by the passage's length, in which its words must lie if there
     is no answer; ``items_share``: share
-    of an item's passages that must match.  The space has ``rank`` dimensions,
+    of an item's passages that must match, unless consecutive ones with
+    ``run_words`` words do.  The space has ``rank`` dimensions,
     or one for each ``per_rank`` passages; ``sure``: indexed words of a passage
     that a window must share, the index being as long as that takes."""
 
@@ -64,6 +65,7 @@ class DecontamParams:
     answer: float = 0.5
     span: int = 2
     items_share: float = 0.5
+    run_words: int = 50
     block: int = 4096
     seed: int = 11
 
@@ -394,6 +396,7 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         answers = [[bytes(w) for w in r["answer"]] for r in block]
         reach = [r["reach"] for r in block]
         names = [(r["item"], r["parts"]) for r in block]
+        order = [r["part"] for r in block]
         items = np.zeros((len(block), space.vectors.shape[1]), dtype=np.float32)
         for i, own in enumerate(words):
             at = space.place[_buckets(own, p.bits)]
@@ -424,6 +427,17 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                             for k in range(0, len(near) - p.span * n + step, step)) / n
             return share if share >= p.lcs else 0.0
 
+        def enough(of: list[int], parts: int) -> bool:
+            if len(of) >= p.items_share * parts:
+                return True
+            size = {order[i]: len(words[i]) for i in of}
+            run = 0
+            for k in range(parts):
+                run = run + size[k] if k in size else 0
+                if run >= p.run_words:
+                    return True
+            return False
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, texts, numbers = (c.to_pylist() for c in batch.columns)
@@ -436,12 +450,13 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                         if share > found.get((d, i), (0.0, 0.0))[0]:
                             found[d, i] = share, cosine
                     by: dict[int, dict] = {}
-                    for (d, i), best in found.items():
-                        by.setdefault(d, {}).setdefault(names[i], []).append(best)
+                    for d, i in found:
+                        by.setdefault(d, {}).setdefault(names[i], []).append(i)
                     for d, hits in sorted(by.items()):
-                        leaks = [{"item": item, "parts": len(x), "cosine": max(c for _, c in x),
-                                  "lcs": sum(s for s, _ in x) / len(x)}
-                                 for (item, n), x in sorted(hits.items(), key=lambda h: (h[0][0] is not None, h[0])) if len(x) >= p.items_share * n]
+                        leaks = [{"item": item, "parts": len(x), "cosine": max(found[d, i][1] for i in x),
+                                  "lcs": sum(found[d, i][0] for i in x) / len(x)}
+                                 for (item, n), x in sorted(hits.items(), key=lambda h: (h[0][0] is not None, h[0]))
+                                 if enough(x, n)]
                         if leaks:
                             out.append({"k": ids[lo + d], "row": numbers[lo + d], "leaks": leaks})
                 if out:

@@ -191,6 +191,18 @@ def test_blocks_give_one_row_a_document(spark, contaminated):
     assert told(decontam.DecontamParams(block=7)) == whole
 
 
+def test_part_of_a_long_item(spark):
+    """A long run of an item is a leak, whatever its share of the item; scattered passages are not."""
+    from storelens.llm import decontam
+    r = random.Random(4)
+    item = syllables(r, 320)
+    texts = [item[64:192], item[96:128], item[:32] + syllables(r, 80) + item[160:192]]
+    rows = [(i, " ".join(syllables(r, 60) + t + syllables(r, 60)), "en", "s", 1) for i, t in enumerate(texts)]
+    found = decontam.search(frame(spark, rows, clash=False),
+                            spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(x.doc_id, [(y.item, y.parts) for y in x.leaks]) for x in found] == [(0, [(7, 4)])]
+
+
 def test_retrieval_recall_against_brute_force(spark, contaminated):
     """Windows that pass the word checks are found by the latent search."""
     from storelens.llm import decontam
