@@ -26,6 +26,8 @@ and kept by ``clean``.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -74,10 +76,25 @@ class DecontamParams:
 _APART = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
+# Accents and vowel signs belong to their letter.
+_SIGNS = "".join(c for c in map(chr, [*range(0x300, 0x1F000), *range(0xE0100, 0xE01F0)])
+                 if unicodedata.category(c)[0] == "M")
+# Other separators, and the letters of scripts without spaces (with their signs): Thai to Lao,
+# Myanmar, Khmer, kana, Han.
+_ELSE_APART = re.compile(f"[^\\w\x00-\x7f{_SIGNS}]+")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+                       f"\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff][{_SIGNS}]*")
+
+
 def words_of(text: bytes) -> list[bytes]:
-    """Words without ASCII marks, in lower case in any alphabet."""
-    lower = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
-    return lower.translate(_APART).split()
+    """Runs of letters and digits, in lower case in any alphabet; single
+    characters where a script has no spaces."""
+    if text.isascii():
+        return text.lower().translate(_APART).split()
+    lower = _ELSE_APART.sub(" ", text.decode("utf-8", "replace").lower())
+    if _UNSPACED.search(lower):
+        lower = _UNSPACED.sub(r" \g<0> ", lower)
+    return lower.encode().translate(_APART).split()
 
 
 def _buckets(words: list[bytes], bits: int) -> np.ndarray:

@@ -307,6 +307,21 @@ def test_decontamination_ignores_case_of_any_letter(spark):
     assert [(r.doc_id, [x.item for x in r.leaks]) for r in found] == [(1, [7])]
 
 
+def test_words_of_any_script(spark):
+    from storelens.llm import decontam
+    told = lambda t: [w.decode() for w in decontam.words_of(t.encode())]
+    assert told("\u201cÉté\u201d\u2014l\u2019eau\u2026 a_b\u00a0x1") == ["été", "l", "eau", "a", "b", "x1"]
+    assert told("日本語のtext、東京。") == ["日", "本", "語", "の", "text", "東", "京"]
+    assert told("हिन्दी में e\u0301t") == ["हिन्दी", "में", "e\u0301t"]
+    r = random.Random(6)
+    han = lambda n: "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n))
+    item = han(40)
+    rows = [(1, han(90) + item[:20] + "，" + item[20:] + "。" + han(70), "zh", "s", 1), (2, han(200), "zh", "s", 1)]
+    found = decontam.search(frame(spark, rows, clash=False),
+                            spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(x.doc_id, [y.item for y in x.leaks]) for x in found] == [(1, [7])]
+
+
 def test_decontamination_answer_column(spark, contaminated):
     """With an answer column a passage without its answer is no leak."""
     from storelens.llm import decontam
