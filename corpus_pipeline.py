@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from storelens.llm import decontam, langid, mixing, simhash
-from storelens.llm.common import keep_ids, prepare, stored
+from storelens.llm.common import free_name, keep_ids, prepare, stored
 from storelens.llm.queries import table, written_tokens
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,9 +41,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them."""
+    """Documents as often as the mix draws them, dealt to its shards and shuffled there."""
     prepare(spark)
-    return mixing.mix(docs).select(*COLUMNS)
+    return mixing.mix(docs, shard=free_name(docs, "shard")).select(*COLUMNS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -431,6 +431,16 @@ def test_stage_mix(stages):
         assert abs(taken[s] - target) <= max([size[i] for i in size if source[i] == s]) / 2 + 1
 
 
+def test_stage_mix_deals_and_shuffles(spark):
+    """The stage's rows come by shard, in the order of the shuffle inside it."""
+    import corpus_pipeline
+    from storelens.llm import mixing
+    docs = frame(spark, [(i, prose(20, i), "en", f"s{i % 3}", 1) for i in range(200)], clash=False)
+    want = [r.doc_id for r in mixing.mix(docs, shard="shard").collect()]
+    got = [r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SMOKE).collect()]
+    assert got == want and got != sorted(got)
+
+
 def test_stage_tokens(spark, stages, vocabulary):
     from tokenizers import Tokenizer
     whole = Tokenizer.from_file(vocabulary)
