@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lm, mixing, quality, simhash, tokens, toxicity, warc
+from . import (align, chat, decontam, langid, lm, mixing, periods, quality, repeats, simhash, tokens,
+               toxicity, warc)
 from .common import discard, fold, prepare, shared_folder, stored
 
 
@@ -126,6 +128,51 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its copies of earlier ones."""
+    prepare(spark)
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of two tokenizers in every document, with corpus-wide counts."""
+    import public_tokenizers
+
+    prepare(spark)
+    return align.align(table(spark, sf_dir, "documents"),
+                       str(public_tokenizers.path("byte_bpe_50k.json")),
+                       str(public_tokenizers.path("piece_bpe_32k.model"))).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def drilled(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document; of every tenth one (by its id's crc32) a tail is
+    its first words over and over."""
+    h, n = zlib.crc32(b"" if doc_id is None else b"%d" % doc_id), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    root = words[a:a + 1 + (n - a) // (3 + g % 8)]
+    return words[:a] + (root * ((n - a) // len(root) + 1))[:n - a]
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, with drilled tails."""
+    prepare(spark)
+    found = periods.find_runs(table(spark, sf_dir, "documents"), edit=drilled)
+    best = F.get("runs", F.col("best"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * get(runs, best).length DIV get(runs, best).period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256)
+        .alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -137,6 +184,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_lm": op9_lm,
     "op10_warc": op10_warc,
+    "op11_repeats": op11_repeats,
+    "op12_alignment": op12_alignment,
+    "op13_periods": op13_periods,
 }
 
 _COMMON = ", ".join(
