@@ -10,12 +10,13 @@ No task sorts the whole corpus:
 
 * Documents are stored as chunks of about CHUNK_BYTES, each at its own number
   in a bucketed table, so that later joins by chunk don't move texts.
+* A text that another chunk has at a smaller id goes as a whole, by its digest.
 * Each window of LENGTH bytes names its least-hashed GRAM bytes (its anchor),
   so equal windows name equal anchors.  One row a chunk and anchor is
   exchanged; anchors that one document alone holds can't cover a match.
-* A chunk sorts the suffixes of its windows with shared anchors.  Windows with a
-  smaller document in the chunk are settled; only the others, a window's
-  smallest document in the chunk, go on, as pieces with the bytes that their
+* A chunk sorts the suffixes of its windows whose anchors several of its documents
+  have.  Windows with a smaller document in the chunk are settled; only the others
+  whose anchors other chunks have too, each at its smallest document, go on, as pieces with the bytes that their
   anchor's windows need.  However many copies a text has, a chunk sends one.
 * Pieces meet by anchor, or, for an anchor of over HOT documents, by window, so
   that a common phrase spreads over all the texts around it.  Their suffixes are
@@ -42,17 +43,22 @@ from pyspark.sql import functions as F
 from .common import discard, mix, pieces, shared_folder, stored, utf8
 
 LENGTH = 50
-GRAM = 16
+GRAM = 20
 CHUNK_BYTES = 4_000_000
-BLOCK = 1 << 20  # window starts whose anchors are found at once
+BLOCK = 1 << 16  # window starts whose anchors are found at once
+# What a chunk hears of an anchor, in the low bits of its hash: other documents of
+# the chunk hold it, other chunks do, it is hot.
+INSIDE, BEYOND, BUSY = 1, 2, 4
+NAME = ~np.uint64(7)
 HOT = 2_000  # documents from which an anchor's windows go their own ways
-BATCH_BYTES = 2_000_000  # text of pieces that one sort takes, whole anchors
+BATCH_BYTES = 400_000  # text of pieces that one sort takes, whole anchors
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _ROW = pa.struct([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                   ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 _CHUNK = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())),
-                    ("sizes", pa.list_(pa.int64())), ("text", pa.binary()), ("copies", pa.list_(_ROW))])
+                    ("sizes", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("text", pa.binary()),
+                    ("copies", pa.list_(_ROW))])
 _ANCHOR = pa.schema([("anchor", pa.int64()), ("chunk", pa.int64()), ("n", pa.int32())])
 _PIECE = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("at", pa.int64()), ("n", pa.int64()),
                     ("id", pa.int64()), ("text", pa.binary())])
@@ -74,7 +80,8 @@ def anchored(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     out = []
     for lo in range(0, len(text) - length + 1, BLOCK):
         w = _words(text[lo:lo + BLOCK + length - 1])
-        h = mix(w[:-8] * np.uint64(0xD6E8FEB86659FD93) + mix(w[8:]))
+        h = mix(w[:8 - GRAM] * np.uint64(0xD6E8FEB86659FD93) + mix(w[8:16 - GRAM]))
+        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + w[GRAM - 8:]) & NAME
         # leading bits of the hash, then the place: the first of equals
         least = (h >> np.uint64(32) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
         reach = 1
@@ -201,7 +208,7 @@ def _chunk_rows(chunk: int, held: list[tuple[int | None, bytes]], length: int) -
             copies.append({"doc_id": i, "n_bytes": len(t), "n_removed": len(t) * whole, "n_spans": int(whole),
                            "kept_sha256": hashlib.sha256(b"" if whole else t).hexdigest()})
     row = {"chunk": chunk, "ids": [i for _, i, _ in first.values()], "times": [n for *_, n in first.values()],
-           "sizes": [len(t) for t in first], "text": b"".join(first), "copies": copies}
+           "sizes": [len(t) for t in first], "digests": [hashlib.sha256(t).digest() for t in first], "text": b"".join(first), "copies": copies}
     return pa.RecordBatch.from_pylist([row], schema=_CHUNK)
 
 
@@ -226,16 +233,26 @@ def _text(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), dtype=np.uint8) if value.as_py() else np.empty(0, np.uint8)
 
 
+def _left(gone: list | None, n: int) -> np.ndarray:
+    """The documents of a chunk that don't go as a whole."""
+    left = np.ones(n + 1, dtype=bool)
+    left[gone or []] = False
+    return left
+
+
 def _anchors(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, sizes, text in zip(*(batch.column(c) for c in ("chunk", "sizes", "text")), strict=True):
+            for chunk, sizes, text, gone in zip(*(batch.column(c) for c in ("chunk", "sizes", "text", "gone")), strict=True):
                 ends = np.cumsum(np.array(sizes.as_py(), dtype=np.int64))
                 starts, _, anchor = anchored(_text(text), ends, length)
-                if not len(starts):
-                    continue
                 doc = np.searchsorted(ends, starts, side="right")
-                order = np.lexsort((doc, anchor))
+                left = _left(gone.as_py(), len(ends))[doc]
+                anchor, doc = anchor[left], doc[left]
+                if not len(anchor):
+                    continue
+                # places ascend, so a stable sort keeps documents in order
+                order = np.argsort(anchor, kind="stable")
                 anchor, doc = anchor[order], doc[order]
                 new = np.append(True, anchor[1:] != anchor[:-1])
                 n_docs = np.add.reduceat(new | np.append(True, doc[1:] != doc[:-1]), np.flatnonzero(new), dtype=np.int32)
@@ -255,43 +272,44 @@ def _local(length: int):
                     continue
                 yield from _settle(batch.column("chunk")[row].as_py(), batch.column("ids")[row].as_py(),
                                    batch.column("sizes")[row].as_py(), _text(batch.column("text")[row]),
-                                   shared.field("anchor").to_numpy().view(np.uint64),
-                                   shared.field("beyond").to_numpy(zero_copy_only=False),
-                                   shared.field("hot").to_numpy(zero_copy_only=False), length)
+                                   batch.column("gone")[row].as_py(), shared.to_numpy().view(np.uint64), length)
     return run
 
 
-def _settle(chunk: int, ids: list, sizes: list, text: np.ndarray, names: np.ndarray, beyond: np.ndarray,
-            hot: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+def _settle(chunk: int, ids: list, sizes: list, text: np.ndarray, gone: list | None, shared: np.ndarray,
+            length: int) -> Iterator[pa.RecordBatch]:
     ends = np.cumsum(np.array(sizes, dtype=np.int64))
-    order = np.argsort(names)
-    names, beyond, hot = names[order], beyond[order], hot[order]
+    shared = np.sort(shared)
+    names, flags = shared & NAME, (shared & ~NAME).astype(np.int64)
     starts, count, anchor = anchored(text, ends, length)
     place = np.minimum(np.searchsorted(names, anchor), len(names) - 1)
-    kept = names[place] == anchor
+    kept = (names[place] == anchor) & _left(gone, len(ends))[np.searchsorted(ends, starts, side="right")]
     starts, count, place = starts[kept], count[kept], place[kept]
-    # every window with a shared anchor
-    at = np.repeat(starts - np.cumsum(count) + count, count) + np.arange(count.sum())
-    place = np.repeat(place, count)
-    rank = _ranks(ids)
-    if rank.max() > 0:
+
+    def windows(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = count[of]
+        return np.repeat(starts[of] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(place[of], n)
+
+    at, _ = windows(flags[place] & INSIDE > 0)
+    done = np.empty(0, dtype=np.int64)
+    if len(at):
         # segments: stretches of bytes that these windows cover, one document each
         doc = np.searchsorted(ends, at, side="right")
         new = np.flatnonzero(np.append(True, (np.diff(at) > length) | (np.diff(doc) > 0)))
         lo, hi = at[new], at[np.append(new[1:], len(at)) - 1] + length
-        shift = lo - (np.cumsum(hi - lo) - (hi - lo))
-        body = text[np.repeat(shift, hi - lo) + np.arange((hi - lo).sum())]
         cut = np.cumsum(hi - lo)
-        found, settled = previous_factors(body, cut, rank[doc[new]], length)
-        found = found + shift[np.searchsorted(cut, found, side="right")]
-        done, n, _ = _joined(found[settled], np.zeros(settled.sum(), np.uint64))
-        yield _piece_batch(done, chunk, done, n, None, [None] * len(done))
-        open_ = beyond[place] & ~settled[np.searchsorted(found, at)]
-    else:
-        open_ = beyond[place]
-    at, place = at[open_], place[open_]
+        shift = lo - (cut - (hi - lo))
+        body = text[np.repeat(shift, hi - lo) + np.arange(cut[-1])]
+        found, settled = previous_factors(body, cut, _ranks(ids)[doc[new]], length)
+        found = found[settled]
+        done = found + shift[np.searchsorted(cut, found, side="right")]
+        first, n, _ = _joined(done, np.zeros(len(done), np.uint64))
+        yield _piece_batch(first, chunk, first, n, None, [None] * len(first))
+    at, place = windows(flags[place] & BEYOND > 0)
+    is_open = ~np.isin(at, done)
+    at, place = at[is_open], place[is_open]
     keys = names[place]
-    split = hot[place]
+    split = flags[place] & BUSY > 0
     if split.any():
         keys[split] = window_hashes(text, at[split], length)
     at, n, keys = _joined(at, keys)
@@ -356,15 +374,18 @@ def _global(length: int):
     return run
 
 
-def _finish():
+def _finish(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(list(_ROW))
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, times, sizes, copies = (batch.column(c)[row].as_py() for c in ("ids", "times", "sizes", "copies"))
+                ids, times, sizes, copies, gone = (
+                    batch.column(c)[row].as_py() for c in ("ids", "times", "sizes", "copies", "gone"))
                 text, covers = batch.column("text")[row].as_py(), batch.column("covers")[row].values
                 ends = np.cumsum(np.array(sizes, dtype=np.int64))
-                spans = _spans(covers, ends, batch.column("length")[row].as_py())
+                spans = _spans(covers, ends, length)
+                for k in gone or []:
+                    spans[k] = [(int(ends[k]) - sizes[k], int(ends[k]))]
                 rows = list(copies)
                 for k, (i, m, size, hi) in enumerate(zip(ids, times, sizes, ends.tolist(), strict=True)):
                     at, kept, removed = hi - size, [], 0
@@ -416,24 +437,37 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     whole = "array<struct<doc_id:long,n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>>"
     name = _bucketed(spark, rows.mapInArrow(
         _chunks(length, chunk_bytes),
-        f"chunk long, ids array<long>, times array<int>, sizes array<long>, text binary, copies {whole}"), path, buckets)
+        f"chunk long, ids array<long>, times array<int>, sizes array<long>, digests array<binary>, text binary, copies {whole}"), path, buckets)
     try:
         chunks = spark.table(name)
+        # texts that another chunk has at a smaller id (a null id is the largest)
+        text_of = Window.partitionBy("digest")
+        place = F.struct(F.col("id").isNull().alias("null"), "id")
+        gone, held = stored(
+            chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "sizes", "digests")).alias("k", "d"))
+            .where(F.col("d.sizes") >= length)
+            .select("chunk", "k", F.col("d.ids").alias("id"), F.col("d.digests").alias("digest"))
+            .withColumn("place", place).withColumn("least", F.min("place").over(text_of))
+            .where(F.col("place") > F.col("least")).groupBy("chunk").agg(F.collect_list("k").alias("gone")),
+            "repeats-copies")
+        chunks = chunks.join(gone, "chunk", "left")
         every = Window.partitionBy("anchor")
-        shared = (chunks.select("chunk", "sizes", "text")
+        flags = (F.when(F.col("n") > 1, INSIDE).otherwise(0).bitwiseOR(
+            F.when(F.col("total") > F.col("n"), BEYOND).otherwise(0)).bitwiseOR(
+            F.when(F.col("total") > hot, BUSY).otherwise(0)))
+        shared = (chunks.select("chunk", "sizes", "text", "gone")
                   .mapInArrow(_anchors(length), "anchor long, chunk long, n int")
                   .withColumn("total", F.sum("n").over(every)).where("total > 1")
-                  .groupBy("chunk").agg(F.collect_list(F.struct(
-                      "anchor", (F.col("total") > F.col("n")).alias("beyond"), (F.col("total") > hot).alias("hot")))
-                      .alias("shared")))
-        covers = (chunks.select("chunk", "ids", "sizes", "text").join(shared, "chunk")
+                  .groupBy("chunk").agg(F.collect_list(F.col("anchor").bitwiseOR(flags.cast("long"))).alias("shared")))
+        covers = (chunks.select("chunk", "ids", "sizes", "text", "gone").join(shared, "chunk")
                   .mapInArrow(_local(length), "key long, chunk long, at long, n long, id long, text binary")
                   .repartition(buckets, "key").sortWithinPartitions("key")
                   .mapInArrow(_global(length), "chunk long, at long, n long")
                   .groupBy("chunk").agg(F.collect_list(F.struct("at", "n")).alias("covers")))
-        out, _ = stored(chunks.join(covers, "chunk", "left").withColumn("length", F.lit(length))
-                        .mapInArrow(_finish(), RESULT), "repeats-result")
+        out, _ = stored(chunks.join(covers, "chunk", "left")
+                        .mapInArrow(_finish(length), RESULT), "repeats-result")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         discard(spark, path)
+    discard(spark, held)
     return out
