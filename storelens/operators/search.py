@@ -23,17 +23,18 @@ def product_filter(product_type: str | None = None, min_price: float | None = No
     """AND of the optional predicates; absent parts are TRUE.
 
     F4 price-range overlap (inclusive; 0 is a real bound; NULL prices fail a
-    given bound), F5 exact type ('' = no filter), F6 discount flag.
+    given bound), F5 exact type ('' = no filter), F6 discount flag.  The result is
+    for ``where``: plain comparisons, NULL for false, so that scans take them.
     """
     cond = F.lit(True)
     if product_type:
         cond = cond & (F.col("product_type") == F.lit(product_type))
     if min_price is not None:
-        cond = cond & F.coalesce(F.col("max_price") >= F.lit(float(min_price)), F.lit(False))
+        cond = cond & (F.col("max_price") >= F.lit(float(min_price)))
     if max_price is not None:
-        cond = cond & F.coalesce(F.col("min_price") <= F.lit(float(max_price)), F.lit(False))
+        cond = cond & (F.col("min_price") <= F.lit(float(max_price)))
     if has_discount is not None:
-        cond = cond & F.coalesce(F.col("has_discount") == F.lit(bool(has_discount)), F.lit(False))
+        cond = cond & (F.col("has_discount") == F.lit(bool(has_discount)))
     return cond
 
 

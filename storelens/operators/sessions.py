@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from storelens.functions.admission import admit
 from storelens.functions.misc import total_tokens, usage_cost
 from storelens.operators.common import as_ts, top_k_per_group
 from storelens.schemas import (DEFAULT_MODEL_PRICES, HISTORY_DEFAULT, INTENT_ROUTES, MODEL_PRICES,
@@ -403,6 +408,90 @@ def rate_window(requests: DataFrame, key: str, ts_col: str = "ts", *, window_sec
                    .drop("_us", "_b", "_copy", "_bucket"))
 
 
+def quiet_pieces(requests: DataFrame, key: str, ts_col: str, window_seconds: int) -> DataFrame:
+    """``requests`` that have a time, with ``_us`` and ``_piece``: a number that
+    changes, within a key, only where no request came for a whole window.
+
+    Time is cut into buckets of one window; a bucket begins a piece if its first
+    request is a window or more after the last one of the bucket before.  Only one
+    row a key and bucket is put in order, whatever the number of requests.
+    """
+    size = window_seconds * 1_000_000
+    rows = (requests.withColumn("_us", F.unix_micros(F.col(ts_col).cast("timestamp"))).where("_us IS NOT NULL")
+            .withColumn("_bucket", F.floor(F.col("_us") / F.lit(size)).cast("long")))
+    order = Window.partitionBy("_k").orderBy("_b")
+    quiet = F.col("_low") - F.lag("_high").over(order) >= size
+    pieces = (rows.groupBy(F.col(key).alias("_k"), F.col("_bucket").alias("_b"))
+              .agg(F.min("_us").alias("_low"), F.max("_us").alias("_high"))
+              .withColumn("_cut", F.when(F.coalesce(quiet, F.lit(True)), F.col("_b")))
+              .select("_k", "_b", F.max("_cut").over(order).alias("_piece")))
+    return rows.join(pieces, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b"))) \
+               .drop("_k", "_b", "_bucket")
+
+
+def rate_limit_audit(requests: DataFrame, key: str, id_col: str, ts_col: str = "ts", *, limit: int = RATE_LIMIT,
+                     window_seconds: int = RATE_WINDOW_SECONDS) -> DataFrame:
+    """W4, exact: which requests of a log the limiter admits (batch form of T6).
+
+    A request is admitted when fewer than ``limit`` admitted requests of its key
+    lie in (ts - window, ts]; requests are decided in (ts, id) order.  Returns key
+    (as text), request_id, ts, admitted and in_window, the admitted requests of
+    the window after the decision.  Requests without a time are left out; those
+    without a key share one.
+
+    After a quiet window the limiter holds nothing, so the pieces of
+    ``quiet_pieces`` are decided in parallel, each in one pass over sorted Arrow
+    batches that carries ``limit`` times.  A task puts its pieces on one time line,
+    a window apart, and decides a batch at once.
+    """
+    if limit < 1 or window_seconds < 1:
+        raise ValueError("limit and window must be at least 1")
+    size = window_seconds * 1_000_000
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prior, line, last = np.empty(0, dtype=np.int64), 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            us = batch.column("_us").to_numpy()
+            piece = np.append(False, batch.column("_start").to_numpy(zero_copy_only=False)[1:])
+            step = np.diff(us, prepend=us[0])
+            # a batch may go on with the piece of the one before
+            first = (batch.column("key")[0].as_py(), batch.column("_piece")[0].as_py())
+            step[0] = us[0] - last[1] if last is not None and last[0] == first else size
+            times = line + np.cumsum(np.where(piece, size, step))
+            ok, inside, prior = admit(times, prior, limit, size)
+            line = int(times[-1])
+            last = (batch.column("key")[n - 1].as_py(), batch.column("_piece")[n - 1].as_py()), int(us[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("request_id"), batch.column("_us"), pa.array(ok), pa.array(inside)],
+                names=["key", "request_id", "us", "admitted", "in_window"])
+
+    rows = quiet_pieces(requests, key, ts_col, window_seconds).select(
+        F.col(key).cast("string").alias("key"), F.col(id_col).cast("long").alias("request_id"), "_us", "_piece")
+    dealt = rows.repartition("key", "_piece").sortWithinPartitions("key", "_piece", "_us", "request_id")
+    return dealt.mapInArrow(_marked_starts(fold), "key string, request_id long, us long, admitted boolean, in_window long") \
+                .withColumn("ts", F.timestamp_micros("us")) \
+                .select("key", "request_id", "ts", "admitted", "in_window")
+
+
+def _marked_starts(fold):
+    """``fold`` on batches with a column that marks each row whose key or piece
+    isn't that of the row before."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def marked():
+            for batch in batches:
+                n = batch.num_rows
+                start = np.zeros(n, dtype=bool)
+                for c in ("key", "_piece"):
+                    codes = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                    start[1:] |= codes[1:] != codes[:-1]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start)], names=[*batch.schema.names, "_start"])
+        return fold(marked())
+    return run
+
+
 def sessionise(events: DataFrame, key: str, ts_col: str = "ts", gap_seconds: int = SESSION_TTL_SECONDS,
                segment: str = SEGMENT) -> DataFrame:
     """T4 (batch): activity sessions that expire ``gap_seconds`` after the last event.

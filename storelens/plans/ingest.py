@@ -17,17 +17,20 @@ from storelens.operators.embed import backfill_embeddings
 from storelens.schemas import TABLES
 from storelens.session import materialize
 
-CATALOG_TABLES = ("products", "images", "variants", "rejects")
+# children before the products that they belong to
+WRITE_ORDER = ("rejects", "images", "variants", "products")
 
 
 def newest_documents(raw: DataFrame) -> DataFrame:
     """Of documents with the same id the one with the latest ``updated_at``
     (as an instant, whatever its offset), then the last in file order.
 
-    Repeated ids are found on narrow rows; the documents themselves are only
-    checked against those few.  Documents without an id all stay.
+    Rows are numbered once, in a stored table, so both sides of the join below see
+    the same numbers even where a shuffle or a retry deals rows anew.  Repeated
+    ids are found on narrow rows; the documents themselves are only checked
+    against those few.  Documents without an id all stay.
     """
-    docs = raw.withColumn("_pos", F.monotonically_increasing_id())
+    docs = materialize(raw.withColumn("_pos", F.monotonically_increasing_id()), "catalog-numbered")
     place = F.struct(parse_ts("updated_at").alias("at"), F.col("_pos").alias("pos"))
     repeated = (docs.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("_id"))
                 .agg(F.count(F.lit(1)).alias("_n"), F.max(place)["pos"].alias("_last")).where("_n > 1"))
@@ -78,8 +81,16 @@ def ingest_catalog(raw: DataFrame, tenant_id: str, current: dict | None = None,
 
 def read_catalog_tables(spark: SparkSession, base_path: str) -> dict:
     """Stored products, images and variants, with their declared schemas (an
-    empty table has no file to infer one from)."""
-    return {n: spark.read.schema(TABLES[n]).parquet(f"{base_path}/{n}") for n in ("products", "images", "variants")}
+    empty table has no file to infer one from); a table that isn't there yet is empty."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+
+    def read(name: str) -> DataFrame:
+        path = hadoop.Path(f"{base_path}/{name}")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.createDataFrame([], TABLES[name])
+        return spark.read.schema(TABLES[name]).parquet(f"{base_path}/{name}")
+
+    return {n: read(n) for n in ("products", "images", "variants")}
 
 
 def write_catalog_tables(tables: dict, base_path: str) -> None:
@@ -88,9 +99,12 @@ def write_catalog_tables(tables: dict, base_path: str) -> None:
     Only the folders of the tenants in ``tables`` are replaced; other tenants
     stay.  All tables are first written aside, so ``tables`` may be computed
     from ``base_path`` itself, and a failure while computing changes nothing.
+    Then the tables are swapped in, children before products (WRITE_ORDER): a
+    failure in between may leave new images and variants that no product names
+    yet, never a product without its own; a rerun of the same ingest mends it.
     A tenant without rows in one of the tables loses its old rows there.
     """
-    names = [n for n in CATALOG_TABLES if n in tables]
+    names = [n for n in WRITE_ORDER if n in tables]
     ready = {n: materialize(tables[n], f"catalog-new-{n}") for n in names}
     tenants = None
     for df in ready.values():

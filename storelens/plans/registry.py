@@ -1316,6 +1316,15 @@ SELECT CAST(user_id AS VARCHAR) AS key, event_id AS request_id, ts, admitted,
 FROM r
 """
 
+
+@register("rate_limit_audit", ORACLE["stream_rate_limit"])
+def q_rate_limit_audit(spark, sf):
+    """Exact admission over the whole log, in quiet pieces."""
+    from storelens.operators.sessions import rate_limit_audit
+    out = rate_limit_audit(_t(spark, sf, "events"), "user_id", "event_id", "ts", limit=RATE, window_seconds=RATE_SECONDS)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 # Every product ends with a 64-dimensional vector (stored or backfilled).
 ORACLE["backfill_embeddings"] = A.with_views("products") + """
 SELECT id, tenant_id, CAST(64 AS BIGINT) AS dims FROM products

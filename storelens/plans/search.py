@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from storelens.operators.common import for_tenant, page_of_group
-from storelens.operators.search import by_category, with_first_image
+from storelens.operators.search import by_category, product_filter, with_first_image
 from storelens.schemas import K_DEFAULT, K_MAX, K_MIN, check_range
 
 # Queries of one scan of the products: so many at most, and so many bytes of vectors.
@@ -21,17 +21,22 @@ SLICE_ROWS = 1024
 BROADCAST_WINNERS = 10_000
 QUERY_COLUMNS = ["query_id", "tenant_id", "product_type", "min_price", "max_price", "has_discount",
                  "query_vec", "k"]
-_BEST = pa.schema([("query_id", pa.int64()), ("scope", pa.string()), ("n", pa.int64()), ("id", pa.int64()),
+_BEST = pa.schema([("query", pa.int64()), ("scope", pa.string()), ("n", pa.int64()), ("id", pa.int64()),
                    ("has", pa.bool_()), ("similarity", pa.float64()), ("newest", pa.int64())])
-_BEST_DDL = "query_id long, scope string, n long, id long, has boolean, similarity double, newest long"
+_BEST_DDL = "query long, scope string, n long, id long, has boolean, similarity double, newest long"
 _NO_DATE = np.iinfo(np.int64).max          # NULL update times come first
 
 
 class _Block:
-    """A block of queries as arrays, by tenant."""
+    """A block of queries as arrays, by tenant.
 
-    def __init__(self, queries: list):
-        self.id = np.array([q["query_id"] for q in queries], dtype=np.int64)
+    Queries go by their number; the caller's ``query_id`` is only a name, which
+    may repeat or be NULL.
+    """
+
+    def __init__(self, queries: list, first: int = 0):
+        self.number = np.arange(first, first + len(queries))
+        self.name = [q["query_id"] for q in queries]
         self.tenant = np.array([q["tenant_id"] for q in queries], dtype=object)
         self.type = [q["product_type"] or None for q in queries]
         self.bounds = np.array([[np.nan if q[c] is None else q[c] for c in ("min_price", "max_price")]
@@ -48,7 +53,7 @@ class _Block:
             self.by_size[size] = at, np.stack([vectors[i] for i in at])
 
     def __len__(self) -> int:
-        return len(self.id)
+        return len(self.number)
 
 
 def _cosines(block: _Block, own: np.ndarray, vectors: pa.Array) -> np.ndarray:
@@ -141,54 +146,57 @@ def _best_rows(products: DataFrame, block: _Block, cap: int | None, fallback: bo
         for q in np.flatnonzero(matches).tolist():
             best.pop((q, "u"), None)       # this task has seen a match
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block.id[q]]), pa.array(["n"]), pa.array([matches[q]])] + [
+                [pa.array([block.number[q]]), pa.array(["n"]), pa.array([matches[q]])] + [
                     pa.nulls(1, t) for t in (pa.int64(), pa.bool_(), pa.float64(), pa.int64())], schema=_BEST)
         for (q, scope), (ids, has, sims, dates) in best.items():
             n = len(ids)
             sims = pa.array(sims, mask=np.isnan(sims)) if block.has_vector[q] else pa.nulls(n, pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block.id[q])), pa.array([scope] * n), pa.array(np.zeros(n, dtype=np.int64)),
+                [pa.array(np.full(n, block.number[q])), pa.array([scope] * n), pa.array(np.zeros(n, dtype=np.int64)),
                  pa.array(ids), pa.array(has), sims, pa.array(dates)], schema=_BEST)
 
+    # vectors are only read for queries that have one
+    vector = F.col("embedding") if block.has_vector.any() else F.lit(None).cast(products.schema["embedding"].dataType)
     rows = products.select("id", "tenant_id", "product_type", "min_price", "max_price", "has_discount",
-                           F.unix_micros("updated_at").alias("newest"), "embedding")
+                           F.unix_micros("updated_at").alias("newest"), vector.alias("embedding"))
     return rows.where(F.col("tenant_id").isin(*sorted({t for t in block.tenant if t is not None}))) \
                .mapInArrow(run, _BEST_DDL)
 
 
-def _block_winners(products: DataFrame, queries: list, cap: int | None, fallback: bool) -> DataFrame:
+def _block_winners(products: DataFrame, block: _Block, cap: int | None, fallback: bool) -> DataFrame:
     """(query_id, rank, _id, _t, similarity) of a block of queries."""
-    block = _Block(queries)
     rows = _best_rows(products, block, cap, fallback)
     facts = products.sparkSession.createDataFrame(
-        [(int(i), t, int(k), bool(v)) for i, t, k, v in zip(block.id, block.tenant, block.k, block.has_vector)],
-        "q long, _t string, k int, ranked boolean")
+        [(int(n), i, t, int(k), bool(v)) for n, i, t, k, v in
+         zip(block.number, block.name, block.tenant, block.k, block.has_vector, strict=True)],
+        "q long, query_id long, _t string, k int, ranked boolean")
     # what meets here are the tasks' best rows: tasks x k for each query
-    rows = rows.join(F.broadcast(facts), F.col("query_id") == F.col("q"))
-    rows = rows.withColumn("matched", F.sum("n").over(Window.partitionBy("query_id"))) \
+    rows = rows.join(F.broadcast(facts), F.col("query") == F.col("q"))
+    rows = rows.withColumn("matched", F.sum("n").over(Window.partitionBy("query"))) \
                .where((F.col("scope") == "f") | ((F.col("scope") == "u") & (F.col("matched") == 0)))
-    by_date = Window.partitionBy("query_id").orderBy(F.col("newest").desc(), "id")
+    by_date = Window.partitionBy("query").orderBy(F.col("newest").desc(), "id")
     if cap is not None:
         rows = rows.withColumn("_c", F.row_number().over(by_date)) \
                    .where((F.col("_c") <= cap) | (F.col("scope") == "u")) \
                    .where(~F.col("ranked") | F.col("has"))
-    order = Window.partitionBy("query_id").orderBy(
+    order = Window.partitionBy("query").orderBy(
         F.col("similarity").desc_nulls_last(), F.when(~F.col("ranked"), F.col("newest")).desc(), "id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).select(
         "query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("_id"), "_t", "similarity")
 
 
-def _blocks(queries: DataFrame) -> Iterator[list]:
+def _blocks(queries: DataFrame) -> Iterator[_Block]:
     """The queries in blocks of bounded rows and bytes."""
-    held, size = [], 0
+    held, size, first = [], 0, 0
     for q in queries.select(*QUERY_COLUMNS).toLocalIterator():
         held.append(q)
         size += 8 * len(q["query_vec"] or ())
         if len(held) >= BLOCK_QUERIES or size >= BLOCK_BYTES:
-            yield held
+            yield _Block(held, first)
+            first += len(held)
             held, size = [], 0
     if held:
-        yield held
+        yield _Block(held, first)
 
 
 def search_batch(products: DataFrame, queries: DataFrame, candidate_cap: int | None = None,
@@ -205,11 +213,12 @@ def search_batch(products: DataFrame, queries: DataFrame, candidate_cap: int | N
     Any number of ``queries`` (QUERY_COLUMNS): they go block by block, bounded
     in rows and bytes, to one scan of the products each.  A task scores its
     products against the block in arrays and ships the best k ids per query;
-    details are joined to the winners only.
+    details are joined to the winners only.  Each row of ``queries`` is answered by
+    itself, also where a ``query_id`` repeats or is NULL.
     """
     found, n = None, 0
     for block in _blocks(queries):
-        n += sum(K_DEFAULT if q["k"] is None else q["k"] for q in block)
+        n += int(block.k.sum())
         one = _block_winners(products, block, candidate_cap, fallback_unfiltered)
         found = one if found is None else found.unionByName(one)
     if found is None:
@@ -237,12 +246,21 @@ def search_products(products: DataFrame, tenant_id: str, product_type: str | Non
                     has_discount: bool | None = None, query_vec: list | None = None,
                     k: int = K_DEFAULT, candidate_cap: int | None = None,
                     fallback_unfiltered: bool = True) -> DataFrame:
-    """One search request (a block of one query)."""
+    """One search request (a block of one query).
+
+    The filter is a predicate of the product scan.  Only a request with a vector
+    whose filter matches nothing reads the whole tenant (the fallback); that is
+    looked up first, on the filter's columns alone.
+    """
     k = check_range("k", k, K_MIN, K_MAX)
     query = {"query_id": 0, "tenant_id": tenant_id, "product_type": product_type, "min_price": min_price,
              "max_price": max_price, "has_discount": has_discount, "query_vec": query_vec, "k": k}
     scoped = for_tenant(products, tenant_id)
-    return _with_details(scoped, _block_winners(scoped, [query], candidate_cap, fallback_unfiltered), k)
+    matching = scoped.where(product_filter(product_type, min_price, max_price, has_discount))
+    filtered = bool(product_type) or not (min_price is None and max_price is None and has_discount is None)
+    if query_vec is not None and fallback_unfiltered and filtered and matching.select("id").isEmpty():
+        matching = scoped
+    return _with_details(scoped, _block_winners(matching, _Block([query]), candidate_cap, fallback_unfiltered), k)
 
 
 # ---------------------------------------------------------------------------

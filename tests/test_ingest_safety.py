@@ -138,3 +138,53 @@ def test_empty_id_list_means_no_restriction(spark):
     p, none = spark.range(5), spark.createDataFrame([], "id long")
     assert semantic_within(p, none).count() == semantic_within(p, None).count() == 5
     assert semantic_within(p, spark.range(2)).count() == 2
+
+
+def test_ingest_command_keeps_what_isnt_sent_again(spark, tmp_path):
+    from storelens import cli
+    out = str(tmp_path / "out")
+
+    def ingest(docs, tenant, *more):
+        path = tmp_path / "landed.json"
+        path.write_text(json.dumps(docs))
+        cli.main(["ingest", "--input", str(path), "--tenant", tenant, "--out", out, *more])
+        spark.catalog.clearCache()
+        return read_catalog_tables(spark, out)
+
+    assert ids(ingest([doc(1), doc(2)], "a")["products"]) == [("a", 1), ("a", 2)]
+    assert ids(ingest([doc(3)], "a")["products"]) == [("a", 1), ("a", 2), ("a", 3)]
+    assert ids(ingest([doc(1)], "b")["products"]) == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
+    t = ingest([doc(2, title="new", images=[]), doc(4)], "a")
+    assert ids(t["products"]) == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 1)]
+    assert t["products"].where("title = 'new'").count() == 1
+    assert (t["images"].count(), t["variants"].count()) == (4, 5)
+    assert ids(ingest([doc(9)], "a", "--replace-all")["products"]) == [("a", 9), ("b", 1)]
+
+
+def test_products_are_swapped_in_after_their_children(spark, land, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    out = str(tmp_path / "out")
+    write_catalog_tables(ingest_catalog(land([doc(1)]), "t"), out)
+    again = ingest_catalog(land([doc(2)], "x"), "t", current=read_catalog_tables(spark, out))
+    write = DataFrameWriter.parquet
+
+    def failing(self, path, *a, **kw):
+        if path == f"{out}/products":
+            raise OSError("lost the store")
+        return write(self, path, *a, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+    with pytest.raises(OSError, match="lost"):
+        write_catalog_tables(again, out)
+    monkeypatch.undo()
+    t = read_catalog_tables(spark, out)
+    assert ids(t["products"]) == [("t", 1)]
+    assert t["images"].count() == 2 and t["variants"].count() == 2
+
+
+def test_repeated_documents_after_a_shuffle(spark, land):
+    rows = [doc(k % 40, f"2024-01-{1 + k % 28:02d}T00:00:00Z", title=f"{k}") for k in range(400)]
+    raw = land(rows).repartition(13)
+    got = newest_documents(raw)
+    assert sorted(r.id for r in got.collect()) == list(range(40))
+    assert got.count() == 40

@@ -226,3 +226,45 @@ def test_deep_pages_equal_the_sorted_list(spark):
     deep = page_of_group(rows, "tenant_id", [F.col("updated_at").desc_nulls_first(), F.col("id").asc()],
                          F.coalesce(F.unix_seconds("updated_at"), F.lit(2 ** 62)), 100, 800)
     assert "WindowGroupLimit" in deep._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_and_null_query_ids(spark):
+    from storelens.plans.search import search_batch
+    df = products_of(spark)
+    q = "query_id long, tenant_id string, product_type string, min_price double, max_price double, has_discount boolean, query_vec array<double>, k int"
+    queries = spark.createDataFrame([(1, "t", "A", None, None, None, None, 5), (1, "t", "B", None, None, None, None, 5),
+                                     (None, "t", "B", None, None, None, [1.0, 0.0], 1),
+                                     (None, "t", "A", None, None, None, None, 5)], q)
+    got = sorted((r.query_id is None, r.product_type, r["rank"], r.id) for r in search_batch(df, queries).collect())
+    assert got == [(False, "A", 1, 0), (False, "A", 2, 1), (False, "B", 1, 2), (False, "B", 2, 3),
+                   (True, "A", 1, 0), (True, "A", 2, 1), (True, "B", 1, 2)]
+
+
+def products_of(spark):
+    rows = [(i, "t", t, f"p{i}", None, p, p, False, None, None, None, v)
+            for i, (t, p, v) in enumerate([("A", 1.0, [0.0, 1.0]), ("A", 9.0, None), ("B", 5.0, [1.0, 0.0]), ("B", 2.0, [0.5, 0.5])])]
+    return spark.createDataFrame(rows, "id long, tenant_id string, product_type string, title string, body_html string, "
+                                 "min_price double, max_price double, has_discount boolean, options map<string,array<string>>, "
+                                 "tags string, updated_at timestamp, embedding array<double>")
+
+
+def scans(df):
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [node for node in plan.split("\n\n") if "Scan parquet" in node and "PushedFilters" in node]
+
+
+def test_a_request_pushes_its_filter_and_reads_no_vector_without_need(spark, tmp_path):
+    from storelens.plans.search import search_products
+    products_of(spark).write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    out = search_products(df, "t", product_type="A", min_price=1.5)
+    assert [r.id for r in out.collect()] == [1]
+    ranking = next(line for line in scans(out) if "has_discount" in line or "updated_at" in line)
+    assert "EqualTo(product_type,A)" in ranking and "GreaterThanOrEqual(max_price,1.5)" in ranking
+    assert "embedding" not in ranking
+    ranked = search_products(df, "t", product_type="B", query_vec=[1.0, 0.0])
+    assert [r.id for r in ranked.orderBy("rank").collect()] == [2, 3]
+    assert any("embedding" in line and "EqualTo(product_type,B)" in line for line in scans(ranked))
+    # nothing matches: the whole tenant is searched
+    assert [r.id for r in search_products(df, "t", product_type="none", query_vec=[0.0, 1.0]).orderBy("rank").collect()] == [0, 3, 2]
+    assert search_products(df, "t", product_type="none").count() == 0
