@@ -261,8 +261,8 @@ def test_index_misses_no_window(large_benchmark):
     place = np.full(1 << p.bits, -1, dtype=np.int32)
     place[known] = np.arange(len(known))
     space = decontam.Space(place, np.zeros((len(known), 1), dtype=np.float32), np.linspace(1, 3, len(known)))
-    got = {x[:3] for x in decontam._candidates(docs, space, np.zeros((len(items), 1), dtype=np.float32), p,
-                                               decontam._index(items, space, p))}
+    got = {(d, start // p.stride, i) for d, start, _, i, _ in
+           decontam._indexed(docs, space, decontam._index(items, space, p), p)}
     want = {(d, k, i) for d, doc in enumerate(docs) for k in range(-(-len(doc) // 32)) for i, own in enumerate(items)
             if decontam.lcs_length(own, doc[max(0, 32 * k - 16):32 * k + 80]) >= 0.6 * len(own)}
     assert len(want) >= 12 and want <= got
@@ -471,3 +471,59 @@ def test_mixing_edges(spark, edge_rows):
     assert mixing.shares(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
     nothing = frame(spark, [(1, None, None, None, None), (2, "", None, "s", 0)])
     assert [(r.target, r.taken) for r in mixing.shares(nothing).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+# -- the retrieval decides what decontamination finds ----------------------------------------
+
+@pytest.mark.parametrize("changed", [0.0, 0.2, 0.3])
+def test_recall_of_the_latent_search_against_the_exact_mode(spark, large_benchmark, changed):
+    from storelens.llm import decontam
+    bench, _ = large_benchmark
+    r = random.Random(int(changed * 10))
+    rows = []
+    for i in range(0, 2500, 25):
+        words = bench[i][1].split()
+        for at in r.sample(range(len(words)), int(changed * len(words))):
+            words[at] = syllables(r, 1)[0]
+        k = r.randrange(150)
+        rows.append((i, " ".join([*syllables(r, k), *words, *syllables(r, 150 - k)]), "en", "s", 1))
+    docs, b = frame(spark, rows, clash=False), spark.createDataFrame(bench, "item_id long, text string")
+
+    def found(**how):
+        return {(x.doc_id, y.item) for x in decontam.search(docs, b, **how).collect() for y in x.leaks}
+
+    exact, own = found(exact=True), found()
+    assert own <= exact and len(exact) >= 95
+    assert len(own) >= 0.9 * len(exact)
+    # without the cosine nothing is left
+    assert found(params=decontam.DecontamParams(cosine=9.0)) == set()
+
+
+def test_decontamination_against_all_items_by_brute_force(spark, large_benchmark):
+    """What is reported is what a comparison of every text with every item accepts."""
+    from storelens.llm import decontam
+    bench, rows = large_benchmark
+    bench, rows = bench[:500], rows[:20] + [(9000 + k, prose(150, k), "en", "s", 1) for k in range(5)]
+    want = set()
+    for i, text, *_ in rows:
+        words = decontam.words_of(text.encode())
+        for item, t in bench:
+            own = decontam.words_of(t.encode())
+            span = 2 * len(own)
+            if max(decontam.lcs_length(own, words[k:k + span]) for k in range(len(words))) >= 0.6 * len(own):
+                want.add((i, item))
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    found = decontam.search(frame(spark, rows, clash=False), b).collect()
+    got = {(r.doc_id, x.item) for r in found for x in r.leaks}
+    assert got <= want and len(got) >= 0.9 * len(want) and {(i, i) for i, *_ in rows[:20]} <= got
+
+
+def test_clean_judges_rows_by_their_text(spark):
+    from storelens.llm import decontam
+    item = prose(40, 88) + " unique"
+    rows = [(None, "before " + item, "en", "s", 1), (None, prose(60, 1), "en", "s", 1), (3, item, "en", "s", 1),
+            (3, prose(70, 2), "en", "s", 1), (4, None, "en", "s", 1)]
+    docs = frame(spark, rows)
+    kept = decontam.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted(r.text or "" for r in kept.collect()) == sorted(["", rows[1][1], rows[3][1]])
