@@ -399,14 +399,19 @@ def _candidates(split: list[list[bytes]], space: Space, classes: list[Items],
     own, cell = own[hit], cell[hit]
     doc = np.repeat(np.arange(len(split)), n)
     place = np.arange(cells) - np.repeat(first, n)
-    for lo in range(0, cells, 8192):  # windows at a time, so the gathered vectors stay small
-        hi = min(cells, lo + 8192)
+    for lo in range(0, cells, 2048):  # windows at a time, so the gathered vectors stay small
+        hi = min(cells, lo + 2048)
         a, b = np.searchsorted(cell, [lo, hi + 3])
         vectors = np.zeros((hi - lo + 3, space.vectors.shape[1]), dtype=np.float32)
         if a == b:
             continue
-        starts = np.flatnonzero(np.diff(cell[a:b], prepend=-1))
-        vectors[cell[a:b][starts] - lo] = np.add.reduceat(space.vectors[own[a:b]], starts, axis=0)
+        # the first known word of every cell, then the second, ...
+        at, of = cell[a:b] - lo, own[a:b]
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        turn = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+        for k in range(p.cell):
+            now = np.flatnonzero(turn == k)
+            vectors[at[now]] += space.vectors[of[now]]
         for c in classes:
             # windows begin at each cell, or every other; they end with their document
             begin = np.arange(lo, hi) if c.cells == 2 else lo + np.flatnonzero(place[lo:hi] % 2 == 0)
