@@ -173,7 +173,7 @@ def previous_factors(text: np.ndarray, ends: np.ndarray, owner: np.ndarray, leng
     at, agrees = suffix_order(text, ends, length)
     of = owner[np.searchsorted(ends, at, side="right")]
     before = _nearest_smaller(of, agrees)
-    after = _nearest_smaller(of[::-1], np.append(agrees[1:], False)[::-1])[::-1]
+    after = _nearest_smaller(of[::-1], np.append(agrees[1:], False)[:len(agrees)][::-1])[::-1]
     out = np.empty(len(at), dtype=bool)
     order = np.argsort(at)
     out[:] = (before | after)[order]
