@@ -1219,17 +1219,18 @@ SELECT tenant_id, session_id, CAST(m - rn + 1 AS BIGINT) AS position, message_id
 FROM r WHERE rn <= 2
 """)
 def q_stream_recent_history(spark, sf):
-    from storelens.streaming.metrics import stream_recent_history
+    from storelens.streaming.keyed import stream_recent_history
     return _drain(spark, sf, lambda e: stream_recent_history(A.messages(e), HISTORY, 3600),
                   "t5", ["tenant_id", "session_id"], whole_key_group=True)
 
 
 @register("stream_rate_limit")
 def q_stream_rate_limit(spark, sf):
-    """T6 exact admission (sequential per key)."""
-    from storelens.streaming.metrics import stream_rate_limit
-    return _drain(spark, sf, lambda e: stream_rate_limit(e, "user_id", "event_id", "ts", RATE, RATE_SECONDS),
-                  "t6", ["request_id"], mode="append")
+    """T6 exact admission in event order: a request is decided once the watermark
+    has passed its pane; the heartbeat closes the last ones."""
+    from storelens.streaming.keyed import stream_rate_limit
+    return _drain(spark, sf, lambda e: stream_rate_limit(e, "user_id", "event_id", "ts", RATE, RATE_SECONDS, ordered=True),
+                  "t6", ["request_id"], mode="append", flush=True)
 
 
 # ---------------------------------------------------------------------------

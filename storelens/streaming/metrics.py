@@ -1,4 +1,4 @@
-"""Streaming forms of the batch operators.
+"""Streaming forms of the batch operators (T5, T6: ``keyed``).
 
 Late data policy (the reference has none): event time is the message or
 event timestamp; the default watermark is 1 hour; rows later than the
@@ -8,35 +8,15 @@ progress as ``numRowsDroppedByWatermark``.
 
 from __future__ import annotations
 
-from collections import deque
-from typing import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from storelens.functions.misc import total_tokens
-from storelens.schemas import HISTORY_CAP, RATE_LIMIT, RATE_WINDOW_SECONDS, SESSION_TTL_SECONDS
+from storelens.schemas import SESSION_TTL_SECONDS
 
 WATERMARK = "1 hour"
 
 
-def _expire_or_keep(state, deadline_ms: int) -> None:
-    """Set the event-time timeout, or drop the state if that time has already
-    passed (late rows for an idle key): Spark refuses timeouts older than the
-    current watermark."""
-    try:
-        wm = state.getCurrentWatermarkMs()
-    except Exception:  # noqa: BLE001 - no watermark defined
-        wm = None
-    if wm is not None and wm > 0 and deadline_ms <= wm:
-        state.remove()
-    else:
-        state.setTimeoutTimestamp(deadline_ms)
-
-
-def _event_time(df: DataFrame, col: str, watermark: str | None) -> DataFrame:
+def event_time(df: DataFrame, col: str, watermark: str | None) -> DataFrame:
     # withWatermark needs TIMESTAMP (not TIMESTAMP_NTZ)
     out = df.withColumn(col, F.col(col).cast("timestamp"))
     return out.withWatermark(col, watermark) if watermark else out
@@ -61,7 +41,7 @@ def stream_session_metrics(messages: DataFrame, watermark: str | None = WATERMAR
     """
     if window and gap_seconds:
         raise ValueError("give either a window or a gap")
-    m = _event_time(messages, "created_at", watermark)
+    m = event_time(messages, "created_at", watermark)
     llm = (F.col("model_used").isNotNull() | F.col("prompt_tokens").isNotNull()
            | F.col("completion_tokens").isNotNull())
     lat = F.when(F.col("role") == "assistant", F.col("latency_ms"))
@@ -89,7 +69,7 @@ def stream_session_metrics(messages: DataFrame, watermark: str | None = WATERMAR
 def stream_event_counts(product_events: DataFrame, window: str = "1 day", slide: str | None = None,
                         watermark: str | None = WATERMARK) -> DataFrame:
     """Product events per (tenant, type, product) per event-time window."""
-    e = _event_time(product_events, "created_at", watermark)
+    e = event_time(product_events, "created_at", watermark)
     w = F.window("created_at", window, slide) if slide else F.window("created_at", window)
     return (e.groupBy("tenant_id", "event_type", "product_id", w.alias("window"))
              .agg(F.count(F.lit(1)).alias("event_count"))
@@ -110,7 +90,7 @@ def stream_active_sessions(messages: DataFrame, window: str = "1 hour", slide: s
     emitted once the watermark passes their end.  State is one row per
     session per open window.
     """
-    m = _event_time(messages, "created_at", watermark)
+    m = event_time(messages, "created_at", watermark)
     w = F.window("created_at", window, slide).alias("window")
     if exact:
         per = m.groupBy("tenant_id", w, "session_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -124,7 +104,7 @@ def stream_active_sessions(messages: DataFrame, window: str = "1 hour", slide: s
 def stream_sessionise(events: DataFrame, key: str, ts_col: str = "ts", gap_seconds: int = SESSION_TTL_SECONDS,
                       watermark: str | None = WATERMARK) -> DataFrame:
     """T4: activity sessions that expire ``gap_seconds`` after the last event."""
-    e = _event_time(events, ts_col, watermark)
+    e = event_time(events, ts_col, watermark)
     return (e.groupBy(key, F.session_window(ts_col, f"{gap_seconds} seconds").alias("session"))
              .agg(F.count(F.lit(1)).alias("event_count"), F.min(ts_col).alias("first_ts"),
                   F.max(ts_col).alias("last_ts"))
@@ -138,7 +118,7 @@ def stream_hourly_latency(messages: DataFrame, watermark: str | None = WATERMARK
     ``exact`` keeps Spark's value->count map per hour (bounded by distinct
     latencies); otherwise percentile_approx (bounded sketch).
     """
-    m = _event_time(messages, "created_at", watermark) \
+    m = event_time(messages, "created_at", watermark) \
         .where((F.col("role") == "assistant") & F.col("latency_ms").isNotNull())
     probs = F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))
     pct = (F.percentile(F.col("latency_ms").cast("double"), probs) if exact
@@ -148,117 +128,3 @@ def stream_hourly_latency(messages: DataFrame, watermark: str | None = WATERMARK
     return agg.select("tenant_id", F.col("w.start").alias("hour"), "avg_latency_ms",
                       F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p90"), F.col("_p")[2].alias("p99"),
                       "message_count")
-
-
-# ---------------------------------------------------------------------------
-# T5 recent history and T6 rate limiting: keyed state with timeouts
-# ---------------------------------------------------------------------------
-
-HISTORY_OUT = ("tenant_id string, session_id string, position long, message_id long, role string, "
-               "content string, created_at timestamp")
-HISTORY_STATE = "ids array<long>, roles array<string>, contents array<string>, times array<timestamp>"
-
-
-def stream_recent_history(messages: DataFrame, n: int = HISTORY_CAP, ttl_seconds: int = SESSION_TTL_SECONDS,
-                          watermark: str | None = WATERMARK) -> DataFrame:
-    """T5: the last ``n`` messages per session, expiring ``ttl_seconds`` after
-    the last message (event time).  State per key is at most ``n`` messages,
-    and a micro-batch is folded in chunk by chunk (memory n + one chunk).
-
-    Emits a key's whole history (positions 1..m, oldest first) whenever it
-    changes; the upsert sink keeps the newest history per key.
-    """
-    m = _event_time(messages, "created_at", watermark) \
-        .select("tenant_id", "session_id", "message_id", "role", "content", "created_at")
-    ttl_ms = ttl_seconds * 1000
-
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            ids, roles, contents, times = state.get
-            hist = pd.DataFrame({"message_id": list(ids), "role": list(roles), "content": list(contents),
-                                 "created_at": pd.to_datetime(list(times))})
-        else:
-            hist = pd.DataFrame({"message_id": pd.Series([], dtype="int64"), "role": [], "content": [],
-                                 "created_at": pd.to_datetime(pd.Series([], dtype="datetime64[ns]"))})
-        # The answer depends only on the newest n messages (an expiry gap older
-        # than them cannot change them), so each chunk is folded into a sorted
-        # tail of n rows: memory is n + one Arrow chunk, whatever the key's volume.
-        allm = hist
-        for p in pdfs:
-            chunk = p[["message_id", "role", "content", "created_at"]].copy()
-            chunk["created_at"] = pd.to_datetime(chunk["created_at"])
-            allm = pd.concat([allm, chunk], ignore_index=True) \
-                     .sort_values(["created_at", "message_id"], kind="mergesort").tail(n)
-        # Event-time TTL: a gap of ttl or more since the previous message
-        # means the old history expired before this message arrived.
-        gaps = allm["created_at"].diff() >= pd.Timedelta(seconds=ttl_seconds)
-        if gaps.any():
-            allm = allm.iloc[int(gaps.to_numpy().nonzero()[0][-1]):]
-        times = [t.to_pydatetime() for t in allm["created_at"]]
-        state.update((allm["message_id"].astype("int64").tolist(), allm["role"].tolist(),
-                      allm["content"].tolist(), times))
-        last_ms = int(allm["created_at"].max().value // 1_000_000)
-        if watermark:
-            _expire_or_keep(state, last_ms + ttl_ms)
-        out = allm.assign(tenant_id=key[0], session_id=key[1],
-                          position=range(1, len(allm) + 1))
-        yield out[["tenant_id", "session_id", "position", "message_id", "role", "content", "created_at"]]
-
-    return m.groupBy("tenant_id", "session_id").applyInPandasWithState(
-        step, HISTORY_OUT, HISTORY_STATE, "update",
-        GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout)
-
-
-RATE_OUT = "key string, request_id long, ts timestamp, admitted boolean, in_window long"
-RATE_STATE = "times array<long>"
-
-
-def stream_rate_limit(requests: DataFrame, key: str, id_col: str, ts_col: str = "ts", limit: int = RATE_LIMIT,
-                      window_seconds: int = RATE_WINDOW_SECONDS, watermark: str | None = WATERMARK) -> DataFrame:
-    """Exact admission - a request is admitted when fewer than ``limit``
-    *admitted* requests of its key lie in (ts - window, ts].
-
-    State per key is the admitted timestamps still inside the window (at
-    most ``limit``).  Requests are decided in (ts, id) order within a
-    micro-batch, so a task holds the times and ids of one key's requests in
-    that batch (16 bytes each): bound the batch by the source's trigger size.
-    """
-    r = _event_time(requests, ts_col, watermark) \
-        .select(F.col(key).cast("string").alias("_key"), F.col(id_col).cast("long").alias("_id"),
-                F.col(ts_col).alias("_ts"))
-    win_us = window_seconds * 1_000_000
-
-    def step(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        admitted = list(state.get[0]) if state.exists else []
-        times, ids = [], []
-        for p in pdfs:
-            times.append(pd.to_datetime(p["_ts"]).to_numpy().astype("datetime64[us]").astype("int64"))
-            ids.append(p["_id"].to_numpy())
-        us, request = np.concatenate(times), np.concatenate(ids)
-        order = np.lexsort((request, us))
-        us, request = us[order], request[order]
-        window, ok, inwin = deque(admitted), np.empty(len(us), dtype=bool), np.empty(len(us), dtype=np.int64)
-        for i, t in enumerate(us.tolist()):
-            while window and window[0] <= t - win_us:
-                window.popleft()
-            ok[i] = len(window) < limit
-            if ok[i]:
-                window.append(t)
-            inwin[i] = len(window)
-        state.update((list(window),))
-        if window and watermark:
-            _expire_or_keep(state, int(window[-1] // 1000) + window_seconds * 1000)
-        for lo in range(0, len(us), 100_000):
-            part = slice(lo, lo + 100_000)
-            yield pd.DataFrame({"key": k[0], "request_id": request[part], "ts": us[part].astype("datetime64[us]"),
-                                "admitted": ok[part], "in_window": inwin[part]})
-
-    return r.groupBy("_key").applyInPandasWithState(
-        step, RATE_OUT, RATE_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout)

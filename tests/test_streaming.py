@@ -4,14 +4,17 @@ import datetime as dt
 import os
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMOKE, ts
 from storelens import adapters as A
 from storelens.operators.sessions import session_rollup
-from storelens.streaming.metrics import (stream_event_counts, stream_hourly_latency, stream_rate_limit,
-                                         stream_recent_history, stream_session_metrics, stream_sessionise)
+from storelens.streaming.keyed import stream_rate_limit, stream_recent_history
+from storelens.streaming.metrics import (stream_event_counts, stream_hourly_latency, stream_session_metrics,
+                                         stream_sessionise)
 from storelens.streaming.sources import file_stream, new_checkpoint, read_upserted, run_to_table, stream_path
 
 
@@ -136,3 +139,176 @@ def test_compact_upserted(spark, tmp_path):
     compact_upserted(spark, path, key, out)
     snap = spark.read.parquet(out)
     assert snap.count() == read_upserted(spark, path, key).count() and "_batch" not in snap.columns
+
+
+class Batches:
+    """A landing folder whose files are micro-batches, drained one by one from
+    one checkpoint."""
+
+    def __init__(self, spark, folder, schema):
+        folder.mkdir()
+        self.spark, self.folder, self.schema, self.n = spark, folder, schema, 0
+        self.table = new_checkpoint(spark, "batches")
+
+    def land(self, build, rows, mode):
+        from pyspark.sql.types import _parse_datatype_string
+        names = [f.split()[0] for f in self.schema.split(", ")]
+        pq.write_table(pa.table({name: pa.array(column) for name, column in zip(names, zip(*rows))}),
+                       self.folder / f"p{self.n}.parquet", coerce_timestamps="us")
+        self.n += 1
+        return run_to_table(build(file_stream(self.spark, str(self.folder), _parse_datatype_string(self.schema))),
+                            self.table, mode=mode)
+
+
+HISTORY = "tenant_id string, session_id string, message_id long, role string, content string, created_at timestamp"
+
+
+def test_recent_history_state_expires_over_three_batches(spark, tmp_path):
+    base = ts("2024-01-01 00:00:00")
+    at = lambda s, i, minutes: ("t", s, i, "user", f"{s}{i}", base + dt.timedelta(minutes=minutes))
+    b = Batches(spark, tmp_path / "land", HISTORY)
+    build = lambda m: stream_recent_history(m, n=3, ttl_seconds=3600, watermark="10 minutes")
+    b.land(build, [at("a", i, i) for i in range(5)] + [at("b", 50, 3)], "update")
+    b.land(build, [at("a", 5, 30), at("c", 60, 500)], "update")          # appended; the watermark passes a and b
+    last = b.land(build, [at("c", 61, 501)], "update")
+    got = {}
+    for r in read_upserted(spark, b.table, ["tenant_id", "session_id"], True).collect():
+        got.setdefault(r.session_id, []).append((r.position, r.message_id))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "a": [(1, 3), (2, 4), (3, 5)], "b": [(1, 50)], "c": [(1, 60), (2, 61)]}
+    assert last.exception() is None
+    after = b.land(build, [at("a", 7, 502)], "update")                   # a's list went: a new history
+    rows = {(r.session_id, r.position): r.message_id
+            for r in read_upserted(spark, b.table, ["tenant_id", "session_id"], True).collect()}
+    assert rows[("a", 1)] == 7 and ("a", 2) not in rows
+    assert after.exception() is None
+
+
+def test_recent_history_with_the_clocks_time_to_live(spark, tmp_path):
+    import time
+    from storelens.streaming.sources import sink_checkpoint, upsert_batch_writer
+    from pyspark.sql.types import _parse_datatype_string
+    base = ts("2024-01-01 00:00:00")
+
+    def last_history(name, ttl, n, pause):
+        land, table = tmp_path / name, new_checkpoint(spark, name)
+        land.mkdir()
+        for i in range(n):
+            row = ("t", "s", i, "user", "x", base + dt.timedelta(hours=2 * i))
+            pd.DataFrame([row], columns=[f.split()[0] for f in HISTORY.split(", ")]) \
+              .to_parquet(land / f"p{i}.parquet", coerce_timestamps="us")
+            src = file_stream(spark, str(land), _parse_datatype_string(HISTORY))
+            # such a stream never runs out of batches: one each
+            q = (stream_recent_history(src, n=20, ttl_seconds=ttl, processing_ttl=True).writeStream
+                 .outputMode("update").foreachBatch(upsert_batch_writer(table))
+                 .option("checkpointLocation", sink_checkpoint(table)).trigger(once=True).start())
+            assert q.awaitTermination(60)
+            time.sleep(pause)
+        return sorted(r.message_id for r in read_upserted(spark, table, ["tenant_id", "session_id"], True).collect())
+
+    assert last_history("long", 600, 3, 0) == [0, 1, 2]        # hours of event time, seconds of the clock
+    assert last_history("short", 1, 2, 1.5) == [1]
+
+
+REQUESTS = "user_id long, event_id long, ts timestamp"
+
+
+def walk(requests, limit, window):
+    """Request by request, in (ts, id) order of each user."""
+    out, admitted = {}, {}
+    for user, rid, at in sorted(requests, key=lambda r: (r[0], r[2], r[1] is not None, r[1] or 0)):
+        own = admitted[user] = [a for a in admitted.get(user, []) if a > at - dt.timedelta(seconds=window)]
+        if len(own) < limit:
+            own.append(at)
+            out[rid] = (True, len(own))
+        else:
+            out[rid] = (False, len(own))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ordered_rate_limit_whatever_the_arrival(spark, tmp_path, seed):
+    import random
+    rng, base = random.Random(seed), ts("2024-01-01 00:00:00")
+    log = [(rng.choice([1, 1, 1, 2]), i, base + dt.timedelta(seconds=rng.randrange(900))) for i in range(600)]
+    rng.shuffle(log)                        # both batches hold all times
+    b = Batches(spark, tmp_path / "land", REQUESTS)
+    build = lambda r: stream_rate_limit(r, "user_id", "event_id", "ts", 3, 60, "1 hour", ordered=True)
+    b.land(build, log[:300], "append")
+    b.land(build, log[300:], "append")
+    # one without an id among ids that a float can't hold
+    log += [(3, None, base), (3, 2 ** 60 + 1, base)]
+    b.land(build, [(3, None, base), (3, 2 ** 60 + 1, base)], "append")
+    end = b.land(build, [(9, 10_000, base + dt.timedelta(days=1))], "append")
+    got = {r.request_id: (r.admitted, r.in_window) for r in spark.read.parquet(b.table).collect()}
+    want = walk(log, 3, 60)
+    assert {k: (got.get(k), want.get(k)) for k in {*got, *want} if got.get(k) != want.get(k)} == {}
+    assert end.exception() is None
+
+
+def test_ordered_rate_limit_holds_a_pane_not_a_batch():
+    """One key with many requests: what is decided at once is a pane's."""
+    from storelens.streaming.keyed import _OrderedLimiter
+    import numpy as np
+
+    class Store(dict):
+        getValue, removeKey = dict.get, dict.pop
+
+        def updateValue(self, k, v):
+            self[k] = v
+
+        def exists(self):
+            return bool(self)
+
+    class Value:
+        kept = None
+
+        def get(self):
+            return self.kept
+
+        def update(self, v):
+            self.kept = v
+
+        def clear(self):
+            self.kept = None
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.stores = set(), {}
+
+        def getValueState(self, name, schema, ttl=None):
+            return self.stores.setdefault(name, Value())
+
+        def getMapState(self, name, k, v, ttl=None):
+            return self.stores.setdefault(name, Store())
+
+        def registerTimer(self, ms):
+            self.timers.add(ms)
+
+    class Expired:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getExpiryTimeInMs(self):
+            return self.ms
+
+    limiter, handle, decided = _OrderedLimiter(5, 60, True), Handle(), []
+    limiter.init(handle)
+    whole = limiter._decide
+
+    def counted(key, us, ids, named):
+        decided.append(len(us))
+        return whole(key, us, ids, named)
+    limiter._decide = counted
+    n, chunk = 50_000, 1000
+    seconds = np.random.default_rng(1).permutation(n) // 10
+    chunks = (pd.DataFrame({"at": pd.Timestamp("2024-01-01") + pd.to_timedelta(seconds[lo:lo + chunk], unit="s"),
+                            "request": np.arange(lo, lo + chunk), "named": True}) for lo in range(0, n, chunk))
+    assert list(limiter.handleInputRows(("k",), chunks, None)) == [] and not decided
+    rows = 0
+    while handle.timers:
+        ms = min(handle.timers)
+        handle.timers.remove(ms)
+        rows += sum(len(f) for f in limiter.handleExpiredTimer(("k",), None, Expired(ms)))
+    assert rows == n and max(decided) <= 600
+    assert not handle.stores["waiting"] and not handle.stores["pieces"] and handle.stores["admitted"].kept is None
