@@ -75,6 +75,12 @@ class Expansion:
         return pages * self.document_per_page
 
 
+def _amount(part: dict, name: str) -> float:
+    """A size of a part; nothing, a negative and a non-finite one count as 0."""
+    size = part.get(name) or 0
+    return size if math.isfinite(size) and size > 0 else 0
+
+
 @dataclass
 class Visitor:
     """Flattens the parts of one turn."""
@@ -95,13 +101,13 @@ class Visitor:
         self._add(escape(text))
 
     def visit_image(self, part: dict) -> None:
-        self._attach("image", part, self.expansion.image(part.get("width") or 0, part.get("height") or 0))
+        self._attach("image", part, self.expansion.image(_amount(part, "width"), _amount(part, "height")))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, self.expansion.audio(part.get("seconds") or 0.0))
+        self._attach("audio", part, self.expansion.audio(_amount(part, "seconds")))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, self.expansion.document(part.get("pages") or 0))
+        self._attach("document", part, self.expansion.document(_amount(part, "pages")))
         if part.get("text"):  # the document's caption follows its placeholder
             self.visit_text(part)
 

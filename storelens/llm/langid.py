@@ -120,7 +120,9 @@ _TAG = re.compile(r"<[^>]*>")
 
 def visible_text(page: str) -> str:
     """The text of a page without comments, scripts, styles and tags."""
-    return html_.unescape(_TAG.sub(" ", _DROPPED.sub(" ", page)))
+    page = _DROPPED.sub(" ", page)
+    end = page.rfind(">") + 1  # no tag ends behind it: looking for one there takes quadratic time
+    return html_.unescape(_TAG.sub(" ", page[:end]) + page[end:])
 
 
 def declared_language(html: str | Column) -> Column:

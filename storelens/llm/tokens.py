@@ -21,6 +21,8 @@ the input are ignored.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -49,13 +51,16 @@ _RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 # for the characters from 256 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
-_SPECIAL = b"<|"  # words with this may be special tokens, whose case matters
+# Normalisers that treat each word of a text by itself.
+_WORDWISE = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "BertNormalizer", "Replace", "Strip"}
 
 
 class Encoder:
-    """Texts to ids, word by word.
+    """Texts to ids, word by word where the vocabulary allows it.
 
-    Words and their ids are kept in two generations, so frequent words stay
+    It does if its normaliser works on single words and its pre-tokenizer drops
+    white space; texts are lower-cased first only if it does so itself.  Any other
+    vocabulary encodes whole texts.  Words and their ids are kept in two generations, so frequent words stay
     and memory is bounded.  Plain words go straight to the vocabulary's merges,
     all others through the whole tokenizer.
     """
@@ -65,10 +70,42 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.plain = self._splits_by_rule()
+        rules = json.loads(self.tokenizer.to_str())
+        added = [t["content"].lower().encode() for t in rules["added_tokens"]]
+        self.prefix = os.path.commonprefix(added) if added else None
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
+        steps = self._normalisers(rules["normalizer"])
+        self.by_words = self._drops_space(steps) and not any(re.search(rb"\s", t) for t in added)
+        self.folds = any(s["type"] == "Lowercase" or s.get("lowercase") for s in steps)
+        self.plain = self.by_words and self.folds and rules["model"]["type"] == "BPE" and self._splits_by_rule()
         self.kept: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def _normalisers(rule: dict | None) -> list[dict]:
+        """The single steps of a normaliser's description."""
+        if rule is None:
+            return []
+        if rule["type"] != "Sequence":
+            return [rule]
+        return [s for part in rule["normalizers"] for s in Encoder._normalisers(part)]
+
+    def _drops_space(self, steps: list[dict]) -> bool:
+        """Whether words between white space are encoded by themselves."""
+        for s in steps:
+            if s["type"] not in _WORDWISE or (
+                    s["type"] == "Replace" and (s["pattern"].get("Regex"), s["content"]) != (r"\s+", " ")):
+                return False
+        if self.tokenizer.pre_tokenizer is None:
+            return False
+        probe = "ab  c\td\n\ne\r\nf\x0bg\x0ch "
+        ends = [at for _, at in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)]
+        return "".join(probe[lo:hi] for lo, hi in ends) == "abcdefgh"
+
+    def _may_be_added(self, lowered: bytes) -> bool:
+        """Whether an added token, whose case matters, may be in the text."""
+        return self.added is not None and self.prefix in lowered and self.added.search(lowered) is not None
+
     def _splits_by_rule(self) -> bool:
         """Whether this vocabulary treats plain words by the rules above."""
         probe = "Äb1 x--Y2 'tis été ÿ/ß"
@@ -84,7 +121,7 @@ class Encoder:
         rest = []
         for w in words:
             ids = self.older.get(w)
-            if ids is None and self.plain and _SPECIAL not in w and _PLAIN.fullmatch(w):
+            if ids is None and self.plain and _PLAIN.fullmatch(w) and not self._may_be_added(w.lower()):
                 ids = np.array(self._plain(w), dtype=self.width).tobytes()
             if ids is None:
                 rest.append(w)
@@ -97,7 +134,11 @@ class Encoder:
             self.kept.update(zip(part, (np.array(e.ids, dtype=self.width).tobytes() for e in got), strict=True))
 
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
-        words = [(t if _SPECIAL in t else t.lower()).split() for t in texts]
+        if not self.by_words:
+            got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts],
+                                                   add_special_tokens=False)
+            return [np.array([*e.ids, end], dtype=self.width) for e in got]
+        words = [self._words(t) for t in texts]
         if len(self.kept) > KEPT_WORDS:
             self.older, self.kept = self.kept, {}
         self._learn({w for doc in words for w in doc}.difference(self.kept))
@@ -105,6 +146,12 @@ class Encoder:
         find = self.kept.__getitem__
         return [np.frombuffer(b"".join([*map(find, doc), last]), dtype=self.width) for doc in words]
 
+    def _words(self, text: bytes) -> list[bytes]:
+        if not self.folds:
+            return text.split()
+        lowered = text.lower()
+        return (text if self._may_be_added(lowered) else lowered).split()
+
 
 # Encoders outlive a task: Spark uses a Python worker for many.
 _ENCODERS: dict[str, Encoder] = {}

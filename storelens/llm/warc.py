@@ -12,7 +12,10 @@ responses; a null id is never named by a revisit, and a group of null ids
 only is all responses; a null address becomes ``urn:page:<id>``; an empty
 table writes no file and reads as no rows; other columns are ignored.  A
 file that breaks off or whose digests don't match raises an error that names
-the file and the record.
+the file and the record.  Archives of other writers (WARC 1.0 and 1.1, a gzip
+member per record) are read as well: every record is a row of its own type, its
+id is text and page_id null unless this writer named it, and a digest that is
+missing or of an unknown algorithm isn't checked.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import base64
 import datetime as dt
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -37,9 +41,14 @@ FILE_BYTES = 64_000_000
 STEP_BYTES = 1 << 16
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
+VERSIONS = ("WARC/1.0", "WARC/1.1")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+_PAGE = re.compile(r"<urn:page:(-?\d+)>")
+_ALGORITHMS = {"md5", "sha1", "sha256", "sha512"}
+
+
 def digest32(raw: bytes) -> str:
     """A SHA-1 digest as bare upper-case base32."""
     return base64.b32encode(raw).decode("ascii")
@@ -167,13 +176,38 @@ class _Member:
 
 
 def _fields(lines: list[str]) -> dict[str, str]:
-    pairs = (line.split(":", 1) for line in lines[1:])
-    return {k.strip().lower(): v.strip() for k, v in pairs}
+    """Names and values; a line that begins with white space goes on with the
+    value before it, and one without a colon says nothing."""
+    found, name = {}, ""
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and name:
+            found[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            found[name] = value.strip()
+    return found
 
 
 def _number(uri: str | None) -> int | None:
-    text = (uri or "").removeprefix("<urn:page:").removesuffix(">")
-    return None if text in ("", "null") else int(text)
+    """The page of an id of this writer, null for any other id."""
+    found = _PAGE.fullmatch(uri or "")
+    return int(found[1]) if found else None
+
+
+def _matches(stated: str | None, digests: dict[str, "hashlib._Hash"]) -> bool:
+    """Whether a stated digest (base32 or hex) is the one of the bytes; also
+    true if there is none, or one of an unknown algorithm."""
+    name, _, value = (stated or "").partition(":")
+    raw = digests.get(name.lower().replace("-", ""))
+    if raw is None or not value:
+        return True
+    return value.upper().rstrip("=") in (digest32(raw.digest()).rstrip("="), raw.hexdigest().upper())
+
+
+def _algorithm(stated: str | None) -> list[str]:
+    name = (stated or "").partition(":")[0].lower().replace("-", "")
+    return [name] if name in _ALGORITHMS else []
 
 
 def records(raw: BinaryIO, keep_payload: bool = False) -> Iterator[dict]:
@@ -185,34 +219,46 @@ def records(raw: BinaryIO, keep_payload: bool = False) -> Iterator[dict]:
         lines = member.line_block()
         head = _fields(lines)
         name = head.get("warc-record-id", "?")
-        if lines[0].encode() != VERSION:
-            raise ValueError(f"{name}: not a {VERSION.decode()} record")
-        block, payload, kept, size = hashlib.sha1(), hashlib.sha1(), [], 0
-        http, body = b"", False
+        if lines[0] not in VERSIONS:
+            raise ValueError(f"{name}: not a record of {' or '.join(VERSIONS)}")
+        kind, stated = head["warc-type"], head.get("warc-payload-digest")
+        block = {a: hashlib.new(a) for a in _algorithm(head.get("warc-block-digest"))}
+        payload = {a: hashlib.new(a) for a in {"sha1", *_algorithm(stated)}}
+        kept, size = [], 0
+        # the payload of an HTTP message comes after its header, that of any other block is the block
+        http, body = b"", not head.get("content-type", "").lower().startswith("application/http")
         for step in member.take(int(head["content-length"])):
-            block.update(step)
+            for digest in block.values():
+                digest.update(step)
             if not body:
                 http += step
                 if b"\r\n\r\n" not in http:
                     continue
                 http, step = http.split(b"\r\n\r\n", 1)
                 body = True
-            payload.update(step)
+            for digest in payload.values():
+                digest.update(step)
             size += len(step)
             if keep_payload:
                 kept.append(step)
         if b"".join(member.take(4)) != b"\r\n\r\n" or member.out or member.more():
             raise ValueError(f"{name}: the record doesn't end after its block")
-        kind = head["warc-type"]
-        stated = head["warc-payload-digest"].removeprefix("sha1:")
-        declared = int(_fields(http.decode("ascii").split("\r\n"))["content-length"])
-        if digest32(block.digest()) != head["warc-block-digest"].removeprefix("sha1:"):
+        message = _fields(http.decode("latin-1").split("\r\n"))
+        length = message.get("content-length", "")
+        # a revisit keeps the length of the payload that it doesn't repeat
+        declared = int(length) if length.isdecimal() and (kind == "revisit" or "transfer-encoding" not in message) else size
+        if not _matches(head.get("warc-block-digest"), block):
             raise ValueError(f"{name}: the block digest doesn't match")
-        if kind == "response" and (digest32(payload.digest()) != stated or size != declared):
+        whole = kind != "revisit" and "warc-truncated" not in head
+        if whole and not _matches(stated, payload) or kind == "response" and whole and size != declared:
             raise ValueError(f"{name}: the payload digest or length doesn't match")
-        yield {"page_id": _number(name), "url": head["warc-target-uri"], "payload_bytes": declared,
-               "payload_digest": stated, "record_type": kind, "refers_to": _number(head.get("warc-refers-to")),
-               "payload": b"".join(kept) if keep_payload and kind == "response" else None}
+        target = head.get("warc-target-uri")
+        yield {"page_id": _number(name), "url": target and target.removeprefix("<").removesuffix(">"),
+               "payload_bytes": declared if whole or kind == "revisit" else size,
+               "payload_digest": stated.partition(":")[2] if stated else digest32(payload["sha1"].digest()),
+               "record_type": kind, "refers_to": _number(head.get("warc-refers-to")),
+               "payload": b"".join(kept) if keep_payload and kind != "revisit" else None,
+               "record_id": head.get("warc-record-id"), "refers_to_id": head.get("warc-refers-to")}
         left = member.left or raw.read(STEP_BYTES)
 
 
@@ -220,7 +266,7 @@ def read(files: DataFrame, keep_payload: bool = False) -> DataFrame:
     """The records of the archives in ``files`` (path); a file is one task's work."""
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()),
               ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
-              ("payload", pa.binary())]
+              ("payload", pa.binary()), ("record_id", pa.string()), ("refers_to_id", pa.string())]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +291,7 @@ def read(files: DataFrame, keep_payload: bool = False) -> DataFrame:
     tasks = max(1, min(files.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return files.select("path").repartition(tasks, "path").mapInArrow(
         run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
-             "refers_to long, payload binary")
+             "refers_to long, payload binary, record_id string, refers_to_id string")
 
 
 def archive(pages: DataFrame, folder: str | None = None, key: str = "page_id", url: str = "url",

@@ -467,3 +467,96 @@ def test_pipeline_runs_over_documents(spark):
     import corpus_pipeline
     got = corpus_pipeline.run(spark, SMOKE).orderBy("start").collect()
     assert len(got) > 150 and got[0].start == 0
+
+
+# -- other vocabularies, archives of other writers, odd parts --------------------------
+
+def _vocabularies(folder):
+    from tokenizers import AddedToken, Tokenizer, models, normalizers, pre_tokenizers
+    letters = {c: i for i, c in enumerate("ĠabcdefABCDEFĊ")}
+    byte = Tokenizer(models.BPE({**letters, "Ġa": 20, "ab": 21}, [("Ġ", "a"), ("a", "b")]))
+    byte.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    cased = Tokenizer(models.WordLevel({"[UNK]": 0, "ab": 1, "AB": 2, "c": 3}, "[UNK]"))
+    cased.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    folded = Tokenizer(models.WordLevel({"[UNK]": 0, "ab": 1, "c": 3, "<Sep>": 9}, "[UNK]"))
+    folded.normalizer, folded.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.WhitespaceSplit()
+    folded.add_special_tokens([AddedToken("<Sep>", normalized=False)])
+    marked = Tokenizer(models.BPE({"▁": 0, "a": 1, "b": 2, "▁a": 3}, [("▁", "a")]))
+    marked.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    out = {}
+    for name, one in {"byte": byte, "cased": cased, "folded": folded, "marked": marked}.items():
+        out[name] = str(folder / f"{name}.json")
+        one.save(out[name])
+    return out
+
+
+@pytest.mark.parametrize("name", ["byte", "cased", "folded", "marked"])
+def test_any_vocabulary_gives_its_own_ids(tmp_path, name):
+    from tokenizers import Tokenizer
+    from storelens.llm.tokens import Encoder
+    path = _vocabularies(tmp_path)[name]
+    encoder, whole, rng = Encoder(path), Tokenizer.from_file(path), random.Random(name)
+    assert encoder.by_words == (name in ("cased", "folded"))
+    parts = ["ab", "AB", "c", "a", "b", " ", "  ", "\n", "\t", "<Sep>", "<sep>", "<SEP>", " a"]
+    texts = ["", *("".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(300))]
+    got = encoder.encode([t.encode() for t in texts], 7)
+    assert [g.tolist() for g in got] == [[*whole.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+
+
+def test_the_given_vocabulary_goes_word_by_word(vocabulary):
+    from storelens.llm.tokens import Encoder
+    encoder = Encoder(vocabulary)
+    assert encoder.by_words and encoder.folds and encoder.plain
+    import public_tokenizers
+    assert not Encoder(str(public_tokenizers.path("byte_bpe_50k.json"))).by_words
+
+
+def _foreign(kind, block, version="WARC/1.0", **fields):
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{kind}>", "WARC-Date": "2020-01-01T00:00:00Z",
+            **{k.replace("_", "-"): v for k, v in fields.items()}, "Content-Length": str(len(block))}
+    lines = version + "\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n"
+    return gzip.compress(lines.encode() + block + b"\r\n\r\n")
+
+
+def test_archive_of_another_writer():
+    from storelens.llm import warc
+    http = "application/http; msgtype=response"
+    sha = base64.b32encode(hashlib.sha1(b"hi").digest()).decode()
+    answer = b"HTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nhi"
+    data = b"".join([
+        _foreign("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"),
+        _foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", Content_Type="application/http; msgtype=request",
+                 WARC_Target_URI="<http://a/>"),
+        _foreign("response", answer, Content_Type=http, WARC_Target_URI="http://a/"),
+        _foreign("response", answer, "WARC/1.1", Content_Type=http, WARC_Payload_Digest=f"sha1:{sha}",
+                 WARC_Block_Digest="sha256:" + hashlib.sha256(answer).hexdigest()),
+        _foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n2\r\nhi\r\n0\r\n\r\n", Content_Type=http),
+        _foreign("response", answer, Content_Type=http, WARC_Payload_Digest="xyz:abc"),
+        _foreign("resource", b"<p>\r\n\r\n</p>", Content_Type="text/html", WARC_Target_URI="file:///x"),
+        _foreign("metadata", b"")])
+    got = list(warc.records(io.BytesIO(data), keep_payload=True))
+    assert [r["record_type"] for r in got] == ["warcinfo", "request", *["response"] * 4, "resource", "metadata"]
+    assert all(r["page_id"] is None and r["record_id"] == f"<urn:uuid:{r['record_type']}>" for r in got)
+    assert [r["payload"] for r in got[2:]] == [b"hi", b"hi", b"2\r\nhi\r\n0\r\n\r\n", b"hi", b"<p>\r\n\r\n</p>", b""]
+    assert got[1]["url"] == "http://a/" and got[2]["payload_digest"] == sha and got[0]["url"] is None
+    wrong = _foreign("response", answer, Content_Type=http, WARC_Payload_Digest="md5:" + "0" * 32)
+    with pytest.raises(ValueError, match="payload digest"):
+        list(warc.records(io.BytesIO(wrong)))
+
+
+@pytest.mark.parametrize("size", [float("nan"), float("inf"), -3, None])
+def test_odd_sizes_of_parts_count_nothing(size):
+    from storelens.llm.chat import Expansion, Visitor
+    visitor = Visitor(Expansion())
+    for part in ({"type": "audio", "seconds": size}, {"type": "image", "width": size, "height": 20},
+                 {"type": "document", "pages": size}):
+        visitor.visit(part)
+    assert visitor.tokens == 0 and len(visitor.attachments) == 3
+
+
+def test_a_megabyte_of_open_tags_takes_no_quadratic_time():
+    import time
+    from storelens.llm.langid import visible_text
+    begin = time.perf_counter()
+    assert visible_text("a<b>c" + "<" * 1_000_000) == "a c" + "<" * 1_000_000
+    assert time.perf_counter() - begin < 5
