@@ -39,7 +39,8 @@ from .common import discard, fold, hash_words, mix, pieces, scratch_path, stored
 
 # What a text is to the model.
 RETAINED, DELETED, SCORED = 0, 1, 2
-BUCKETS = 24
+# One for an unseen context and one for each power of two of a 64-bit count.
+BUCKETS = 64
 
 
 @dataclass(frozen=True)

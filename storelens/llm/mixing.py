@@ -116,12 +116,21 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
     """Number of good ones among ``draws`` of good + bad."""
     if good + bad < 10 ** 9:
         return int(rng.hypergeometric(good, bad, draws))
-    # beyond the generator's range: the normal limit, which differs from it by
-    # less than one block in a billion
+    # beyond the generator's range: inversion of the probabilities themselves,
+    # from the mode outwards by the ratio of neighbours; what lies further out
+    # than the reach weighs less than a double's last bit
+    good, bad, draws = int(good), int(bad), int(draws)
     total = good + bad
-    mean = draws * good / total
-    spread = (mean * (bad / total) * ((total - draws) / max(total - 1, 1))) ** 0.5
-    return int(min(max(round(rng.normal(mean, spread)), max(0, draws - bad)), min(good, draws)))
+    least, most = max(0, draws - bad), min(good, draws)
+    mode = min(max((draws + 1) * (good + 1) // (total + 2), least), most)
+    spread = (draws * (good / total) * (bad / total) * ((total - draws) / max(total - 1, 1))) ** 0.5
+    reach = int(9 * spread) + 60
+    k = np.arange(mode, min(most, mode + reach), dtype=np.float64)
+    up = np.cumprod((good - k) * (draws - k) / ((k + 1) * (bad - draws + k + 1)))
+    k = np.arange(mode, max(least, mode - reach), -1, dtype=np.float64)
+    down = np.cumprod(k * (bad - draws + k) / ((good - k + 1) * (draws - k + 1)))
+    sums = np.cumsum(np.concatenate([down[::-1], [1.0], up]))
+    return mode - len(down) + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
 
 
 DRAW_DDL = "array<struct<pass: int, shard: int, place: long>>"

@@ -40,8 +40,6 @@ from .common import discard, stored, utf8
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
-# From here on a node stands for a fingerprint whose rows have null ids only.
-NAMELESS = 2 ** 62
 # Fingerprints of one value that one task takes together.
 CHUNK = 2048
 # Node pairs that a task holds at once, and leaf pairs compared directly.
@@ -325,12 +323,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(key, fingerprint, component_id) of every row of ``docs``."""
     rows, _ = stored(fingerprints(docs, key, text, shingle_words), "fingerprints")
+    # a fingerprint is its own node, whatever the ids of its rows
     reps, reps_path = stored(rows.groupBy("fp").agg(F.min("key").alias("least")).select(
-        "fp", "least", F.coalesce("least", F.col("fp").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(
-            F.lit(NAMELESS))).alias("rep")), "representatives")
+        "fp", "least", F.col("fp").alias("rep")), "representatives")
     classes = components(links(reps, reps.count(), max_bits))
-    named = reps.join(classes, F.col("rep") == F.col("node"), "left").select(
-        F.col("fp").alias("fp_"), F.coalesce("component", "least").alias("component_id")).withColumn(
-        "component_id", F.when(F.col("component_id") < NAMELESS, F.col("component_id")))
+    classes = classes.union(classes.select("component", "component").distinct())  # with the smallest nodes
+    linked = reps.join(classes, F.col("rep") == F.col("node")).select("fp", "component", "least")
+    lowest = linked.groupBy("component").agg(F.min("least").alias("lowest"))
+    linked = linked.join(lowest, "component").select(F.col("fp").alias("linked_fp"), "lowest")
+    named = reps.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(
+        F.col("fp").alias("fp_"), F.coalesce("lowest", "least").alias("component_id"))
     return rows.join(named, F.col("fp") == F.col("fp_"), "left").select(
         F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -527,3 +527,34 @@ def test_clean_judges_rows_by_their_text(spark):
     kept = decontam.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert kept.columns == docs.columns
     assert sorted(r.text or "" for r in kept.collect()) == sorted(["", rows[1][1], rows[3][1]])
+
+
+def test_large_hypergeometric_has_the_exact_probabilities():
+    """Beyond the generator's range: few draws are all but binomial, and half of
+    the blocks of one kind give the spread that the distribution has."""
+    import math
+    from storelens.llm import mixing
+    rng = np.random.default_rng(5)
+    x = np.array([mixing._hypergeometric(rng, 10 ** 12, 3 * 10 ** 12, 4) for _ in range(20_000)])
+    share = np.bincount(x, minlength=5) / len(x)
+    want = [math.comb(4, k) * 0.25 ** k * 0.75 ** (4 - k) for k in range(5)]
+    assert np.abs(share - want).max() < 0.015
+    good, bad, n = 10 ** 9, 10 ** 9, 10 ** 9
+    x = np.array([mixing._hypergeometric(rng, good, bad, n) for _ in range(1500)])
+    spread = (n * 0.25 * 0.5) ** 0.5
+    assert abs(x.mean() - n / 2) < 5 * spread / 1500 ** 0.5 and abs(x.std() / spread - 1) < 0.1
+    # what is certain
+    assert mixing._hypergeometric(rng, 10 ** 10, 0, 7) == 7 and mixing._hypergeometric(rng, 0, 10 ** 10, 7) == 0
+    assert mixing._hypergeometric(rng, 10 ** 10, 5, 10 ** 10 + 5) == 10 ** 10
+
+
+def test_simhash_ids_of_any_size(spark):
+    from storelens.llm import simhash
+    text = "one two three four five six seven"
+    ids = [2 ** 63 - 1, 2 ** 62 + 5, -2 ** 63, None]
+    got = simhash.near_duplicates(frame(spark, [(i, text, "en", "s", 1) for i in ids[:2]] + [
+        (2 ** 62, "alone " + prose(30, 3), "en", "s", 1)])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {
+        2 ** 63 - 1: 2 ** 62 + 5, 2 ** 62 + 5: 2 ** 62 + 5, 2 ** 62: 2 ** 62}
+    got = simhash.near_duplicates(frame(spark, [(i, text, "en", "s", 1) for i in ids])).collect()
+    assert all(r.component_id == -2 ** 63 for r in got)
