@@ -72,7 +72,8 @@ class Encoder:
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         rules = json.loads(self.tokenizer.to_str())
         added = [t["content"].lower().encode() for t in rules["added_tokens"]]
-        self.prefix = os.path.commonprefix(added) if added else None
+        # what all added tokens begin with, without letters; no text has the byte ff
+        self.prefix = re.match(rb"[^a-z\x80-\xff]*", os.path.commonprefix(added))[0] if added else b"\xff"
         self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         steps = self._normalisers(rules["normalizer"])
         self.by_words = self._drops_space(steps) and not any(re.search(rb"\s", t) for t in added)
@@ -102,9 +103,9 @@ class Encoder:
         ends = [at for _, at in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)]
         return "".join(probe[lo:hi] for lo, hi in ends) == "abcdefgh"
 
-    def _may_be_added(self, lowered: bytes) -> bool:
-        """Whether an added token, whose case matters, may be in the text."""
-        return self.added is not None and self.prefix in lowered and self.added.search(lowered) is not None
+    def _may_be_added(self, text: bytes) -> bool:
+        """Whether an added token, whose case matters, may be in a text with the prefix."""
+        return self.added.search(text.lower()) is not None
 
     def _splits_by_rule(self) -> bool:
         """Whether this vocabulary treats plain words by the rules above."""
@@ -118,10 +119,10 @@ class Encoder:
                 for t in tokenize(run.encode().decode("latin-1").translate(_ALPHABET))]
 
     def _learn(self, words: set[bytes]) -> None:
-        rest = []
+        rest, prefix = [], self.prefix
         for w in words:
             ids = self.older.get(w)
-            if ids is None and self.plain and _PLAIN.fullmatch(w) and not self._may_be_added(w.lower()):
+            if ids is None and self.plain and _PLAIN.fullmatch(w) and not (prefix in w and self._may_be_added(w)):
                 ids = np.array(self._plain(w), dtype=self.width).tobytes()
             if ids is None:
                 rest.append(w)
@@ -138,7 +139,10 @@ class Encoder:
             got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts],
                                                    add_special_tokens=False)
             return [np.array([*e.ids, end], dtype=self.width) for e in got]
-        words = [self._words(t) for t in texts]
+        prefix = self.prefix
+        if self.folds:
+            texts = [t if prefix in t and self._may_be_added(t) else t.lower() for t in texts]
+        words = [t.split() for t in texts]
         if len(self.kept) > KEPT_WORDS:
             self.older, self.kept = self.kept, {}
         self._learn({w for doc in words for w in doc}.difference(self.kept))
@@ -146,12 +150,6 @@ class Encoder:
         find = self.kept.__getitem__
         return [np.frombuffer(b"".join([*map(find, doc), last]), dtype=self.width) for doc in words]
 
-    def _words(self, text: bytes) -> list[bytes]:
-        if not self.folds:
-            return text.split()
-        lowered = text.lower()
-        return (text if self._may_be_added(lowered) else lowered).split()
-
 
 # Encoders outlive a task: Spark uses a Python worker for many.
 _ENCODERS: dict[str, Encoder] = {}
