@@ -7,6 +7,8 @@ frame, and replacement of previously stored products is an anti-join.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from storelens.functions.catalog import parse_ts
@@ -21,22 +23,29 @@ from storelens.session import materialize
 WRITE_ORDER = ("rejects", "images", "variants", "products")
 
 
-def newest_documents(raw: DataFrame) -> DataFrame:
+def newest_documents(raw: DataFrame, store: bool = False) -> DataFrame:
     """Of documents with the same id the one with the latest ``updated_at``
     (as an instant, whatever its offset), then the last in file order.
 
     Rows are numbered once, in a stored table, so both sides of the join below see
     the same numbers even where a shuffle or a retry deals rows anew.  Repeated
-    ids are found on narrow rows; the documents themselves are only checked
-    against those few.  Documents without an id all stay.
+    ids are found on narrow rows and stored first: without any the documents are
+    neither moved nor written again, and a few are sent to the documents.
+    ``store`` writes the outcome too, where it isn't the stored table itself.
+    Documents without an id all stay.
     """
-    docs = materialize(raw.withColumn("_pos", F.monotonically_increasing_id()), "catalog-numbered")
+    docs = materialize(raw.withColumn("_pos", F.monotonically_increasing_id()), "catalog-numbered", compression="zstd")
+    named = docs.where(F.col("id").isNotNull())
+    twice = materialize(named.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id"),
+                        "catalog-repeated")
+    if twice.isEmpty():
+        return docs.drop("_pos")
     place = F.struct(parse_ts("updated_at").alias("at"), F.col("_pos").alias("pos"))
-    repeated = (docs.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("_id"))
-                .agg(F.count(F.lit(1)).alias("_n"), F.max(place)["pos"].alias("_last")).where("_n > 1"))
-    return (docs.join(repeated, F.col("id") == F.col("_id"), "left")
-            .where(F.col("_last").isNull() | (F.col("_pos") == F.col("_last")))
-            .drop("_id", "_n", "_last", "_pos"))
+    repeated = materialize(named.select("id", "updated_at", "_pos").join(twice, "id", "left_semi")
+                           .groupBy(F.col("id").alias("_id")).agg(F.max(place)["pos"].alias("_last")), "catalog-last")
+    newest = (docs.join(repeated, F.col("id") == F.col("_id"), "left")
+              .where(F.col("_last").isNull() | (F.col("_pos") == F.col("_last"))).drop("_id", "_last", "_pos"))
+    return materialize(newest, "catalog-docs", compression="zstd") if store else newest
 
 
 def ingest_catalog(raw: DataFrame, tenant_id: str, current: dict | None = None,
@@ -53,11 +62,9 @@ def ingest_catalog(raw: DataFrame, tenant_id: str, current: dict | None = None,
       result is read
     * ``materialize_docs`` writes the de-duplicated documents once under
       ``spark.checkpoint.dir`` so the three tables (and a retry after a lost
-      executor) read stored Parquet instead of re-parsing the JSON
+      executor) read stored Parquet instead of joining again
     """
-    dedup = newest_documents(raw)
-    if materialize_docs:
-        dedup = materialize(dedup, "catalog-docs")
+    dedup = newest_documents(raw, store=materialize_docs)
     good, rejects = split_rejects(normalise_products(dedup, tenant_id))
     storable = (F.col("id").isNotNull() & parse_ts("created_at").isNotNull() & parse_ts("updated_at").isNotNull())
     docs = dedup.where(storable)
@@ -66,8 +73,10 @@ def ingest_catalog(raw: DataFrame, tenant_id: str, current: dict | None = None,
     out = {"products": good, "images": images, "variants": variants, "rejects": rejects,
            "summary": ingest_summary(dedup, storable)}
     if current:
-        replaced = current["products"].join(good.select("tenant_id", "source_id"),
-                                            ["tenant_id", "source_id"], "left_semi")
+        # ids only, found once for both children
+        replaced = materialize(current["products"].join(good.select("tenant_id", "source_id"),
+                                                        ["tenant_id", "source_id"], "left_semi")
+                               .select("tenant_id", "id"), "catalog-replaced")
         out["images"] = cascade_children(current["images"], replaced).unionByName(images, allowMissingColumns=True)
         out["variants"] = cascade_children(current["variants"], replaced).unionByName(variants,
                                                                                      allowMissingColumns=True)
@@ -103,23 +112,40 @@ def write_catalog_tables(tables: dict, base_path: str) -> None:
     failure in between may leave new images and variants that no product names
     yet, never a product without its own; a rerun of the same ingest mends it.
     A tenant without rows in one of the tables loses its old rows there.
+
+    Rejects, images and variants lie aside by tenant, in a hidden folder of
+    ``base_path``, and their folders are moved; products, whose commit makes an
+    ingest visible, are written in by one Spark job.
     """
     names = [n for n in WRITE_ORDER if n in tables]
-    ready = {n: materialize(tables[n], f"catalog-new-{n}") for n in names}
-    tenants = None
-    for df in ready.values():
-        ids = df.select("tenant_id").distinct()
-        tenants = ids if tenants is None else tenants.union(ids)
-    tenants = {r["tenant_id"] for r in tenants.distinct().collect()}        # tenants written, not rows
+    if not names:
+        return
+    spark = tables[names[0]].sparkSession
+    aside = f"{base_path}/_aside-{uuid.uuid4().hex[:12]}"
+    ready = {}
+    for n in names:
+        out = tables[n].write.option("compression", "zstd").mode("overwrite")
+        if n != "products":
+            out = out.partitionBy("tenant_id")
+        out.parquet(f"{aside}/{n}")
+        ready[n] = spark.read.schema(tables[n].schema).parquet(f"{aside}/{n}")
+    held = {n: {r["tenant_id"] for r in ready[n].select("tenant_id").distinct().collect()} for n in names}
+    tenants = set().union(*held.values())                                   # tenants written, not rows
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(base_path).getFileSystem(spark._jsc.hadoopConfiguration())
+    folder_of = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
     for n in names:
-        spark = ready[n].sparkSession
         path = f"{base_path}/{n}"
-        (ready[n].write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("tenant_id").parquet(path))
-        left = tenants - {r["tenant_id"] for r in ready[n].select("tenant_id").distinct().collect()}
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        for t in left:
-            folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(
-                "tenant_id", t)
-            gone = hadoop.Path(f"{path}/{folder}")
-            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        if n == "products":
+            (ready[n].write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .option("compression", "zstd").partitionBy("tenant_id").parquet(path))
+        else:
+            fs.mkdirs(hadoop.Path(path))
+            for t in held[n]:
+                old = hadoop.Path(f"{path}/{folder_of('tenant_id', t)}")
+                fs.delete(old, True)
+                if not fs.rename(hadoop.Path(f"{aside}/{n}/{folder_of('tenant_id', t)}"), old):
+                    raise OSError(f"can't move new {n} to {old.toString()}")
+        for t in tenants - held[n]:
+            fs.delete(hadoop.Path(f"{path}/{folder_of('tenant_id', t)}"), True)
+    fs.delete(hadoop.Path(aside), True)

@@ -83,15 +83,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, compression: str | None = None):
     """Write ``df`` under the shared checkpoint dir and read it back.
 
     Cuts the lineage (a lost executor recomputes from the written files, not
     from the sources) and lets several outputs share one computation.
     Uses the cluster's ``spark.checkpoint.dir``; never a machine-local folder
-    unless the session has none (tests).
+    unless the session has none (tests).  ``compression``: a Parquet codec
+    instead of the session's.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return spark.read.parquet(path)

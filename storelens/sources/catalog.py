@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from storelens.schemas import CATALOG, EXPORT_DAYS, PAGE_FIELDS, check_range
@@ -11,6 +14,8 @@ _WRAPPED = T.StructType([T.StructField("products", T.ArrayType(CATALOG))])
 
 _CORRUPT = T.StructField("_corrupt", T.StringType())
 
+FILE_DOCUMENTS = 100_000     # of one file of pages
+
 
 def _whole(df: DataFrame, what: str) -> DataFrame:
     """Fail on rows that the reader could not parse, naming their file."""
@@ -77,16 +82,31 @@ def write_catalog(df: DataFrame, path: str, fmt: str = "json", mode: str = "over
     df.write.mode(mode).format(fmt).save(path)
 
 
-def write_catalog_pages(df: DataFrame, path: str, page_size: int = 250, mode: str = "overwrite") -> None:
+def write_catalog_pages(df: DataFrame, path: str, page_size: int = 250, mode: str = "overwrite",
+                        compression: str | None = "gzip") -> None:
     """Write documents as ``{"products": [...]}`` pages of at most ``page_size``.
 
-    Pages are cut inside each partition (consecutive monotonically increasing
-    ids), so a page is a bounded group and no global ordering is needed.
+    Pages are cut inside each partition from consecutive documents as they come
+    by: nothing is shuffled or sorted, and a task holds one batch of rows.  A
+    compressed file can't be split by its readers, so files have few pages.
     """
-    page = F.floor(F.monotonically_increasing_id() / F.lit(page_size))
-    pages = (df.withColumn("_page", page).groupBy("_page")
-             .agg(F.collect_list(F.struct(*[F.col(c) for c in df.columns])).alias("products")))
-    pages.select(F.to_json(F.struct("products")).alias("value")).write.mode(mode).text(path)
+    def page(docs: list) -> str:
+        return '{"products":[' + ",".join(docs) + "]}"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            whole = len(held) // page_size * page_size
+            yield pa.RecordBatch.from_arrays([pa.array(
+                [page(held[lo:lo + page_size]) for lo in range(0, whole, page_size)], pa.string())], ["value"])
+            held = held[whole:]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([page(held)], pa.string())], ["value"])
+
+    (df.select(F.to_json(F.struct(*df.columns)).alias("doc")).mapInArrow(cut, "value string")
+     .write.mode(mode).option("maxRecordsPerFile", max(1, FILE_DOCUMENTS // page_size))
+     .text(path, compression=compression))
 
 
 def to_csv_frame(df: DataFrame) -> DataFrame:
