@@ -1,8 +1,11 @@
-"""T5 recent history and T6 rate limiting: state per key on transformWithState.
+"""T5 recent history and T6 rate limiting: keyed state on transformWithState.
 
 State lies in a RocksDB store, so a task's memory doesn't grow with the number
-of keys.  A key has one event-time timer at a time; the timer that finds newer
-rows moves on, the one that finds none deletes the key's state.
+of keys.  Every call to the store and every frame costs the same whether it
+holds one key or a thousand, so keys share state by ``SHARDS`` hashes: a shard's
+keys are read, decided and written together.  A shard has one event-time timer
+at a time (or one a pane); the timer that finds newer rows moves on, the one
+that finds none deletes the state.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from storelens.functions.admission import admit
 from storelens.schemas import HISTORY_CAP, RATE_LIMIT, RATE_WINDOW_SECONDS, SESSION_TTL_SECONDS
 from storelens.streaming.metrics import WATERMARK, event_time
 
+SHARDS = 256      # a running stream keeps it for good, as its state lies by shards
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,6 +40,15 @@ def _ids(ids, named) -> pd.api.extensions.ExtensionArray:
     return pd.arrays.IntegerArray(np.array(ids, dtype=np.int64), ~np.array(named, dtype=bool))
 
 
+def _plain(column: pd.Series) -> list:
+    """Python values with None for nulls, as the state stores them."""
+    return column.astype(object).where(column.notna(), None).tolist()
+
+
+def _shard(shards: int, *cols: str):
+    return F.pmod(F.xxhash64(*cols), F.lit(shards)).alias("shard")
+
+
 def _micros(times: pd.Series) -> np.ndarray:
     return pd.to_datetime(times).to_numpy().astype("datetime64[us]").astype("int64")
 
@@ -109,14 +122,89 @@ class _History(StatefulProcessor):
         pass
 
 
+class _Histories(StatefulProcessor):
+    """The histories of a shard's sessions, by event time."""
+
+    SESSION = ["tenant_id", "session_id"]
+    HELD = [*SESSION, "us", *_COLUMNS]
+
+    def __init__(self, n: int, ttl_seconds: int):
+        self.n, self.ttl = n, ttl_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.messages = handle.getValueState(
+            "messages", "tenant_id array<string>, session_id array<string>, us array<long>, named array<boolean>, "
+                        "message_id array<long>, role array<string>, content array<string>")
+
+    def _held(self) -> pd.DataFrame | None:
+        state = self.messages.get()
+        return pd.DataFrame(dict(zip(self.HELD, state))) if state else None
+
+    def _live(self, held: pd.DataFrame, watermark_ms: int) -> pd.DataFrame:
+        """The sessions that don't end before the watermark."""
+        newest = held.groupby(self.SESSION, dropna=False)["us"].transform("max")
+        return held[(newest + self.ttl) // 1000 > watermark_ms]
+
+    def _tail(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The newest n of each session, in order (rows without an id first, then by id)."""
+        rows = rows.sort_values(["us", "named", "message_id"], kind="stable")
+        return rows.groupby(self.SESSION, dropna=False, sort=False).tail(self.n)
+
+    def _after_gap(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """What follows each session's last gap of the time to live."""
+        session = rows.groupby(self.SESSION, dropna=False, sort=False).ngroup()
+        gap = rows.groupby(session)["us"].diff() >= self.ttl
+        part = gap.groupby(session).cumsum()
+        return rows[part == part.groupby(session).transform("max")]
+
+    def _keep(self, rows: pd.DataFrame) -> None:
+        self.messages.update(tuple(_plain(rows[c]) for c in self.HELD))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        last = [] if held is None else [self._live(held, timerValues.getCurrentWatermarkInMs()).assign(fresh=False)]
+        # folded chunk after chunk, so a task holds n messages a session and a chunk
+        for chunk in rows:
+            chunk = chunk.assign(us=_micros(chunk["created_at"]), fresh=True)[[*self.HELD, "fresh"]]
+            last = [self._tail(pd.concat([*(x for x in last if len(x)), chunk], ignore_index=True))]
+        out = self._after_gap(last[0])
+        self._keep(out)
+        if held is None:
+            self.handle.registerTimer((int(out["us"].max()) + self.ttl) // 1000)
+        by = out.groupby(self.SESSION, dropna=False, sort=False)
+        out = out.assign(position=by.cumcount() + 1, changed=by["fresh"].transform("any"))
+        out = out[out["changed"]]
+        yield pd.DataFrame({"tenant_id": out["tenant_id"], "session_id": out["session_id"], "position": out["position"],
+                            "message_id": _ids(out["message_id"], out["named"]), "role": out["role"],
+                            "content": out["content"], "created_at": out["us"].to_numpy().astype("datetime64[us]")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        live = held if held is None else self._live(held, timerValues.getCurrentWatermarkInMs())
+        if live is not None and len(live):
+            if len(live) < len(held):
+                self._keep(live)
+            self.handle.registerTimer((int(live["us"].max()) + self.ttl) // 1000)
+        else:
+            self.messages.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def stream_recent_history(messages: DataFrame, n: int = HISTORY_CAP, ttl_seconds: int = SESSION_TTL_SECONDS,
-                          watermark: str | None = WATERMARK, processing_ttl: bool = False) -> DataFrame:
+                          watermark: str | None = WATERMARK, processing_ttl: bool = False,
+                          shards: int | None = SHARDS) -> DataFrame:
     """T5: the last ``n`` messages per session, expiring ``ttl_seconds`` after
     the last message.
 
-    A key's state is a list of at most 2 ``n`` messages; new ones are appended
-    to it.  Messages expire by event time: a gap of the time to live or more
-    begins a new history, and a timer deletes the list once the watermark has
+    Sessions share state by ``shards`` hashes, each a table of at most ``n``
+    messages a session; sessions that have ended leave it.  Without shards, or
+    without a watermark, a session has its own list of at most 2 ``n`` messages,
+    to which new ones are appended.  Messages expire by event time: a gap of the time to live or more
+    begins a new history, and a timer deletes the state once the watermark has
     passed its end.  With ``processing_ttl`` the store itself expires the list
     by the cluster's clock, ``ttl_seconds`` after it was last written; Spark
     runs such a stream without end, so give it a trigger other than availableNow.
@@ -128,6 +216,9 @@ def stream_recent_history(messages: DataFrame, n: int = HISTORY_CAP, ttl_seconds
         .select("tenant_id", "session_id", *_named("message_id"), "role", "content", "created_at")
     _on_rocksdb(m)
     timers = bool(watermark) and not processing_ttl
+    if shards and timers:
+        return m.withColumn("shard", _shard(shards, "tenant_id", "session_id")).groupBy("shard") \
+            .transformWithStateInPandas(_Histories(n, ttl_seconds), HISTORY_OUT, "Update", "EventTime")
     return m.groupBy("tenant_id", "session_id").transformWithStateInPandas(
         _History(n, ttl_seconds, timers, processing_ttl), HISTORY_OUT, "Update",
         "ProcessingTime" if processing_ttl else "EventTime" if timers else "None")
@@ -197,6 +288,13 @@ class _OrderedLimiter(_Limiter):
         self.pieces = handle.getMapState("pieces", "pane long", "pieces int")
         self.waiting = handle.getMapState("waiting", "pane long, piece int", "times array<long>, ids array<long>, named array<boolean>")
 
+    def _more(self, p: pd.DataFrame, own: np.ndarray) -> tuple:
+        return ()
+
+    def _pane(self, key, held: list[tuple], end: int) -> Iterator[pd.DataFrame]:
+        yield from self._decide(key, *(np.concatenate([np.array(h[i], dtype=kind) for h in held])
+                                       for i, kind in enumerate((np.int64, np.int64, bool))))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for p in rows:
             us, ids, named = _micros(p["at"]), p["request"].to_numpy(), p["named"].to_numpy(dtype=bool)
@@ -205,7 +303,8 @@ class _OrderedLimiter(_Limiter):
                 own = panes == pane
                 found = self.pieces.getValue((pane,))
                 piece = found[0] if found else 0
-                self.waiting.updateValue((pane, piece), (us[own].tolist(), ids[own].tolist(), named[own].tolist()))
+                self.waiting.updateValue((pane, piece), (us[own].tolist(), ids[own].tolist(), named[own].tolist(),
+                                                         *self._more(p, own)))
                 self.pieces.updateValue((pane,), (piece + 1,))
                 if not piece:
                     self.handle.registerTimer((pane + 1) * self.window // 1000)
@@ -217,8 +316,7 @@ class _OrderedLimiter(_Limiter):
         found = self.pieces.getValue((pane,))
         if found:
             held = [self.waiting.getValue((pane, i)) for i in range(found[0])]
-            yield from self._decide(key, *(np.concatenate([np.array(h[i], dtype=kind) for h in held])
-                                           for i, kind in enumerate((np.int64, np.int64, bool))))
+            yield from self._pane(key, held, now * 1000)
             for i in range(found[0]):
                 self.waiting.removeKey((pane, i))
             self.pieces.removeKey((pane,))
@@ -228,9 +326,49 @@ class _OrderedLimiter(_Limiter):
             self.admitted.clear()
 
 
+class _ShardLimiter(_OrderedLimiter):
+    """The panes of a shard's keys: one pane of all of them is decided at once."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.admitted = handle.getValueState("admitted", "keys array<string>, times array<array<long>>")
+        self.pieces = handle.getMapState("pieces", "pane long", "pieces int")
+        self.waiting = handle.getMapState(
+            "waiting", "pane long, piece int",
+            "times array<long>, ids array<long>, named array<boolean>, keys array<string>")
+
+    def _more(self, p: pd.DataFrame, own: np.ndarray) -> tuple:
+        return (_plain(p["k"][own]),)
+
+    def _pane(self, key, held: list[tuple], end: int) -> Iterator[pd.DataFrame]:
+        us, ids, named = (np.concatenate([np.array(h[i], dtype=kind) for h in held])
+                          for i, kind in enumerate((np.int64, np.int64, bool)))
+        codes, keys = pd.factorize(np.array([k for h in held for k in h[3]], dtype=object), use_na_sentinel=False)
+        order = np.lexsort((ids, named, us, codes))
+        us, ids, named, codes = us[order], ids[order], named[order], codes[order]
+        state = self.admitted.get()
+        before = {k: np.array(t, dtype=np.int64) for k, t in zip(*state)} if state else {}
+        none, after = np.empty(0, dtype=np.int64), {}
+        ok, inside = np.empty(len(us), dtype=bool), np.empty(len(us), dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(codes, prepend=-1, append=-1)).tolist()
+        names = [None if pd.isna(k) else k for k in keys]
+        for lo, hi in zip(cuts, cuts[1:]):
+            k, prior = names[codes[lo]], before.get(names[codes[lo]], none)
+            ok[lo:hi], inside[lo:hi], prior = admit(us[lo:hi], prior[prior > us[lo] - self.window], self.limit, self.window)
+            # what the pane's end leaves behind matters to no later request
+            prior = prior[prior > end - self.window]
+            if len(prior):
+                after[k] = prior.tolist()
+        self.admitted.update((list(after), list(after.values())))
+        for lo in range(0, len(us), _EMIT_ROWS):
+            part = slice(lo, lo + _EMIT_ROWS)
+            yield pd.DataFrame({"key": np.array(names, dtype=object)[codes[part]], "request_id": _ids(ids[part], named[part]),
+                                "ts": us[part].astype("datetime64[us]"), "admitted": ok[part], "in_window": inside[part]})
+
+
 def stream_rate_limit(requests: DataFrame, key: str, id_col: str, ts_col: str = "ts", limit: int = RATE_LIMIT,
                       window_seconds: int = RATE_WINDOW_SECONDS, watermark: str | None = WATERMARK,
-                      ordered: bool = False) -> DataFrame:
+                      ordered: bool = False, shards: int | None = SHARDS) -> DataFrame:
     """Exact admission - a request is admitted when fewer than ``limit``
     *admitted* requests of its key lie in (ts - window, ts].
 
@@ -243,8 +381,9 @@ def stream_rate_limit(requests: DataFrame, key: str, id_col: str, ts_col: str =
     ``ordered`` (needs a watermark) decides a request once the watermark has
     passed its pane, a window's length of event time: the answer is that of
     the whole log in (ts, id) order however rows arrive within the watermark.
-    Requests without a time are no requests.  Waiting ones lie in the state store; a task holds one Arrow chunk, then
-    one key's requests of one pane, never its micro-batch.
+    Requests without a time are no requests.  Waiting ones lie in the state store, by ``shards``
+    hashes of their keys (None: by keys); a task holds one Arrow chunk, then one shard's requests
+    of one pane, never its micro-batch.
     """
     if ordered and not watermark:
         raise ValueError("ordered decisions need a watermark")
@@ -252,6 +391,9 @@ def stream_rate_limit(requests: DataFrame, key: str, id_col: str, ts_col: str =
         .select(F.col(key).cast("string").alias("k"), *_named(id_col, "request"),
                 F.col(ts_col).alias("at")).where("at IS NOT NULL")
     _on_rocksdb(r)
+    if ordered and shards:
+        return r.withColumn("shard", _shard(shards, "k")).groupBy("shard").transformWithStateInPandas(
+            _ShardLimiter(limit, window_seconds, True), RATE_OUT, "Append", "EventTime")
     form = _OrderedLimiter if ordered else _Limiter
     return r.groupBy("k").transformWithStateInPandas(
         form(limit, window_seconds, bool(watermark)), RATE_OUT, "Append", "EventTime" if watermark else "None")
