@@ -10,8 +10,9 @@ Beside it lies the file's index (doc_id, start, n_tokens), start counted in
 the file.
 
 The tokenizer drops white space and no token spans it, so a text's ids are
-the ids of its white-space-separated words; a task encodes a word once and
-keeps a bounded number of words for the next texts.
+the ids of its white-space-separated words, and a plain word's are those of
+its runs of letters, digits and marks; a task encodes a run once and keeps a
+bounded number of them for the next texts.
 
 Defined results: a null or empty text has the end id only; repeated ids are
 written as often as they stand, in the order of their texts; a null id comes
@@ -25,6 +26,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,24 +35,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, fresh_name, pieces, stored, utf8
+from .common import PIECE_BYTES, file_system, fresh_name, pieces, stored, utf8
 
 SEQUENCE = 2048
 END_ID = 2
-# Sequences of one record batch, and words that a generation keeps with their ids.
+# Sequences of one record batch, and runs or words that a generation keeps with their ids.
 BATCH_SEQUENCES = 256
 KEPT_WORDS = 200_000
 
 
-# Words that the tokenizer's normaliser and splitter treat by simple rules: printable
-# ASCII without the apostrophe (contractions) and the letters of Latin-1.  They
-# are lower-cased, and split into runs of letters, single digits and runs of marks.
-_PLAIN = re.compile(rb"(?:[\x21-\x26\x28-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# Words that the tokenizer's normaliser and splitter treat by simple rules, here plain
+# words: printable ASCII without the apostrophe (contractions) and the letters of
+# Latin-1.  They are lower-cased, and split into runs of letters, single digits and runs of marks.
+_SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[ord("'")] = _OTHER
+_KIND[list(b" \t\n\v\f\r")] = _SPACE
+_KIND[list(b"0123456789")] = _DIGIT
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+# Letters of Latin-1 are c3 and one of these.
+_SECOND = np.zeros(256, bool)
+_SECOND[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True
+_GAP = re.compile(rb"[ \t\n\v\f\r]")
 # Byte-level alphabet: a visible Latin-1 character stands for itself, the others
 # for the characters from 256 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+_HIDDEN = [b for b in range(256) if b not in set(_SHOWN)]
+_ALPHABET = [chr(256 + _HIDDEN.index(b)) if b in _HIDDEN else chr(b) for b in range(256)]
 # Normalisers that treat each word of a text by itself.
 _WORDWISE = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "BertNormalizer", "Replace", "Strip"}
 
@@ -60,9 +73,9 @@ class Encoder:
 
     It does if its normaliser works on single words and its pre-tokenizer drops
     white space; texts are lower-cased first only if it does so itself.  Any other
-    vocabulary encodes whole texts.  Words and their ids are kept in two generations, so frequent words stay
-    and memory is bounded.  Plain words go straight to the vocabulary's merges,
-    all others through the whole tokenizer.
+    vocabulary encodes whole texts.  The runs of plain words go straight to the
+    vocabulary's merges, all other words through the whole tokenizer.  Both are kept
+    with their ids in two generations, so frequent ones stay and memory is bounded.
     """
 
     def __init__(self, vocabulary: str):
@@ -78,9 +91,10 @@ class Encoder:
         steps = self._normalisers(rules["normalizer"])
         self.by_words = self._drops_space(steps) and not any(re.search(rb"\s", t) for t in added)
         self.folds = any(s["type"] == "Lowercase" or s.get("lowercase") for s in steps)
-        self.plain = self.by_words and self.folds and rules["model"]["type"] == "BPE" and self._splits_by_rule()
         self.kept: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.plain = self.by_words and self.folds and rules["model"]["type"] == "BPE"
+        self.plain = self.plain and self._splits_by_rule()
 
     @staticmethod
     def _normalisers(rule: dict | None) -> list[dict]:
@@ -103,52 +117,109 @@ class Encoder:
         ends = [at for _, at in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)]
         return "".join(probe[lo:hi] for lo, hi in ends) == "abcdefgh"
 
-    def _may_be_added(self, text: bytes) -> bool:
-        """Whether an added token, whose case matters, may be in a text with the prefix."""
-        return self.added.search(text.lower()) is not None
-
     def _splits_by_rule(self) -> bool:
         """Whether this vocabulary treats plain words by the rules above."""
-        probe = "Äb1 x--Y2 'tis été ÿ/ß"
-        words = [w for w in probe.split() if _PLAIN.fullmatch(w.encode())]
-        return all(self._plain(w.encode()) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in words)
-
-    def _plain(self, word: bytes) -> list[int]:
-        tokenize = self.tokenizer.model.tokenize
-        return [t.id for run in _RUNS.findall(word.decode().lower())
-                for t in tokenize(run.encode().decode("latin-1").translate(_ALPHABET))]
-
-    def _learn(self, words: set[bytes]) -> None:
-        rest, prefix = [], self.prefix
-        for w in words:
-            ids = self.older.get(w)
-            if ids is None and self.plain and _PLAIN.fullmatch(w) and not (prefix in w and self._may_be_added(w)):
-                ids = np.array(self._plain(w), dtype=self.width).tobytes()
+        words = ["Äb1", "x--Y2", "été", "ÿ/ß"]
+        got = self.encode([w.encode() for w in words], 0)
+        self.kept = {}
+        return all(g.tolist()[:-1] == self.tokenizer.encode(w, add_special_tokens=False).ids
+                   for g, w in zip(got, words, strict=True))
+
+    def _units(self, text: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Runs of the plain words and all other words of a text, where each
+        begins and whether it is a run.  An added token's case matters, so words that
+        may hold one stay as they are.
+        """
+        raw = np.frombuffer(text, np.uint8)
+        kind = _KIND[raw]
+        wide = np.flatnonzero(raw == 0xC3)
+        paired = _SECOND[raw[np.minimum(wide + 1, len(raw) - 1)]]
+        kind[wide[~paired]] = _OTHER
+        wide = wide[paired]
+        kind[wide] = kind[wide + 1] = _LETTER
+        black = kind != _SPACE
+        begins = black.copy()
+        begins[1:] &= ~black[:-1]
+        words = np.flatnonzero(begins)
+        if not len(words):
+            return pa.array([], pa.binary()), words, np.empty(0, bool)
+        spans = np.diff(words, prepend=0, append=len(raw))  # white space before, then the words
+        added = np.zeros(len(words), bool)
+        if self.added and self.prefix in text:
+            at = [m.start() for m in self.added.finditer(text.lower())]
+            added[np.searchsorted(words, np.array(at, dtype=np.int64), "right") - 1] = True
+        whole = added | np.logical_or.reduceat(kind == _OTHER, words) if self.plain else np.ones(len(words), bool)
+        in_run = np.repeat(np.append(False, ~whole), spans) & black
+        begins[1:] |= in_run[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+        if self.folds:
+            folded = _LOWER[raw]
+            capital = wide[(raw[wide + 1] < 0x9F) & in_run[wide]] + 1
+            folded[capital] += 0x20
+            raw = np.where(np.repeat(np.append(False, added), spans), raw, folded) if added.any() else folded
+        at = np.flatnonzero(begins)
+        # behind one another in the text without its white space
+        ends = np.append(np.flatnonzero(begins[black]), np.count_nonzero(black)).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(raw[black])])
+        return units, at, in_run[at]
+
+    def _learn(self, units: list[bytes], runs: list[bool]) -> None:
+        """Keep the ids of all units."""
+        rest, tokenize, code = [], self.tokenizer.model.tokenize, "H" if self.width is np.uint16 else "I"
+        for u, run in zip(units, runs, strict=True):
+            if u in self.kept:
+                continue
+            ids = self.older.get(u)
+            if ids is None and run:
+                ids = array(code, [t.id for t in tokenize("".join([_ALPHABET[b] for b in u]))]).tobytes()
             if ids is None:
-                rest.append(w)
+                rest.append(u)
             else:
-                self.kept[w] = ids
+                self.kept[u] = ids
         for lo in range(0, len(rest), 1000):
             part = rest[lo:lo + 1000]
             got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part],
                                                    add_special_tokens=False)
             self.kept.update(zip(part, (np.array(e.ids, dtype=self.width).tobytes() for e in got), strict=True))
 
+    def _encode_long(self, text: bytes, at: int, end: int) -> list[np.ndarray]:
+        """The ids of a text by parts that end at white space, so memory follows a part."""
+        got, lo = [], 0
+        while lo < len(text):
+            got.append(self.encode([text[lo:at]], end)[0])
+            lo = at + 1
+            gap = _GAP.search(text, lo + PIECE_BYTES)
+            at = gap.start() if gap else len(text)
+        return [np.concatenate([*(g[:-1] for g in got[:-1]), got[-1]])]
+
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         if not self.by_words:
             got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts],
                                                    add_special_tokens=False)
             return [np.array([*e.ids, end], dtype=self.width) for e in got]
-        prefix = self.prefix
-        if self.folds:
-            texts = [t if prefix in t and self._may_be_added(t) else t.lower() for t in texts]
-        words = [t.split() for t in texts]
+        if not texts:
+            return []
+        if len(texts) == 1 and len(texts[0]) > 2 * PIECE_BYTES and (gap := _GAP.search(texts[0], PIECE_BYTES)):
+            return self._encode_long(texts[0], gap.start(), end)
         if len(self.kept) > KEPT_WORDS:
             self.older, self.kept = self.kept, {}
-        self._learn({w for doc in words for w in doc}.difference(self.kept))
-        last = np.array([end], dtype=self.width).tobytes()
-        find = self.kept.__getitem__
-        return [np.frombuffer(b"".join([*map(find, doc), last]), dtype=self.width) for doc in words]
+        units, at, in_run = self._units(b" ".join(texts))
+        units = units.dictionary_encode()
+        which, found = units.indices.to_numpy(), units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        runs = np.empty(len(found), bool)
+        runs[which] = in_run
+        self._learn(found, runs.tolist())
+        # ids of the different units, the end id last, and where each unit's lie
+        held = [*map(self.kept.__getitem__, found), np.array([end], dtype=self.width).tobytes()]
+        table = np.frombuffer(b"".join(held), dtype=self.width)
+        size = np.fromiter(map(len, held), np.int64, len(held)) // table.itemsize
+        start = np.cumsum(size) - size
+        # units up to the end of each text, with one end id for each
+        upto = np.searchsorted(at, np.cumsum([len(t) + 1 for t in texts]))
+        which = np.insert(which, upto, len(found))
+        n = size[which]
+        stop = np.cumsum(n)
+        ids = table[np.arange(n.sum()) + np.repeat(start[which] - stop + n, n)]
+        return np.split(ids, stop[upto + np.arange(len(texts))][:-1])
 
 
 # Encoders outlive a task: Spark uses a Python worker for many.

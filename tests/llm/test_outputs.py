@@ -71,6 +71,44 @@ def test_encoder_forgets_but_stays_right(vocabulary, monkeypatch):
         assert own.encode([text], 2)[0].tolist() == fresh.encode([text], 2)[0].tolist()
 
 
+def test_a_run_is_encoded_once_whatever_stands_beside_it(vocabulary):
+    from storelens.llm import tokens
+    own = tokens.Encoder(vocabulary)
+    own.encode([b"tell Tell. (tell) tell,tell2", "22 don't É été. x<|EndOfText|> EndOfText".encode()], 2)
+    assert set(own.kept) == {w.encode() for w in ["tell", ".", "(", ")", ",", "2", "don't", "é", "été", "x<|EndOfText|>", "endoftext"]}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(
+    ["a", "B", "É", "é", "×", "'s", "'", "1", "23", "--", "!", "<|", "|>", "<|endoftext|>", "<|EndOfText|>", " ", "  ", "\n",
+     "\x0b", "\u00a0", "\x85", "\u0301", "İ", "ÿ", "ß", "Ã", "日", "\x1c", "\x7f"]), max_size=14).map("".join), max_size=5))
+def test_texts_encoded_together_and_by_parts(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from storelens.llm import tokens
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    cache = test_texts_encoded_together_and_by_parts.__dict__.setdefault("cache", {})
+    if not cache:
+        cache.update(own=tokens.Encoder(path), whole=Tokenizer.from_file(path))
+    own, raw = cache["own"], [t.encode() for t in texts]
+    want = [[*cache["whole"].encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert [g.tolist() for g in own.encode(raw, 2)] == want
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokens, "PIECE_BYTES", 6)  # longer texts go by parts
+        assert [own.encode([t], 2)[0].tolist() for t in raw] == want
+
+
+def test_bytes_that_are_no_utf8(vocabulary):
+    from tokenizers import Tokenizer
+
+    from storelens.llm import tokens
+    raw = [b"a\xff b\xc3", b"\xa9\xc3", b"\xc3 \xa9 \xc3\xc3\xa9"]
+    whole = Tokenizer.from_file(vocabulary)
+    assert [g.tolist() for g in tokens.Encoder(vocabulary).encode(raw, 2)] == [
+        [*whole.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, 2] for t in raw]
+
+
 def test_token_files_round_trip(spark, edge_rows, vocabulary, tmp_path):
     from tokenizers import Tokenizer
 
