@@ -2,7 +2,8 @@
 
 One lineage from the raw documents: product columns are expressions on the
 nested frame, images and variants are generators (explode) on the same
-frame, and replacement of previously stored products is an anti-join.
+frame, and replacement of previously stored products is an anti-join - on
+ids alone, ahead of the rows, where most of them are replaced.
 """
 
 from __future__ import annotations
@@ -17,11 +18,18 @@ from storelens.operators.catalog import (cascade_children, ingest_summary, norma
                                          split_rejects)
 from storelens.operators.embed import backfill_embeddings
 from storelens.schemas import TABLES
-from storelens.session import materialize
+from storelens.session import materialize, set_for
 
 # children before the products that they belong to
 WRITE_ORDER = ("rejects", "images", "variants", "products")
 
+# folders that a task writes side by side; rows of further tenants are sorted
+OPEN_TENANTS = 8
+
+
+def _repeated_ids(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id")
+
 
 def newest_documents(raw: DataFrame, store: bool = False) -> DataFrame:
     """Of documents with the same id the one with the latest ``updated_at``
@@ -32,12 +40,15 @@ def newest_documents(raw: DataFrame, store: bool = False) -> DataFrame:
     ids are found on narrow rows and stored first: without any the documents are
     neither moved nor written again, and a few are sent to the documents.
     ``store`` writes the outcome too, where it isn't the stored table itself.
+    Without it documents that have no repeated ids are not written at all: they
+    are ``raw``, which should then give the same rows whenever it is read.
     Documents without an id all stay.
     """
+    if not store and _repeated_ids(raw).count() == 0:
+        return raw
     docs = materialize(raw.withColumn("_pos", F.monotonically_increasing_id()), "catalog-numbered", compression="zstd")
     named = docs.where(F.col("id").isNotNull())
-    twice = materialize(named.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id"),
-                        "catalog-repeated")
+    twice = materialize(_repeated_ids(docs), "catalog-repeated")
     if twice.isEmpty():
         return docs.drop("_pos")
     place = F.struct(parse_ts("updated_at").alias("at"), F.col("_pos").alias("pos"))
@@ -48,6 +59,22 @@ def newest_documents(raw: DataFrame, store: bool = False) -> DataFrame:
     return materialize(newest, "catalog-docs", compression="zstd") if store else newest
 
 
+def _listed(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose values in the columns of ``keys`` are listed there, NULL like any other."""
+    other = keys.select(*[F.col(c).alias(f"_{c}") for c in keys.columns])
+    cond = F.lit(True)
+    for c in keys.columns:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return df.join(other, cond, "left_semi")
+
+
+def _cascade_ids_first(children: DataFrame, replaced: DataFrame, fk: str = "product_id") -> DataFrame:
+    """``cascade_children`` where most parents go: the keys that stay are found
+    and stored first, so whole rows are moved only if many of them stay."""
+    keys = [c for c in ("tenant_id", fk) if c in children.columns]
+    return _listed(children, materialize(cascade_children(children.select(*keys).distinct(), replaced, fk), "catalog-staying"))
+
+
 def ingest_catalog(raw: DataFrame, tenant_id: str, current: dict | None = None,
                    embed_fn=None, embed: bool = False, materialize_docs: bool = False) -> dict:
     """Normalise a batch of catalogue documents for one tenant.
@@ -56,7 +83,8 @@ def ingest_catalog(raw: DataFrame, tenant_id: str, current: dict | None = None,
     * documents without an id, or whose created/updated timestamps do not
       parse, go to ``rejects`` (the reference halts the whole ingest on them)
     * with ``current`` (products, images, variants), re-sent products replace
-      their stored rows and their children (M2 with cascade)
+      their stored rows and their children (M2 with cascade); if that is more
+      than half of the stored products, what stays is settled on ids first
     * ``embed`` backfills vectors with ``embed_fn`` (E1); the embedded products
       are written once, so each text is embedded once however often the
       result is read
@@ -72,18 +100,25 @@ def ingest_catalog(raw: DataFrame, tenant_id: str, current: dict | None = None,
     variants = normalise_variants(docs, tenant_id)
     out = {"products": good, "images": images, "variants": variants, "rejects": rejects,
            "summary": ingest_summary(dedup, storable)}
+    key = ["tenant_id", "source_id"]
+    most = False
     if current:
-        # ids only, found once for both children
-        replaced = materialize(current["products"].join(good.select("tenant_id", "source_id"),
-                                                        ["tenant_id", "source_id"], "left_semi")
-                               .select("tenant_id", "id"), "catalog-replaced")
-        out["images"] = cascade_children(current["images"], replaced).unionByName(images, allowMissingColumns=True)
-        out["variants"] = cascade_children(current["variants"], replaced).unionByName(variants,
-                                                                                     allowMissingColumns=True)
+        # ids only, found once for all three tables; good has one row a key
+        sent = current["products"].select(*key, "id").join(good.select(*key, F.lit(True).alias("_sent")), key, "left")
+        marked = materialize(sent.select("tenant_id", "id", "_sent", F.when(F.col("_sent").isNull(), F.col("source_id"))
+                                         .alias("source_id")), "catalog-replaced")
+        n = marked.agg(F.count(F.lit(1)).alias("stored"), F.count("_sent").alias("replaced")).first()
+        most = 2 * n["replaced"] > n["stored"]
+        replaced, cascade = marked.where("_sent").select("tenant_id", "id"), _cascade_ids_first if most else cascade_children
+        out["images"] = cascade(current["images"], replaced).unionByName(images, allowMissingColumns=True)
+        out["variants"] = cascade(current["variants"], replaced).unionByName(variants, allowMissingColumns=True)
     if embed:
         good = materialize(backfill_embeddings(good, embed_fn), "catalog-embedded")
         out["products"] = good
-    if current:
+    if most:
+        staying = materialize(marked.where("_sent IS NULL").select(*key).distinct(), "catalog-staying")
+        out["products"] = _listed(current["products"], staying).unionByName(good, allowMissingColumns=True)
+    elif current:
         out["products"] = replace_products(current["products"], good)
     return out
 
@@ -113,9 +148,10 @@ def write_catalog_tables(tables: dict, base_path: str) -> None:
     yet, never a product without its own; a rerun of the same ingest mends it.
     A tenant without rows in one of the tables loses its old rows there.
 
-    Rejects, images and variants lie aside by tenant, in a hidden folder of
-    ``base_path``, and their folders are moved; products, whose commit makes an
-    ingest visible, are written in by one Spark job.
+    Tables lie aside by tenant, in a hidden folder of ``base_path``, and their
+    folders are moved, so each row is written once and no task sorts its rows.
+    Products, whose folders make an ingest visible, come last, after a job that
+    makes their table and its mark and fails where ``base_path`` can't be written.
     """
     names = [n for n in WRITE_ORDER if n in tables]
     if not names:
@@ -123,12 +159,11 @@ def write_catalog_tables(tables: dict, base_path: str) -> None:
     spark = tables[names[0]].sparkSession
     aside = f"{base_path}/_aside-{uuid.uuid4().hex[:12]}"
     ready = {}
-    for n in names:
-        out = tables[n].write.option("compression", "zstd").mode("overwrite")
-        if n != "products":
-            out = out.partitionBy("tenant_id")
-        out.parquet(f"{aside}/{n}")
-        ready[n] = spark.read.schema(tables[n].schema).parquet(f"{aside}/{n}")
+    with set_for(spark, "spark.sql.maxConcurrentOutputFileWriters", OPEN_TENANTS):
+        for n in names:
+            (tables[n].write.option("compression", "zstd").mode("overwrite").partitionBy("tenant_id")
+             .parquet(f"{aside}/{n}"))
+            ready[n] = spark.read.schema(tables[n].schema).parquet(f"{aside}/{n}")
     held = {n: {r["tenant_id"] for r in ready[n].select("tenant_id").distinct().collect()} for n in names}
     tenants = set().union(*held.values())                                   # tenants written, not rows
     hadoop = spark._jvm.org.apache.hadoop.fs
@@ -137,15 +172,13 @@ def write_catalog_tables(tables: dict, base_path: str) -> None:
     for n in names:
         path = f"{base_path}/{n}"
         if n == "products":
-            (ready[n].write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .option("compression", "zstd").partitionBy("tenant_id").parquet(path))
-        else:
-            fs.mkdirs(hadoop.Path(path))
-            for t in held[n]:
-                old = hadoop.Path(f"{path}/{folder_of('tenant_id', t)}")
-                fs.delete(old, True)
-                if not fs.rename(hadoop.Path(f"{aside}/{n}/{folder_of('tenant_id', t)}"), old):
-                    raise OSError(f"can't move new {n} to {old.toString()}")
+            ready[n].limit(0).write.mode("append").partitionBy("tenant_id").parquet(path)
+        fs.mkdirs(hadoop.Path(path))
+        for t in held[n]:
+            old = hadoop.Path(f"{path}/{folder_of('tenant_id', t)}")
+            fs.delete(old, True)
+            if not fs.rename(hadoop.Path(f"{aside}/{n}/{folder_of('tenant_id', t)}"), old):
+                raise OSError(f"can't move new {n} to {old.toString()}")
         for t in tenants - held[n]:
             fs.delete(hadoop.Path(f"{path}/{folder_of('tenant_id', t)}"), True)
     fs.delete(hadoop.Path(aside), True)

@@ -1417,8 +1417,22 @@ FROM l
 def _as_catalog(docs):
     """Conform documents to the declared catalogue schema (absent fields NULL),
     as reading them from JSON with that schema would."""
+    from pyspark.sql import types as T
     from storelens.schemas import CATALOG
-    return docs.select(F.from_json(F.to_json(F.struct(*docs.columns)), CATALOG).alias("d")).select("d.*")
+
+    def conform(value, has, want):
+        if isinstance(want, T.ArrayType):
+            return F.transform(value, lambda x: conform(x, has.elementType, want.elementType))
+        if not isinstance(want, T.StructType):
+            return value.cast(want)
+        out = F.struct(*[field(value[f.name] if f.name in has.names else None, has, f) for f in want])
+        return F.when(value.isNotNull(), out)
+
+    def field(value, has, f):
+        known = F.lit(None).cast(f.dataType) if value is None else conform(value, has[f.name].dataType, f.dataType)
+        return known.alias(f.name)
+
+    return docs.select(*[field(F.col(f.name) if f.name in docs.columns else None, docs.schema, f) for f in CATALOG])
 
 
 @register("flatten_variants", _LINE_FLAT_SQL)

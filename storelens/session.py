@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -55,6 +56,17 @@ def get_spark(master: str | None = None, app: str = "storelens",
     return configure(spark)
 
 
+@contextmanager
+def set_for(spark: SparkSession, key: str, value):
+    """A session setting for the statements of a ``with`` block only."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and streaming state.
 
